@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import line_dedup
+from . import fingerprints, line_dedup
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,3 +22,8 @@ def _register(name: str, oracle: str | None = None):
 @_register("op7_line_dedup", line_dedup.ORACLE)
 def op7(spark, sf_dir):
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@_register("op1_document_fingerprints")
+def op1(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
