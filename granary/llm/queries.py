@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import fingerprints, line_dedup
+from . import fingerprints, line_dedup, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,3 +27,8 @@ def op7(spark, sf_dir):
 @_register("op1_document_fingerprints")
 def op1(spark, sf_dir):
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@_register("op9_simhash_near_dedup")
+def op9(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
