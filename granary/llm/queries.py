@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import fingerprints, line_dedup, simhash
+from . import decontaminate, fingerprints, line_dedup, mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -32,3 +32,14 @@ def op1(spark, sf_dir):
 @_register("op9_simhash_near_dedup")
 def op9(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_register("op10_benchmark_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op3_mixing")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "source", *mixing.ADDED)
