@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, fingerprints, line_dedup, mixing, simhash
+from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -43,3 +43,8 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select("doc_id", "source", *mixing.ADDED)
+
+
+@_register("op6_language_id")
+def op6(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
