@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .common import table
-from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash
+from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -48,3 +48,8 @@ def op3(spark, sf_dir):
 @_register("op6_language_id")
 def op6(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@_register("op5_toxicity")
+def op5(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
