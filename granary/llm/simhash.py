@@ -148,7 +148,7 @@ def _chunk_links(radius: int):
             if not len(frame):
                 continue
             group = frame["key"].to_numpy() * (1 << 30) + frame["chunk"].to_numpy()
-            last = np.searchsorted(group, group[-1]) if (np.diff(group) >= 0).all() else np.flatnonzero(group == group[-1])[0]
+            last = np.searchsorted(group, group[-1])
             rest = frame.iloc[last:]
             yield links(frame.iloc[:last], group[:last])
         if rest is not None and len(rest):
@@ -157,18 +157,21 @@ def _chunk_links(radius: int):
     def links(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         fps, out = frame["fp"].to_numpy(), []
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if hi - lo == 2:  # most buckets
-                if (int(fps[lo] ^ fps[lo + 1]) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius:
-                    out.append((fps[lo], fps[lo + 1]))
-            elif hi - lo > 2:
-                own = np.unique(fps[lo:hi])
-                for at in range(0, len(own), 2 * CHUNK):  # rows of the matrix in blocks
-                    left, right = np.nonzero(_near(own[at : at + 2 * CHUNK], own, radius))
-                    left += at
-                    keep = left < right
-                    out += [(own[x], own[y]) for x, y in _forest(len(own), left[keep], right[keep])]
-        return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+        size = np.diff(cuts)
+        few = np.flatnonzero(np.repeat((size > 1) & (size <= 8), size))  # most buckets: neighbours at each lag at once
+        f, g = fps[few].view(np.uint64), group[few]
+        for lag in range(1, 8):
+            near = np.flatnonzero((g[lag:] == g[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= radius))
+            out.append(np.stack([f[near], f[near + lag]], 1).view(np.int64))
+        for lo, hi in zip(cuts[:-1][size > 8].tolist(), cuts[1:][size > 8].tolist(), strict=True):
+            own = np.unique(fps[lo:hi])
+            for at in range(0, len(own), 2 * CHUNK):  # rows of the matrix in blocks
+                left, right = np.nonzero(_near(own[at : at + 2 * CHUNK], own, radius))
+                left += at
+                keep = left < right
+                if forest := _forest(len(own), left[keep], right[keep]):
+                    out.append(own[np.array(forest)])
+        return pd.DataFrame(np.concatenate(out) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
 
     return run
 
@@ -207,10 +210,10 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
     keyed = nodes.select("fp").mapInArrow(explode, "key long, fp long")
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "key")
     # a bucket of up to CHUNK nodes is one chunk, a larger one is dealt out by hash
-    chunk = F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK)).cast("int")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    keyed = keyed.join(sizes, "key", "left")
+    chunk = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK))).cast("int")
     keyed = settled(keyed.select("key", "fp", "n", chunk.alias("chunk")), "golay-buckets")
     dealt = keyed.select("key", "chunk", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
     first = settled(dealt.mapInPandas(_chunk_links(radius), _LINKS), "near-links")
