@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .common import table
 from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, toxicity
 
@@ -53,3 +55,8 @@ def op6(spark, sf_dir):
 @_register("op5_toxicity")
 def op5(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is a hashed word embedding plus the mean of its hashed character-trigram embeddings.
+A word's input sums its embedding, that of its first `STEM` bytes (one for all that training met once or
+never) and the mean of its hashed character-trigram embeddings.
 A GRU reads each window of words in both directions, attention pools its states, and a logistic unit
 gives the window's score. All windows of `WINDOW` words, each overlapping the next by half, are scored; a
 text's score is its greatest window score, calibrated on the training sample.
@@ -8,7 +9,8 @@ text's score is its greatest window score, calibrated on the training sample.
 Training (numpy, driver) uses at most `PER_CLASS` labelled documents of each class, chosen by a hash, and of
 each at most `TRAIN_CHARS` code points from one place: the documented bound of the sample. In each round a document
 is represented by the window that the network scores highest, so labels of whole documents suffice.
-The first number of each word embedding starts as the word's smoothed log odds.
+The first number of a word's and the second of a stem's embedding start as smoothed log odds; in training each
+document reads them as counted in the half of the sample that it isn't in.
 
 Null and empty texts, and texts without words, get the score of an empty window. Without labels of both classes
 all scores are the share of label 1 (0 if there are none). Repeated labels of a doc_id count by their greatest
@@ -29,8 +31,11 @@ from .wordfeatures import Words, chains
 
 PER_CLASS, TRAIN_CHARS = 700, 6000
 WINDOW, STRIDE, THRESHOLD = 32, 16, 0.7
-WORDS, GRAMS, DIM, HIDDEN, ATTEND = 1 << 14, 1 << 12, 10, 8, 8
-ROUNDS, BATCH, RATE = 10, 128, 0.01
+STEM, GRAMS, DIM, HIDDEN, ATTEND = 6, 1 << 12, 10, 8, 8
+ROUNDS, BATCH, RATE, TABLE_RATE, SHRINK = 6, 48, 0.02, 0.01, 1e-3
+TABLES = ("word", "stem", "gram")
+#: Documents' worth of prior in a word's odds.
+DOUBT = 8.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -40,19 +45,27 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Net:
     """Parameters by name, forward and backward passes over (windows, words, inputs)."""
 
-    def __init__(self, seed: int = 0):
+    def __init__(self, known: np.ndarray, stems: np.ndarray, seed: int = 0):
+        """known, stems: sorted hashes of words and stems that training met in two documents or more; others share one embedding."""
         rng = np.random.RandomState(seed)
+        self.known, self.stems = known, stems
         g = lambda *s, k=1.0: (rng.randn(*s) * k / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"word": (rng.randn(WORDS, DIM) * 0.05).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.05).astype(np.float32)}
+        self.p = {"word": (rng.randn(len(known) + 1, DIM) * 0.002).astype(np.float32), "stem": (rng.randn(len(stems) + 1, DIM) * 0.002).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.002).astype(np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": g(DIM, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": g(HIDDEN, 3 * HIDDEN)}
         self.p |= {"A": g(2 * HIDDEN, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": g(ATTEND), "o": g(2 * HIDDEN), "k": np.zeros(1, np.float32)}
         self.scale, self.shift = 1.0, 0.0
 
+    @staticmethod
+    def entries(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(table, hashes)
+        hit = table[np.minimum(at, len(table) - 1)] == hashes if len(table) else np.zeros(len(hashes), bool)
+        return np.where(hit, at, len(table))
+
     def inputs(self, words: Words) -> np.ndarray:
         """The input vector of each distinct word."""
         grams, offs = words.trigrams(GRAMS)
-        x = self.p["word"][(words.hashes % np.uint64(WORDS)).astype(np.int64)]
+        x = self.p["word"][self.entries(self.known, words.hashes)] + self.p["stem"][self.entries(self.stems, words.stems(STEM))]
         return x + np.add.reduceat(self.p["gram"][grams], offs, axis=0) / words.length[:, None].astype(np.float32) if len(offs) else x
 
     def run(self, proj: dict[str, np.ndarray], index: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -153,25 +166,53 @@ def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net |
     if len(set(y)) < 2:
         return share
     rng = np.random.RandomState(seed)
-    net, words = Net(seed), Words([t for t, _ in samples])
+    words = Words([t for t, _ in samples])
     if not len(words):
         return share
-    docs = np.unique(np.stack([words.inverse, words.row]), axis=1)
-    pos = np.bincount(docs[0], y[docs[1]], len(words.hashes))
-    n = np.bincount(docs[0], minlength=len(words.hashes))
-    prior = y.mean()
-    odds = (pos + 4 * prior) / (n + 4)
-    slot = (words.hashes % np.uint64(WORDS)).astype(np.int64)
-    # a slot that words share takes their most common word's odds
-    order = np.argsort(n, kind="stable")
-    net.p["word"][slot[order], 0] = 0.5 * np.log(odds / (1 - odds))[order]
+    count, prior = len(words.hashes), y.mean()
+    stems, stem_of = np.unique(words.stems(STEM), return_inverse=True)
+    # a document's own label must not speak for it: it reads what its words tell in the other half of the sample
+    half = np.empty(len(y), np.int64)
+    for label in (0, 1):
+        half[y == label] = rng.permutation((y == label).sum()) % 2
+
+    def evidence(kind: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each kind of word: met twice or more; log odds over all documents; and over each half for the other."""
+        docs = np.unique(np.stack([kind[words.inverse], words.row]), axis=1)
+
+        def odds(docs: np.ndarray) -> np.ndarray:
+            o = (np.bincount(docs[0], y[docs[1]], most) + DOUBT * prior) / (np.bincount(docs[0], minlength=most) + DOUBT)
+            return np.log(o / (1 - o)) - np.log(prior / (1 - prior))
+
+        often = np.bincount(docs[0], minlength=most) >= 2
+        return often, often * odds(docs), np.stack([often * odds(docs[:, half[docs[1]] != k]) for k in (0, 1)])
+
+    often, whole, apart = evidence(np.arange(count), count)
+    stem_often, stem_whole, stem_apart = evidence(stem_of, len(stems))
+    net = Net(words.hashes[often], stems[stem_often], seed)
+    slot, stem_slot = net.entries(net.known, words.hashes), net.entries(net.stems, stems)
+    net.p["word"][slot, 0], net.p["stem"][stem_slot, 1] = whole, stem_whole
+    stem_slot = stem_slot[stem_of]
+    shift = np.zeros((2 * count, DIM), np.float32)
+    shift[:, 0], shift[:, 1] = (apart - whole).ravel(), (stem_apart - stem_whole)[:, stem_of].ravel()
+    first_look = apart.ravel() + stem_apart[:, stem_of].ravel()
     grams, offs = words.trigrams(GRAMS)
     per_gram = np.repeat(1.0 / words.length, words.length).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
-    steps = 0
     class_weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior))
-    for _ in range(ROUNDS):
-        logit, row, index, mask = net.logits(words)
+    index, mask, row = net.windows(words)
+    index = index + count * half[row][:, None]
+
+    def logits() -> np.ndarray:
+        x = np.tile(net.inputs(words), (2, 1))
+        x += shift
+        proj = net.project(x)
+        return np.concatenate([net.run(proj, index[at : at + 4096], mask[at : at + 4096]) for at in range(0, len(row), 4096)])
+
+    steps = 0
+    for nth in range(ROUNDS):
+        # before the network knows anything: the window with the most telling word
+        logit = logits() if nth >= 2 else (first_look[index] * mask).max(1) + 0.01 * rng.rand(len(row))
         order = np.lexsort((logit, row))
         top = order[np.append(row[order][1:] != row[order][:-1], True)]  # each text's highest window
         other = rng.permutation(len(row))[: len(top) // 2]
@@ -180,23 +221,28 @@ def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net |
         for at in range(0, len(chosen), BATCH):
             part = chosen[at : at + BATCH]
             used, local = np.unique(index[part], return_inverse=True)
-            starts, counts = offs[used], words.length[used]
-            flat_at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+            word = used % count
+            counts = words.length[word]
+            flat_at = np.repeat(offs[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
             g_ids, g_w = grams[flat_at], per_gram[flat_at]
-            x = net.p["word"][slot[used]] + np.add.reduceat(net.p["gram"][g_ids] * g_w[:, None], np.cumsum(counts) - counts, axis=0)
+            x = net.p["word"][slot[word]] + net.p["stem"][stem_slot[word]] + np.add.reduceat(net.p["gram"][g_ids] * g_w[:, None], np.cumsum(counts) - counts, axis=0)
+            x += shift[used]
             w = class_weight[row[part]]
             _, g, dx = net.gradients(x, local.reshape(len(part), WINDOW), mask[part], y[row[part]], (w / w.sum()).astype(np.float32))
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], slot[used], dx)
+            g |= {k: np.zeros_like(net.p[k]) for k in TABLES}
+            np.add.at(g["word"], slot[word], dx)
+            np.add.at(g["stem"], stem_slot[word], dx)
             np.add.at(g["gram"], g_ids, np.repeat(dx, counts, axis=0) * g_w[:, None])
             steps += 1
             for k, v in net.p.items():
                 m1, m2 = moments[k]
                 m1 += 0.1 * (g[k] - m1)
                 m2 += 0.01 * (g[k] ** 2 - m2)
-                v -= (RATE * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-7) + 1e-5 * v).astype(np.float32)
+                table = k in TABLES
+                rate = RATE * (TABLE_RATE if table else 1.0)
+                v -= (rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-7) + (0 if table else SHRINK) * v).astype(np.float32)
     # calibration: logistic regression of the label on a text's greatest logit, at the labels' own share
-    logit, row, _, _ = net.logits(words)
+    logit = logits()
     best = np.full(len(y), float(net.p["k"][0]))
     top = np.full(len(y), -np.inf)
     np.maximum.at(top, row, logit)

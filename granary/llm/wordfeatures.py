@@ -40,6 +40,12 @@ class Words:
         letters = np.concatenate([[0], np.cumsum(_LETTER[buf])])
         self.letter = letters[end] > letters[start]
 
+    def stems(self, most: int) -> np.ndarray:
+        """Hashes of the first `most` bytes of each distinct word."""
+        if not len(self.length):
+            return np.zeros(0, np.uint64)
+        return Rolling(self.buf, 6).of(self.start, self.start + np.minimum(self.length, most))
+
     def __len__(self) -> int:
         return len(self.inverse)
 
