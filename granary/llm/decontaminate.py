@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Rolling
 
 RATE, LEAST, ITEM_BYTES = 0.1, 40, 16 << 20
-_GRAM = 4
+_GRAM, _GRAMS = 4, 1 << 13
 _ADDED = ("leak_items", "leak_item", "leak_distance")
 
 
@@ -52,6 +52,15 @@ def least_distance(masks: dict[int, int], m: int, text: bytes) -> int:
     return best
 
 
+def hashed_grams(buf: np.ndarray) -> np.ndarray:
+    """13-bit hash of the four bytes at each position."""
+    if len(buf) < _GRAM:
+        return np.zeros(0, np.int64)
+    x = buf.astype(np.uint32)
+    code = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+    return (code * np.uint32(2654435761)) >> np.uint32(19)
+
+
 class Items:
     """Pieces and bit masks of a block of test items."""
 
@@ -70,7 +79,7 @@ class Items:
         self.hashes = np.array(sorted(places), np.uint64)
         self.bits = np.zeros(1 << 22, bool)
         self.bits[(self.hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-        self.grams: dict[int, set[bytes]] = {}
+        self.grams: dict[int, np.ndarray] = {}
 
     def hits(self, text: bytes) -> list[tuple[int, int]]:
         """(position, hash) of every place of the text where some piece begins."""
@@ -81,16 +90,18 @@ class Items:
         at = at[self.hashes[np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)] == h[at]]
         return list(zip(at.tolist(), h[at].tolist(), strict=True))
 
-    def verified(self, i: int, part: bytes) -> int | None:
-        """Distance of item i within this part, or None if it is over the budget."""
+    def verified(self, i: int, part: bytes, grams: np.ndarray) -> int | None:
+        """Distance of item i within this part, or None if it is over the budget. grams: the part's, hashed.
+
+        Equal hashes of different grams only raise the count, so the filter loses nothing."""
         _, t = self.items[i]
         m, e = len(t), self.errors[i]
         need = m + 1 - _GRAM - _GRAM * e
         if need > 0:
             if i not in self.grams:
-                self.grams[i] = {t[j : j + _GRAM] for j in range(m - _GRAM + 1)}
-            own = self.grams[i]
-            if sum(part[j : j + _GRAM] in own for j in range(len(part) - _GRAM + 1)) < need:
+                self.grams[i] = np.zeros(_GRAMS, bool)
+                self.grams[i][hashed_grams(np.frombuffer(t, np.uint8))] = True
+            if np.count_nonzero(self.grams[i][grams]) < need:
                 return None
         if i not in self.masks:
             masks: dict[int, int] = {}
@@ -103,6 +114,7 @@ class Items:
     def search(self, texts: list[bytes]) -> list[dict[int, int]]:
         """Of each text its items within the budget and their distances."""
         whole = b"\n".join(texts)
+        grams = hashed_grams(np.frombuffer(whole, np.uint8))
         starts = np.cumsum([0] + [len(t) + 1 for t in texts])
         found: list[dict[int, int]] = [{} for _ in texts]
         seen: set[tuple[int, int, int]] = set()
@@ -119,7 +131,8 @@ class Items:
                     continue
                 seen.add((row, i, diagonal))
                 begin = diagonal * (e + 1) - e
-                d = self.verified(i, whole[max(lo, begin) : max(0, min(hi, begin + m + 3 * e + 1))])
+                a, b = max(lo, begin), max(0, min(hi, begin + m + 3 * e + 1))
+                d = self.verified(i, whole[a:b], grams[a : max(a, b - _GRAM + 1)])
                 if d is not None:
                     found[row][i] = min(d, found[row].get(i, d))
         return found
