@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, toxicity
+from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,3 +60,8 @@ def op5(spark, sf_dir):
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+@_register("op2_url_filters")
+def op2(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labels_of(table(spark, sf_dir, "labels")))
