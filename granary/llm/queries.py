@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, toxicity, url_filter
+from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -65,3 +65,8 @@ if corpus_pipeline.ORACLE_SQL:
 @_register("op2_url_filters")
 def op2(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.labels_of(table(spark, sf_dir, "labels")))
+
+
+@_register("op8_substring_dedup", substring_dedup.ORACLE)
+def op8(spark, sf_dir):
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
