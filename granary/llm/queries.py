@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, toxicity, url_filter
+from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -70,3 +70,8 @@ def op2(spark, sf_dir):
 @_register("op8_substring_dedup", substring_dedup.ORACLE)
 def op8(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@_register("op4_suffix_array_dedup")
+def op4(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
