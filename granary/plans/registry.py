@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
+import importlib
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def register(name: str, query, oracle: str | None = None) -> None:
+    QUERIES[name] = query
+    if oracle:
+        ORACLES[name] = oracle
+
+
+for _part in ("logs",):
+    importlib.import_module(f"granary.plans.{_part}")
