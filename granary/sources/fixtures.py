@@ -78,7 +78,7 @@ FROM customer WHERE c_nationkey % 3 <> 2 GROUP BY c_nationkey""",
     "facilities": "SELECT s_suppkey AS FacilityID, s_name AS FacilityName, CASE s_nationkey % 5 WHEN 0 THEN 'HOUSING' WHEN 1 THEN 'FOOD' WHEN 2 THEN 'LEGAL' WHEN 3 THEN 'HEALTHCARE' ELSE 'MENTAL_HEALTH' END AS PrimaryCategory, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'Walk-In|' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Emergency|' ELSE '' END, 'Free-Service') AS SubCategories, CAST(10000 + s_nationkey AS STRING) AS ZipCode, concat('555-', CAST(s_suppkey AS STRING)) AS Phone, concat('Hours ', CAST(s_suppkey % 4 AS STRING)) AS Hours, CASE WHEN s_suppkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS WalkInAvailable, CASE WHEN s_suppkey % 5 = 0 THEN 'Adults' ELSE 'All' END AS EligibilityCriteria, CASE WHEN s_suppkey % 4 = 0 THEN DATE '2023-09-01' ELSE DATE '2024-01-15' END AS LastVerifiedDate FROM supplier",
     "requests": "SELECT c_custkey AS request_id, CASE c_nationkey % 5 WHEN 0 THEN 'HOUSING' WHEN 1 THEN 'FOOD' WHEN 2 THEN 'LEGAL' WHEN 3 THEN 'HEALTHCARE' ELSE 'MENTAL_HEALTH' END AS category, CAST(10000 + c_nationkey AS STRING) AS zip, CASE WHEN c_custkey % 3 = 0 THEN 'Walk-In' WHEN c_custkey % 7 = 0 THEN 'Walk-In|Emergency' ELSE '' END AS needs FROM customer",
     "observations": "SELECT s_suppkey AS FacilityID, 'Phone' AS field, CASE WHEN s_suppkey % 3 = 0 THEN concat('555-', CAST(s_suppkey AS STRING)) ELSE '555-0' END AS found_value, concat('http://a/', CAST(s_suppkey AS STRING)) AS source_url, 'official' AS source_kind, DATE '2024-01-10' AS retrieved, s_suppkey % 11 = 0 AS reports_closed FROM supplier WHERE s_suppkey % 4 <> 3 UNION ALL SELECT s_suppkey AS FacilityID, 'Hours' AS field, concat('Hours ', CAST(s_suppkey % 3 AS STRING)) AS found_value, concat('http://b/', CAST(s_suppkey AS STRING)) AS source_url, CASE WHEN s_suppkey % 2 = 0 THEN 'directory' ELSE 'social' END AS source_kind, DATE '2024-01-12' AS retrieved, s_suppkey % 22 = 0 AS reports_closed FROM supplier WHERE s_suppkey % 5 <> 2",
-    "raw_scores": "SELECT o_orderkey AS nomination_id, concat('nominee', CAST(o_custkey % 200 AS STRING)) AS nominee_name, concat(CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING)) AS nomination_period, d.dimension, CAST(((o_orderkey * 7 + d.k * 13) % 121) - 10 AS DOUBLE) / 100 AS raw_score FROM orders JOIN (SELECT 0 AS k, 'impact' AS dimension UNION ALL SELECT 1, 'consistency' UNION ALL SELECT 2, 'collaboration' UNION ALL SELECT 3, 'initiative' UNION ALL SELECT 4, 'values_alignment' UNION ALL SELECT 5, 'client_impact') d ON (o_orderkey + d.k) % 8 <> 0",
+    "raw_scores": "SELECT o_orderkey AS nomination_id, concat('nominee', CAST(o_custkey % 200 AS STRING)) AS nominee_name, concat(CAST(year(o_orderdate) AS STRING), '-', CAST(month(o_orderdate) AS STRING)) AS nomination_period, d.dimension, CAST(2 * (((o_orderkey * 7 + d.k * 13) % 61) - 5) AS DOUBLE) / 100 AS raw_score FROM orders JOIN (SELECT 0 AS k, 'impact' AS dimension UNION ALL SELECT 1, 'consistency' UNION ALL SELECT 2, 'collaboration' UNION ALL SELECT 3, 'initiative' UNION ALL SELECT 4, 'values_alignment' UNION ALL SELECT 5, 'client_impact') d ON (o_orderkey + d.k) % 8 <> 0",
 }
 
 
