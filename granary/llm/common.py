@@ -49,6 +49,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Lets Spark send at most so many texts to a Python worker at once: the default is sized for short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+    return df
+
+
 def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the n + 1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -62,7 +71,7 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
         if not batch.num_rows:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, settled
+from .common import SPACE, scratch, settled, small_batches
 
 LEAST = 10
 #: Keys of one shard's filter, and the most bytes of all filters together that are broadcast.
@@ -155,7 +155,7 @@ _KEY_ROWS = "h1 long, h2 long, doc_id long"
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def reference_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:

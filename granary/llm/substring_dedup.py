@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, pieces, scratch, settled, signed, sliding_min, words_of
+from .common import Rolling, flat, pieces, scratch, settled, signed, small_batches, sliding_min, words_of
 from .line_dedup import Cuckoo, filled
 
 WIDTH, GRAM = 20, 5
@@ -84,7 +84,7 @@ class SubstringIndex:
     def append(self, docs: DataFrame) -> DataFrame:
         self.written += 1
         at = f"{self.path}/run-{self.written:05d}"
-        docs.mapInArrow(_index_rows(self.width), _RUN).sortWithinPartitions("anchor").write.parquet(at)
+        small_batches(docs).mapInArrow(_index_rows(self.width), _RUN).sortWithinPartitions("anchor").write.parquet(at)
         self.runs.append(at)
         return self.spark.read.schema(_RUN).parquet(at)
 

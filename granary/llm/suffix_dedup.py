@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, pieces, settled, signed, sliding_min
+from .common import Rolling, flat, pieces, settled, signed, sliding_min, small_batches
 from .substring_dedup import _filtered, id_filter
 
 WIDTH, GRAM, MOST, CHUNK = 200, 32, 64, 3000
@@ -140,7 +140,7 @@ class Stretches:
 
 def _stretch_rows(width: int, anchors_only: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text"):
             s = Stretches(batch["text"], width)
             if anchors_only:
                 yield pa.RecordBatch.from_arrays([signed(s.anchor)], ["anchor"])
@@ -342,7 +342,7 @@ _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): sorted byte spans under repeated strings; they may touch and overlap. docs: doc_id, text."""
-    anchors = docs.mapInArrow(_stretch_rows(width, True), "anchor long")
+    anchors = small_batches(docs).mapInArrow(_stretch_rows(width, True), "anchor long")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
     met = settled(docs.mapInArrow(_stretch_rows(width, False), _STRETCH).join(often, "anchor"), "suffix-met")
     whole = settled(met.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "suffix-whole")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces
+from .common import held_out, pieces, small_batches
 from .wordfeatures import Words, chains
 
 PER_CLASS, TRAIN_CHARS = 700, 6000
@@ -280,7 +280,7 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
 def _scorer(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = model.value
-        for batch in pieces(batches, "text", 1 << 20):
+        for batch in pieces(batches, "text"):
             out = np.full(batch.num_rows, float(net)) if isinstance(net, float) else net.texts(batch.column(batch.schema.get_field_index("text")))
             keep = [c for c in batch.schema.names if c != "toxicity"]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.clip(out.astype(np.float64), 0, 1))], [*keep, "toxicity"])
@@ -290,7 +290,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:
     """docs with toxicity, 0 to 1."""
-    docs = docs.drop("toxicity")
+    docs = small_batches(docs).drop("toxicity")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "toxicity double"])
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net)), schema)
 
