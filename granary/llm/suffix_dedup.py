@@ -24,7 +24,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -285,17 +284,17 @@ _SPANS = "anchor long, body long, rel array<struct<a:int,b:int>>"
 
 def _sorted_spans(width: int):
     """Over stretches sorted by anchor: repeated spans of each, a chunk of anchors to a suffix array."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def result(chunk: _Chunk) -> pa.RecordBatch:
+        rows = chunk.spans()
+        rel = pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), rel], ["anchor", "body", "rel"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[tuple[int, int]] = []
         raws: list[bytes] = []
         chunk, held = _Chunk(width), 0
-
-        def result(chunk: _Chunk) -> pd.DataFrame:
-            rows = chunk.spans()
-            return pd.DataFrame({"anchor": [r[0] for r in rows], "body": [r[1] for r in rows], "rel": [[{"a": a, "b": b} for a, b in r[2]] for r in rows]})
-
-        for frame in frames:
-            for anchor, body, raw in zip(frame["anchor"].tolist(), frame["body"].tolist(), frame["bytes"], strict=True):
+        for batch in batches:
+            for anchor, body, raw in zip(batch["anchor"].to_pylist(), batch["body"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
                 if names and names[-1][0] != anchor:
                     chunk.add(names, raws)
                     held += len(raws)
@@ -304,7 +303,7 @@ def _sorted_spans(width: int):
                         yield result(chunk)
                         chunk, held = _Chunk(width), 0
                 names.append((anchor, body))
-                raws.append(bytes(raw))
+                raws.append(raw)
         if names:
             chunk.add(names, raws)
         yield result(chunk)
@@ -355,7 +354,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return (docs.mapInArrow(_filtered(known, True), docs.schema) if known is not None else docs).join(side, "doc_id")
 
     chunks = asked(open_.where("NOT large")).mapInArrow(_bytes_of(width), "anchor long, body long, bytes binary")
-    by_sorting = chunks.dropDuplicates(["anchor", "body"]).repartition("anchor").sortWithinPartitions("anchor").mapInPandas(_sorted_spans(width), _SPANS)
+    by_sorting = chunks.dropDuplicates(["anchor", "body"]).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(width), _SPANS)
     strings = settled(asked(open_.where("large")).mapInArrow(_string_rows(width), "anchor long, hash long, body long, off int"), "suffix-strings")
     twice = strings.groupBy("anchor", "hash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("anchor", "hash")
     by_counting = strings.join(twice, ["anchor", "hash"]).groupBy("anchor", "body").agg(F.transform(F.sort_array(F.collect_set("off")), lambda o: F.struct(o.alias("a"), (o + width).alias("b"))).alias("rel"))
