@@ -31,6 +31,10 @@ from .common import settled
 _END = ""
 
 
+#: Anything but ASCII, composed Latin-1 letters, dashes and quotation marks.
+_LATIN = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0131\u2012-\u2015\u2018-\u201f]"
+
+
 @functools.cache
 def _unicode_tables() -> dict:
     """single/to: one code point to one; many: one to several; marks: composition by mark; stable: a regex class."""
@@ -84,12 +88,16 @@ def normalised(text: Column) -> Column:
 
     x = F.aggregate(table, F.concat(x, F.lit(_END)), lambda acc, r: F.when(F.contains(acc, r["m"]), F.array_join(F.transform(F.split(acc, r["m"]), lambda p: compose(p, r)), "")).otherwise(acc))
     x = F.regexp_replace(x, _END + "$", "")
-    return F.when(text.rlike(t["stable"]), x).otherwise(text)
+    # most texts are decided by the short class, whose code points are all composed and stable
+    return F.when(text.rlike(_LATIN), F.when(text.rlike(t["stable"]), x).otherwise(text)).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
+    """The canonical form; ASCII texts, which all but case and white space leave alone, take the short way."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
     folded = F.replace(F.lower(F.upper(normalised(text))), F.lit("ß"), F.lit("ss"))
-    return F.trim(F.regexp_replace(folded, r"(?U)\s+", " "))
+    # only runs and white space other than a single space change
+    return F.trim(F.when(ascii_, F.regexp_replace(F.lower(text), r"[\t-\r]\s*| \s+", " ")).otherwise(F.regexp_replace(folded, r"(?U)[\s&&[^ ]]\s*| \s+", " ")))
 
 
 def digest(canon: Column) -> Column:
@@ -104,9 +112,11 @@ def _bounds(docs: DataFrame, blocks: int) -> list[int]:
     return sorted({got[0], *(got[1] or [])}) if got[0] is not None else [0]
 
 
-def with_next(docs: DataFrame, blocks: int) -> DataFrame:
+def with_next(docs: DataFrame, blocks: int, also: dict[str, Column] | None = None) -> DataFrame:
     """Each row with __next: the text of the next document, ascending doc_id; after the last the first.
 
+    also: columns that are computed once a row after the shuffle and looked up likewise, as __next_<name>.
+
     One shuffle by block; the first row of a block is also sent to the block before it."""
     starts = _bounds(docs, blocks)
     step = max(1, int(len(starts) ** 0.5))
@@ -121,8 +131,15 @@ def with_next(docs: DataFrame, blocks: int) -> DataFrame:
                      .when(F.col("doc_id") == starts[0], F.array(copy(F.col("__block"), False, False), copy(F.lit(len(starts) - 1), True, True)))
                      .otherwise(F.array(copy(F.col("__block"), False, False), copy(F.col("__block") - 1, True, False))))
     b = b.select(*docs.columns, F.explode("__copies").alias("__at"))
+    also = also or {}
+    b = b.repartition("__at.block").withColumns(also) if also else b
     order = Window.partitionBy("__at.block").orderBy("__at.wrap", F.col("doc_id").asc_nulls_last(), "text")
-    return b.withColumn("__next", F.lead("text").over(order)).where(~F.col("__at.ghost")).drop("__at")
+    return b.withColumns({"__next": F.lead("text").over(order), **{f"__next_{c}": F.lead(c).over(order) for c in also}}).where(~F.col("__at.ghost")).drop("__at")
+
+
+def _same(fingerprint: str, text: str) -> Column:
+    equal = F.when(F.col("fingerprint") == F.col(fingerprint), canonical(F.col("text")) == canonical(F.col(text)))
+    return F.coalesce(equal, F.lit(False)).cast("double")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -131,11 +148,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     judged = (
-        with_next(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+        with_next(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), {"fingerprint": digest(canonical(F.col("text")))})
         .withColumn("__half", half).withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("__edited", F.concat(F.expr("left(text, cast(n_chars as int) - __half)"), F.expr("left(__next, __half)")))
-        .select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), canonical(F.col("text")).alias("__c"), canonical(F.col("__edited")).alias("__e"), canonical(F.col("__next")).alias("__n"))
-        .select("doc_id", "n_chars", "edited_sha256", digest(F.col("__c")).alias("fingerprint"), digest(F.col("__e")).alias("edited_fingerprint"), (F.col("__c") == F.col("__e")).cast("double").alias("near_edited"), (F.col("__c") == F.col("__n")).cast("double").alias("near_next"))
+        .withColumn("edited_fingerprint", digest(canonical(F.col("__edited"))))
+        # equal digests are compared by their bytes, which are made again only then
+        .select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", _same("edited_fingerprint", "__edited").alias("near_edited"), _same("__next_fingerprint", "__next").alias("near_next"))
     )
     judged = settled(judged, "fingerprints")
     ranks = collisions(rows, judged.select("doc_id", "fingerprint"))
