@@ -72,6 +72,6 @@ def op8(spark, sf_dir):
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
-@_register("op4_suffix_array_dedup")
+@_register("op4_suffix_array_dedup", suffix_dedup.ORACLE)
 def op4(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))

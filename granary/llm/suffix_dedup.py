@@ -380,3 +380,17 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return dedup(docs, width).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 199)) AS p FROM h WHERE length(x) >= 400)),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+i AS (SELECT doc_id, p, sum(n) OVER (PARTITION BY doc_id ORDER BY p) AS g
+      FROM (SELECT doc_id, p, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 1 ELSE 0 END AS n FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM i GROUP BY doc_id, g),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM s)
+SELECT h.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(sum(b - a), 0)::BIGINT AS n_removed, count(a) AS n_spans,
+       sha256(unhex(coalesce(string_agg(substr(x, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a), '') || substr(x, 2 * coalesce(max(b), 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN e ON h.doc_id = e.doc_id GROUP BY h.doc_id, x
+"""
