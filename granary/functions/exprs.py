@@ -112,3 +112,13 @@ def snake_columns(df: DataFrame, runs_of: str = r"\W+") -> DataFrame:
     import re
 
     return df.toDF(*(re.sub(runs_of, "_", c).strip("_").lower() for c in df.columns))
+
+
+def where_eq(df: DataFrame, column: str, value) -> DataFrame:
+    """Case-sensitive equality."""
+    return df.where(F.col(column) == F.lit(value))
+
+
+def top_k(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of a full order: one heap a partition, then one merge."""
+    return df.orderBy(*order).limit(n)

@@ -91,3 +91,8 @@ def release_gate(profiled: DataFrame, validation: DataFrame, audit: DataFrame) -
     b = validation.agg(F.count_if(~F.col("validation_status").isin("PASS", "NO_DATA")).alias("not_passed"))
     c = audit.agg(F.count_if(F.col("status") == "FAILURE").alias("failures"))
     return a.join(b).join(c).withColumn("open", (F.col("critical") == 0) & (F.col("not_passed") == 0) & (F.col("failures") == 0))
+
+
+def flag_list(profiled: DataFrame, flag: str) -> DataFrame:
+    """Columns with a flag, worst first."""
+    return flagged(profiled, flag).orderBy(F.desc("null_pct"), "table_name", "column_name")
