@@ -26,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, pieces, scratch, settled, signed, small_batches, sliding_min, words_of
-from .line_dedup import Cuckoo, filled
+from .common import Rolling, flat, pieces, scratch, settled, signed, sliding_min, small_batches, words_of
+from .filters import key_filter, passing
 
 WIDTH, GRAM = 20, 5
-#: The most bytes of filters of document ids that are sent to all tasks; beyond it every text is shuffled.
-FILTER_BYTES = 32 << 20
 _RUN = "anchor long, words long, doc_id long, start int, n int"
 
 
@@ -99,11 +97,14 @@ class SubstringIndex:
         """Adds docs to the log; (doc_id, spans): of each document of the batch its words' lost stretches.
 
         history: the documents of earlier batches, whose texts settle stretches that repeat in part."""
-        batch, log = self.append(docs), self.read()
+        earlier = list(self.runs)
+        log = self.append(docs).withColumn("fresh", F.lit(True))
+        if earlier:
+            log = self.spark.read.schema(_RUN).parquet(*earlier).withColumn("fresh", F.lit(False)).unionByName(log)
         width = self.width
-        # within one document the same stretch at the same place is one row (repeated rows of a document)
-        often = log.groupBy("anchor").agg(F.min(F.struct("doc_id", "start")).alias("lo"), F.max(F.struct("doc_id", "start")).alias("hi")).where("lo <> hi").select("anchor")
-        met = settled(log.join(often, "anchor"), "substring-met")
+        often = settled(log.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"), "substring-often")
+        known = key_filter(often, "anchor")
+        met = settled((log if known is None else passing(log, known, "anchor")).join(often, "anchor"), "substring-met")
         whole = settled(met.groupBy("anchor", "words").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "substring-whole")
         # anchors over stretches that differ: their windows are compared one by one, those of each stretch's first place standing for all
         kinds = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -117,7 +118,7 @@ class SubstringIndex:
         hits = hashed.join(earliest, ["anchor", "hash"]).where(~((F.col("doc_id") == F.col("e_doc")) & (F.col("start") + F.col("off") == F.col("e_at"))))
         offsets = hits.groupBy("anchor", "words").agg(F.sort_array(F.collect_set("off")).alias("offs"))
         judged = whole.join(offsets, ["anchor", "words"], "left").where("copies > 1 OR offs IS NOT NULL").select("anchor", "words", "first", "offs")
-        mine = batch.join(judged, ["anchor", "words"])
+        mine = met.where("fresh").drop("fresh").join(judged, ["anchor", "words"])
         is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
         spans = mine.select("doc_id", F.when(~is_first, F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("b")))).otherwise(F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + width).alias("b")))).alias("s")).where("s IS NOT NULL")
         return spans.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("s"))).alias("spans"))
@@ -125,63 +126,20 @@ class SubstringIndex:
     def _near(self, texts: DataFrame, side: DataFrame) -> DataFrame:
         """texts joined with side on doc_id; texts that a filter of side's ids doesn't know are not shuffled."""
         side = settled(side, "substring-side")
-        known = id_filter(side)
-        if known is not None:
-            texts = texts.mapInArrow(_filtered(known, True), texts.schema)
-        return texts.join(side, "doc_id")
+        known = key_filter(side, "doc_id")
+        return (texts if known is None else passing(texts, known, "doc_id")).join(side, "doc_id")
 
     def dedup(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
         side = settled(self.lost(docs, history), "substring-lost")
-        known = id_filter(side)
+        known = key_filter(side, "doc_id")
         if known is None:
             return docs.join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
-        hit = docs.mapInArrow(_filtered(known, True), docs.schema).join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
-        rest = docs.mapInArrow(_filtered(known, False), docs.schema).withColumn("spans", F.lit(None).cast(side.schema["spans"].dataType))
+        hit = passing(docs, known, "doc_id").join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
+        rest = passing(docs, known, "doc_id", hits=False).withColumn("spans", F.lit(None).cast(side.schema["spans"].dataType))
         return hit.unionByName(rest.mapInArrow(_kept, _KEPT))
 
 
-def id_filter(side: DataFrame):
-    """A broadcast cuckoo filter of side's doc_ids, or None if it could pass FILTER_BYTES."""
-    n = side.count()
-    if n * 8 > FILTER_BYTES:
-        return None
-    shards = max(1, -(-n // (1 << 16)))
-
-    def build(part):
-        import pandas as pd
-
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "filter": [filled(part["h"].to_numpy().view(np.uint64)).blob()]})
-
-    h = F.xxhash64("doc_id")
-    rows = side.where("doc_id IS NOT NULL").select(h.alias("h"), F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(shards)).cast("int").alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
-    blobs = {r["shard"]: bytes(r["filter"]) for r in rows.collect()}
-    return side.sparkSession.sparkContext.broadcast([blobs.get(i, Cuckoo(1).blob()) for i in range(shards)]), shards
-
-
-def _filtered(known, hits: bool):
-    filters, shards = known
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        held = [Cuckoo(blob=b) for b in filters.value]
-        for batch in batches:
-            ids = batch["doc_id"].to_pylist()
-            hit = np.zeros(len(ids), bool)
-            live = [i for i, d in enumerate(ids) if d is not None]
-            raw = [int(ids[i]).to_bytes(8, "little", signed=True) for i in live]
-            keys = np.array([xxhash.xxh64_intdigest(r, 42) for r in raw], np.uint64)
-            seed = xxhash.xxh64_intdigest((1).to_bytes(4, "little"), 42)
-            shard = np.array([int(np.uint64(xxhash.xxh64_intdigest(r, seed)).astype(np.int64)) % shards for r in raw], np.int64)
-            for s in np.unique(shard):
-                at = np.flatnonzero(shard == s)
-                hit[np.array(live)[at]] = held[s].holds(keys[at])
-            yield batch.filter(pa.array(hit if hits else ~hit))
-
-    return run
-
-
 def _window_rows(width: int):
     """Of each asked stretch one row for each of its windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

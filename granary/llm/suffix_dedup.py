@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, flat, pieces, settled, signed, sliding_min, small_batches
-from .substring_dedup import _filtered, id_filter
+from .filters import key_filter, passing
 
 WIDTH, GRAM, MOST, CHUNK = 200, 32, 64, 3000
 
@@ -343,15 +343,18 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): sorted byte spans under repeated strings; they may touch and overlap. docs: doc_id, text."""
     anchors = small_batches(docs).mapInArrow(_stretch_rows(width, True), "anchor long")
     often = anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    met = settled(docs.mapInArrow(_stretch_rows(width, False), _STRETCH).join(often, "anchor"), "suffix-met")
+    often = settled(often, "suffix-often")
+    known = key_filter(often, "anchor")
+    rows = docs.mapInArrow(_stretch_rows(width, False), _STRETCH)
+    met = settled((rows if known is None else passing(rows, known, "anchor")).join(often, "anchor"), "suffix-met")
     whole = settled(met.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "suffix-whole")
     kinds = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_ = settled(whole.join(kinds, "anchor").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "anchor", "body", (F.col("kinds") > MOST).alias("large")), "suffix-open")
 
     def asked(rows: DataFrame) -> DataFrame:
         side = settled(rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n", "anchor", "body"))).alias("asked")), "suffix-asked")
-        known = id_filter(side)
-        return (docs.mapInArrow(_filtered(known, True), docs.schema) if known is not None else docs).join(side, "doc_id")
+        known = key_filter(side, "doc_id")
+        return (docs if known is None else passing(docs, known, "doc_id")).join(side, "doc_id")
 
     chunks = asked(open_.where("NOT large")).mapInArrow(_bytes_of(width), "anchor long, body long, bytes binary")
     by_sorting = chunks.dropDuplicates(["anchor", "body"]).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(width), _SPANS)
@@ -369,11 +372,11 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     side = settled(repeated_spans(rows, width), "suffix-spans")
-    known = id_filter(side)
+    known = key_filter(side, "doc_id")
     if known is None:
         return rows.join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
-    hit = rows.mapInArrow(_filtered(known, True), rows.schema).join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
-    rest = rows.mapInArrow(_filtered(known, False), rows.schema).withColumn("spans", F.lit(None).cast(side.schema["spans"].dataType))
+    hit = passing(rows, known, "doc_id").join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)
+    rest = passing(rows, known, "doc_id", hits=False).withColumn("spans", F.lit(None).cast(side.schema["spans"].dataType))
     return hit.unionByName(rest.mapInArrow(_kept, _KEPT))
 
 
