@@ -117,7 +117,7 @@ class SubstringIndex:
         # a window of a stretch's first place is lost if it starts earlier elsewhere: (anchor, words) -> offsets
         hits = hashed.join(earliest, ["anchor", "hash"]).where(~((F.col("doc_id") == F.col("e_doc")) & (F.col("start") + F.col("off") == F.col("e_at"))))
         offsets = hits.groupBy("anchor", "words").agg(F.sort_array(F.collect_set("off")).alias("offs"))
-        judged = whole.join(offsets, ["anchor", "words"], "left").where("copies > 1 OR offs IS NOT NULL").select("anchor", "words", "first", "offs")
+        judged = settled(whole.join(offsets, ["anchor", "words"], "left").where("copies > 1 OR offs IS NOT NULL").select("anchor", "words", "first", "offs"), "substring-judged")
         mine = met.where("fresh").drop("fresh").join(judged, ["anchor", "words"])
         is_first = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))
         spans = mine.select("doc_id", F.when(~is_first, F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + width - 1).alias("b")))).otherwise(F.transform("offs", lambda o: F.struct((F.col("start") + o).alias("a"), (F.col("start") + o + width).alias("b")))).alias("s")).where("s IS NOT NULL")

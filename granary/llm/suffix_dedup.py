@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, flat, pieces, settled, signed, sliding_min, small_batches
 from .filters import key_filter, passing
 
-WIDTH, GRAM, MOST, CHUNK = 200, 32, 64, 3000
+WIDTH, GRAM, MOST, CHUNK, BLOCK = 200, 32, 64, 3000, 8
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -177,15 +177,28 @@ def _bytes_of(width: int):
 
 
 def _string_rows(width: int):
-    """(anchor, hash, body, off) of each string of each asked stretch."""
+    """(anchor, hash, body, off, block, first, last) of each string of each asked stretch.
+
+    A block is up to BLOCK neighbouring strings at the same distance from the anchor, by the hash of all its bytes; first and
+    last are its strings' offsets in the stretch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             buf, anchor, body, first, n = _asked(batch)
+            raw = buf.tobytes()
+            place = np.array([_place(raw[a : a + k + width - 1], width) for a, k in zip(first.tolist(), n.tolist(), strict=True)], np.int64)
             of = np.repeat(np.arange(len(n)), n)
             off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            roll = Rolling(buf, 9)
             at = np.minimum(first[of] + off, max(0, len(buf) - width))
+            block = (place[of] - off) // BLOCK
+            new = np.ones(len(off), bool)
+            new[1:] = (of[1:] != of[:-1]) | (block[1:] != block[:-1])
+            begin = np.flatnonzero(new)
+            end = np.append(begin[1:], len(off)) - 1
+            own = np.cumsum(new) - 1
+            whole = roll.of(at[begin], at[end] + width) if len(begin) else np.zeros(0, np.uint64)
             take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([anchor.take(take), signed(Rolling(buf, 9).of(at, at + width)), body.take(take), pa.array(off.astype(np.int32))], ["anchor", "hash", "body", "off"])
+            yield pa.RecordBatch.from_arrays([anchor.take(take), signed(roll.of(at, at + width)), body.take(take), pa.array(off.astype(np.int32)), signed(whole[own]), pa.array(off[begin][own].astype(np.int32)), pa.array(off[end][own].astype(np.int32))], ["anchor", "hash", "body", "off", "block", "first", "last"])
 
     return run
 
@@ -358,13 +371,19 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     chunks = asked(open_.where("NOT large")).mapInArrow(_bytes_of(width), "anchor long, body long, bytes binary")
     by_sorting = chunks.dropDuplicates(["anchor", "body"]).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(width), _SPANS)
-    strings = settled(asked(open_.where("large")).mapInArrow(_string_rows(width), "anchor long, hash long, body long, off int"), "suffix-strings")
+    strings = settled(asked(open_.where("large")).mapInArrow(_string_rows(width), "anchor long, hash long, body long, off int, block long, first int, last int"), "suffix-strings")
+    span = lambda a, b: F.struct(a.cast("int").alias("a"), (b + width).cast("int").alias("b"))
+    # blocks that repeat as a whole are one row each; only strings of other blocks are looked up one by one
+    blocks = strings.where("off = first").select("anchor", "block", "body", "first", "last")
+    same = settled(blocks.groupBy("anchor", "block").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("anchor", "block"), "suffix-blocks")
     twice = strings.groupBy("anchor", "hash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("anchor", "hash")
-    by_counting = strings.join(twice, ["anchor", "hash"]).groupBy("anchor", "body").agg(F.transform(F.sort_array(F.collect_set("off")), lambda o: F.struct(o.alias("a"), (o + width).alias("b"))).alias("rel"))
+    rest = strings.join(same, ["anchor", "block"], "left_anti").join(settled(twice, "suffix-twice"), ["anchor", "hash"]).select("anchor", "body", span(F.col("off"), F.col("off")).alias("s"))
+    by_block = blocks.join(same, ["anchor", "block"]).select("anchor", "body", span(F.col("first"), F.col("last")).alias("s"))
+    by_counting = by_block.unionByName(rest).groupBy("anchor", "body").agg(F.sort_array(F.collect_set("s")).alias("rel"))
     rel = settled(by_sorting.unionByName(by_counting), "suffix-rel")
     judged = whole.join(rel, ["anchor", "body"], "left").where("copies > 1 OR rel IS NOT NULL")
     judged = judged.select("anchor", "body", F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + width - 1).alias("b")))).otherwise(F.col("rel")).alias("rel"))
-    spans = met.join(judged, ["anchor", "body"]).select("doc_id", F.transform("rel", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("s"))
+    spans = met.join(settled(judged, "suffix-judged"), ["anchor", "body"]).select("doc_id", F.transform("rel", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("s"))
     return spans.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("s"))).alias("spans"))
 
 
