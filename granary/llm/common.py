@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the package to the Python workers, once a Spark context, so that they need no installed copy."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if getattr(sc, "_granary_shipped", False) or not root.is_dir():
+        return
+    archive = Path(tempfile.mkdtemp(prefix="granary-code-"), "granary_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._granary_shipped = True
+
+
 def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """Lets Spark send at most so many texts to a Python worker at once: the default is sized for short rows."""
+    ship(df.sparkSession)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     spark = df.sparkSession
     if not 0 < int(spark.conf.get(key, "10000")) <= rows:
