@@ -36,3 +36,25 @@ def test_mixture_keeps_all_rows_and_weights(spark):
         had[owner.get(t)] += 1
         assert all(abs(had[s] * 100 - shares[s] * (t + 1)) < 100 for s in ("big", "mid", "small"))
     assert M.mix(df.where("false")).count() == 0
+
+
+def test_deviation_from_stated_weights_stays_below_one_block(spark):
+    for weights in ({"big": 0.5, **{f"s{i:02}": 0.5 / 19 for i in range(19)}}, {"a": 1, "b": 1, "c": 1}, {"x": 2**0.5, "y": 3**0.5, "z": 0.01}):
+        exact, had = M.parts(weights, 1), Counter()
+        for s, _, slot, release, due in M.schedule(weights, {s: int(6000 * p) + 1 for s, p in exact.items()}):
+            assert release <= slot < due
+            had[s] += 1
+            assert slot >= 5900 or all(abs(had[x] - exact[x] * (slot + 1)) < 1 for x in exact)
+    weights = {"big": 19, **{f"s{i:02}": 1 for i in range(19)}}
+    df = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 2000 THEN 'big' ELSE concat('s', lpad(CAST(id % 19 AS STRING), 2, '0')) END AS source")
+    got = M.mix(df, weights, block_rows=1).collect()
+    assert len(got) == 4000 == len({r.mix_slot for r in got})
+    for t in (1000, 2000, 3000):
+        assert abs(sum(r.source == "big" and r.mix_slot < t for r in got) - t / 2) < 1
+
+
+def test_sources_of_weight_zero_follow_and_a_short_source_ends():
+    rows = list(M.schedule({"a": 1, "b": 3, "z": 0}, {"a": 5, "b": 2, "z": 3}))
+    assert Counter(s for s, *_ in rows) == {"a": 5, "b": 2, "z": 3}
+    assert all(release <= slot < due for _, _, slot, release, due in rows) and len({r[2] for r in rows}) == 10
+    assert min(r[2] for r in rows if r[0] == "z") > max(r[2] for r in rows if r[0] != "z")
