@@ -10,8 +10,8 @@ points which normalisation leaves alone skip them. Limits: conjoining Hangul jam
 written, and marks are reordered between the classes 202, 216, 220 and above.
 
 Null texts are empty texts. Repeated rows of one doc_id are ordered by text and each gets its
-row; a null doc_id sorts last. One row alone is its own next document; an empty table
-gives no rows. Extra columns are ignored; names starting with two underscores are reserved.
+row; null doc_ids sort last, and the last row is followed by the first even where no row has an id. One row
+alone is its own next document; an empty table gives no rows. Extra columns are ignored; names starting with two underscores are reserved.
 """
 
 from __future__ import annotations
@@ -27,14 +27,21 @@ from pyspark.sql import functions as F
 
 from .common import settled
 
-#: A private code point that ends a text while marks are composed.
-_END = ""
-
-
 #: Anything but ASCII, composed Latin-1 letters, dashes and quotation marks.
 _LATIN = r"[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u0131\u2012-\u2015\u2018-\u201f]"
 
 
+def _regex_class(points: list[int]) -> str:
+    """A regex class of these ascending code points, neighbours as ranges."""
+    runs: list[list[int]] = []
+    for p in points:
+        if runs and p == runs[-1][1] + 1:
+            runs[-1][1] = p
+        else:
+            runs.append([p, p])
+    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+
+
 @functools.cache
 def _unicode_tables() -> dict:
     """single/to: one code point to one; many: one to several; marks: composition by mark; stable: a regex class."""
@@ -54,18 +61,22 @@ def _unicode_tables() -> dict:
             unstable.add(ord(mark))
         if unicodedata.combining(c):
             unstable.add(cp)
-    marks = [{"m": m, "b": "".join(b for b, _ in p), "c": "".join(c for _, c in p)} for m, p in sorted(pairs.items(), key=lambda x: (unicodedata.combining(x[0]), x[0]))]
+    by_class_of = lambda x: (unicodedata.combining(x[0]), x[0])
+    marks = [{"m": m, "p": [{"x": b + m, "c": c} for b, c in p]} for m, p in sorted(pairs.items(), key=by_class_of)]
     spans, start = [], 0
     for cp in [*sorted(x for x in unstable if x < 0x10000), 0x10000]:
         if cp - start >= 48 or start == 0:
             spans.append((start, cp - 1))
         start = cp + 1
     stable = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans if b >= a and not (a <= 0xD800 <= b)) + "À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž«»¡¿§©®°±¶·“”‘’–—"
-    by_class = {}
+    by_class: dict[int, list[int]] = {}
     for cp in range(0x300, 0x10000):
         if k := unicodedata.combining(chr(cp)):
-            by_class.setdefault(k, []).append(f"\\u{cp:04x}")
-    swaps = [(f"([{''.join(x for k, v in by_class.items() if k > low for x in v)}]+)([{''.join(by_class[low])}]+)", "$2$1") for low in (202, 216, 220)]
+            by_class.setdefault(k, []).append(cp)
+    swaps = []
+    for low in (202, 216, 220):
+        above = _regex_class(sorted(x for k, v in by_class.items() if k > low for x in v))
+        swaps.append((f"({above}+)({_regex_class(by_class[low])}+)", "$2$1"))
     return {"single": single, "many": many, "marks": marks, "stable": f"[^{stable}]", "swaps": swaps}
 
 
@@ -74,20 +85,18 @@ def normalised(text: Column) -> Column:
     t = _unicode_tables()
     x = F.translate(text, "".join(t["single"]), "".join(t["single"].values()))
     several = F.from_json(F.lit(json.dumps(t["many"])), "map<string,string>")
-    has = x.rlike("[" + "".join(re.escape(c) for c in t["many"]) + "]")
-    x = F.when(has, F.array_join(F.transform(F.split(x, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(several, c), c))), "")).otherwise(x)
-    for _ in range(2):
-        for pattern, to in t["swaps"]:
-            x = F.regexp_replace(x, pattern, to)
-    table = F.from_json(F.lit(json.dumps(t["marks"] * 3)), "array<struct<m:string,b:string,c:string>>")
-
-    def compose(p: Column, r: Column) -> Column:
-        last = F.right(p, F.lit(1))
-        made = F.call_function("translate", last, r["b"], r["c"])
-        return F.when(last == _END, p).when((p != "") & (F.instr(r["b"], last) > 0), F.concat(F.call_function("left", p, F.char_length(p) - 1), made)).otherwise(F.concat(p, r["m"]))
-
-    x = F.aggregate(table, F.concat(x, F.lit(_END)), lambda acc, r: F.when(F.contains(acc, r["m"]), F.array_join(F.transform(F.split(acc, r["m"]), lambda p: compose(p, r)), "")).otherwise(acc))
-    x = F.regexp_replace(x, _END + "$", "")
+    # taking out the code points that several replace tells whether there are any
+    has = F.octet_length(F.translate(x, "".join(t["many"]), "")) < F.octet_length(x)
+    each = lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(several, c), c))
+    x = F.when(has, F.array_join(F.transform(F.split(x, ""), each), "")).otherwise(x)
+    ordered = x
+    for pattern, to in t["swaps"] * 2:
+        ordered = F.regexp_replace(ordered, pattern, to)
+    x = F.when(x.rlike(r"\p{M}\p{M}"), ordered).otherwise(x)
+    # marks that a text holds meet their bases, three marks deep
+    table = F.from_json(F.lit(json.dumps(t["marks"] * 3)), "array<struct<m:string,p:array<struct<x:string,c:string>>>>")
+    joined = lambda acc, r: F.aggregate(r["p"], acc, lambda a, q: F.replace(a, q["x"], q["c"]))
+    x = F.aggregate(table, x, lambda acc, r: F.when(F.contains(acc, r["m"]), joined(acc, r)).otherwise(acc))
     # most texts are decided by the short class, whose code points are all composed and stable
     return F.when(text.rlike(_LATIN), F.when(text.rlike(t["stable"]), x).otherwise(text)).otherwise(text)
 
@@ -109,32 +118,52 @@ def digest(canon: Column) -> Column:
 def _bounds(docs: DataFrame, blocks: int) -> list[int]:
     """First doc_id of each of about `blocks` equal blocks: a list as long as asked, whatever the table's size."""
     got = docs.agg(F.min("doc_id"), F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)] or [0.5], 100 * blocks)).first()
-    return sorted({got[0], *(got[1] or [])}) if got[0] is not None else [0]
+    return sorted({got[0], *(got[1] or [])}) if got[0] is not None else []
 
 
-def with_next(docs: DataFrame, blocks: int, also: dict[str, Column] | None = None) -> DataFrame:
+def with_next(docs: DataFrame, blocks: int, also: dict[str, Column] | None = None, marked: DataFrame | None = None) -> DataFrame:
     """Each row with __next: the text of the next document, ascending doc_id; after the last the first.
 
     also: columns that are computed once a row after the shuffle and looked up likewise, as __next_<name>.
+    marked: distinct doc_ids, dealt out like the texts; __marked tells whether a row's doc_id is one of them.
 
-    One shuffle by block; the first row of a block is also sent to the block before it."""
+    One shuffle by block; the first row of a block is also sent to the block before it. Without any
+    doc_id all rows are one block, whose first row follows its last."""
+    also = also or {}
     starts = _bounds(docs, blocks)
     step = max(1, int(len(starts) ** 0.5))
-    lits = lambda x: F.array(*(F.lit(b).cast("long") for b in x))
+    lits = lambda x: F.array(*(F.lit(b) for b in x)).cast("array<bigint>")
     coarse = F.size(F.filter(lits(starts[::step]), lambda b: b <= F.col("doc_id"))) - 1
-    fine = F.size(F.filter(F.slice(lits(starts), F.greatest(coarse, F.lit(0)) * step + 1, step), lambda b: b <= F.col("doc_id"))) - 1
-    block = F.when(F.col("doc_id").isNull(), F.lit(len(starts) - 1)).otherwise(F.greatest(F.lit(0), coarse * step + fine))
-    copy = lambda block, ghost, wrap: F.struct(block.cast("int").alias("block"), F.lit(ghost).alias("ghost"), F.lit(wrap).alias("wrap"))
+    within = F.slice(lits(starts), F.greatest(coarse, F.lit(0)) * step + 1, step)
+    fine = F.size(F.filter(within, lambda b: b <= F.col("doc_id"))) - 1
+    last = F.lit(max(0, len(starts) - 1))
+    block = F.when(F.col("doc_id").isNull(), last).otherwise(F.greatest(F.lit(0), coarse * step + fine))
+
+    def copy(block: Column, ghost: bool, wrap: bool, mark: bool = False) -> Column:
+        return F.struct(block.cast("int").alias("block"), F.lit(ghost).alias("ghost"), F.lit(wrap).alias("wrap"), F.lit(mark).alias("mark"))
+
     b = docs.withColumn("__block", block)
-    first = F.array_contains(lits(starts), F.coalesce(F.col("doc_id"), F.lit(0))) & F.col("doc_id").isNotNull()
-    b = b.withColumn("__copies", F.when(~first, F.array(copy(F.col("__block"), False, False)))
-                     .when(F.col("doc_id") == starts[0], F.array(copy(F.col("__block"), False, False), copy(F.lit(len(starts) - 1), True, True)))
-                     .otherwise(F.array(copy(F.col("__block"), False, False), copy(F.col("__block") - 1, True, False))))
-    b = b.select(*docs.columns, F.explode("__copies").alias("__at"))
-    also = also or {}
-    b = b.repartition("__at.block").withColumns(also) if also else b
-    order = Window.partitionBy("__at.block").orderBy("__at.wrap", F.col("doc_id").asc_nulls_last(), "text")
-    return b.withColumns({"__next": F.lead("text").over(order), **{f"__next_{c}": F.lead(c).over(order) for c in also}}).where(~F.col("__at.ghost")).drop("__at")
+    own = copy(F.col("__block"), False, False)
+    first = F.col("doc_id").isNotNull() & F.array_contains(lits(starts), F.coalesce(F.col("doc_id"), F.lit(0)))
+    copies = (
+        F.when(~first, F.array(own))
+        .when(F.col("doc_id") == (starts[0] if starts else None), F.array(own, copy(last, True, True)))
+        .otherwise(F.array(own, copy(F.col("__block") - 1, True, False)))
+    )
+    b = b.select(*docs.columns, F.explode(copies).alias("__at"))
+    if marked is not None:
+        none = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema.fields if f.name != "doc_id"]
+        b = b.unionByName(marked.select("doc_id", *none, copy(block, False, False, True).alias("__at")))
+    b = b.repartition("__at.block").withColumns(also)
+    order = Window.partitionBy("__at.block").orderBy("__at.wrap", F.col("doc_id").asc_nulls_last(), F.desc("__at.mark"), "text")
+    # at most one mark stands before the next document's text
+    ahead = order.rowsBetween(1, 2)
+    wrapped = lambda c: F.first(c, ignorenulls=True).over(order) if not starts else F.lit(None)
+    ahead_of = lambda c: F.coalesce(F.first(c, ignorenulls=True).over(ahead), wrapped(c))
+    looked = {"__next": ahead_of("text"), **{f"__next_{c}": ahead_of(c) for c in also}}
+    mark = F.last(F.when(F.col("__at.mark"), F.struct("doc_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    looked["__marked"] = mark.isNotNull() & mark["doc_id"].eqNullSafe(F.col("doc_id")) & ~F.col("__at.wrap")
+    return b.withColumns(looked).where(~F.col("__at.ghost") & ~F.col("__at.mark")).drop("__at")
 
 
 def _same(fingerprint: str, text: str) -> Column:
@@ -143,38 +172,46 @@ def _same(fingerprint: str, text: str) -> Column:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+
+    Texts are shuffled once. Which fingerprints two rows share is known before, from a table of digests alone, so
+    that pass also writes the canonical forms of just those rows, whose bytes are then compared."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    prints = settled(rows.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digests")
+    # written, so that both sides of the join can be split where one fingerprint has very many rows
+    shared = settled(prints.groupBy("fingerprint").agg(F.count("*").alias("__n")).where("__n > 1").select("fingerprint"), "shared-digests")
+    marked = prints.join(shared, "fingerprint", "left_semi").select("doc_id").distinct()
+    own = {"fingerprint": F.when(~F.col("__at.mark"), digest(canonical(F.col("text"))))}
     half = F.floor(F.length("text") / 2).cast("int")
     judged = (
-        with_next(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), {"fingerprint": digest(canonical(F.col("text")))})
+        with_next(rows, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), own, marked)
         .withColumn("__half", half).withColumn("n_chars", F.length("text").cast("long"))
         .withColumn("__edited", F.concat(F.expr("left(text, cast(n_chars as int) - __half)"), F.expr("left(__next, __half)")))
         .withColumn("edited_fingerprint", digest(canonical(F.col("__edited"))))
         # equal digests are compared by their bytes, which are made again only then
-        .select("doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", _same("edited_fingerprint", "__edited").alias("near_edited"), _same("__next_fingerprint", "__next").alias("near_next"))
+        .select(
+            "doc_id", "n_chars", F.sha2("__edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+            _same("edited_fingerprint", "__edited").alias("near_edited"), _same("__next_fingerprint", "__next").alias("near_next"),
+            F.when(F.col("__marked"), canonical(F.col("text"))).alias("__form"),
+        )
     )
     judged = settled(judged, "fingerprints")
-    ranks = collisions(rows, judged.select("doc_id", "fingerprint"))
-    return (
-        judged.join(ranks, ["doc_id", "fingerprint"], "left")
-        .withColumn("fingerprint", F.when(F.col("__rank") > 1, F.concat("fingerprint", F.lit("-"), F.col("__rank"))).otherwise(F.col("fingerprint")))
-        .drop("__rank")
-    )
+    ranks = collisions(judged.where("__form IS NOT NULL").select("fingerprint", "__form"))
+    if ranks is None:
+        return judged.drop("__form")
+    ranked = F.when(F.col("__rank") > 1, F.concat("fingerprint", F.lit("-"), F.col("__rank"))).otherwise(F.col("fingerprint"))
+    return judged.join(ranks, ["fingerprint", "__form"], "left").withColumn("fingerprint", ranked).drop("__rank", "__form").select(*judged.drop("__form").columns)
 
 
-def collisions(rows: DataFrame, prints: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, __rank) of documents in buckets that hold different canonical forms."""
-    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("__n")).where("__n > 1").select("fingerprint")
-    members = prints.distinct().join(shared, "fingerprint", "left_semi")
-    forms = rows.join(members, "doc_id").select("doc_id", "fingerprint", canonical(F.col("text")).alias("__c"))
-    mixed = forms.groupBy("fingerprint").agg(F.min("__c").alias("__lo"), F.max("__c").alias("__hi")).where("__lo <> __hi").select("fingerprint")
+def collisions(forms: DataFrame) -> DataFrame | None:
+    """(fingerprint, __form, __rank) of fingerprints that different canonical forms share, or None if there are none."""
+    mixed = forms.groupBy("fingerprint").agg(F.min("__form").alias("__lo"), F.max("__form").alias("__hi")).where("__lo <> __hi").select("fingerprint")
     mixed = settled(mixed, "fingerprint-collisions")
     if mixed.isEmpty():
-        return prints.where("false").withColumn("__rank", F.lit(1))
-    order = Window.partitionBy("fingerprint").orderBy("__c")
-    return forms.join(mixed, "fingerprint", "left_semi").withColumn("__rank", F.dense_rank().over(order)).groupBy("doc_id", "fingerprint").agg(F.max("__rank").alias("__rank"))
+        return None
+    order = Window.partitionBy("fingerprint").orderBy("__form")
+    return forms.join(mixed, "fingerprint", "left_semi").distinct().withColumn("__rank", F.dense_rank().over(order))
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:

@@ -39,6 +39,26 @@ def test_edges_against_brute_force(spark):
 
 
 def test_buckets_with_different_bytes_are_split(spark):
-    rows = spark.createDataFrame([(1, "a"), (2, "A"), (3, "b")], "doc_id long, text string")
-    same = rows.select("doc_id", F.lit("0").alias("fingerprint"))
-    assert {(r.doc_id, r["__rank"]) for r in M.collisions(rows, same).collect()} == {(1, 1), (2, 1), (3, 2)}
+    rows = spark.createDataFrame([("0", "a"), ("0", "a"), ("0", "b"), ("1", "c")], "fingerprint string, __form string")
+    assert {tuple(r) for r in M.collisions(rows).select("fingerprint", "__form", "__rank").collect()} == {("0", "a", 1), ("0", "b", 2)}
+    assert M.collisions(rows.where("__form <> 'b'")) is None
+
+
+def test_null_ids_wrap_around(spark):
+    rows = [(None, "b b"), (None, "A long text"), (None, None), (None, "b  B")]
+    for some in (rows, [*rows, (4, "four"), (2, "two"), (2, "FOUR")], rows[:1]):
+        df = spark.createDataFrame(some, "doc_id long, text string")
+        got = M.fingerprints(df).collect()
+        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got], key=str) == brute(some)
+
+
+def test_very_long_texts(spark):
+    rows = [(1, "Ab " * 700_000), (2, "ab  " * 700_000), (3, "é\u0301x" * 60_000), (4, "end")]
+    got = M.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got], key=str) == brute(rows)
+
+
+def test_many_blocks_against_brute_force(spark):
+    rows = [(i * 7 % 501, f"text {i % 40}" * (i % 9)) for i in range(500)] + [(3, "again"), (3, "again")]
+    got = M.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got], key=str) == brute(rows)
