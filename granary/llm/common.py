@@ -6,10 +6,12 @@ their cost is a few numpy passes a batch and not a Python loop a character.
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,22 +26,54 @@ _MULT = 0xD6E8FEB86659FD93
 _INVERSE = pow(_MULT, -1, 1 << 64)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder for one written table, below spark.checkpoint.dir.
+#: This process's part of the shared folder.
+_OWN = uuid.uuid4().hex
+
 
-    Only where that setting is absent (tests, a laptop) a local folder takes its place."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="granary-")
-        spark.conf.set("spark.checkpoint.dir", base) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{base.rstrip('/')}/granary/{name}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = _local_base()
+    return f"{base.rstrip('/')}/granary/{_OWN}"
+
+
+@functools.cache
+def _local_base() -> str:
+    """Where driver and executors are one process (tests, a laptop) and nothing is set."""
+    return tempfile.mkdtemp(prefix="granary-")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for one written table, below spark.checkpoint.dir."""
+    return f"{_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: later steps survive lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing will read again."""
+    for df in tables:
+        if path := getattr(df, "_granary_path", None):
+            remove(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has left in the shared folder; results that are still unread go with it."""
+    remove(spark, _base(spark))
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -51,6 +85,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """own_id, doc_id, text: doc_id is never null (rows without one get a hash of their text from 2^62 on), own_id is as given."""
+    own, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    other = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)
+    return docs.select(own.alias("own_id"), F.coalesce(own, other).alias("doc_id"), text.alias("text"))
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the package to the Python workers, once a Spark context, so that they need no installed copy."""
     sc = spark.sparkContext
@@ -65,13 +106,9 @@ def ship(spark: SparkSession) -> None:
     sc._granary_shipped = True
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Lets Spark send at most so many texts to a Python worker at once: the default is sized for short rows."""
+def shipped(df: DataFrame) -> DataFrame:
+    """df, once Python workers can import the package. Kernels cut Spark's batches into smaller ones by `pieces`."""
     ship(df.sparkSession)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    spark = df.sparkSession
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
     return df
 
 
@@ -172,5 +209,12 @@ def words_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, np.searchsorted(offs, start, "right") - 1
 
 
+def digests(parts: Iterable[bytes]) -> tuple[pa.Array, pa.Array]:
+    """128-bit BLAKE2b of each part, as two columns."""
+    joined = b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in parts])
+    both = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))

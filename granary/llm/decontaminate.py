@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, small_batches
+from .common import Rolling, pieces, shipped
 
 RATE, LEAST, ITEM_BYTES = 0.1, 40, 16 << 20
 _GRAM, _GRAMS = 4, 1 << 13
@@ -143,7 +143,7 @@ def annotate(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int =
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // ITEM_BYTES))
-    out = small_batches(docs).drop(*_ADDED)
+    out = shipped(docs).drop(*_ADDED)
     out = out.withColumns({"leak_items": F.lit(0).cast("long"), "leak_item": F.lit(None).cast("long"), "leak_distance": F.lit(None).cast("int")})
     schema = out.schema
     for block in range(blocks):
@@ -157,16 +157,10 @@ def annotate(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int =
 def _searcher(held: list[tuple[int, bytes]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(held, rate)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             names = batch.schema.names
             texts = [plain(t) for t in batch["text"].to_pylist()]
-            found: list[dict[int, int]] = []
-            start = size = 0
-            for i, t in enumerate(texts):  # about half a MB at once
-                size += len(t)
-                if size >= 1 << 19 or i + 1 == len(texts):
-                    found += items.search(texts[start : i + 1])
-                    start, size = i + 1, 0
+            found = items.search(texts)
             n, best, distance = [], [], []
             for f, n0, b0, d0 in zip(found, *(batch[c].to_pylist() for c in _ADDED), strict=True):
                 per: dict[int, int] = {}

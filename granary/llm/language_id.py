@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, small_batches
+from .common import held_out, pieces, shipped
 from .wordfeatures import Words, chains
 
 PER_LANG, DOC_WORDS, CHAIN = 400, 120, 128
@@ -216,7 +216,7 @@ def _labeller(model):
 
 def label(docs: DataFrame, crf: Crf | None) -> DataFrame:
     """docs with lang_pred and lang_score."""
-    docs = small_batches(docs).drop("lang_pred", "lang_score")
+    docs = shipped(docs).drop("lang_pred", "lang_score")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string", "lang_score double"])
     return docs.mapInArrow(_labeller(docs.sparkSession.sparkContext.broadcast(crf)), schema)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, scratch, settled, small_batches
+from .common import SPACE, pieces, scratch, settled, shipped
 
 LEAST = 10
 #: Keys of one shard's filter, and the most bytes of all filters together that are broadcast.
@@ -131,7 +131,7 @@ def _line_keys(least: int, filters=None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Cuckoo(blob=b) for b in filters.value] if filters is not None else None
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             found, ids = [], []
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 own = {d for d in keys_of(_bytes(text), least)[1] if d}
@@ -155,7 +155,7 @@ _KEY_ROWS = "h1 long, h2 long, doc_id long"
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
 def reference_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -197,7 +197,7 @@ def _dropped(docs: DataFrame, least: int) -> DataFrame:
 
 def _without(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             lists = batch["lost_keys"]
             n_lines, n_dropped, kept_texts = [], [], []
             for text, lost in zip(batch["text"].to_pylist(), lists.to_pylist(), strict=True):

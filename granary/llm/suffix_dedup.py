@@ -4,18 +4,20 @@ Texts are UTF-8 bytes; matches never cross documents, and strings are judged on
 
 Suffixes are sorted in linear time by grouping: `suffix_array` first puts suffixes into groups of equal Lyndon
 prefix, from the greatest group down, by way of pointers to the previous smaller suffix, and then emits
-each group's order in one pass, without renaming or recursion.
-
-Spark deals the work. Neighbouring strings that share the place of their leftmost least 32-byte hash
-(their anchor) form a stretch; equal strings have equal anchors, so only stretches of anchors met more
-than once matter. A stretch whose bytes repeat as a whole is settled by its hash. The different stretches
-of one anchor go to one task, each anchor's bytes once, where their common core becomes a single
-symbol and one suffix array over all stretches of a chunk tells the repeated strings. An anchor over more
-than `MOST` different stretches is not sorted in one task: its strings are hashed one by one and
-counted by Spark, which gives the same strings at any size.
-
-Null texts are empty. Repeated rows are documents like others: what they hold is repeated; where rows of one doc_id differ
-each loses what either would lose. Extra columns are ignored.
+each group's order in one pass, without renaming or recursion. All steps are bucket sorts or single passes.
+
+Spark deals the work. Neighbouring strings that share the place of their leftmost least 32-byte hash (their
+anchor) form a stretch; equal strings have equal anchors and lie equally far from them, so only stretches of
+anchors met more than once matter. Equal stretches are one, told apart by 128-bit BLAKE2b digests of their bytes.
+The different stretches of one anchor form a group. A group of up to `MOST` stretches goes to one task, where their
+common core becomes a single symbol and one suffix array over the groups of a chunk tells the repeated strings.
+The stretches of a larger group are cut by their strings' distance from the anchor, into cells of 64, 16, 4
+and last 1 distances. The bytes that all strings of a cell must share part the group into new, smaller groups, which
+are treated in the same way: whatever a group's size, no task holds more than MOST stretches, and all
+different stretches meet in a suffix array or differ in bytes that they would have to share.
+
+Null texts are empty. Repeated rows are documents like others: what they hold is repeated; where rows of one doc_id
+differ each loses what either would lose. Rows without a doc_id are told apart by a hash of their text. Texts over `SLICE` bytes are read in overlapping slices. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,56 +30,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, flat, pieces, settled, signed, sliding_min, small_batches
+from .common import Rolling, digests, discard, flat, keyed, pieces, settled, shipped, signed, sliding_min
 from .filters import key_filter, passing
 
-WIDTH, GRAM, MOST, CHUNK, BLOCK = 200, 32, 64, 3000, 8
+WIDTH, GRAM, MOST, CHUNK, SLICE = 200, 32, 64, 3000, 4 << 20
+#: Distances of a cell at each cut of a large group, for strings of 200 bytes and less.
+CELLS = (64, 16, 4, 1)
+_INSTANCE = "g long, u long, v long, doc_id long, start int, n int"
 
 
-def suffix_array(s: list[int]) -> list[int]:
-    """Suffix array of s, whose last symbol is less than all others.
+def bucket_order(s: np.ndarray) -> np.ndarray:
+    """Places of s in ascending order, equal symbols in text order: radix sorts of 16 bits."""
+    order = np.argsort((s & 0xFFFF).astype(np.uint16), kind="stable")
+    high = s >> 16
+    while high.any():
+        order = order[np.argsort((high[order] & 0xFFFF).astype(np.uint16), kind="stable")]
+        high = high >> 16
+    return order
+
+
+def suffix_array(symbols: list[int]) -> list[int]:
+    """Suffix array of symbols, whose last one is less than all others.
 
     A group is a range of `order`; group[i] is the first place of suffix i's range."""
+    s = np.asarray(symbols, np.int64)
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
-    place, group = [0] * n, [0] * n
-    size = [0] * n  # of the group that begins at a place
-    begin = 0
-    for k, i in enumerate(order):
-        if s[i] != s[order[begin]]:
-            begin = k
-        place[i], group[i] = k, begin
-        size[begin] += 1
+    by_symbol = bucket_order(s)
+    sorted_ = s[by_symbol]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    begins = np.flatnonzero(new)
+    first_place, widths = begins[np.cumsum(new) - 1], np.zeros(n, np.int64)
+    widths[begins] = np.diff(np.append(begins, n))
+    at, of = np.empty(n, np.int64), np.empty(n, np.int64)
+    at[by_symbol], of[by_symbol] = np.arange(n), first_place
+    order, place, group, size = by_symbol.tolist(), at.tolist(), of.tolist(), widths.tolist()
     smaller = [-2] * n  # the previous smaller suffix; -1: none; -2: not known yet
+    pointing = [0] * n
     end = n
     while end:
         begin = group[order[end - 1]]
-        pointing: dict[int, int] = {}
-        for i in sorted(order[begin:end]) if end - begin > 1 else (order[begin],):
-            p = i - 1
-            while p >= 0 and group[p] >= begin:
-                p = smaller[p]
-            smaller[i] = p
-            if p >= 0:
-                pointing[p] = pointing.get(p, 0) + 1
-        # who is pointed at most often gets the longest prefix: the last part of its group becomes a group
-        if pointing:
-            parts: dict[tuple[int, int], list[int]] = {}
-            for p, times in pointing.items():
-                parts.setdefault((times, group[p]), []).append(p)
-            for times, old in sorted(parts, reverse=True) if len(parts) > 1 else parts:
-                members = parts[times, old]
-                if len(members) == size[old]:
+        pointed: list[int] = []
+        for first in order[begin:end]:
+            if smaller[first] != -2:
+                continue
+            waiting = [first]  # each suffix once: those of the same group that stand before it come first
+            while waiting:
+                i = waiting[-1]
+                p = i - 1
+                while p >= 0 and group[p] >= begin:
+                    if smaller[p] == -2:
+                        break
+                    p = smaller[p]
+                if p >= 0 and group[p] >= begin:
+                    waiting.append(p)
                     continue
-                first = old + size[old] - len(members)
-                k = first + len(members) - 1
-                for p in members:  # swap to the end of the old range
-                    other, at = order[k], place[p]
-                    order[k], order[at], place[p], place[other] = p, other, k, at
-                    group[p] = first
-                    k -= 1
-                size[old] -= len(members)
-                size[first] = len(members)
+                waiting.pop()
+                smaller[i] = p
+                if p >= 0:
+                    if not pointing[p]:
+                        pointed.append(p)
+                    pointing[p] += 1
+        # who is pointed at most often gets the longest prefix: the last part of its group becomes a group
+        if pointed:
+            rounds: list[list[int]] = [[] for _ in range(1 + max(pointing[p] for p in pointed))]
+            for p in pointed:
+                rounds[pointing[p]].append(p)
+                pointing[p] = 0
+            for members in reversed(rounds):
+                parts: dict[int, list[int]] = {}
+                for p in members:
+                    parts.setdefault(group[p], []).append(p)
+                for old, same in parts.items():
+                    if len(same) == size[old]:
+                        continue
+                    head = old + size[old] - len(same)
+                    k = head + len(same) - 1
+                    for p in same:  # swap to the end of the old range
+                        other, spot = order[k], place[p]
+                        order[k], order[spot], place[p], place[other] = p, other, k, spot
+                        group[p] = head
+                        k -= 1
+                    size[old] -= len(same)
+                    size[head] = len(same)
         end = begin
     # each suffix, in order, emits those that end where it begins
     out, fill, done = [-1] * n, list(range(n)), [False] * n
@@ -122,8 +156,7 @@ class Stretches:
     def __init__(self, column, width: int):
         self.buf, self.offs = flat(column)
         gram = min(GRAM, width)
-        self.roll = Rolling(self.buf, 2)
-        grams = self.roll.every(gram)
+        grams = Rolling(self.buf, 2).every(gram)
         least = sliding_min(grams, width - gram + 1)
         rows = len(self.offs) - 1
         count = np.maximum(0, np.diff(self.offs) - width + 1)
@@ -137,68 +170,112 @@ class Stretches:
         self.length = np.diff(np.append(cut, len(a)))
 
 
-def _stretch_rows(width: int, anchors_only: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            s = Stretches(batch["text"], width)
-            if anchors_only:
-                yield pa.RecordBatch.from_arrays([signed(s.anchor)], ["anchor"])
-                continue
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            body = s.roll.of(s.first, s.first + s.length + width - 1)
-            yield pa.RecordBatch.from_arrays([signed(s.anchor), signed(body), pa.array(ids[s.row], pa.int64(), from_pandas=True), pa.array((s.first - s.offs[s.row]).astype(np.int32)), pa.array(s.length.astype(np.int32))], ["anchor", "body", "doc_id", "start", "n"])
+def sliced(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
+    """Texts as binary columns, their doc_ids and where in its text a slice begins; a string of `width` bytes begins in one slice."""
+    for batch in pieces(batches, "text"):
+        texts, ids = batch["text"].cast(pa.large_binary()), batch["doc_id"].to_numpy(zero_copy_only=False)
+        buf, _ = flat(texts)
+        if batch.num_rows > 1 or len(buf) <= SLICE:
+            yield texts, ids, 0
+            continue
+        raw = memoryview(buf)
+        for at in range(0, len(buf) - width + 1, SLICE):
+            yield pa.array([bytes(raw[at : at + SLICE + width - 1])], pa.large_binary()), ids, at
 
-    return run
 
+def _stretch_rows(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for texts, ids, skipped in sliced(batches, width):
+            s = Stretches(texts, width)
+            raw = s.buf.tobytes()
+            ends = s.first + s.length + width - 1
+            u, v = digests(raw[a:b] for a, b in zip(s.first.tolist(), ends.tolist(), strict=True))
+            start = (s.first - s.offs[s.row] + skipped).astype(np.int32)
+            columns = [signed(s.anchor), u, v, pa.array(ids[s.row], pa.int64(), from_pandas=True), pa.array(start), pa.array(s.length.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["g", "u", "v", "doc_id", "start", "n"])
 
-_STRETCH = "anchor long, body long, doc_id long, start int, n int"
+    return run
 
 
-def _asked(batch: pa.RecordBatch):
-    """The texts' bytes, and of each asked stretch its row, anchor, body, first byte and number of strings."""
-    buf, offs = flat(batch["text"])
-    lists = batch["asked"]
-    sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
-    f = lists.flatten()
-    row = np.repeat(np.arange(batch.num_rows), sizes)
-    start, n = f.field(0).to_numpy(), f.field(1).to_numpy()
-    return buf, f.field(2), f.field(3), offs[row] + start, n
+_PIECE = "g long, u long, v long, bytes binary"
 
 
 def _bytes_of(width: int):
-    """(anchor, body, bytes) of each asked stretch."""
+    """The bytes of each asked stretch; several rows may answer for one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            buf, anchor, body, first, n = _asked(batch)
-            raw = buf.tobytes()
-            yield pa.RecordBatch.from_arrays([anchor, body, pa.array([raw[a : a + k + width - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)], pa.binary())], ["anchor", "body", "bytes"])
+            buf, offs = flat(batch["text"])
+            raw, asked = buf.tobytes(), batch["asked"]
+            sizes = np.diff(asked.offsets.to_numpy())
+            f = asked.flatten()
+            first = offs[np.repeat(np.arange(batch.num_rows), sizes)] + f.field("start").to_numpy()
+            n = f.field("n").to_numpy()
+            cut = [raw[a : a + k + width - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+            made = digests(cut)
+            # rows of one doc_id may hold different texts: only the asked bytes count
+            right = pa.compute.and_(pa.compute.equal(made[0], f.field("u")), pa.compute.equal(made[1], f.field("v")))
+            out = pa.RecordBatch.from_arrays([f.field("g"), f.field("u"), f.field("v"), pa.array(cut, pa.binary())], ["g", "u", "v", "bytes"])
+            yield out.filter(right)
 
     return run
 
 
-def _string_rows(width: int):
-    """(anchor, hash, body, off, block, first, last) of each string of each asked stretch.
+def places(raws: list[bytes], width: int) -> list[int]:
+    """Where the anchor of each stretch lies: the leftmost least hash of its last string."""
+    if not raws:
+        return []
+    gram = min(GRAM, width)
+    h = Rolling(np.frombuffer(b"".join([r[-width:] for r in raws]), np.uint8), 2).every(gram)
+    h = np.append(h, np.zeros(gram - 1, np.uint64)).reshape(len(raws), width)[:, : width - gram + 1]
+    return (h.argmin(1) + np.array([len(r) for r in raws]) - width).tolist()
+
+
+def cells(raw: bytes, place: int, width: int, cell: int) -> list[tuple[int, int, bytes]]:
+    """Of a stretch its parts whose strings lie in one cell of distances: first string, strings, and the bytes all of the cell share."""
+    n = len(raw) - width + 1
+    out, k = [], 0
+    while k < n:
+        near = (place - k) // cell * cell  # the least distance of the cell; distances fall as k rises
+        more = min(n, place - near + 1) - k
+        out.append((k, more, raw[place - near : max(place - near, place - near + width - cell + 1)]))
+        k += more
+    return out
+
+
+def _cell_rows(width: int, cell: int):
+    """(cg, cu, cv, cn, g, u, v, lo): each cell of each stretch, its group and digest."""
 
-    A block is up to BLOCK neighbouring strings at the same distance from the anchor, by the hash of all its bytes; first and
-    last are its strings' offsets in the stretch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            buf, anchor, body, first, n = _asked(batch)
-            raw = buf.tobytes()
-            place = np.array([_place(raw[a : a + k + width - 1], width) for a, k in zip(first.tolist(), n.tolist(), strict=True)], np.int64)
-            of = np.repeat(np.arange(len(n)), n)
-            off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            roll = Rolling(buf, 9)
-            at = np.minimum(first[of] + off, max(0, len(buf) - width))
-            block = (place[of] - off) // BLOCK
-            new = np.ones(len(off), bool)
-            new[1:] = (of[1:] != of[:-1]) | (block[1:] != block[:-1])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(off)) - 1
-            own = np.cumsum(new) - 1
-            whole = roll.of(at[begin], at[end] + width) if len(begin) else np.zeros(0, np.uint64)
-            take = pa.array(of)
-            yield pa.RecordBatch.from_arrays([anchor.take(take), signed(roll.of(at, at + width)), body.take(take), pa.array(off.astype(np.int32)), signed(whole[own]), pa.array(off[begin][own].astype(np.int32)), pa.array(off[end][own].astype(np.int32))], ["anchor", "hash", "body", "off", "block", "first", "last"])
+        for batch in batches:
+            take, lo, n, keys, parts = [], [], [], [], []
+            raws = batch["bytes"].to_pylist()
+            for i, (g, raw, place) in enumerate(zip(batch["g"].to_pylist(), raws, places(raws, width), strict=True)):
+                for k, more, core in cells(raw, place, width, cell):
+                    take.append(i)
+                    lo.append(k)
+                    n.append(more)
+                    keys.append(b"%d " % g + core)
+                    parts.append(raw[k : k + more + width - 1])
+            cg, _ = digests(keys)
+            cu, cv = digests(parts)
+            of = pa.array(take, pa.int64())
+            columns = [cg, cu, cv, pa.array(n, pa.int32()), *(batch[c].take(of) for c in ("g", "u", "v")), pa.array(lo, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["cg", "cu", "cv", "cn", "g", "u", "v", "lo"])
+
+    return run
+
+
+def _cell_bytes(width: int):
+    """The bytes of the asked cells of each stretch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, raws = batch["asked"], batch["bytes"].to_pylist()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy())).tolist()
+            f = asked.flatten()
+            cut = [raws[i][a : a + k + width - 1] for i, a, k in zip(row, f.field("lo").to_pylist(), f.field("cn").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([f.field("cg"), f.field("cu"), f.field("cv"), pa.array(cut, pa.binary())], ["g", "u", "v", "bytes"])
 
     return run
 
@@ -227,13 +304,6 @@ def _neighbours(parts: list[bytes]) -> list[int]:
     return best
 
 
-def _place(raw: bytes, width: int) -> int:
-    """Where a stretch's anchor lies: the leftmost least hash of its last string."""
-    gram = min(GRAM, width)
-    h = Rolling(np.frombuffer(raw, np.uint8)[len(raw) - width :], 2).every(gram)
-    return len(raw) - width + int(h.argmin())
-
-
 class _Chunk:
     """Stretches of several anchors, recoded and joined for one suffix array.
 
@@ -241,10 +311,11 @@ class _Chunk:
     anchor's stretches share is one symbol."""
 
     def __init__(self, width: int):
-        self.width, self.symbols, self.strings, self.cores = width, [], [], 0
+        self.width, self.cores = width, 0
+        self.symbols: list[int] = []
+        self.strings: list[tuple] = []
 
-    def add(self, names: list[tuple[int, int]], raws: list[bytes]) -> None:
-        at = [_place(r, self.width) for r in raws]
+    def add(self, names: list[tuple], raws: list[bytes], at: list[int]) -> None:
         right = [r[p:] for r, p in zip(raws, at, strict=True)]
         left = [r[:p][::-1] for r, p in zip(raws, at, strict=True)]
         far, back = _neighbours(right), _neighbours(left)
@@ -264,14 +335,14 @@ class _Chunk:
             self.symbols.append(1)
             self.strings.append((names[i], begin, len(before), core_left + core_right, len(after), at[i] - core_left - len(before)))
 
-    def spans(self) -> list[tuple[int, int, list[tuple[int, int]]]]:
-        """(anchor, body, spans of repeated bytes from the stretch's first byte)."""
+    def spans(self) -> list[tuple[tuple, list[tuple[int, int]]]]:
+        """Of each stretch its name and the spans of repeated bytes from its first byte."""
         if not self.strings:
             return []
         s = [*self.symbols, 0]
         best = common_with_neighbours(s, suffix_array(s))
         out, width = [], self.width
-        for (anchor, body), begin, before, core, after, first in self.strings:
+        for name, begin, before, core, after, first in self.strings:
             starts: list[tuple[int, int]] = []  # first and last repeated string
             for k in range(before + 1):
                 symbols = min(best[begin + k], before - k + 1 + after)
@@ -288,44 +359,51 @@ class _Chunk:
                 else:
                     merged.append([a, b + width])
             if merged:
-                out.append((anchor, body, [(a, b) for a, b in merged]))
+                out.append((name, [(a, b) for a, b in merged]))
         return out
 
 
-_SPANS = "anchor long, body long, rel array<struct<a:int,b:int>>"
+_SPANS = "g long, u long, v long, rel array<struct<a:int,b:int>>"
 
 
 def _sorted_spans(width: int):
-    """Over stretches sorted by anchor: repeated spans of each, a chunk of anchors to a suffix array."""
+    """Over stretches sorted by group: repeated spans of each, a chunk of groups to a suffix array."""
+
     def result(chunk: _Chunk) -> pa.RecordBatch:
         rows = chunk.spans()
-        rel = pa.array([[{"a": a, "b": b} for a, b in r[2]] for r in rows], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), rel], ["anchor", "body", "rel"])
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        rel = pa.array([[{"a": a, "b": b} for a, b in spans] for _, spans in rows], kind)
+        names = [pa.array([name[k] for name, _ in rows], pa.int64()) for k in range(3)]
+        return pa.RecordBatch.from_arrays([*names, rel], ["g", "u", "v", "rel"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: list[tuple[int, int]] = []
-        raws: list[bytes] = []
-        chunk, held = _Chunk(width), 0
+        group: dict[tuple, tuple[bytes, int]] = {}  # the stretches of one group, each once
+        now, chunk, held = None, _Chunk(width), 0
+
+        def add() -> None:
+            chunk.add(list(group), *([x[k] for x in group.values()] for k in (0, 1)))
+
         for batch in batches:
-            for anchor, body, raw in zip(batch["anchor"].to_pylist(), batch["body"].to_pylist(), batch["bytes"].to_pylist(), strict=True):
-                if names and names[-1][0] != anchor:
-                    chunk.add(names, raws)
-                    held += len(raws)
-                    names, raws = [], []
+            raws = batch["bytes"].to_pylist()
+            for *name, raw, place in zip(*(batch[c].to_pylist() for c in "guv"), raws, places(raws, width), strict=True):
+                if group and name[0] != now:
+                    add()
+                    held += len(group)
+                    group.clear()
                     if held >= CHUNK or len(chunk.symbols) > 100_000:
                         yield result(chunk)
                         chunk, held = _Chunk(width), 0
-                names.append((anchor, body))
-                raws.append(raw)
-        if names:
-            chunk.add(names, raws)
+                now = name[0]
+                group[tuple(name)] = raw, place
+        if group:
+            add()
         yield result(chunk)
 
     return run
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, "text"):
         n_bytes, n_removed, n_spans, kept = [], [], [], []
         for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
             raw = (text or "").encode("utf-8", "replace")
@@ -346,51 +424,66 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(gone)
             n_spans.append(runs)
             kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays([batch["own_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _group_spans(pieces_: DataFrame, width: int, level: int = 0) -> DataFrame:
+    """(g, u, v, rel): of stretches (g, u, v, bytes) the spans that another stretch of their group holds as well."""
+    sort = lambda df: df.repartition("g").sortWithinPartitions("g").mapInArrow(_sorted_spans(width), _SPANS)
+    large = settled(pieces_.groupBy("g").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST).select("g"), "suffix-large")
+    if large.isEmpty():
+        return sort(pieces_)
+    many = settled(pieces_.join(large, "g"), "suffix-many")
+    inst = settled(many.mapInArrow(_cell_rows(width, CELLS[level]), "cg long, cu long, cv long, cn int, g long, u long, v long, lo int"), "suffix-cells")
+    cell, own = ["cg", "cu", "cv"], ["g", "u", "v"]
+    parent = F.struct(*own, "lo")
+    agg = inst.groupBy(*cell).agg(F.first("cn").alias("cn"), F.min(parent).alias("one"), F.max(parent).alias("other"))
+    agg = settled(agg.select(*cell, "cn", "one", (F.col("one") != F.col("other")).alias("twice")), "suffix-cell-kinds")
+    kinds = settled(agg.groupBy("cg").agg(F.count("*").alias("kinds")).where("kinds > 1").select("cg"), "suffix-open-cells")
+    asked = agg.join(kinds, "cg").groupBy("one.g", "one.u", "one.v").agg(F.collect_list(F.struct("one.lo", "cn", *cell)).alias("asked"))
+    below = settled(many.join(asked, own).mapInArrow(_cell_bytes(width), _PIECE), "suffix-cell-bytes")
+    rel = _group_spans(below, width, level + 1).toDF(*cell, "rel")
+    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("cn") + width - 1).alias("b")))
+    found = agg.join(rel, cell, "left").select(*cell, F.when(F.col("twice"), whole).otherwise(F.col("rel")).alias("rel")).where("rel IS NOT NULL")
+    moved = lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"]).alias("b"))
+    up = inst.join(settled(found, "suffix-cell-spans"), cell).select(*own, F.transform("rel", moved).alias("rel"))
+    up = up.groupBy(*own).agg(F.flatten(F.collect_set("rel")).alias("rel"))
+    return sort(pieces_.join(large, "g", "left_anti")).unionByName(up)
+
+
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, spans): sorted byte spans under repeated strings; they may touch and overlap. docs: doc_id, text."""
-    anchors = small_batches(docs).mapInArrow(_stretch_rows(width, True), "anchor long")
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor")
-    often = settled(often, "suffix-often")
-    known = key_filter(often, "anchor")
-    rows = docs.mapInArrow(_stretch_rows(width, False), _STRETCH)
-    met = settled((rows if known is None else passing(rows, known, "anchor")).join(often, "anchor"), "suffix-met")
-    whole = settled(met.groupBy("anchor", "body").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies")), "suffix-whole")
-    kinds = whole.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = settled(whole.join(kinds, "anchor").select(F.col("first.doc_id").alias("doc_id"), F.col("first.start").alias("start"), "n", "anchor", "body", (F.col("kinds") > MOST).alias("large")), "suffix-open")
-
-    def asked(rows: DataFrame) -> DataFrame:
-        side = settled(rows.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "n", "anchor", "body"))).alias("asked")), "suffix-asked")
-        known = key_filter(side, "doc_id")
-        return (docs if known is None else passing(docs, known, "doc_id")).join(side, "doc_id")
-
-    chunks = asked(open_.where("NOT large")).mapInArrow(_bytes_of(width), "anchor long, body long, bytes binary")
-    by_sorting = chunks.dropDuplicates(["anchor", "body"]).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_spans(width), _SPANS)
-    strings = settled(asked(open_.where("large")).mapInArrow(_string_rows(width), "anchor long, hash long, body long, off int, block long, first int, last int"), "suffix-strings")
-    span = lambda a, b: F.struct(a.cast("int").alias("a"), (b + width).cast("int").alias("b"))
-    # blocks that repeat as a whole are one row each; only strings of other blocks are looked up one by one
-    blocks = strings.where("off = first").select("anchor", "block", "body", "first", "last")
-    same = settled(blocks.groupBy("anchor", "block").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("anchor", "block"), "suffix-blocks")
-    twice = strings.groupBy("anchor", "hash").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo <> hi").select("anchor", "hash")
-    rest = strings.join(same, ["anchor", "block"], "left_anti").join(settled(twice, "suffix-twice"), ["anchor", "hash"]).select("anchor", "body", span(F.col("off"), F.col("off")).alias("s"))
-    by_block = blocks.join(same, ["anchor", "block"]).select("anchor", "body", span(F.col("first"), F.col("last")).alias("s"))
-    by_counting = by_block.unionByName(rest).groupBy("anchor", "body").agg(F.sort_array(F.collect_set("s")).alias("rel"))
-    rel = settled(by_sorting.unionByName(by_counting), "suffix-rel")
-    judged = whole.join(rel, ["anchor", "body"], "left").where("copies > 1 OR rel IS NOT NULL")
-    judged = judged.select("anchor", "body", F.when(F.col("copies") > 1, F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + width - 1).alias("b")))).otherwise(F.col("rel")).alias("rel"))
-    spans = met.join(settled(judged, "suffix-judged"), ["anchor", "body"]).select("doc_id", F.transform("rel", lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))).alias("s"))
-    return spans.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("s"))).alias("spans"))
+    key = ["g", "u", "v"]
+    rows = settled(shipped(docs).mapInArrow(_stretch_rows(width), _INSTANCE), "suffix-stretches")
+    often = settled(rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g"), "suffix-often")
+    known = key_filter(often, "g")
+    met = settled((rows if known is None else passing(rows, known, "g")).join(often, "g"), "suffix-met")
+    place = F.min(F.struct("doc_id", "start")).alias("first")
+    whole = settled(met.groupBy(*key).agg(place, F.first("n").alias("n"), F.count("*").alias("copies")), "suffix-whole")
+    kinds = settled(whole.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1").select("g"), "suffix-kinds")
+    open_ = whole.join(kinds, "g").select("first.doc_id", "first.start", "n", *key)
+    side = settled(open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", *key)).alias("asked")), "suffix-asked")
+    known = key_filter(side, "doc_id")
+    texts = (docs if known is None else passing(docs, known, "doc_id")).join(side, "doc_id")
+    put = settled(texts.mapInArrow(_bytes_of(width), _PIECE), "suffix-pieces")
+    rel = settled(_group_spans(put, width), "suffix-rel")
+    all_of_it = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") + width - 1).alias("b")))
+    judged = whole.join(rel, key, "left").where("copies > 1 OR rel IS NOT NULL")
+    judged = settled(judged.select(*key, F.when(F.col("copies") > 1, all_of_it).otherwise(F.col("rel")).alias("rel")), "suffix-judged")
+    moved = lambda x: F.struct((F.col("start") + x["a"]).alias("a"), (F.col("start") + x["b"]).alias("b"))
+    spans = met.join(judged, key).select("doc_id", F.transform("rel", moved).alias("s"))
+    spans = settled(spans.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("s"))).alias("spans")), "suffix-spans")
+    discard(rows, often, met, whole, kinds, side, put, rel, judged)
+    return spans
 
 
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    side = settled(repeated_spans(rows, width), "suffix-spans")
+    rows = keyed(docs)
+    side = repeated_spans(rows.select("doc_id", "text"), width)
     known = key_filter(side, "doc_id")
     if known is None:
         return rows.join(side, "doc_id", "left").mapInArrow(_kept, _KEPT)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, small_batches
+from .common import held_out, pieces, shipped
 from .wordfeatures import Words, chains
 
 PER_CLASS, TRAIN_CHARS = 700, 6000
@@ -290,7 +290,7 @@ def _scorer(model):
 
 def score(docs: DataFrame, net: Net | float) -> DataFrame:
     """docs with toxicity, 0 to 1."""
-    docs = small_batches(docs).drop("toxicity")
+    docs = shipped(docs).drop("toxicity")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "toxicity double"])
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net)), schema)
 

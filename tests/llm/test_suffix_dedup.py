@@ -65,7 +65,7 @@ def test_documents_against_brute_force(spark, monkeypatch):
     got = M.report(df).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
-    monkeypatch.setattr(M, "MOST", 3)  # large anchors by counting
+    monkeypatch.setattr(M, "MOST", 3)  # larger groups by cells
     monkeypatch.setattr(M, "CHUNK", 10)
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in M.report(df).collect()} == want
     assert M.report(df.where("false")).count() == 0
@@ -75,3 +75,43 @@ def test_repeated_rows(spark):
     t = corpus(2)[7][1] * 2
     got = M.report(spark.createDataFrame([(1, t), (1, t), (2, "y" * 199)], "doc_id long, text string")).collect()
     assert [(r.n_bytes - r.n_removed) for r in got if r.doc_id == 1] == [0, 0] and len(got) == 3
+
+
+def judged(df):
+    return sorted([(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in M.report(df).collect()])
+
+
+def test_rows_without_an_id_count_like_others(spark):
+    shared = corpus(3)[9][1][:260].ljust(260, "k")
+    rows = [(None, shared + "one"), (5, "two" + shared), (None, "short"), (7, shared[:230])]
+    want = sorted(brute([(i, t) for i, (_, t) in enumerate(rows)], 200).values())
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_long_texts_are_read_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(M, "SLICE", 1 << 12)
+    rng = np.random.RandomState(5)
+    long = "".join(rng.choice(list("abcdefghijklmnop"), 600_000))
+    rows = [(1, long), (2, long[5000:5300] + "!"), (3, long[400_000:460_000][::-1]), (4, "x" + long[598_000:])]
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute(rows, 200).values())
+
+
+def thue_morse(n, flip=0):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_texts_whose_rolling_hashes_collide(spark):
+    """Thue-Morse strings and their complements have equal polynomial hashes modulo 2^64."""
+    rows = [(1, thue_morse(2048)), (2, "-" + thue_morse(2048, 1)), (3, "c" + thue_morse(4096)[1000:1700])]
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute(rows, 200).values())
+
+
+def test_cells_of_large_groups(spark, monkeypatch):
+    """One passage in many texts, each with its own surroundings: groups far over MOST."""
+    monkeypatch.setattr(M, "MOST", 2)
+    rng = np.random.RandomState(8)
+    rand = lambda n: "".join(rng.choice(list("abcd"), n))
+    core = rand(330)
+    rows = [(i, rand(60) + core[rng.randint(0, 60) : 330 - rng.randint(0, 60)] + rand(60)) for i in range(40)]
+    rows += [(100 + i, core[:150] + "X" * (i % 3) + core[150:]) for i in range(12)]
+    assert judged(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(brute(rows, 200).values())
