@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pytest
 
 from granary.llm import filters
 from granary.llm import substring_dedup as M
@@ -59,3 +60,45 @@ def test_batches_give_the_same_as_one(spark, monkeypatch):
         for r in index.dedup(part, past).collect():
             out[r.doc_id] = (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())
     assert out == brute(rows, 20)
+
+
+def rows_of(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+
+
+def test_history_is_needed(spark):
+    df = spark.createDataFrame(corpus(3), "doc_id long, text string")
+    index = M.SubstringIndex(spark)
+    index.add(df.where("doc_id < 40"))
+    with pytest.raises(ValueError, match="earlier batches"):
+        index.add(df.where("doc_id >= 40"))
+
+
+def thue_morse(n, flip):
+    return "".join("ab"[(bin(i).count("1") + flip) & 1] for i in range(n))
+
+
+def test_words_whose_rolling_hashes_collide(spark):
+    """Two windows that differ in their last words, which polynomials modulo 2^64 don't tell apart."""
+    same = " ".join(f"s{i}" for i in range(19))
+    rows = [(1, f"{same} {thue_morse(2048, 0)} x y z"), (2, f"{same} {thue_morse(2048, 1)} p q r"), (3, f"k {same} {thue_morse(2048, 1)}")]
+    assert rows_of(M.report(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows, 20)
+
+
+def test_large_groups_and_slices(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST", 2)
+    monkeypatch.setattr(M, "SLICE", 64)
+    rng = np.random.RandomState(4)
+    rand = lambda n: " ".join(f"w{i}" for i in rng.randint(0, 300, n))
+    core = rand(40).split()
+    rows = [(i, f"{rand(9)} {' '.join(core[rng.randint(0, 9) : 40 - rng.randint(0, 9)])} {rand(9)}") for i in range(40)]
+    long = rand(5000)
+    rows += [(50, long), (51, " ".join(long.split()[4000:]) + " end"), (52, " ".join(long.split()[1000:1100]))]
+    assert rows_of(M.report(spark.createDataFrame(rows, "doc_id long, text string"), batches=3)) == brute(rows, 20)
+
+
+def test_rows_without_an_id_come_last(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), (None, "start " + text), (None, text), (8, text), (None, None)]
+    got = M.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 0, 0), (0, 30, 30), (0, 30, 30), (0, 31, 30), (8, 30, 0)]
