@@ -1,20 +1,20 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling.
 
-A word's input sums its embedding, that of its first `STEM` bytes (one for all that training met once or
-never) and the mean of its hashed character-trigram embeddings.
+A word's input sums its embedding, that of its first `STEM` bytes (one for all that training met in fewer than
+`KNOWN` documents) and the mean of its hashed character-trigram embeddings.
 A GRU reads each window of words in both directions, attention pools its states, and a logistic unit
-gives the window's score. All windows of `WINDOW` words, each overlapping the next by half, are scored; a
-text's score is its greatest window score, calibrated on the training sample.
+gives the window's score. All windows of `WINDOW` words that begin at every `STRIDE`th word are scored, so each
+overlaps the next by half; a text's score is its greatest window score, calibrated on texts that did not train it.
 
-Training (numpy, driver) uses at most `PER_CLASS` labelled documents of each class, chosen by a hash, and of
-each at most `TRAIN_CHARS` code points from one place: the documented bound of the sample. In each round a document
-is represented by the window that the network scores highest, so labels of whole documents suffice.
-The first number of a word's and the second of a stem's embedding start as smoothed log odds; in training each
-document reads them as counted in the half of the sample that it isn't in.
+Training (numpy, driver) uses at most `PER_CLASS` labelled documents of each class, chosen by a hash among
+those of at most `MOST_CHARS` code points: the documented bound of the sample. Their whole texts are read. All weights and
+embeddings start at random. In the first `WARM` rounds a few windows of each document carry its label; from then on a
+document is represented by the window that the network scores highest, so labels of whole documents suffice.
 
 Null and empty texts, and texts without words, get the score of an empty window. Without labels of both classes
 all scores are the share of label 1 (0 if there are none). Repeated labels of a doc_id count by their greatest
-value. Repeated rows each get their row; extra columns are carried by `score`.
+value, repeated rows of a sampled doc_id by their least text. Texts of more than `SLICE` words are scored in overlapping
+slices with the same windows. Repeated rows each get their row; extra columns are carried by `score`.
 """
 
 from __future__ import annotations
@@ -26,16 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, pieces, shipped
-from .wordfeatures import Words, chains
+from .common import held_out, pieces, settled, shipped
+from .wordfeatures import Words, chains, sliced
 
-PER_CLASS, TRAIN_CHARS = 700, 6000
-WINDOW, STRIDE, THRESHOLD = 32, 16, 0.7
-STEM, GRAMS, DIM, HIDDEN, ATTEND = 6, 1 << 12, 10, 8, 8
-ROUNDS, BATCH, RATE, TABLE_RATE, SHRINK = 6, 48, 0.02, 0.01, 1e-3
+PER_CLASS, MOST_CHARS = 700, 50_000
+WINDOW, STRIDE, THRESHOLD, SLICE = 32, 16, 0.7, 1 << 17
+STEM, GRAMS, DIM, HIDDEN, ATTEND = 6, 1 << 12, 16, 12, 8
+ROUNDS, WARM, PER_DOC, BATCH, RATE, SHRINK, DROP, KNOWN, BACK = 9, 6, 12, 128, 0.01, 1e-3, 0.5, 4, 5
 TABLES = ("word", "stem", "gram")
-#: Documents' worth of prior in a word's odds.
-DOUBT = 8.0
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -50,7 +48,7 @@ class Net:
         rng = np.random.RandomState(seed)
         self.known, self.stems = known, stems
         g = lambda *s, k=1.0: (rng.randn(*s) * k / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"word": (rng.randn(len(known) + 1, DIM) * 0.002).astype(np.float32), "stem": (rng.randn(len(stems) + 1, DIM) * 0.002).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.002).astype(np.float32)}
+        self.p = {"word": (rng.randn(len(known) + 1, DIM) * 0.05).astype(np.float32), "stem": (rng.randn(len(stems) + 1, DIM) * 0.05).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.05).astype(np.float32)}
         for d in "fb":
             self.p |= {f"W{d}": g(DIM, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": g(HIDDEN, 3 * HIDDEN)}
         self.p |= {"A": g(2 * HIDDEN, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": g(ATTEND), "o": g(2 * HIDDEN), "k": np.zeros(1, np.float32)}
@@ -148,16 +146,20 @@ class Net:
             out[at : at + 4096] = self.run(proj, index[at : at + 4096], mask[at : at + 4096])
         return out, row, index, mask
 
+    def best(self, logit: np.ndarray, row: np.ndarray, rows: int, without: float | None = None) -> np.ndarray:
+        """Of each text its greatest window logit; without windows that of an empty one, or the given number."""
+        top = np.full(rows, -np.inf)
+        np.maximum.at(top, row, logit)
+        return np.where(np.isfinite(top), top, float(self.p["k"][0]) if without is None else without)
+
     def texts(self, column) -> np.ndarray:
         """The score of each text, 0 to 1."""
-        words = Words(column)
-        best = np.full(words.rows, float(self.p["k"][0]))
-        logit, row, _, _ = self.logits(words)
-        if len(row):
-            top = np.full(words.rows, -np.inf)
-            np.maximum.at(top, row, logit)
-            best[np.isfinite(top)] = top[np.isfinite(top)]
-        return _sigmoid(self.scale * best + self.shift)
+        top = np.full(len(column), -np.inf)
+        for rows, part, _, _ in sliced(column, SLICE, WINDOW - STRIDE):
+            words = Words(part)
+            logit, row, _, _ = self.logits(words)
+            top[rows] = np.maximum(top[rows], self.best(logit, row, words.rows, -np.inf))
+        return _sigmoid(self.scale * np.where(np.isfinite(top), top, self.p["k"][0]) + self.shift)
 
 
 def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net | float:
@@ -169,84 +171,76 @@ def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net |
     words = Words([t for t, _ in samples])
     if not len(words):
         return share
-    count, prior = len(words.hashes), y.mean()
-    stems, stem_of = np.unique(words.stems(STEM), return_inverse=True)
-    # a document's own label must not speak for it: it reads what its words tell in the other half of the sample
-    half = np.empty(len(y), np.int64)
+    # every BACKth text of a class, in random order, only calibrates
+    back = np.zeros(len(y), bool)
     for label in (0, 1):
-        half[y == label] = rng.permutation((y == label).sum()) % 2
-
-    def evidence(kind: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each kind of word: met twice or more; log odds over all documents; and over each half for the other."""
-        docs = np.unique(np.stack([kind[words.inverse], words.row]), axis=1)
-
-        def odds(docs: np.ndarray) -> np.ndarray:
-            o = (np.bincount(docs[0], y[docs[1]], most) + DOUBT * prior) / (np.bincount(docs[0], minlength=most) + DOUBT)
-            return np.log(o / (1 - o)) - np.log(prior / (1 - prior))
-
-        often = np.bincount(docs[0], minlength=most) >= 2
-        return often, often * odds(docs), np.stack([often * odds(docs[:, half[docs[1]] != k]) for k in (0, 1)])
-
-    often, whole, apart = evidence(np.arange(count), count)
-    stem_often, stem_whole, stem_apart = evidence(stem_of, len(stems))
-    net = Net(words.hashes[often], stems[stem_often], seed)
-    slot, stem_slot = net.entries(net.known, words.hashes), net.entries(net.stems, stems)
-    net.p["word"][slot, 0], net.p["stem"][stem_slot, 1] = whole, stem_whole
-    stem_slot = stem_slot[stem_of]
-    shift = np.zeros((2 * count, DIM), np.float32)
-    shift[:, 0], shift[:, 1] = (apart - whole).ravel(), (stem_apart - stem_whole)[:, stem_of].ravel()
-    first_look = apart.ravel() + stem_apart[:, stem_of].ravel()
+        back[rng.permutation(np.flatnonzero(y == label))[BACK - 1 :: BACK]] = True
+    net, stem_of = _initial(words, ~back, seed)
+    slot = net.entries(net.known, words.hashes)
     grams, offs = words.trigrams(GRAMS)
     per_gram = np.repeat(1.0 / words.length, words.length).astype(np.float32)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
+    prior = y.mean()
     class_weight = np.where(y == 1, 0.5 / prior, 0.5 / (1 - prior))
     index, mask, row = net.windows(words)
-    index = index + count * half[row][:, None]
 
     def logits() -> np.ndarray:
-        x = np.tile(net.inputs(words), (2, 1))
-        x += shift
-        proj = net.project(x)
+        proj = net.project(net.inputs(words))
         return np.concatenate([net.run(proj, index[at : at + 4096], mask[at : at + 4096]) for at in range(0, len(row), 4096)])
 
+    def step(part: np.ndarray, rate: float, steps: int) -> None:
+        word, local = np.unique(index[part], return_inverse=True)
+        counts = words.length[word]
+        inner = np.cumsum(counts) - counts
+        flat_at = np.repeat(offs[word] - inner, counts) + np.arange(counts.sum())
+        g_ids, g_w = grams[flat_at], per_gram[flat_at]
+        lost = (rng.rand(len(word), 1) < DROP).astype(np.float32)  # a word is now and then known by its parts alone
+        x = net.p["word"][slot[word]] * (1 - lost) + net.p["stem"][stem_of[word]] + np.add.reduceat(net.p["gram"][g_ids] * g_w[:, None], inner, axis=0)
+        w = class_weight[row[part]]
+        _, g, dx = net.gradients(x, local.reshape(len(part), WINDOW), mask[part], y[row[part]], (w / w.sum()).astype(np.float32))
+        g |= {k: np.zeros_like(net.p[k]) for k in TABLES}
+        np.add.at(g["word"], slot[word], dx * (1 - lost))
+        np.add.at(g["stem"], stem_of[word], dx)
+        np.add.at(g["gram"], g_ids, np.repeat(dx, counts, axis=0) * g_w[:, None])
+        for k, v in net.p.items():
+            m1, m2 = moments[k]
+            m1 += 0.1 * (g[k] - m1)
+            m2 += 0.01 * (g[k] ** 2 - m2)
+            v -= rate * (m1 / (1 - 0.9**steps) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-6) + SHRINK * v).astype(np.float32)
+
     steps = 0
     for nth in range(ROUNDS):
-        # before the network knows anything: the window with the most telling word
-        logit = logits() if nth >= 2 else (first_look[index] * mask).max(1) + 0.01 * rng.rand(len(row))
-        order = np.lexsort((logit, row))
-        top = order[np.append(row[order][1:] != row[order][:-1], True)]  # each text's highest window
-        other = rng.permutation(len(row))[: len(top) // 2]
-        other = other[y[row[other]] == 0]
-        chosen = rng.permutation(np.concatenate([top, other]))
+        # first every window speaks for its document, a few of each; then the one that the network scores highest
+        order = np.lexsort((rng.rand(len(row)) if nth < WARM else logits(), row))
+        rank = np.arange(len(row)) - np.searchsorted(row[order], row[order], "left")
+        rank = np.bincount(row, minlength=len(y))[row[order]] - 1 - rank
+        chosen = order[(rank < (PER_DOC if nth < WARM else 1)) & ~back[row[order]]]
+        if nth >= WARM:
+            clean = np.flatnonzero((y[row] == 0) & ~back[row])
+            chosen = np.concatenate([chosen, rng.permutation(clean)[: len(chosen)]])
+        chosen = rng.permutation(chosen)
         for at in range(0, len(chosen), BATCH):
-            part = chosen[at : at + BATCH]
-            used, local = np.unique(index[part], return_inverse=True)
-            word = used % count
-            counts = words.length[word]
-            flat_at = np.repeat(offs[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            g_ids, g_w = grams[flat_at], per_gram[flat_at]
-            x = net.p["word"][slot[word]] + net.p["stem"][stem_slot[word]] + np.add.reduceat(net.p["gram"][g_ids] * g_w[:, None], np.cumsum(counts) - counts, axis=0)
-            x += shift[used]
-            w = class_weight[row[part]]
-            _, g, dx = net.gradients(x, local.reshape(len(part), WINDOW), mask[part], y[row[part]], (w / w.sum()).astype(np.float32))
-            g |= {k: np.zeros_like(net.p[k]) for k in TABLES}
-            np.add.at(g["word"], slot[word], dx)
-            np.add.at(g["stem"], stem_slot[word], dx)
-            np.add.at(g["gram"], g_ids, np.repeat(dx, counts, axis=0) * g_w[:, None])
             steps += 1
-            for k, v in net.p.items():
-                m1, m2 = moments[k]
-                m1 += 0.1 * (g[k] - m1)
-                m2 += 0.01 * (g[k] ** 2 - m2)
-                table = k in TABLES
-                rate = RATE * (TABLE_RATE if table else 1.0)
-                v -= (rate * (m1 / (1 - 0.9**steps)) / (np.sqrt(m2 / (1 - 0.99**steps)) + 1e-7) + (0 if table else SHRINK) * v).astype(np.float32)
-    # calibration: logistic regression of the label on a text's greatest logit, at the labels' own share
-    logit = logits()
-    best = np.full(len(y), float(net.p["k"][0]))
-    top = np.full(len(y), -np.inf)
-    np.maximum.at(top, row, logit)
-    best[np.isfinite(top)] = top[np.isfinite(top)]
+            step(chosen[at : at + BATCH], RATE * (1 - nth / ROUNDS), steps)
+    net.scale, net.shift = _calibrated(net.best(logits(), row, len(y))[back], y[back], share) if len(set(y[back])) == 2 else (1.0, 0.0)
+    return net
+
+
+def _initial(words: Words, learn: np.ndarray, seed: int) -> tuple[Net, np.ndarray]:
+    """An untrained network that knows the words and stems of KNOWN documents or more, and each word's stem entry."""
+    stems, stem_of = np.unique(words.stems(STEM), return_inverse=True)
+
+    def often(kind: np.ndarray, most: int) -> np.ndarray:
+        docs = np.unique(np.stack([kind[words.inverse], words.row])[:, learn[words.row]], axis=1)
+        return np.bincount(docs[0], minlength=most) >= KNOWN
+
+    net = Net(words.hashes[often(np.arange(len(words.hashes)), len(words.hashes))], stems[often(stem_of, len(stems))], seed)
+    return net, net.entries(net.stems, stems)[stem_of]
+
+
+def _calibrated(best: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Scale and shift: logistic regression of the label on a text's greatest logit, at the labels' own share."""
+    prior = y.mean()
     w = np.where(y == 1, share / prior, (1 - share) / (1 - prior))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps
@@ -254,16 +248,17 @@ def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net |
         h = w * p * (1 - p) + 1e-9
         grad = np.array([(w * (p - y) * best).sum() + 1e-2 * (a - 1), (w * (p - y)).sum()])
         hess = np.array([[(h * best * best).sum() + 1e-2, (h * best).sum()], [(h * best).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hess, grad)
-        a, b = float(np.clip(a - np.clip(step[0], -1, 1), 0.05, 20)), float(b - np.clip(step[1], -2, 2))
-    net.scale, net.shift = a, b
-    return net
+        change = np.linalg.solve(hess, grad)
+        a, b = float(np.clip(a - np.clip(change[0], -1, 1), 0.05, 20)), float(b - np.clip(change[1], -2, 2))
+    return a, b
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[list[tuple[str, int]], float]:
     """At most per_class labelled texts of each class that may be learned from, and label 1's share of all such labels."""
     open_ = labels.where(~F.coalesce(held_out("doc_id"), F.lit(True)) & F.col("toxic").isin(0, 1))
     open_ = open_.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    fit = docs.where(F.length("text") <= MOST_CHARS).select("doc_id").distinct()
+    open_ = settled(open_.join(fit, "doc_id"), "toxic-labels")
     sizes = {r["toxic"]: r["n"] for r in open_.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], 0.0
@@ -271,10 +266,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tu
     for label in sizes:  # top-k by hash: at most 2 * per_class ids
         part = open_.where(F.col("toxic") == label).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.unionByName(part)
-    text = F.expr(f"substring(text, 1 + cast(pmod(xxhash64(doc_id), greatest(1, length(text) - {TRAIN_CHARS})) as int), {TRAIN_CHARS})")
-    rows = docs.where("text IS NOT NULL").select("doc_id", text.alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()
-    rows = {r["doc_id"]: (r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}
-    return [rows[k] for k in sorted(rows)], sizes.get(1, 0) / sum(sizes.values())
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: r["doc_id"])], sizes.get(1, 0) / sum(sizes.values())
 
 
 def _scorer(model):

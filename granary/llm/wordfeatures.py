@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -14,6 +16,39 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+def sliced(texts: pa.Array, most: int, overlap: int) -> Iterator[tuple[np.ndarray, pa.Array, bool, bool]]:
+    """Row numbers, texts, and whether these begin and end with their rows' texts.
+
+    All texts of up to most words come at once, then longer ones in slices of most + overlap words, most words apart."""
+    buf, offs = flat(texts)
+    size = np.diff(offs)
+    short = size <= 2 * most  # a word takes two bytes, but for the last
+    if short.any():
+        at = np.flatnonzero(short)
+        yield at, texts if short.all() else texts.take(pa.array(at)), True, True
+    for row in np.flatnonzero(~short).tolist():
+        lower, _ = flat(pc.utf8_lower(texts.slice(row, 1)))
+        begin, end = _bounds(lower, np.array([0, len(lower)]))
+        for at in range(0, max(1, len(begin) - overlap), most):
+            last = min(len(begin), at + most + overlap)
+            part = lower[begin[at] : end[last - 1]] if len(begin) else lower[:0]
+            yield np.array([row]), pa.array([part.tobytes()], pa.binary()).cast(pa.string()), at == 0, last == len(begin)
+
+
+def _bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word."""
+    inside = _TOKEN[buf]
+    first, last = inside.copy(), inside.copy()
+    if len(buf):
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        cut = offs[1:-1]
+        cut = cut[(cut > 0) & (cut < len(buf))]
+        first[cut] = inside[cut]
+        last[cut - 1] = inside[cut - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class Words:
     """Words are runs of ASCII letters and digits and of non-ASCII code points, lower-cased.
 
@@ -23,16 +58,7 @@ class Words:
     def __init__(self, texts: pa.Array | list):
         column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
         buf, offs = flat(pc.utf8_lower(column))
-        inside = _TOKEN[buf]
-        first, last = inside.copy(), inside.copy()
-        if len(buf):
-            first[1:] &= ~inside[:-1]
-            last[:-1] &= ~inside[1:]
-            cut = offs[1:-1]
-            cut = cut[(cut > 0) & (cut < len(buf))]
-            first[cut] = inside[cut]
-            last[cut - 1] = inside[cut - 1]
-        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        start, end = _bounds(buf, offs)
         self.rows = len(offs) - 1
         self.row = np.searchsorted(offs, start, "right") - 1
         self.hashes, at, self.inverse = np.unique(Rolling(buf, 5).of(start, end) if len(start) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
