@@ -85,11 +85,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: From here on doc_ids stand for rows without one.
+NO_ID = 1 << 62
+
+
+def key_of(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Column:
+    """The doc_id, or where there is none NO_ID plus a hash of the text: never null."""
+    own = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("long")
+    return F.coalesce(own, F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 2) + F.lit(NO_ID))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """own_id, doc_id, text: doc_id is never null (rows without one get a hash of their text from 2^62 on), own_id is as given."""
-    own, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
-    other = F.shiftrightunsigned(F.xxhash64(text), 2) + F.lit(1 << 62)
-    return docs.select(own.alias("own_id"), F.coalesce(own, other).alias("doc_id"), text.alias("text"))
+    """own_id, doc_id, text: doc_id by key_of, own_id as given; a null text is empty."""
+    return docs.select(F.col("doc_id").cast("long").alias("own_id"), key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def ship(spark: SparkSession) -> None:

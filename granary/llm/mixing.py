@@ -5,8 +5,8 @@ weight w (its share of all weights, an exact fraction) gives its k-th block (fro
 floor((k-1)/w) and the deadline ceil(k/w), in slots of one block; in each slot the released block with
 the earliest deadline goes (ties: source name). While a source lasts, the number of blocks that it has had
 differs from w times the slots by less than one, however long the input is. The schedule has one
-row a block: the driver makes it `period` blocks at a time, each piece is written to the shared folder,
-and a bucket of documents is joined with the blocks that it reaches.
+row a block: the driver holds one entry a source and makes the schedule `period` blocks at a time, each piece is
+written to the shared folder, and a bucket of documents is joined with the blocks that it reaches.
 
 Documents are numbered within hashed buckets of a source, and bucket offsets are summed up
 over at most `MOST_BUCKETS` rows a source, so a source with a third of all rows is many groups.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-BLOCK_ROWS, PERIOD, MOST_SOURCES, MOST_BUCKETS, BUCKET_ROWS = 16, 50_000, 20_000, 1 << 16, 256
+BLOCK_ROWS, PERIOD, MOST_BUCKETS, BUCKET_ROWS = 16, 50_000, 1 << 16, 256
 ADDED = ("mix_slot", "mix_offset", "mix_block", "mix_release", "mix_deadline")
 
 
@@ -87,9 +87,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     source's block number from 0), mix_release and mix_deadline. Order by mix_slot, mix_offset to read the mixture."""
     docs = docs.drop(*ADDED)
     key = F.coalesce(F.col("source"), F.lit(""))
-    sizes = {r["s"]: r["n"] for r in docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    sizes = {r["s"]: r["n"] for r in docs.groupBy(key.alias("s")).agg(F.count("*").alias("n")).collect()}
     wanted = {s: float((weights or {}).get(s, math.sqrt(n))) for s, n in sizes.items()}
     plan = _written(docs.sparkSession, schedule(wanted, {s: -(-n // block_rows) for s, n in sizes.items()}), period)
     n = 1 << max(0, min(MOST_BUCKETS, -(-sum(sizes.values()) // BUCKET_ROWS)) - 1).bit_length()

@@ -4,10 +4,11 @@ A document's fingerprint has 64 bits: bit b is 1 if it is set in over half of th
 (seed 42) of its word shingles. Fingerprints within `radius` 4 bits are linked; a component is
 what links reach. Links are found by fuzzy hashing: the 64 bits are three segments of 23, 23
 and 18 bits (the last filled up with zeros). Of at most four differing bits, some two segments
-hold at most two. So for each pair of segments a fingerprint gives the Golay codeword indices
-of itself and of all its neighbours at one flipped bit: two fingerprints within two bits over
-the pair share the codewords of a fingerprint midway. Most flips decode to the same codeword,
-hence about a dozen keys and not 47. Shared keys make candidates, which are verified bit by bit.
+hold at most two. So for each pair of segments a fingerprint gives the keys of itself and of all its neighbours
+at one flipped bit: two fingerprints within two bits over the pair share the keys of a fingerprint midway. A key
+holds four Golay codeword indices of 12 bits: those of the pair's two segments and those of the same 46 bits in
+a fixed other order. Unrelated fingerprints share 48 bits by chance only. Many flips decode to the same
+codewords, hence fewer keys than neighbours. Shared keys make candidates, which are verified bit by bit.
 
 Equal fingerprints are one node. A bucket is compared in chunks of at most `CHUNK` nodes, each
 giving a spanning forest of its links and never all pairs. After those links are
@@ -15,7 +16,8 @@ joined, most buckets lie in one component; in any other bucket each node outside
 largest component is compared with every chunk of it, so no link between components is missed.
 
 Null texts and texts without words have fingerprint zero and are linked like any other.
-Repeated rows of a doc_id each get their row. Extra columns are ignored.
+Repeated rows of a doc_id each get their row; a row without a doc_id is linked like any other and names a component
+only where no row of it has one (component_id is null then). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, settled, shipped
+from .common import NO_ID, discard, keyed, pieces, settled, shipped
 
 SHINGLE, RADIUS, CHUNK = 4, 4, 256
 _SEED = 42
@@ -84,27 +86,43 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
+    """own_id, doc_id, fp: ids as `keyed` gives them, the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             fps = np.array([fingerprint((t or "").encode("utf-8", "replace"), shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["own_id"], batch["doc_id"], pa.array(fps.view(np.int64))], ["own_id", "doc_id", "fp"])
 
-    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return shipped(keyed(docs)).mapInArrow(run, "own_id long, doc_id long, fp long")
+
+
+#: The other order of a pair's 46 bits: bit i goes to place _ORDER[i].
+_ORDER = np.random.RandomState(23).permutation(46)
+
+
+def _reordered(x: np.ndarray) -> np.ndarray:
+    out = np.zeros_like(x)
+    for bit, to in enumerate(_ORDER.tolist()):
+        out |= (x >> bit & 1) << to
+    return out
 
 
 def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and distinct keys: pair of segments (2 bits) and two codeword indices (24 bits)."""
-    fps = fps.astype(np.uint64)
-    own, near = [], []
-    for first, width in _SEGMENTS:
-        seg = (fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
-        own.append(decode(seg))
-        near.append(np.stack([decode(seg ^ (1 << b)) for b in range(width)], 1))
+    """Row numbers and distinct keys: pair of segments (2 bits) and four codeword indices (48 bits)."""
+    decode(np.zeros(1, np.int64))  # makes the error table
+    fps, low = fps.astype(np.uint64), (1 << 23) - 1
+    segments = [(fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64) for first, width in _SEGMENTS]
     rows, keys = [], []
     for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        at = lambda x, y: (pair << 24) + (x << 12) + y  # noqa: B023, E731
-        k = np.sort(np.concatenate([at(own[a], own[b])[:, None], at(near[a], own[b][:, None]), at(own[a][:, None], near[b])], 1), 1)
+        own = segments[a] | segments[b] << 23
+        flips = np.array([0, *(1 << i for i in range(_SEGMENTS[a][1])), *(1 << 23 + i for i in range(_SEGMENTS[b][1]))], np.int64)
+        k = np.full((len(fps), len(flips)), pair, np.int64)
+        for whole, flip in ((own, flips), (_reordered(own), _reordered(flips))):
+            for shift in (0, 23):
+                word, change = whole >> shift & low, flip >> shift & low
+                # syndromes are linear: a flip's is added to the word's
+                error = _ERRORS[_syndromes(word)[:, None] ^ _syndromes(change)[None, :]]
+                k = k << 12 | ((word[:, None] ^ change[None, :]) ^ error) >> 11
+        k.sort(1)
         new = np.ones(k.shape, bool)
         new[:, 1:] = k[:, 1:] != k[:, :-1]
         rows.append(np.nonzero(new)[0])
@@ -147,13 +165,17 @@ def _chunk_links(radius: int):
             frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if not len(frame):
                 continue
-            group = frame["key"].to_numpy() * (1 << 30) + frame["chunk"].to_numpy()
+            group = numbered(frame)
             last = np.searchsorted(group, group[-1])
             rest = frame.iloc[last:]
             yield links(frame.iloc[:last], group[:last])
         if rest is not None and len(rest):
             yield links(rest, np.zeros(len(rest), np.int64))
 
+    def numbered(frame: pd.DataFrame) -> np.ndarray:
+        key, chunk = frame["key"].to_numpy(), frame["chunk"].to_numpy()
+        return np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))])
+
     def links(frame: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         fps, out = frame["fp"].to_numpy(), []
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
@@ -188,13 +210,15 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         # the links between current labels; both ends of each
         at = both.join(moving.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(moving.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
         hooks = at.where("la <> lb").groupBy("la").agg(F.min("lb").alias("to")).where("to < la")
-        hooks = settled(hooks, "hooks")
+        hooks = found = settled(hooks, "hooks")
         if hooks.isEmpty():
             break
         for _ in range(3):  # follow hooks of hooks
             next_ = hooks.select(F.col("la").alias("to"), F.col("to").alias("then"))
             hooks = hooks.join(next_, "to", "left").select("la", F.least("to", F.coalesce("then", "to")).alias("to"))
-        moving = settled(moving.join(hooks, moving["label"] == hooks["la"], "left").select("fp", F.coalesce("to", "label").alias("label")), "moving")
+        old, label = moving, F.coalesce("to", "label").alias("label")
+        moving = settled(moving.join(hooks, moving["label"] == hooks["la"], "left").select("fp", label), "moving")
+        discard(old, found)
     return own.join(moving.select("fp", F.col("label").alias("moved")), "fp", "left").select("fp", F.coalesce("moved", "label").alias("label"))
 
 
@@ -204,17 +228,18 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch["fp"].to_numpy()
-            for at in range(0, len(fps), 20_000):
-                part = fps[at : at + 20_000]
+            for at in range(0, len(fps), 5_000):
+                part = fps[at : at + 5_000]
                 row, key = keys_of(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
-    keyed = nodes.select("fp").mapInArrow(explode, "key long, fp long")
-    # a bucket of up to CHUNK nodes is one chunk, a larger one is dealt out by hash
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-    keyed = keyed.join(sizes, "key", "left")
+    every = settled(nodes.select("fp").mapInArrow(explode, "key long, fp long"), "golay-keys")
+    # a bucket of up to CHUNK nodes is one chunk, a larger one is dealt out by hash; a key of one node finds nothing
+    sizes = settled(every.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "golay-sizes")
+    keyed = every.join(sizes, "key").withColumn("n", F.when(F.col("n") > CHUNK, F.col("n")))
     chunk = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK))).cast("int")
     keyed = settled(keyed.select("key", "fp", "n", chunk.alias("chunk")), "golay-buckets")
+    discard(every, sizes)
     dealt = keyed.select("key", "chunk", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
     first = settled(dealt.mapInPandas(_chunk_links(radius), _LINKS), "near-links")
     labels = settled(components(first, nodes), "near-labels")
@@ -253,4 +278,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     prints = settled(fingerprints(docs, shingle), "simhash")
     nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-nodes")
     labels = _linked(nodes, radius)
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("label").alias("component_id"))
+    component = F.when(F.col("label") < NO_ID, F.col("label"))
+    out = prints.join(labels, "fp")
+    return out.select(F.col("own_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
