@@ -7,9 +7,9 @@ leave (q-gram lemma), and Myers' bit-parallel algorithm then gives the least edi
 item to any part of those surroundings.
 
 Texts and items are compared as UTF-8 with A-Z lower-cased and white space runs as one space.
-Items shorter than `least` bytes are not looked for. The item table is sent to the tasks in
+Items shorter than `least` bytes are looked for without edits, and as whole words. The item table is sent to the tasks in
 blocks of at most `ITEM_BYTES`; more items take more passes over the documents. Null and
-empty texts match nothing; null items are ignored; repeated rows each get their result; columns
+empty texts match nothing; null and empty items are ignored; repeated rows each get their result; columns
 named leak_items, leak_item or leak_distance are replaced, others are carried.
 """
 
@@ -138,6 +138,30 @@ class Items:
         return found
 
 
+class Exact:
+    """Short items, by length: each is looked up between white space or a text's ends."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.by_length: dict[int, dict[bytes, list[int]]] = {}
+        for i, t in items:
+            padded = b" " + t + b" "
+            self.by_length.setdefault(len(padded), {}).setdefault(padded, []).append(i)
+        self.hashes = {n: np.unique([Rolling(np.frombuffer(t, np.uint8)).every(n)[0] for t in ts]) for n, ts in self.by_length.items()}
+
+    def search(self, texts: list[bytes]) -> list[set[int]]:
+        """Of each text the ids of the items that it holds."""
+        found: list[set[int]] = [set() for _ in texts]
+        if not self.by_length:
+            return found
+        whole = b"".join(b" " + t + b" \n" for t in texts)
+        ends = np.cumsum([len(t) + 3 for t in texts])
+        roll = Rolling(np.frombuffer(whole, np.uint8))
+        for n, items in self.by_length.items():
+            for at in np.flatnonzero(np.isin(roll.every(n), self.hashes[n])).tolist():
+                found[int(np.searchsorted(ends, at, "right"))].update(items.get(whole[at : at + n], ()))
+        return found
+
+
 def annotate(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """docs with leak_items (how many test items it holds), leak_item (the nearest, then smallest id) and leak_distance."""
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -148,22 +172,23 @@ def annotate(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int =
     schema = out.schema
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        held = [(r["item_id"], t) for r in rows if len(t := plain(r["text"])) >= least]
+        held = sorted((r["item_id"], t) for r in rows if (t := plain(r["text"])))
         if held:
-            out = out.mapInArrow(_searcher(sorted(held), rate), schema)
+            out = out.mapInArrow(_searcher(held, rate, least), schema)
     return out
 
 
-def _searcher(held: list[tuple[int, bytes]], rate: float):
+def _searcher(held: list[tuple[int, bytes]], rate: float, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(held, rate)
+        items = Items([x for x in held if len(x[1]) >= least], rate)
+        short = Exact([x for x in held if len(x[1]) < least])
         for batch in pieces(batches, "text"):
             names = batch.schema.names
             texts = [plain(t) for t in batch["text"].to_pylist()]
             found = items.search(texts)
             n, best, distance = [], [], []
-            for f, n0, b0, d0 in zip(found, *(batch[c].to_pylist() for c in _ADDED), strict=True):
-                per: dict[int, int] = {}
+            for f, exact, n0, b0, d0 in zip(found, short.search(texts), *(batch[c].to_pylist() for c in _ADDED), strict=True):
+                per = dict.fromkeys(exact, 0)
                 for i, d in f.items():
                     per[items.items[i][0]] = min(d, per.get(items.items[i][0], d))
                 nearest = min([(d, k) for k, d in per.items()] + ([(d0, b0)] if b0 is not None else []), default=(None, None))

@@ -4,11 +4,12 @@ A line's key is the line stripped of ASCII white space with A-Z lower-cased. A k
 `least` code points that two documents hold keeps its lines only in the smallest doc_id. The
 exact table has a row for each repeated key: how many documents refer to it and which one
 keeps it. Cuckoo filters, one for each shard of the key space, stand before that table: a line
-which its filter doesn't know is unique, so it is never shuffled. They are broadcast only
-while they are smaller than `FILTER_BYTES`; beyond it every line takes the shuffle join.
+which its filter doesn't know is unique and does not reach the exact table. Filters of up to `FILTER_BYTES` together
+are broadcast; larger ones are sent to their shard's keys, `SALTS` tasks a shard, so that a task holds one at a time.
 
 Null and empty texts are one empty line. Repeated rows of one doc_id count as one document and
-are treated alike. Extra columns are ignored by `dedup_report` and carried by `dedup_lines`.
+are treated alike; a row without a doc_id keeps all its lines, as it is not larger than any other, and takes none from others.
+Extra columns are ignored by `dedup_report` and carried by `dedup_lines`.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, pieces, scratch, settled, shipped
+from .common import SPACE, discard, pieces, remove, scratch, settled, shipped
 
 LEAST = 10
 #: Keys of one shard's filter, and the most bytes of all filters together that are broadcast.
 SHARD_KEYS, FILTER_BYTES = 1 << 16, 32 << 20
+#: Tasks that share the keys of a shard, where filters are not broadcast: a very common line is spread over them.
+SALTS = 8
 _SLOTS = 4
 
 
@@ -96,9 +99,9 @@ class Cuckoo:
                     break
 
 
-def filled(keys: np.ndarray) -> Cuckoo:
-    """A filter with these keys, of the smallest size that takes them."""
-    capacity = max(4, len(keys))
+def filled(keys: np.ndarray, room: int = 0) -> Cuckoo:
+    """A filter with these keys, of the smallest size that takes them and room for so many more."""
+    capacity = max(4, len(keys) + room)
     while True:
         try:
             out = Cuckoo(capacity)
@@ -167,10 +170,12 @@ def reference_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
     )
 
 
-def shard_filters(table: DataFrame, shards: int) -> DataFrame:
-    """(shard, filter): one cuckoo filter for each shard of the table's keys."""
+def shard_filters(table: DataFrame, shards: int, room: int = 0) -> DataFrame:
+    """(shard, filter): one cuckoo filter for each shard of the table's keys, with room for so many more."""
+
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "filter": [filled(part["h1"].to_numpy().view(np.uint64)).blob()]})
+        made = filled(part["h1"].to_numpy().view(np.uint64), room)
+        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "filter": [made.blob()]})
 
     return table.select("h1", _shard(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
 
@@ -180,17 +185,54 @@ def _shard(shards: int):
     return F.col("h2").bitwiseAND(F.lit(shards - 1).cast("long")).cast("int")
 
 
+def _probe(batch: pa.RecordBatch, known: Cuckoo) -> pa.RecordBatch:
+    return batch.filter(pa.array(known.holds(batch["h1"].to_numpy().view(np.uint64))))
+
+
+def known_rows(rows: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
+    """The rows (h1, h2, doc_id) that their shard's filter knows. Filters and rows meet in tasks by shard and salt: a filter
+    stands before its rows, which stream past it."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    dealt = rows.select("h1", "h2", "doc_id", _shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), none("filter", "binary"))
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sent = filters.select(none("h1", "long"), none("h2", "long"), none("doc_id", "long"), "shard", copies, "filter")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, Cuckoo(1)
+        for batch in batches:
+            group = batch["shard"].to_numpy().astype(np.int64) * SALTS + batch["salt"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if group[a] != now:
+                    now, known = group[a], Cuckoo(1)
+                if (blob := part["filter"][0].as_py()) is not None:
+                    known, part = Cuckoo(blob=blob), part.slice(1)
+                yield _probe(part.select(["h1", "h2", "doc_id"]), known)
+
+    both = dealt.unionByName(sent).repartition("shard", "salt")
+    return both.sortWithinPartitions("shard", "salt", F.col("filter").isNull()).mapInArrow(run, _KEY_ROWS)
+
+
+def shards_for(n: int) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
+
+
 def _dropped(docs: DataFrame, least: int) -> DataFrame:
     """(doc_id, keys): digests of the keys whose lines this document loses."""
     spark = docs.sparkSession
     counts = settled(reference_counts(docs, least), "line-refs")
     n = counts.count()
-    shards = 1 << max(0, int(np.ceil(np.log2(max(1, n) / SHARD_KEYS))))
-    filters = None
+    shards = shards_for(n)
+    filters = shard_filters(counts, shards)
     if n * 8 <= FILTER_BYTES:  # at most 2 bytes of table a slot, and half of the slots empty
-        blobs = {r["shard"]: bytes(r["filter"]) for r in shard_filters(counts, shards).collect()}
-        filters = spark.sparkContext.broadcast([blobs.get(i, Cuckoo(1).blob()) for i in range(shards)])
-    rows = _narrow(docs).mapInArrow(_line_keys(least, filters), _KEY_ROWS)
+        blobs = {r["shard"]: bytes(r["filter"]) for r in filters.collect()}
+        held = spark.sparkContext.broadcast([blobs.get(i, Cuckoo(1).blob()) for i in range(shards)])
+        rows = _narrow(docs).mapInArrow(_line_keys(least, held), _KEY_ROWS)
+    else:
+        rows = known_rows(_narrow(docs).mapInArrow(_line_keys(least), _KEY_ROWS), settled(filters, "line-filters"), shards)
     lost = rows.join(counts.select("h1", "h2", "keeper"), ["h1", "h2"]).where("doc_id > keeper").select("doc_id", "h1", "h2")
     return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost_keys"))
 
@@ -240,79 +282,91 @@ def dedup_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 class LineIndex:
     """A line index that documents can enter and leave: postings in generations, filters by shard.
 
-    The exact reference-count table is the sum of all generations' (key, document, +1 or -1)
-    postings, so taking a document out makes the next smallest holder the keeper again. The
-    filters know every live key; inserting a batch asks them first, and only known keys join
-    the postings."""
+    A posting says that a document holds a key, or from its generation on no more. The newest generation of each
+    (key, document) counts, so a document that enters twice is in once and leaves at once. The exact table of reference counts
+    is the sum of the live postings: when a document leaves, the next smallest holder becomes the keeper again.
+
+    The filters know every live key. They grow with the index: as soon as shards hold more than SHARD_KEYS keys on average
+    there are twice as many, made anew from the exact table; else only the new or dead keys of a batch are put in or
+    taken out. `known` asks the filters first; only rows that they know reach the exact table."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = 16, least: int = LEAST):
-        self.spark, self.path, self.shards, self.least = spark, path or scratch(spark, "line-index"), shards, least
-        self.generation = 0
+    def __init__(self, spark: SparkSession, path: str | None = None, least: int = LEAST):
+        self.spark, self.path, self.least = spark, path or scratch(spark, "line-index"), least
+        self.generation, self.keys, self.shards = 0, 0, 1
+        self._filters: str | None = None
 
-    def _postings(self, rows: DataFrame, change: int) -> None:
+    def _put(self, rows: DataFrame, live: bool) -> None:
         self.generation += 1
-        rows.withColumn("change", F.lit(change)).write.parquet(f"{self.path}/postings/generation={self.generation}")
+        rows.select("h1", "h2", "doc_id", F.lit(live).alias("live")).write.parquet(f"{self.path}/postings/generation={self.generation}")
 
     def postings(self) -> DataFrame:
-        live = self.spark.read.schema("h1 long, h2 long, doc_id long, change int, generation int").parquet(f"{self.path}/postings")
-        return live.groupBy("h1", "h2", "doc_id").agg(F.sum("change").alias("n")).where("n > 0").drop("n")
+        """Live (h1, h2, doc_id)."""
+        if not self.generation:
+            return self.spark.createDataFrame([], _KEY_ROWS)
+        rows = self.spark.read.schema("h1 long, h2 long, doc_id long, live boolean, generation int").parquet(f"{self.path}/postings")
+        return rows.groupBy("h1", "h2", "doc_id").agg(F.max_by("live", "generation").alias("live")).where("live").drop("live")
 
     def counts(self) -> DataFrame:
         return self.postings().groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("keeper"))
 
     def insert(self, docs: DataFrame) -> None:
-        rows = settled(_narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS).distinct(), "line-batch")
-        self._postings(rows, 1)
-        self._refilter(rows.select("h1", "h2").distinct(), insert=True)
+        """Takes documents in; those that are in already change nothing."""
+        rows = settled(_narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS).where("doc_id IS NOT NULL").distinct(), "line-batch")
+        new = rows.select("h1", "h2").distinct().join(self.counts().select("h1", "h2"), ["h1", "h2"], "left_anti")
+        new = settled(new, "line-new-keys")
+        self._put(rows, True)
+        self._refilter(new, new.count())
+        discard(rows, new)
 
     def delete(self, doc_ids: DataFrame) -> None:
-        gone = settled(self.postings().join(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi").select("h1", "h2", "doc_id"), "line-gone")
-        self._postings(gone, -1)
-        left = self.postings().select("h1", "h2").distinct()
-        self._refilter(gone.select("h1", "h2").distinct().join(left, ["h1", "h2"], "left_anti"), insert=False)
-
-    def filters(self) -> DataFrame | None:
-        return self.spark.read.parquet(self._at) if getattr(self, "_at", None) else None
-
-    def _refilter(self, keys: DataFrame, insert: bool) -> None:
-        old = self.filters() if self.filters() is not None else self.spark.createDataFrame([], "shard int, filter binary")
-
-        def change(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        """Takes documents out."""
+        gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
+        gone = settled(self.postings().join(gone, "doc_id", "left_semi").select("h1", "h2", "doc_id"), "line-gone")
+        self._put(gone, False)
+        dead = settled(gone.select("h1", "h2").distinct().join(self.counts().select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-dead-keys")
+        self._refilter(dead, -dead.count())
+        discard(gone, dead)
+
+    def filters(self) -> DataFrame:
+        return self.spark.read.schema("shard int, filter binary").parquet(self._filters)
+
+    def _refilter(self, keys: DataFrame, change: int) -> None:
+        """keys: those that become live (change > 0) or dead."""
+        self.keys += change
+        add, at = change > 0, f"{self.path}/filters/generation={self.generation}"
+        if self._filters is None or self.keys > self.shards * SHARD_KEYS:
+            self.shards = 2 * shards_for(self.keys)
+            self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at)
+            return
+
+        def update(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             shard = (left if len(left) else right)["shard"].iloc[0]
             h = left["h1"].to_numpy(np.int64).view(np.uint64) if len(left) else np.zeros(0, np.uint64)
-            live = right["live"].iloc[0] if len(right) else None
-            have = np.frombuffer(live, np.uint64) if live is not None else np.zeros(0, np.uint64)
-            kept = Cuckoo(blob=right["filter"].iloc[0]) if len(right) else Cuckoo(4 * max(64, len(h)))
-            if insert:
-                new = h[~np.isin(h, have)]
-                have = np.concatenate([have, new])
-                try:
-                    kept.insert(new)
-                except OverflowError:
-                    kept = filled(np.concatenate([have, have[:0]]))
-            else:
-                kept.delete(h[np.isin(h, have)])
-                have = have[~np.isin(have, h)]
-            return pd.DataFrame({"shard": [shard], "filter": [kept.blob()], "live": [have.tobytes()]})
+            kept = Cuckoo(blob=right["filter"].iloc[0]) if len(right) else Cuckoo(2 * SHARD_KEYS)
+            try:
+                kept.insert(h) if add else kept.delete(h)
+            except OverflowError:  # an unusually full shard: all filters are made anew
+                return pd.DataFrame({"shard": [shard], "filter": [None]})
+            return pd.DataFrame({"shard": [shard], "filter": [kept.blob()]})
 
-        old = old if "live" in old.columns else old.withColumn("live", F.lit(None).cast("binary"))
         side = keys.select("h1", _shard(self.shards).alias("shard"))
-        new = side.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(change, "shard int, filter binary, live binary")
-        self._at = f"{self.path}/filters/generation={self.generation}"
-        new.write.parquet(self._at)
+        self._written(side.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(update, "shard int, filter binary"), at)
+        if not self.filters().where("filter IS NULL").isEmpty():
+            self.shards *= 2
+            self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at + "-anew")
+
+    def _written(self, filters: DataFrame, at: str) -> None:
+        filters.write.parquet(at)
+        if self._filters:
+            remove(self.spark, self._filters)
+        self._filters = at
 
     def known(self, docs: DataFrame) -> DataFrame:
         """Key rows of docs that the filters know, checked against the exact table."""
-        rows = _narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS).withColumn("shard", _shard(self.shards))
-
-        def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            left = left[["h1", "h2", "doc_id"]]
-            if not len(left) or not len(right):
-                return left.iloc[:0]
-            return left[Cuckoo(blob=right["filter"].iloc[0]).holds(left["h1"].to_numpy(np.int64).view(np.uint64))]
-
-        hits = rows.groupBy("shard").cogroup(self.filters().select("shard", "filter").groupBy("shard")).applyInPandas(probe, _KEY_ROWS)
-        return hits.join(self.counts(), ["h1", "h2"])
+        rows = _narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS)
+        if self._filters is None:
+            return rows.where("false").join(self.counts(), ["h1", "h2"])
+        return known_rows(rows, self.filters(), self.shards).join(self.counts(), ["h1", "h2"])
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """docs' lines against the live index: keys kept by a smaller document go."""

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, digests, discard, flat, keyed, pieces, remove, scratch, settled, shipped, signed, sliding_min, words_of
 from .filters import key_filter, passing
 
-WIDTH, GRAM, MOST, FANOUT, SLICE = 20, 5, 64, 4, 1 << 20
+WIDTH, GRAM, MOST, FANOUT, SLICE = 20, 5, 64, 4, 1 << 17
 _ROWS = "g long, u long, v long, doc_id long, start int, n int"
 _PIECE = "g long, u long, v long, words binary"
 _SPANS = "g long, u long, v long, rel array<struct<a:int,b:int>>"

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Rolling, digests, discard, flat, keyed, pieces, settled, shipped, signed, sliding_min
 from .filters import key_filter, passing
 
-WIDTH, GRAM, MOST, CHUNK, SLICE = 200, 32, 64, 3000, 4 << 20
+WIDTH, GRAM, MOST, CHUNK, SLICE = 200, 32, 64, 3000, 1 << 20
 #: Distances of a cell at each cut of a large group, for strings of 200 bytes and less.
 CELLS = (64, 16, 4, 1)
 _INSTANCE = "g long, u long, v long, doc_id long, start int, n int"

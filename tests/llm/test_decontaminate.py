@@ -29,7 +29,7 @@ def test_documents_against_brute_force(spark):
     rng = np.random.RandomState(3)
     vocab = ["the", "and", "of", "thin", "erha", "ou", "stion", "re"]
     words = lambda n: " ".join(rng.choice(vocab, n))
-    items = [(i, words(rng.randint(10, 30))) for i in range(8)] + [(50, None), (51, "short"), (None, "null id " * 9)]
+    items = [(i, words(rng.randint(10, 30))) for i in range(8)] + [(50, None), (51, "Short"), (52, "a  bc"), (53, ""), (None, "null id " * 9)]
     docs = []
     for i in range(60):
         t = items[i % 8][1]
@@ -55,3 +55,11 @@ def test_documents_against_brute_force(spark):
             assert (by[d].leak_distance, by[d].leak_item) == min((e, i) for i, e in want.items())
     assert M.clean(df, it).columns == df.columns
     assert M.report(df.where("false"), it).count() == 0 and not any(r.contaminated for r in M.report(df, it.where("false")).collect())
+
+
+def test_short_items_are_found_as_whole_words(spark):
+    texts = ["this is short", "shorter", "SHORT\nand", "x a bc", "xa bc", "a b c", "", "a bc"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(7, "Short"), (8, "a  bc"), (9, " "), (10, "short")], "item_id long, text string")
+    got = {r.doc_id: (r.leak_items, r.leak_item) for r in M.report(df, items).collect()}
+    assert got == {0: (2, 7), 1: (0, None), 2: (2, 7), 3: (1, 8), 4: (0, None), 5: (0, None), 6: (0, None), 7: (1, 8)}

@@ -42,7 +42,8 @@ def test_documents_against_brute_force(spark, monkeypatch):
     assert result(M.dedup_report(df)) == brute(rows)
     out = M.dedup_lines(df)
     assert out.columns == ["doc_id", "text", "n_lines", "n_dropped", "kept_sha256"] and out.count() == len(rows)
-    monkeypatch.setattr(M, "FILTER_BYTES", 0)  # and with the shuffle join alone
+    monkeypatch.setattr(M, "FILTER_BYTES", 0)  # filters that are too large for a broadcast
+    monkeypatch.setattr(M, "SHARD_KEYS", 8)
     assert result(M.dedup_report(df)) == brute(rows)
     assert M.dedup_report(df.where("false")).count() == 0
 
@@ -59,7 +60,7 @@ def test_filters_hold_what_they_are_given():
 def test_documents_enter_and_leave(spark):
     rows = dict(corpus(1)[:40])
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    index = M.LineIndex(spark, shards=4)
+    index = M.LineIndex(spark)
     index.insert(df.where("doc_id < 60"))
     index.insert(df.where("doc_id >= 60"))
     assert result(index.dedup(df)) == brute(rows.items())
@@ -69,3 +70,33 @@ def test_documents_enter_and_leave(spark):
     assert result(index.dedup(df.where(~df.doc_id.isin(gone)))) == brute(left.items())
     index.insert(df.where(df.doc_id.isin(gone)))
     assert result(index.dedup(df)) == brute(rows.items())
+
+
+def test_random_inserts_and_deletes_against_brute_force(spark, monkeypatch):
+    """Documents enter more than once, leave, and enter again; the filters grow by several doublings."""
+    monkeypatch.setattr(M, "SHARD_KEYS", 16)
+    rng = np.random.RandomState(7)
+    rows = dict(corpus(2)[:50])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").cache()
+    index, live, shards = M.LineIndex(spark), set(), []
+    for turn in range(5):
+        some = [int(d) for d in rng.choice(list(rows), 30, replace=False)]
+        if turn in (1, 3):
+            index.delete(spark.createDataFrame([(d,) for d in some[:12]], "doc_id long"))
+            live -= set(some[:12])
+        else:
+            index.insert(df.where(df.doc_id.isin(some)))
+            live |= set(some)
+        shards.append(index.shards)
+    assert result(index.dedup(df.where(df.doc_id.isin(live)))) == brute([(d, rows[d]) for d in live])
+    assert {r.doc_id for r in index.postings().select("doc_id").distinct().collect()} <= live and shards[-1] > 4
+    index.insert(df.where("doc_id = 3"))
+    index.insert(df.where("doc_id = 3"))
+    index.delete(spark.createDataFrame([(3,)], "doc_id long"))
+    assert index.postings().where("doc_id = 3").count() == 0
+
+
+def test_rows_without_an_id_keep_their_lines(spark):
+    line = "a line that two documents hold"
+    got = M.dedup_report(spark.createDataFrame([(None, line), (4, line), (5, line)], "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_dropped) for r in got) == [("4", 0), ("5", 1), ("None", 0)]
