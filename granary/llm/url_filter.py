@@ -1,10 +1,11 @@
 """URL filtering by rules and by path-template trees, with DataFrame functions only.
 
 Each host has a tree of path segments. A segment's runs of digits and long hexadecimal runs are typed
-(`<n>`, `<h>`). From the root down to depth `DEPTH` the children of each node are generalised:
+(`<n>`, `<h>`). From the root down the children of each node are generalised:
 a node with at least `FANOUT` children that are met fewer than `VISITS` times each on average is variable, and its rare
 children become `*`; and sibling branches whose next segments and whose labelled shares do not differ
-statistically from their siblings' together (chi-square, two standard deviations) merge into `*`. What lies deeper than DEPTH is `**`.
+statistically from their siblings' together (chi-square, two standard deviations) merge into `*`. The tree grows as deep as
+some node has two paths or more; what is left of a single path is taken as it is.
 A template (host and generalised path) is rejected if its share of bad labels, smoothed by `PRIOR`
 labels at the whole table's share, reaches `REJECT`.
 
@@ -13,9 +14,9 @@ path; of several the longest text wins. The host of a url is what follows its fi
 lower-cased; the path goes on to `?`, `#` or the end. A null url or one without `://` has neither (empty strings), and
 is judged as the template of the empty host.
 
-The tree is built on counts of (host, typed path), never on pages, so a host with a third of all pages
-is a few rows. Repeated rows each get their row, null page_ids have no label, an empty table
-gives no rows, extra columns are ignored.
+The tree is built on counts of (host, typed path), never on pages. Sums of a node are made by partial aggregation and written
+before they are joined, so the paths of one very large host are dealt to many tasks where they meet them. Repeated rows each get
+their row, null page_ids have no label, an empty table gives no rows, extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import discard, settled
 
-DEPTH, FANOUT, VISITS, PRIOR, REJECT = 4, 8, 3.0, 4.0, 0.5
+FANOUT, VISITS, PRIOR, REJECT = 8, 3.0, 4.0, 0.5
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
@@ -50,10 +51,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def typed_segments(path: Column) -> Column:
-    """The path's segments with typed runs; at most DEPTH + 1, the last `**` for all that is deeper."""
+    """The path's segments with typed runs."""
     typed = F.regexp_replace(F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "<h>"), "[0-9]+", "<n>")
-    parts = F.split(F.regexp_replace(typed, "^/", ""), "/")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+    return F.split(F.regexp_replace(typed, "^/", ""), "/")
 
 
 def _differs(bad: Column, n: Column, rate: Column) -> Column:
@@ -63,28 +63,39 @@ def _differs(bad: Column, n: Column, rate: Column) -> Column:
 
 def templates(paths: DataFrame) -> DataFrame:
     """paths: host, segs, n, labels, bad, one row for each host and segs. Adds template."""
-    node = paths.withColumn("at", F.lit(""))
-    for depth in range(1, DEPTH + 1):
-        node = node.withColumns({"seg": F.coalesce(F.get("segs", F.lit(depth - 1)), F.lit("")), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit("")), "deep": F.size("segs") >= depth})
-        grown = node.where("deep")
-        branch_next = grown.groupBy("host", "at", "seg", "next").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"), F.sum("bad").alias("bad"))
-        branch = branch_next.groupBy("host", "at", "seg").agg(F.sum("n").alias("bn"), F.sum("labels").alias("bl"), F.sum("bad").alias("bb"))
-        parent = branch.groupBy("host", "at").agg(F.count("*").alias("kids"), F.sum("bn").alias("pn"), F.sum("bl").alias("pl"), F.sum("bb").alias("pb"))
-        pooled = branch_next.groupBy("host", "at", "next").agg(F.sum("n").alias("cn"))
+    sums = lambda *p: [F.sum(c).alias(p[0] + s) for c, s in (("n", "n"), ("labels", "l"), ("bad", "b"))]
+    rest = lambda depth: F.array_join(F.slice("segs", depth, F.greatest(F.size("segs"), F.lit(1))), "/")
+    node, done, depth = paths.withColumn("at", F.lit("")), None, 0
+    while True:
+        depth += 1
+        # nodes of one path are leaves: the rest of the path is its template
+        alone = settled(node.groupBy("host", "at").agg(F.count("*").alias("__paths")), "url-nodes")
+        node = node.join(alone, ["host", "at"])
+        deep = (F.col("__paths") > 1) & (F.size("segs") >= depth)
+        tail = F.when(F.size("segs") >= depth, F.concat(F.lit("/"), rest(depth))).otherwise(F.lit(""))
+        ended = settled(node.where(~deep).select(*paths.columns, F.concat("at", tail).alias("at")), "url-ended")
+        done = ended if done is None else done.unionByName(ended)
+        grown = settled(node.where(deep).drop("__paths").withColumns({"seg": F.get("segs", F.lit(depth - 1)), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit(""))}), "url-grown")
+        if grown.isEmpty():
+            return done.withColumn("template", F.concat("host", "at")).drop("at")
+        cells = settled(grown.groupBy("host", "at", "seg", "next").agg(*sums("")), "url-cells").toDF("host", "at", "seg", "next", "n", "labels", "bad")
+        branch = settled(cells.groupBy("host", "at", "seg").agg(*sums("b")), "url-branches")
+        pooled = settled(cells.groupBy("host", "at", "next").agg(F.sum("n").alias("cn")), "url-pooled")
+        kinds = pooled.groupBy("host", "at").agg(F.count("*").alias("kinds"))
+        parent = branch.groupBy("host", "at").agg(F.count("*").alias("kids"), *(F.sum("b" + c).alias("p" + c) for c in "nlb"))
+        parent = settled(parent.join(kinds, ["host", "at"]), "url-parents")
         # chi-square of each branch's next segments against its siblings together; unseen segments add their expectation
-        cells = branch_next.join(pooled, ["host", "at", "next"]).join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
+        met = cells.join(pooled, ["host", "at", "next"]).join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
         expected = F.col("bn") * F.col("cn") / F.col("pn")
-        chi = cells.groupBy("host", "at", "seg").agg(F.sum(F.pow(F.col("n") - expected, 2) / expected - expected).alias("seen"), F.first("bn").alias("bn"))
-        kinds = pooled.groupBy("host", "at").agg(F.count("*").alias("kinds"))
-        judged = chi.withColumn("chi", F.col("seen") + F.col("bn")).select("host", "at", "seg", "chi").join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"]).join(kinds, ["host", "at"])
+        chi = met.groupBy("host", "at", "seg").agg((F.sum(F.pow(F.col("n") - expected, 2) / expected - expected) + F.first("bn")).alias("chi"))
+        judged = settled(chi, "url-chi").join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
         free = F.col("kinds") - 1
         variable = (F.col("kids") >= FANOUT) & (F.col("pn") < VISITS * F.col("kids")) & (F.col("bn") < VISITS)
-        similar = (F.col("kids") > 1) & (F.col("chi") <= free + 2 * F.sqrt(2 * free)) & ~_differs(F.col("bb"), F.col("bl"), F.coalesce(F.try_divide("pb", "pl"), F.lit(0.0)))
-        judged = judged.select("host", "at", "seg", F.when(variable | similar, F.lit("*")).otherwise(F.col("seg")).alias("as"))
-        node = node.join(judged, ["host", "at", "seg"], "left")
-        node = node.withColumn("at", F.when(F.col("deep"), F.concat("at", F.lit("/"), F.coalesce("as", "seg"))).otherwise(F.col("at"))).select(*paths.columns, "at")
-        node = settled(node, f"url-depth-{depth}")
-    return node.withColumn("template", F.concat("host", "at", F.when(F.size("segs") > DEPTH, F.lit("/**")).otherwise(F.lit("")))).drop("at")
+        usual = ~_differs(F.col("bb"), F.col("bl"), F.coalesce(F.try_divide("pb", "pl"), F.lit(0.0)))
+        similar = (F.col("kids") > 1) & (F.col("chi") <= free + 2 * F.sqrt(2 * free)) & usual
+        judged = settled(judged.select("host", "at", "seg", F.when(variable | similar, F.lit("*")).otherwise(F.col("seg")).alias("as")), "url-judged")
+        node = settled(grown.join(judged, ["host", "at", "seg"]).select(*paths.columns, F.concat("at", F.lit("/"), "as").alias("at")), f"url-depth-{depth}")
+        discard(alone, grown, cells, branch, pooled, parent, judged)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

@@ -13,8 +13,7 @@ def brute(rows, bad, rules=M.RULES):
         host = "".join(c.lower() if c.isascii() else c for c in m[1]) if m else ""
         path = m[2] if m else ""
         typed = re.sub("[0-9]+", "<n>", re.sub(r"(?i)(?<![0-9a-z])(?=[a-f]*[0-9])[0-9a-f]{8,}(?![0-9a-z])", "<h>", path))
-        segs = re.sub("^/", "", typed).split("/")
-        segs = (*segs[: M.DEPTH], "**") if len(segs) > M.DEPTH else tuple(segs)
+        segs = tuple(re.sub("^/", "", typed).split("/"))
         fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
         seen.append((i, host, path, segs, max(fit, default=(0, None, None))[1:]))
     count = defaultdict(lambda: [0, 0, 0])
@@ -24,7 +23,7 @@ def brute(rows, bad, rules=M.RULES):
         c[1] += i in bad
         c[2] += bad.get(i, 0)
     at = dict.fromkeys(count, "")
-    for d in range(1, M.DEPTH + 1):
+    for d in range(1, max((len(segs) for _, segs in count), default=0) + 1):
         cell = defaultdict(lambda: [0, 0, 0])
         for (host, segs), c in count.items():
             if len(segs) >= d:
@@ -49,7 +48,7 @@ def brute(rows, bad, rules=M.RULES):
         for (h, segs), a in list(at.items()):
             if len(segs) >= d:
                 at[h, segs] = a + "/" + new[h, a, segs[d - 1]]
-    template = {k: k[0] + a + ("/**" if len(k[1]) > M.DEPTH else "") for k, a in at.items()}
+    template = {k: k[0] + a for k, a in at.items()}
     rate = sum(c[2] for c in count.values()) / max(1, sum(c[1] for c in count.values()))
     stat = defaultdict(lambda: [0, 0])
     for k, c in count.items():
@@ -77,7 +76,8 @@ def test_pages_against_brute_force(spark):
 def test_trees_and_edges(spark):
     urls = [f"https://A.shop.io/item/{x}/view" for x in ("red", "blue", "green", "black", "white", "pink", "cyan", "gold", "grey")]
     urls += [f"http://a.shop.io/spam/{i}" for i in range(30)] + [f"http://a.shop.io/blog/{i}/x?y" for i in range(30)]
-    urls += ["http://b.io/a/b/c/d/e/f/g", "http://b.io/deadbeef12/x", "nothing", None, "", "x://", "HTTP://EXAMPLE.COM/en/7?x", "http://xexample.com/en/1", "http://sub.example.net/de/81#a", "a://b.org/es/", "://q?r/s", "http://b.io/" + "long/" * 20000]
+    urls += ["http://b.io/a/b/c/d/e/f/g", "http://b.io/deadbeef12/x", "nothing", None, "", "x://", "HTTP://EXAMPLE.COM/en/7?x", "http://xexample.com/en/1", "http://sub.example.net/de/81#a", "a://b.org/es/", "://q?r/s", "http://b.io/" + "long/" * 300]
+    urls += [f"http://deep.io/a/b/c/d/e/{x}/{i}" for i in range(12) for x in ("spam", "docs")]  # parted only at the sixth segment
     rows = list(enumerate(urls)) + [(3, urls[3]), (None, urls[4])]
     bad = {i: int("spam" in (u or "")) for i, u in rows if i is not None and i % 2}
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, rule string, template string")
