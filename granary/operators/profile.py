@@ -1,4 +1,4 @@
-"""Column profiles in one aggregate pass a table, and health flags on them."""
+"""Column profiles and health flags on them."""
 
 from __future__ import annotations
 
@@ -24,31 +24,49 @@ def _long(wide: DataFrame, columns: list[str], fields: tuple[str, ...], table: s
     return wide.select(F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), F.explode(cells).alias("x")).select("layer", "table_name", "x.*")
 
 
-def profile(df: DataFrame, table: str, layer: str, approximate: bool = False, batch: int = 8) -> DataFrame:
-    """22 figures a column. Columns go in batches, because each exact distinct count multiplies the rows; approximate avoids that."""
-    parts = []
+def profile(df: DataFrame, table: str, layer: str, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
+    """22 figures a column: one aggregate over the table, and for exact distinct counts one over (column, value) pairs.
+
+    Each row becomes one short pair a column; pairs are made distinct and counted, and both steps aggregate before they
+    shuffle. approximate: distinct counts by sketches. accuracy: that of the quartiles; a state holds no more values than that."""
     types = dict(df.dtypes)
-    for at in range(0, len(df.columns), batch):
-        cols = df.columns[at : at + batch]
-        wide = df.agg(*(_figures(c, types[c], approximate).alias(c) for c in cols))
-        parts.append(_long(wide, cols, STATS, table, layer))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    wide = df.agg(*(_figures(c, types[c], approximate, accuracy).alias(c) for c in df.columns))
+    out = _long(wide, df.columns, STATS if approximate else tuple(x for x in STATS if x != "distinct_count"), table, layer)
+    if not approximate:
+        out = out.join(F.broadcast(_distinct(df, types)), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
+        out = out.select("layer", "table_name", "column_name", *STATS)
     rate = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.col("total_rows")), 2)
     return out.withColumns({"null_pct": rate("null_count"), "blank_pct": rate("blank_count"), "cardinality_pct": rate("distinct_count")})
 
 
-def _figures(c: str, kind: str, approximate: bool) -> Column:
-    col, text = F.col(c), F.col(c).cast("string")
+def _distinct(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(column_name, distinct_count) of columns that hold a value. Equal values of a column have equal texts."""
+
+    def text(c: str) -> Column:
+        col = F.col(f"`{c}`")
+        if types[c] in ("double", "float"):
+            return (col + 0.0).cast("string")  # the two zeros are one value
+        return F.hex(col) if types[c] == "binary" else col.cast("string")
+
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(df.columns)))
+    pairs = df.select(F.explode(cells).alias("cell")).where("cell.v IS NOT NULL").groupBy("cell.i", "cell.v").agg(F.lit(1).alias("one"))
+    names = F.array(*(F.lit(c) for c in df.columns))
+    return pairs.groupBy("i").agg(F.count("*").alias("distinct_count")).select(names[F.col("i")].alias("column_name"), "distinct_count")
+
+
+def _figures(c: str, kind: str, approximate: bool, accuracy: int) -> Column:
+    col = F.col(f"`{c}`")
+    text = col.cast("string")
     number = col.cast("double") if kind in _NUMBERS or kind.startswith("decimal") else F.lit(None).cast("double")
     length = F.length(text) if kind == "string" else F.lit(None).cast("int")
-    quart = lambda q: F.percentile_approx(number, q, 1_000_000)
-    distinct = F.approx_count_distinct(col) if approximate else F.count_distinct(col)
-    return F.struct(
-        F.count("*").alias("total_rows"), F.count_if(col.isNull()).alias("null_count"), F.count_if(F.trim(text) == "").alias("blank_count"), distinct.alias("distinct_count"),
-        F.min(number).alias("min_num"), F.max(number).alias("max_num"), F.round(F.avg(number), 4).alias("avg_num"), F.round(F.stddev(number), 4).alias("stddev_num"), quart(0.25).alias("p25"), quart(0.5).alias("p50"), quart(0.75).alias("p75"),
-        F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.round(F.avg(length), 2).alias("avg_len"))
+    quarts = F.percentile_approx(number, [0.25, 0.5, 0.75], accuracy)
+    out = [
+        F.count("*").alias("total_rows"), F.count_if(col.isNull()).alias("null_count"), F.count_if(F.trim(text) == "").alias("blank_count"),
+        F.min(number).alias("min_num"), F.max(number).alias("max_num"), F.round(F.avg(number), 4).alias("avg_num"),
+        F.round(F.stddev(number), 4).alias("stddev_num"), quarts[0].alias("p25"), quarts[1].alias("p50"), quarts[2].alias("p75"),
+        F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.round(F.avg(length), 2).alias("avg_len"),
+    ]
+    return F.struct(*out, *([F.approx_count_distinct(col).alias("distinct_count")] if approximate else []))
 
 
 def health_flags(profiled: DataFrame) -> DataFrame:
@@ -66,12 +84,12 @@ def lineage_flags(profiled: DataFrame, master: DataFrame) -> DataFrame:
     return j.withColumn("health_flag", flag)
 
 
-def profile_mapped(targets: DataFrame, reader: Callable[[str], DataFrame]) -> DataFrame:
+def profile_mapped(targets: DataFrame, reader: Callable[[str], DataFrame], accuracy: int = 10_000) -> DataFrame:
     """Profiles only the mapped columns, with one scan for each table. targets: table_name, column_name."""
     out = None
     for row in targets.groupBy("table_name").agg(F.sort_array(F.collect_set("column_name")).alias("cols")).orderBy("table_name").collect():
         df = reader(row["table_name"])
-        one = profile(df.select(*[c for c in row["cols"] if c in df.columns]), row["table_name"], "MAPPED")
+        one = profile(df.select(*[c for c in row["cols"] if c in df.columns]), row["table_name"], "MAPPED", accuracy=accuracy)
         out = one if out is None else out.unionByName(one)
     return out
 

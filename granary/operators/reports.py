@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.exprs import pct
@@ -38,11 +38,23 @@ def average_grade(scorecard: DataFrame) -> DataFrame:
 
 
 def rolling_users(activity: DataFrame, days: int = 30) -> DataFrame:
-    """Distinct users of the trailing days of each day: every activity day counts for the days that follow it."""
-    day = activity.select("log_date", "user_upn").distinct()
-    span = activity.agg(F.max("log_date").alias("last"))
-    spread = day.join(F.broadcast(span)).select("user_upn", F.explode(F.sequence("log_date", F.least(F.date_add("log_date", days - 1), "last"))).alias("log_date"))
-    return spread.groupBy("log_date").agg(F.count_distinct("user_upn").alias("active_users"))
+    """Distinct users of the trailing days of each day on which some user of them was active.
+
+    A user's days make spans in which the user counts; where one begins or ends the number of users changes, and the running
+    sum of a day's changes is its result. A user gives two rows a span, whatever the number of days."""
+    day = activity.select("log_date", "user_upn").where("log_date IS NOT NULL AND user_upn IS NOT NULL").distinct()
+    w = Window.partitionBy("user_upn").orderBy("log_date")
+    left = F.date_add(F.lag("log_date").over(w), days)
+    starts = day.withColumn("__new", (left.isNull() | (left < F.col("log_date"))).cast("int")).withColumn("__span", F.sum("__new").over(w))
+    spans = starts.groupBy("user_upn", "__span").agg(F.min("log_date").alias("a"), F.date_add(F.max("log_date"), days).alias("b"))
+    change = spans.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("n")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("n")))).alias("c"))
+    by_day = change.groupBy("c.at").agg(F.sum("c.n").alias("n"))
+    # from here on there is a row a day
+    last = activity.agg(F.max("log_date").alias("last"))
+    running = by_day.withColumns({"active_users": F.sum("n").over(Window.orderBy("at")), "next": F.lead("at").over(Window.orderBy("at"))})
+    until = F.least(F.date_sub(F.coalesce("next", F.col("at")), 1), "last")
+    rows = running.where("active_users > 0").join(F.broadcast(last)).where(F.col("at") <= F.col("last"))
+    return rows.select(F.explode(F.sequence("at", until)).alias("log_date"), "active_users")
 
 
 def page_totals(parsed: DataFrame) -> DataFrame:

@@ -35,9 +35,14 @@ TAGS = {
 CONFLICTS = {("HOUSING", "DOMESTIC_VIOLENCE"): "DOMESTIC_VIOLENCE", ("HOUSING", "HOMELESSNESS"): "HOMELESSNESS", ("MENTAL_HEALTH", "SUBSTANCE_USE"): "MENTAL_HEALTH", ("HEALTHCARE", "MENTAL_HEALTH"): "MENTAL_HEALTH", ("FINANCIAL", "HOUSING"): "HOUSING"}
 
 
+def lowered(df: DataFrame, text: str) -> DataFrame:
+    """Adds __low. It is a column of its own below its many uses, so each text is lower-cased once."""
+    return df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+
+
 def keyword_hits(df: DataFrame, text: str, word_boundary: bool = False) -> DataFrame:
     """Adds hits: array of (category, n, ordinal, keywords) of the categories that occur; one pass over the text, no join."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    low = F.col("__low")
 
     def found(word: str) -> Column:
         return low.rlike(rf"\b{word}\b") if word_boundary else low.contains(word)
@@ -47,27 +52,33 @@ def keyword_hits(df: DataFrame, text: str, word_boundary: bool = False) -> DataF
         have = F.array_compact(F.array(*(F.when(found(w), F.lit(w)) for w in words)))
         cats.append(F.struct(F.lit(cat).alias("category"), F.lit(i).alias("ordinal"), have.alias("keywords")))
     hits = F.filter(F.array(*cats), lambda x: F.size(x["keywords"]) > 0)
-    return df.withColumn("hits", F.transform(hits, lambda x: F.struct((-F.size(x["keywords"])).alias("minus_n"), x["ordinal"].alias("ordinal"), x["category"].alias("category"), x["keywords"].alias("keywords"))))
+    one = lambda x: F.struct((-F.size(x["keywords"])).alias("minus_n"), x["ordinal"].alias("ordinal"), x["category"].alias("category"), x["keywords"].alias("keywords"))
+    return lowered(df, text).withColumn("hits", F.transform(hits, one)).drop("__low")
 
 
 def categorize(hit: DataFrame) -> DataFrame:
     """primary_category and confidence of rows with hits: most hits first, then the order of categories."""
-    best = F.array_sort("hits")
-    one, two = F.get(best, F.lit(0))["category"], F.get(best, F.lit(1))["category"]
+    one, two = F.get("__best", F.lit(0))["category"], F.get("__best", F.lit(1))["category"]
     winner = F.create_map(*(F.lit(x) for pair, w in CONFLICTS.items() for x in ("|".join(sorted(pair)), w)))
     n = F.size("hits")
-    primary = F.when(n == 0, "GENERAL").when(n == 1, one).otherwise(F.coalesce(winner[F.concat_ws("|", F.least(one, two), F.greatest(one, two))], one))
-    return hit.withColumns({"primary_category": primary, "confidence": F.when(n == 0, "LOW").when(n == 1, "HIGH").otherwise("MEDIUM"), "matched_keywords": F.array_sort(F.flatten(F.transform("hits", lambda x: x["keywords"])))})
+    known = F.coalesce(winner[F.concat_ws("|", F.least(one, two), F.greatest(one, two))], one)
+    out = hit.withColumn("__best", F.array_sort("hits")).withColumns({
+        "primary_category": F.when(n == 0, "GENERAL").when(n == 1, one).otherwise(known),
+        "confidence": F.when(n == 0, "LOW").when(n == 1, "HIGH").otherwise("MEDIUM"),
+        "matched_keywords": F.array_sort(F.flatten(F.transform("hits", lambda x: x["keywords"]))),
+    })
+    return out.drop("__best")
 
 
 def modifier_tags(df: DataFrame, text: str) -> DataFrame:
     """Sorted distinct tags; rows that hit LGBTQ keywords without it as primary category get its tag as well."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    tags = F.array_compact(F.array(*(F.when(low.rlike(p), F.lit(t)) for p, t in TAGS.items())))
+    tags = F.array_compact(F.array(*(F.when(F.col("__low").rlike(p), F.lit(t)) for p, t in TAGS.items())))
+    out = lowered(df, text).withColumn("sub_tags", tags).drop("__low")
+    tags = F.col("sub_tags")
     if "hits" in df.columns and "primary_category" in df.columns:
         also = F.exists("hits", lambda x: x["category"] == "LGBTQ") & (F.col("primary_category") != "LGBTQ")
         tags = F.when(also, F.array_union(tags, F.array(F.lit("LGBTQ-Affirming")))).otherwise(tags)
-    return df.withColumn("sub_tags", F.array_sort(F.array_distinct(tags)))
+    return out.withColumn("sub_tags", F.array_sort(F.array_distinct(tags)))
 
 
 def search(facilities: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:

@@ -21,7 +21,7 @@ from .logs import A1, A2, A3, A5, PARSED, logs, parsed
 from .registry import register
 
 # --- profiles -------------------------------------------------------------------------------------------------------
-_KIND = {"events": {"event_id": 1, "ts": 0, "user_id": 1, "event_type": 2, "value": 1, "props": 2}, "part": {"p_partkey": 1, "p_name": 2, "p_brand": 2, "p_type": 2, "p_size": 1, "p_retailprice": 1}, "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 2, "o_totalprice": 1, "o_orderdate": 0, "o_orderpriority": 2}}
+_KIND = {"events": {"event_id": 1, "ts": 0, "user_id": 1, "event_type": 2, "value": 1, "props": 2}, "part": {"p_partkey": 1, "p_name": 2, "p_brand": 2, "p_type": 2, "p_size": 1, "p_retailprice": 1}, "lineitem": {"l_orderkey": 1, "l_partkey": 1, "l_suppkey": 1, "l_linenumber": 1, "l_quantity": 1, "l_extendedprice": 1, "l_discount": 1, "l_tax": 1, "l_returnflag": 2, "l_linestatus": 2, "l_shipdate": 0}, "documents": {"doc_id": 1, "text": 2, "lang": 2, "source": 2, "n_chars": 1}, "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 2, "o_totalprice": 1, "o_orderdate": 0, "o_orderpriority": 2}}
 
 
 def _profile_sql(table: str, columns=None, layer: str = "BRONZE") -> str:
@@ -40,20 +40,24 @@ def _table(s, d, t):
     return s.read.parquet(f"{d}/{t}.parquet")
 
 
+#: Quartiles of tables of up to so many rows are exact, as those of the SQL twins are.
+_EXACT = 1_000_000
+
+
 def _prof(t):
-    return lambda s, d: Q.profile(_table(s, d, t), t, "BRONZE")
+    return lambda s, d: Q.profile(_table(s, d, t), t, "BRONZE", accuracy=_EXACT)
 
 
 _FLAG = "CASE WHEN null_pct > 80 THEN 'CRITICAL' WHEN null_pct > 30 OR distinct_count = 1 OR coalesce(stddev_num / nullif(abs(avg_num), 0) > 3, false) THEN 'WARN' ELSE 'OK' END"
 _NOTES = "concat_ws('; ', CASE WHEN null_pct > 80 THEN 'mostly null' END, CASE WHEN null_pct > 30 AND null_pct <= 80 THEN 'many nulls' END, CASE WHEN distinct_count = 1 THEN 'one value' END, CASE WHEN stddev_num / nullif(abs(avg_num), 0) > 3 THEN 'high variance' END, CASE WHEN distinct_count = total_rows AND total_rows > 1000 THEN 'all distinct' END)"
-for _t in ("events", "part", "orders"):
+for _t in ("events", "part", "orders", "lineitem", "documents"):
     register(f"q2_profile_{_t}", _prof(_t), _profile_sql(_t))
 register("q3_health_flags", lambda s, d: Q.health_flags(_prof("orders")(s, d)).select("table_name", "column_name", "health_flag", "notes"), f"SELECT table_name, column_name, {_FLAG} AS health_flag, {_NOTES} AS notes FROM ({_profile_sql('orders')})")
 _WIDE = "workspace_logs"
 _COLS = ("CpuTimeMs", "EventText", "Identity", "ApplicationContext", "ModelMode", "ItemName")
 register("q1_null_profile", lambda s, d: Q.null_profile(logs(s, d).select(*_COLS), "logs", "BRONZE"), ctes(_WIDE) + " " + " UNION ALL ".join(f"SELECT 'BRONZE' AS layer, 'logs' AS table_name, '{c}' AS column_name, count(*) AS total_rows, count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') AS null_or_blank, round(100.0::DOUBLE * count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') / count(*), 2) AS null_pct FROM workspace_logs" for c in _COLS))
-register("e25_high_null", lambda s, d: Q.null_profile(logs(s, d).select(*_COLS), "logs", "BRONZE").where("null_pct > 15").orderBy(F.desc("null_pct")).select("column_name", "null_pct"), ctes(_WIDE) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(100.0::DOUBLE * count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') / count(*), 2) AS null_pct FROM workspace_logs" for c in _COLS) + ") WHERE null_pct > 15")
-register("q5_profile_mapped", lambda s, d: Q.profile_mapped(_table(s, d, "nation").where("n_nationkey < 3").select(F.when(F.col("n_nationkey") == 0, "events").otherwise("part").alias("table_name"), F.when(F.col("n_nationkey") == 0, "value").when(F.col("n_nationkey") == 1, "p_size").otherwise("p_brand").alias("column_name")), lambda t: _table(s, d, t)), _profile_sql("events", ("value",), "MAPPED") + " UNION ALL " + _profile_sql("part", ("p_size", "p_brand"), "MAPPED"))
+register("e25_high_null", lambda s, d: Q.null_profile(logs(s, d).select(*_COLS), "logs", "BRONZE").where("null_pct > 30").orderBy(F.desc("null_pct")).select("column_name", "null_pct"), ctes(_WIDE) + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(100.0::DOUBLE * count(*) FILTER (WHERE {c} IS NULL OR trim(CAST({c} AS VARCHAR)) = '') / count(*), 2) AS null_pct FROM workspace_logs" for c in _COLS) + ") WHERE null_pct > 30")
+register("q5_profile_mapped", lambda s, d: Q.profile_mapped(_table(s, d, "nation").where("n_nationkey < 3").select(F.when(F.col("n_nationkey") == 0, "events").otherwise("part").alias("table_name"), F.when(F.col("n_nationkey") == 0, "value").when(F.col("n_nationkey") == 1, "p_size").otherwise("p_brand").alias("column_name")), lambda t: _table(s, d, t), _EXACT), _profile_sql("events", ("value",), "MAPPED") + " UNION ALL " + _profile_sql("part", ("p_size", "p_brand"), "MAPPED"))
 register("e22_numeric_stats", lambda s, d: _prof("part")(s, d).where("min_num IS NOT NULL").select("column_name", "min_num", "max_num", "avg_num"), f"SELECT column_name, min_num, max_num, avg_num FROM ({_profile_sql('part')}) WHERE min_num IS NOT NULL")
 register("e23_top_cardinality", lambda s, d: _prof("orders")(s, d).orderBy(F.desc("distinct_count"), "column_name").limit(10).select("column_name", "distinct_count"), f"SELECT column_name, distinct_count FROM ({_profile_sql('orders')}) ORDER BY distinct_count DESC, column_name LIMIT 10")
 register("e24_flag_mix", lambda s, d: Q.health_flags(_prof("part")(s, d)).groupBy("health_flag").agg(F.count("*").alias("columns")), f"SELECT health_flag, count(*) AS columns FROM (SELECT {_FLAG} AS health_flag FROM ({_profile_sql('part')})) GROUP BY ALL")

@@ -54,7 +54,7 @@ FROM orders""",
 SELECT o_orderpriority AS job_id, CAST(o_custkey % 3 AS INT) AS session_id, o_orderdate AS start_execution_date,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END AS stop_execution_date,
  CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS INT) AS last_executed_step_id, o_orderdate AS last_executed_step_date, o_orderkey AS run_id
-FROM orders WHERE o_orderdate >= TIMESTAMP '2001-07-31 00:00:00'""",
+FROM orders""",
     "control": """
 SELECT CAST(n_nationkey AS INT) AS control_id, concat('pipeline_', CAST(n_nationkey AS STRING)) AS pipeline_name, concat('src_', lower(n_name)) AS source_table, concat('bronze_', lower(n_name)) AS destination_table,
  CASE WHEN n_nationkey % 2 = 0 THEN 'FULL' ELSE 'INCREMENTAL' END AS load_type, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE concat('silver_', lower(n_name)) END AS silver_table,
