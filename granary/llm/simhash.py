@@ -6,9 +6,11 @@ what links reach. Links are found by fuzzy hashing: the 64 bits are three segmen
 and 18 bits (the last filled up with zeros). Of at most four differing bits, some two segments
 hold at most two. So for each pair of segments a fingerprint gives the keys of itself and of all its neighbours
 at one flipped bit: two fingerprints within two bits over the pair share the keys of a fingerprint midway. A key
-holds four Golay codeword indices of 12 bits: those of the pair's two segments and those of the same 46 bits in
-a fixed other order. Unrelated fingerprints share 48 bits by chance only. Many flips decode to the same
-codewords, hence fewer keys than neighbours. Shared keys make candidates, which are verified bit by bit.
+holds the Golay codeword indices (12 bits) of the pair's two segments. Most flips decode to the same codeword, hence
+about a dozen keys a pair and not 47. A key that more than `CHUNK` fingerprints have is replaced by long keys, which
+also hold the codeword indices of the same 46 bits in a fixed other order: unrelated fingerprints share its 48 bits by
+chance only, and two near ones still share those of the fingerprint midway. So buckets stay small however many fingerprints
+there are. Shared keys make candidates, which are verified bit by bit.
 
 Equal fingerprints are one node. A bucket is compared in chunks of at most `CHUNK` nodes, each
 giving a spanning forest of its links and never all pairs. After those links are
@@ -99,6 +101,10 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 _ORDER = np.random.RandomState(23).permutation(46)
 
 
+#: Pairs of segments, and the bit that tells long keys from others.
+_PAIRS, _LONG = ((0, 1), (0, 2), (1, 2)), 1 << 52
+
+
 def _reordered(x: np.ndarray) -> np.ndarray:
     out = np.zeros_like(x)
     for bit, to in enumerate(_ORDER.tolist()):
@@ -106,28 +112,47 @@ def _reordered(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers and distinct keys: pair of segments (2 bits) and four codeword indices (48 bits)."""
+def _codes(fps: np.ndarray, pair: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each fingerprint and each of its neighbours at one flipped bit or none over the pair: key and long key."""
     decode(np.zeros(1, np.int64))  # makes the error table
     fps, low = fps.astype(np.uint64), (1 << 23) - 1
-    segments = [(fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64) for first, width in _SEGMENTS]
-    rows, keys = [], []
-    for pair, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))):
-        own = segments[a] | segments[b] << 23
-        flips = np.array([0, *(1 << i for i in range(_SEGMENTS[a][1])), *(1 << 23 + i for i in range(_SEGMENTS[b][1]))], np.int64)
-        k = np.full((len(fps), len(flips)), pair, np.int64)
-        for whole, flip in ((own, flips), (_reordered(own), _reordered(flips))):
-            for shift in (0, 23):
-                word, change = whole >> shift & low, flip >> shift & low
-                # syndromes are linear: a flip's is added to the word's
-                error = _ERRORS[_syndromes(word)[:, None] ^ _syndromes(change)[None, :]]
-                k = k << 12 | ((word[:, None] ^ change[None, :]) ^ error) >> 11
-        k.sort(1)
-        new = np.ones(k.shape, bool)
-        new[:, 1:] = k[:, 1:] != k[:, :-1]
-        rows.append(np.nonzero(new)[0])
-        keys.append(k[new])
-    return np.concatenate(rows), np.concatenate(keys)
+    (a, a_bits), (b, b_bits) = (_SEGMENTS[i] for i in _PAIRS[pair])
+    segment = lambda first, width: (fps >> np.uint64(first) & np.uint64((1 << width) - 1)).astype(np.int64)
+    own = segment(a, a_bits) | segment(b, b_bits) << 23
+    flips = np.array([0, *(1 << i for i in range(a_bits)), *(1 << 23 + i for i in range(b_bits))], np.int64)
+    keys, k = [], np.full((len(fps), len(flips)), pair, np.int64)
+    for whole, flip in ((own, flips), (_reordered(own), _reordered(flips))):
+        for shift in (0, 23):
+            word, change = whole >> shift & low, flip >> shift & low
+            # syndromes are linear: a flip's is added to the word's
+            error = _ERRORS[_syndromes(word)[:, None] ^ _syndromes(change)[None, :]]
+            k = k << 12 | ((word[:, None] ^ change[None, :]) ^ error) >> 11
+        keys.append(k)
+    return keys[0], keys[1] | _LONG
+
+
+def _distinct(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and distinct keys of each row; a negative key is none."""
+    keys = np.sort(keys, 1)
+    new = keys >= 0
+    new[:, 1:] &= keys[:, 1:] != keys[:, :-1]
+    return rows[np.nonzero(new)[0]], keys[new]
+
+
+def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and distinct keys: pair of segments (2 bits) and the codeword indices of its segments (24 bits)."""
+    parts = [_distinct(_codes(fps, pair)[0], np.arange(len(fps))) for pair in range(len(_PAIRS))]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([k for _, k in parts])
+
+
+def long_keys_of(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and distinct long keys of those neighbours of each fingerprint that have the given key."""
+    parts = []
+    for pair in range(len(_PAIRS)):
+        rows = np.flatnonzero(keys >> 24 == pair)
+        short, long = _codes(fps[rows], pair)
+        parts.append(_distinct(np.where(short == keys[rows, None], long, -1), rows))
+    return np.concatenate([r for r, _ in parts]), np.concatenate([k for _, k in parts])
 
 
 def _near(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
@@ -225,7 +250,7 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
 def _linked(nodes: DataFrame, radius: int) -> DataFrame:
     """(fp, label) over all links within radius of the nodes (fp, label: the smallest doc_id)."""
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch["fp"].to_numpy()
             for at in range(0, len(fps), 5_000):
@@ -233,13 +258,26 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
                 row, key = keys_of(part.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
 
-    every = settled(nodes.select("fp").mapInArrow(explode, "key long, fp long"), "golay-keys")
-    # a bucket of up to CHUNK nodes is one chunk, a larger one is dealt out by hash; a key of one node finds nothing
-    sizes = settled(every.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1), "golay-sizes")
-    keyed = every.join(sizes, "key").withColumn("n", F.when(F.col("n") > CHUNK, F.col("n")))
+    def long_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = batch["fp"].to_numpy(), batch["key"].to_numpy()
+            for at in range(0, len(fps), 5_000):
+                part = fps[at : at + 5_000]
+                row, key = long_keys_of(part.view(np.uint64), keys[at : at + 5_000])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], ["key", "fp"])
+
+    def large_of(rows: DataFrame, name: str) -> DataFrame:
+        return settled(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), name)
+
+    every = settled(nodes.select("fp").mapInArrow(keyed_rows, "key long, fp long"), "golay-keys")
+    crowded = large_of(every, "golay-crowded")
+    small = every.join(crowded, "key", "left_anti").select("key", "fp", F.lit(None).cast("long").alias("n"), F.lit(0).alias("chunk"))
+    parted = settled(every.join(crowded.select("key"), "key").mapInArrow(long_rows, "key long, fp long"), "golay-long-keys")
+    # a bucket of up to CHUNK nodes is one chunk, a larger one is dealt out by hash
     chunk = F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / CHUNK))).cast("int")
-    keyed = settled(keyed.select("key", "fp", "n", chunk.alias("chunk")), "golay-buckets")
-    discard(every, sizes)
+    parted = parted.join(large_of(parted, "golay-large"), "key", "left").select("key", "fp", "n", chunk.alias("chunk"))
+    keyed = settled(small.unionByName(parted), "golay-buckets")
+    discard(every, crowded)
     dealt = keyed.select("key", "chunk", "fp").repartition("key", "chunk").sortWithinPartitions("key", "chunk")
     first = settled(dealt.mapInPandas(_chunk_links(radius), _LINKS), "near-links")
     labels = settled(components(first, nodes), "near-labels")

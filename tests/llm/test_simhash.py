@@ -37,8 +37,10 @@ def test_golay_code_is_perfect_and_keys_meet():
             for b in rng.choice(64, flips, replace=False):
                 y[i] ^= np.uint64(1) << np.uint64(b)
         (ra, ka), (rb, kb) = M.keys_of(x), M.keys_of(y)
+        (la, wa), (lb, wb) = M.long_keys_of(x[ra], ka), M.long_keys_of(y[rb], kb)
         for i in range(len(x)):
             assert set(ka[ra == i]) & set(kb[rb == i])
+            assert set(wa[ra[la] == i]) & set(wb[rb[lb] == i])
 
 
 def test_documents_against_brute_force(spark):
