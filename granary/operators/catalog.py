@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.exprs import row_hash, union_typed
 
+from .tables import Table
+
 
 def _norm(c) -> Column:
     return F.upper(F.trim(c))
@@ -114,3 +118,14 @@ def information_schema(named: dict[str, DataFrame]) -> DataFrame:
             kind = f.dataType
             rows.append((t, f.name, i, kind.simpleString(), "YES" if f.nullable else "NO", getattr(kind, "precision", None), getattr(kind, "scale", None)))
     return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, numeric_precision int, numeric_scale int").orderBy("table_name", "ordinal_position")
+
+
+def save_system_tables(named: dict[str, DataFrame], table_of: Callable[[str], Table], model: str) -> None:
+    """Each system table with its model's name beside the other models' rows; a model that is saved again replaces its own."""
+    for name, df in named.items():
+        rows, target = df.withColumn("model_name", F.lit(model)), table_of(f"system_{name}")
+        if not target.exists():
+            target.replace(rows, partition_by=("model_name",))
+            continue
+        others = target.read().where(~F.col("model_name").eqNullSafe(F.lit(model)))
+        target.replace(others.unionByName(rows, allowMissingColumns=True))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -69,24 +71,66 @@ def short_audit(audit: DataFrame) -> DataFrame:
     return audit.where("status = 'SUCCESS'")
 
 
-def run_ingest(control: DataFrame, source_of: Callable, table_of: Callable[[str], Table], watermark: str) -> DataFrame:
-    """Loads every active row, one Spark job each; a failure is recorded and the next row goes on. Returns the results."""
-    spark, out = control.sparkSession, []
+def _load(row, source: DataFrame, target: Table, watermark: str) -> tuple[int, object]:
+    """Rows loaded and their greatest watermark. The source is read once; both figures are taken from what was written."""
+    full = row["load_type"] == "FULL"
+    rows = full_rows(source, _load_type="FULL") if full else incremental_rows(source, watermark, row["source_cutoff_date"], _load_type="INCREMENTAL")
+    staged = target.stage(rows) if full else target.stage_append(rows)
+    n, top = staged.rows.agg(F.count("*"), F.max(watermark).cast("timestamp")).first()
+    if full:
+        target.commit(staged, "REPLACE", n=n)
+    elif n:
+        target.commit_append(staged, n)
+    return n, top
+
+
+_RESULT = "control_id int, status string, rows_read long, max_watermark timestamp"
+
+
+def _run(control: DataFrame, source_of: Callable, table_of: Callable[[str], Table], watermark: str, after: Callable | None = None) -> list[tuple]:
+    out = []
     for row in active_control(control).collect():  # a control table is as long as its list of pipelines
+        began, error = dt.datetime.now(dt.timezone.utc), None
         try:
-            source, target = source_of(row), table_of(row["destination_table"])
-            if row["load_type"] == "FULL":
-                rows = full_rows(source, _load_type="FULL")
-                target.replace(rows)
-            else:
-                rows = incremental_rows(source, watermark, row["source_cutoff_date"], _load_type="INCREMENTAL")
-                if not rows.isEmpty():
-                    target.append(rows)
-            n, top = rows.agg(F.count("*"), F.max(watermark).cast("timestamp")).first()
+            n, top = _load(row, source_of(row), table_of(row["destination_table"]), watermark)
             out.append((row["control_id"], load_status(n), n, top))
         except Exception as e:  # a source that can't be read must not stop the others
+            error = str(e)[:500]
             out.append((row["control_id"], f"FAILURE: {type(e).__name__}", 0, None))
-    return spark.createDataFrame(out, "control_id int, status string, rows_read long, max_watermark timestamp")
+        if after:
+            after(row, out[-1], began, error)
+    return out
+
+
+def run_ingest(control: DataFrame, source_of: Callable, table_of: Callable[[str], Table], watermark: str) -> DataFrame:
+    """Loads every active row, one Spark job each; a failure is recorded and the next row goes on. Returns the results."""
+    return control.sparkSession.createDataFrame(_run(control, source_of, table_of, watermark), _RESULT)
+
+
+_AUDIT = (
+    "run_id string, pipeline_name string, control_id int, source_table string, destination_table string, load_type string, "
+    "run_start timestamp, run_end timestamp, rows_read long, rows_written long, run_status string, error_message string"
+)
+
+
+def run_controlled(control: Table, audit: Table, source_of: Callable, table_of: Callable[[str], Table], watermark: str) -> DataFrame:
+    """run_ingest over a control table: after each row, failures included, its control row is updated and a run record is
+    appended to the audit table. Returns the run records of this call."""
+    spark, records = control.spark, []
+
+    def after(row, result: tuple, began: dt.datetime, error: str | None) -> None:
+        control.replace(update_control(control.read(), spark.createDataFrame([result], _RESULT)), "RUN")
+        status = "FAILURE" if error is not None else "SUCCESS"
+        fields = row.asDict()
+        record = (
+            uuid.uuid4().hex, fields.get("pipeline_name"), row["control_id"], fields.get("source_table"), row["destination_table"], row["load_type"],
+            began, dt.datetime.now(dt.timezone.utc), result[2], result[2], status, error,
+        )
+        records.append(record)
+        audit.append(audit_run(spark.createDataFrame([record], _AUDIT)), ("audit_date",))
+
+    _run(control.read(), source_of, table_of, watermark, after)
+    return spark.createDataFrame(records, _AUDIT)
 
 
 # --- run-audit views ---------------------------------------------------------------------------------------------

@@ -1,19 +1,30 @@
 """Snapshot tables on plain Parquet: replace, append, merge and their history.
 
-Each write makes a new snapshot beside the old one and then a manifest row that names it; the newest manifest row is
-the table. A path that is being read is never overwritten. One writer at a time."""
+Data files are written once, below `data/_v=<id>/` and the table's partition columns, and never changed. A manifest row names the
+folders that make up a version, the schema and the partitioning; the newest manifest row is the table. An append adds
+folders; a merge rewrites the partitions that the source touches where the keys hold the partition columns, else all. A path
+that is being read is never overwritten. One writer at a time."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from granary.functions.exprs import union_typed
 
-_MANIFEST = "version int, snapshot string, operation string, n_rows long, at timestamp"
+_MANIFEST = "version int, operation string, n_rows long, folders array<string>, schema string, partition_by array<string>, at timestamp"
+
+
+class Staged:
+    """Rows that are written but not yet part of the table."""
+
+    def __init__(self, folders: list[str], schema: StructType, partition_by: tuple[str, ...], rows: DataFrame):
+        self.folders, self.schema, self.partition_by, self.rows = folders, schema, partition_by, rows
 
 
 class Table:
@@ -21,7 +32,7 @@ class Table:
         self.spark, self.root = spark, root.rstrip("/")
 
     def history(self, n: int | None = None) -> DataFrame:
-        """version, snapshot, operation, n_rows, at; newest first."""
+        """version, operation, n_rows, folders, schema, partition_by, at; newest first."""
         if not self.exists():
             return self.spark.createDataFrame([], _MANIFEST)
         rows = self.spark.read.schema(_MANIFEST).json(f"{self.root}/_manifest").orderBy(F.desc("version"))
@@ -36,34 +47,113 @@ class Table:
 
     def read(self, version: int | None = None) -> DataFrame:
         row = self._head() if version is None else self.history().where(F.col("version") == version).first()
-        return self.spark.read.option("mergeSchema", "true").parquet(row["snapshot"])
-
-    def replace(self, df: DataFrame, operation: str = "REPLACE", partition_by: tuple[str, ...] = ()) -> None:
-        snapshot = f"{self.root}/v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*partition_by).parquet(snapshot)
+        return self._rows(row["folders"], StructType.fromJson(json.loads(row["schema"])))
+
+    def _rows(self, folders: list[str], schema: StructType) -> DataFrame:
+        """With the stored types: a partition value '01' stays a text, and columns that old files lack are nulls."""
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        full = StructType([*schema.fields, StructField("_v", StringType())])
+        return self.spark.read.schema(full).option("basePath", f"{self.root}/data").parquet(*folders).select(*(f"`{c}`" for c in schema.names))
+
+    def stage(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> Staged:
+        """Evaluates df once and writes it beside the table."""
+        schema, folder = StructType([StructField(f.name, f.dataType) for f in df.schema]), f"{self.root}/data/_v={uuid.uuid4().hex}"
+        df.write.partitionBy(*partition_by).parquet(folder)
+        rows = self._rows([folder], schema)
+        folders = [folder]
+        if partition_by:
+            leaf = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1)
+            folders = sorted(unquote(r[0]) for r in rows.select(leaf).distinct().collect())  # one for each partition value
+        return Staged(folders, schema, tuple(partition_by), rows)
+
+    def commit(self, staged: Staged, operation: str, keep: tuple[list[str], int] = ([], 0), n: int | None = None) -> None:
+        """Makes staged rows, and the kept folders with so many rows, the newest version."""
+        head = self._head()
+        n = staged.rows.count() if n is None else n
+        row = [((head["version"] if head else 0) + 1, operation, keep[1] + n, [*keep[0], *staged.folders], staged.schema.json(), list(staged.partition_by))]
+        rows = self.spark.createDataFrame(row, ", ".join(_MANIFEST.split(", ")[:-1])).withColumn("at", F.current_timestamp())
+        rows.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
+
+    def replace(self, df: DataFrame, operation: str = "REPLACE", partition_by: tuple[str, ...] | None = None) -> None:
+        """The table's partitioning stays, unless another is given."""
+        if partition_by is None:
+            head = self._head()
+            partition_by = tuple(head["partition_by"]) if head else ()
+        self.commit(self.stage(df, partition_by), operation)
+
+    def stage_append(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> Staged:
+        """Stages rows in the table's layout: columns that either side lacks are nulls there, others take the table's types."""
         head = self._head()
-        n = self.spark.read.parquet(snapshot).count()
-        row = [((head["version"] if head else 0) + 1, snapshot, operation, n)]
-        self.spark.createDataFrame(row, "version int, snapshot string, operation string, n_rows long").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
+        if head is None:
+            return self.stage(df, partition_by)
+        have = StructType.fromJson(json.loads(head["schema"]))
+        typed = df.select(*(F.col(f"`{c}`").cast(have[c].dataType).alias(c) if c in have.names else F.col(f"`{c}`") for c in df.columns))
+        layout = self.spark.createDataFrame([], have)
+        staged = self.stage(union_typed(layout, typed), tuple(head["partition_by"]))
+        return staged
+
+    def commit_append(self, staged: Staged, n: int | None = None) -> None:
+        head = self._head()
+        self.commit(staged, "APPEND", (list(head["folders"]), head["n_rows"]) if head else ([], 0), n)
 
     def append(self, df: DataFrame, partition_by: tuple[str, ...] = ()) -> None:
-        """Adds rows; columns that either side lacks are nulls there."""
-        self.replace(append_rows(self.read(), df) if self.exists() else df, "APPEND", partition_by)
+        """Adds rows; what is there is neither read nor written again."""
+        self.commit_append(self.stage_append(df, partition_by))
 
-    def initial_load(self, df: DataFrame, schema: StructType) -> None:
-        self.replace(conform(df, schema), "INITIAL_LOAD")
+    def compact(self) -> None:
+        """The same rows as one folder."""
+        self.replace(self.read(), "COMPACT")
 
-    def merge(self, source: DataFrame, keys: list[str], hash_col: str, preserve: tuple[str, ...] = ()) -> dict:
-        """Upsert; returns the exact counts and a status."""
-        if source.isEmpty():
-            return {"inserted": 0, "updated": 0, "unchanged": 0, "status": "SKIPPED"}
+    def initial_load(self, df: DataFrame, schema: StructType, partition_by: tuple[str, ...] = ()) -> None:
+        self.replace(conform(df, schema), "INITIAL_LOAD", partition_by)
+
+    def ensure(self, schema: StructType, partition_by: tuple[str, ...] = ()) -> None:
+        """An empty table of the declared schema, if there is none."""
         if not self.exists():
-            self.replace(source, "INITIAL_LOAD")
-            return {"inserted": source.count(), "updated": 0, "unchanged": 0, "status": "INITIAL_LOAD"}
-        target = self.read()
-        counts = {r["change"]: r["n"] for r in merge_changes(target, source, keys, hash_col).collect()}
-        self.replace(merge_upsert(target, source, keys, hash_col, preserve), "MERGE")
-        return {"inserted": counts.get("INSERT", 0), "updated": counts.get("UPDATE", 0), "unchanged": counts.get("SAME", 0), "status": "SUCCESS"}
+            self.commit(Staged([], schema, tuple(partition_by), self.spark.createDataFrame([], schema)), "CREATE")
+
+    def _touched(self, source: DataFrame, keys: list[str]) -> tuple[list[str], list[str]]:
+        """Folders that may hold rows of the source's keys, and the others."""
+        head = self._head()
+        partition_by, folders = list(head["partition_by"]), list(head["folders"])
+        if not folders or not partition_by or not set(partition_by) <= set(keys):
+            return folders, []
+        values = source.select(*partition_by).distinct()
+        leaf = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/[^/]+$", 1).alias("__leaf")
+        places = self.read().select(*partition_by, leaf).distinct()
+        on = None
+        for c in partition_by:
+            same = places[c].eqNullSafe(values[c])
+            on = same if on is None else on & same
+        hit = {unquote(r[0]) for r in places.join(values, on, "left_semi").select("__leaf").distinct().collect()}
+        return [f for f in folders if f in hit], [f for f in folders if f not in hit]
+
+    def merge(self, source: DataFrame, keys: list[str], hash_col: str, preserve: tuple[str, ...] = ()) -> dict:
+        """Upsert; returns the exact counts and a status. Several source rows of one key are an error."""
+        source = source.persist()
+        try:
+            size = source.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.count("*").alias("keys"), F.max("n").alias("most")).first()
+            if not size["keys"]:
+                return {"inserted": 0, "updated": 0, "unchanged": 0, "status": "SKIPPED"}
+            if size["most"] > 1:
+                raise ValueError(f"the source has several rows of one key ({', '.join(keys)})")
+            if not self.exists():
+                self.replace(source, "INITIAL_LOAD")
+                return {"inserted": size["keys"], "updated": 0, "unchanged": 0, "status": "INITIAL_LOAD"}
+            head = self._head()
+            schema = StructType.fromJson(json.loads(head["schema"]))
+            touched, rest = self._touched(source, keys)
+            rows = merged(self._rows(touched, schema), source, keys, hash_col, preserve)
+            staged = self.stage(rows, tuple(head["partition_by"]))
+            counts = {r["__change"]: r["n"] for r in staged.rows.groupBy("__change").agg(F.count("*").alias("n")).collect()}
+            staged.schema = schema
+            written = sum(counts.values())
+            inserted = counts.get("INSERT", 0)
+            self.commit(staged, "MERGE", (rest, head["n_rows"] + inserted - written), written)
+            return {"inserted": inserted, "updated": counts.get("UPDATE", 0), "unchanged": counts.get("SAME", 0), "status": "SUCCESS"}
+        finally:
+            source.unpersist()
 
 
 def append_rows(target: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,9 +174,14 @@ def _matched(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
     return t.join(s, on, "full_outer")
 
 
-def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], hash_col: str, preserve: tuple[str, ...] = ()) -> DataFrame:
-    """Null-safe upsert: a matched row changes only if its hash does; preserved columns keep the target's value."""
-    changed = F.col("t").isNull() | (F.col("s").isNotNull() & ~F.col(f"t.{hash_col}").eqNullSafe(F.col(f"s.{hash_col}")))
+def _change(hash_col: str):
+    same = F.col(f"t.{hash_col}").eqNullSafe(F.col(f"s.{hash_col}"))
+    return F.when(F.col("t").isNull(), "INSERT").when(F.col("s").isNull(), "TARGET_ONLY").when(same, "SAME").otherwise("UPDATE")
+
+
+def merged(target: DataFrame, source: DataFrame, keys: list[str], hash_col: str, preserve: tuple[str, ...] = ()) -> DataFrame:
+    """The upserted rows and __change: INSERT, UPDATE, SAME or TARGET_ONLY. Source keys must be unique."""
+    changed = F.col("__change").isin("INSERT", "UPDATE")
     out = []
     for c in target.columns:
         kept = F.col(f"t.{c}")
@@ -96,13 +191,17 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], hash_col
             out.append(F.when(F.col("t").isNull(), F.col(f"s.{c}")).otherwise(kept).alias(c))
         else:
             out.append(F.when(changed, F.col(f"s.{c}")).otherwise(kept).alias(c))
-    return _matched(target, source, keys).select(*out)
+    return _matched(target, source, keys).withColumn("__change", _change(hash_col)).select(*out, "__change")
+
+
+def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], hash_col: str, preserve: tuple[str, ...] = ()) -> DataFrame:
+    """Null-safe upsert: a matched row changes only if its hash does; preserved columns keep the target's value."""
+    return merged(target, source, keys, hash_col, preserve).drop("__change")
 
 
 def merge_changes(target: DataFrame, source: DataFrame, keys: list[str], hash_col: str) -> DataFrame:
     """change (INSERT, UPDATE, SAME, TARGET_ONLY) and how many rows have it."""
-    kind = F.when(F.col("t").isNull(), "INSERT").when(F.col("s").isNull(), "TARGET_ONLY").when(F.col(f"t.{hash_col}").eqNullSafe(F.col(f"s.{hash_col}")), "SAME").otherwise("UPDATE")
-    return _matched(target, source, keys).groupBy(kind.alias("change")).agg(F.count("*").alias("n"))
+    return _matched(target, source, keys).groupBy(_change(hash_col).alias("change")).agg(F.count("*").alias("n"))
 
 
 def staging_status(df: DataFrame | None) -> str:

@@ -30,10 +30,10 @@ def silver(s, d):
     return A.silver_audit(bronze(s, d))
 
 
-_A6 = "SELECT log_date, UserId, Operation, WorkSpaceName, count(*) AS total_events, count(*) FILTER (WHERE IsSuccess) AS success_events, count(*) FILTER (WHERE NOT IsSuccess) AS failure_events, count(DISTINCT ItemName) + max(CASE WHEN ItemName IS NULL THEN 1 ELSE 0 END) AS unique_items, round(100.0::DOUBLE * count(*) FILTER (WHERE IsSuccess) / count(*), 2) AS success_rate_pct, CASE WHEN count(*) >= 1000 THEN 'Heavy' WHEN count(*) >= 100 THEN 'Moderate' ELSE 'Light' END AS user_tier FROM silver GROUP BY ALL"
+SUMMARY = "SELECT log_date, UserId, Operation, WorkSpaceName, count(*) AS total_events, count(*) FILTER (WHERE IsSuccess) AS success_events, count(*) FILTER (WHERE NOT IsSuccess) AS failure_events, count(DISTINCT ItemName) + max(CASE WHEN ItemName IS NULL THEN 1 ELSE 0 END) AS unique_items, round(100.0::DOUBLE * count(*) FILTER (WHERE IsSuccess) / count(*), 2) AS success_rate_pct, CASE WHEN count(*) >= 1000 THEN 'Heavy' WHEN count(*) >= 100 THEN 'Moderate' ELSE 'Light' END AS user_tier FROM silver GROUP BY ALL"
 _EXP = "('ExportReport', 'ShareReport', 'DownloadReport')"
 register("c6_silver_audit", lambda s, d: silver(s, d).drop("CreationTime"), SILVER + " SELECT * EXCLUDE (CreationTime) FROM silver")
-register("a6_audit_user_summary", lambda s, d: A.audit_user_summary(silver(s, d)), f"{SILVER} {_A6}")
+register("a6_audit_user_summary", lambda s, d: A.audit_user_summary(silver(s, d)), f"{SILVER} {SUMMARY}")
 register("a11_max_batch", lambda s, d: A.max_batch(bronze(s, d)), ctes("audit_events") + " SELECT max(_batch_date) AS max_batch_date FROM audit_events")
 register("f15_export_events", lambda s, d: A.export_events(bronze(s, d)).select("Id", "UserId", "Operation"), ctes("audit_events") + f" SELECT Id, UserId, Operation FROM audit_events WHERE trim(Operation) IN {_EXP}")
 register("f14_visible_to", lambda s, d: A.visible_to(silver(s, d), s.read.parquet(f"{d}/nation.parquet").select(F.concat(F.lit("u"), (F.col("n_nationkey") % 3).cast("string")).alias("user"), F.concat(F.lit("WS"), (F.col("n_nationkey") % 5).cast("string")).alias("workspace")).where("workspace IN ('WS1', 'WS3')"), "u1").select("Id", "WorkSpaceName"), SILVER + " SELECT Id, WorkSpaceName FROM silver WHERE WorkSpaceName IN (SELECT concat('WS', CAST(n_nationkey % 5 AS VARCHAR)) FROM nation WHERE n_nationkey % 3 = 1 AND n_nationkey % 5 IN (1, 3))")

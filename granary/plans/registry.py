@@ -14,5 +14,5 @@ def register(name: str, query, oracle: str | None = None) -> None:
         ORACLES[name] = oracle
 
 
-for _part in ("logs", "audit", "quality", "basics"):
+for _part in ("logs", "audit", "quality", "basics", "gold"):
     importlib.import_module(f"granary.plans.{_part}")

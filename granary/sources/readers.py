@@ -27,10 +27,11 @@ def read_system_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
 
 
-def load_system_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+def load_system_tables(spark: SparkSession, folder: str, model: str | None = None) -> dict[str, DataFrame]:
+    """The system tables of one model; with its name as model_name where it is given."""
     out = {n: read_system_csv(spark, f"{folder}/{n}.csv", system_schema(n)) for n in SYSTEM_TABLES}
     out["storage"] = out["storage"].where("column_type = 'BASIC_DATA'")
-    return out
+    return {n: df.withColumn("model_name", F.lit(model)) for n, df in out.items()} if model is not None else out
 
 
 def jdbc_full(spark: SparkSession, options: dict[str, str], source: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
@@ -41,9 +42,12 @@ def jdbc_full(spark: SparkSession, options: dict[str, str], source: str, key: st
     return reader.load()
 
 
-def jdbc_incremental(spark: SparkSession, options: dict[str, str], source: str, watermark: str, cutoff: str, **split) -> DataFrame:
-    """Rows past the cutoff; the condition runs in the source."""
-    return jdbc_full(spark, options, f"SELECT * FROM {source} WHERE {watermark} > '{cutoff}'", **split)
+def jdbc_incremental(spark: SparkSession, options: dict[str, str], source: str, watermark: str, cutoff, **split) -> DataFrame:
+    """Rows past the cutoff (a value of the column's kind or its text). The column's own type makes the literal, and Spark pushes the
+    comparison to the source."""
+    rows = jdbc_full(spark, options, source, **split)
+    name = watermark.strip('"')
+    return rows.where(F.col(name) > F.lit(cutoff).cast(rows.schema[name].dataType))
 
 
 def read_audit_blobs(spark: SparkSession, folder: str, record_type: int = 21, schema: str | None = None) -> DataFrame:

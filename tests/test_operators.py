@@ -2,13 +2,14 @@
 
 import datetime as dt
 import json
+from unittest import mock
 
 import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import exprs as X
-from granary.operators import audit, ingest, jobs, logs, profile, rules, scoring, tables, validate
-from granary.sources import readers
+from granary.operators import audit, catalog, gold, ingest, jobs, logs, profile, reports, rules, scoring, tables, validate
+from granary.sources import readers, schemas
 from granary.sources.fixtures import view
 from granary.streaming import streams
 
@@ -79,8 +80,135 @@ def test_snapshot_table(spark, tmp_path):
     t.append(spark.createDataFrame([(9, 1.5)], "k long, extra double"))
     assert t.read().count() == 4 and t.read(1).count() == 2
     assert [x.operation for x in t.history().collect()] == ["APPEND", "MERGE", "MERGE", "INITIAL_LOAD"] and t.history(1).first().n_rows == 4
-    t.replace(frame([(1, "p", "q")]), partition_by=("v",))
-    assert t.read().first().v == "p"
+    t.replace(frame([(1, "01", "q"), (2, "1", "q"), (3, "x y:%", "q")]), partition_by=("v",))
+    assert sorted((x.k, x.v) for x in t.read().collect()) == [(1, "01"), (2, "1"), (3, "x y:%")]
+
+
+def test_partitions_stay_and_only_touched_ones_are_rewritten(spark, tmp_path):
+    t = tables.Table(spark, str(tmp_path / "t"))
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, day string").withColumn("_row_hash", X.row_hash(["v"]))
+    t.replace(frame([(1, "a", "01"), (2, "b", "02"), (3, "c", "x y:%"), (4, "n", None)]), partition_by=("day",))
+    before = set(t.history(1).first().folders)
+    r = t.merge(frame([(2, "B", "02"), (9, "new", "02"), (4, "N", None)]), ["k", "day"], "_row_hash")
+    assert (r["inserted"], r["updated"], r["unchanged"]) == (1, 2, 0)
+    head = t.history(1).first()
+    assert len(before & set(head.folders)) == 2 and head.n_rows == 5 and head.partition_by == ["day"]
+    assert {(x.k, x.v, x.day) for x in t.read().collect()} == {(1, "a", "01"), (2, "B", "02"), (9, "new", "02"), (3, "c", "x y:%"), (4, "N", None)}
+    kept = set(t.history(1).first().folders)
+    t.append(frame([(7, "z", "03")]))
+    assert kept < set(t.history(1).first().folders) and t.read().where("day = '03'").count() == 1 and t.history(1).first().n_rows == 6
+    with pytest.raises(ValueError, match="several rows of one key"):
+        t.merge(frame([(2, "x", "02"), (2, "y", "02")]), ["k", "day"], "_row_hash")
+    t.compact()
+    assert t.read().count() == 6 and t.history(1).first().partition_by == ["day"]
+
+
+def test_declared_tables_and_literals(spark, tmp_path):
+    assert len([n for n in schemas.names() if not n.endswith(schemas.STAGING)]) == 9 and len(schemas.names()) == 13
+    for n in schemas.names():
+        t = tables.Table(spark, str(tmp_path / n))
+        t.ensure(schemas.schema(n), schemas.partitions(n))
+        t.ensure(schemas.schema(n), schemas.partitions(n))
+        assert t.read().schema == schemas.schema(n) and t.history().count() == 1
+    seed = schemas.control_seed(spark)
+    assert seed.schema.names == schemas.schema("control_table").names and [r.load_type for r in seed.orderBy("control_id").collect()].count("FULL") == 1
+    assert schemas.lineage_map(spark).count() == 6 and schemas.schedule(spark).count() == 3
+
+
+def test_gold_loads(spark, tmp_path):
+    table = lambda n: tables.Table(spark, str(tmp_path / n))
+    name = "gold_audit_user_activity_summary"
+    rows = lambda n: spark.createDataFrame([(dt.date(2024, 1, 1), "w", "u", "View", "Light", n, n, 0, 1, 100.0), (dt.date(2024, 1, 2), "w", None, "View", "Light", 5, 5, 0, 1, 100.0)], "log_date date, WorkSpaceName string, UserId string, Operation string, user_tier string, total_events long, success_events long, failure_events long, unique_items long, success_rate_pct double")
+    at = lambda day: F.lit(f"2024-02-0{day} 00:00:00").cast("timestamp")
+    assert {r.status for r in gold.gold_loads(spark, table).collect()} == {"SKIPPED"}
+    table(name + schemas.STAGING).replace(rows(1))
+    got = {r.gold_table: r for r in gold.gold_loads(spark, table, at(1)).collect()}
+    assert (got[name].status, got[name].inserted, got[name].gold_rows) == ("INITIAL_LOAD", 2, 2) and sum(r.status == "SKIPPED" for r in got.values()) == 3
+    table(name + schemas.STAGING).replace(rows(7))
+    r = gold.gold_load(spark, table, name, at(2))
+    assert (r["status"], r["inserted"], r["updated"], r["unchanged"], r["staging_rows"], r["gold_rows"]) == ("SUCCESS", 0, 1, 1, 2, 2)
+    times = {x.total_events: (x._dw_created_at.day, x._dw_updated_at.day) for x in table(name).read().collect()}
+    assert times == {7: (1, 2), 5: (1, 1)} and table(name).read().schema == schemas.schema(name)
+
+
+def test_log_tables_of_two_batches(spark, tmp_path):
+    raw = view(spark, D, "workspace_logs")
+    base, parsed = (tables.Table(spark, str(tmp_path / n)) for n in ("base", "parsed"))
+    gold.load_logs(raw.where("DurationMs % 3 <> 0"), base, parsed)
+    r = gold.load_logs(raw.where("DurationMs % 3 <> 1"), base, parsed)
+    n = raw.where("DurationMs IS NOT NULL").select("OperationId", "Timestamp").distinct().count()
+    assert base.read().count() == parsed.read().count() == n and r["base"]["inserted"] > 0 and r["base"]["unchanged"] > 0
+
+
+def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
+    """A JDBC source gets a row between the reads of a load: what counts is what was written."""
+    url = {"url": "jdbc:derby:memory:late;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    put = lambda rows: spark.createDataFrame(rows, "ID int, TS timestamp").write.format("jdbc").options(**url).option("dbtable", "LATE").mode("append").save()
+    put([(1, dt.datetime(2024, 1, 3)), (2, dt.datetime(2024, 1, 4))])
+    control = tables.Table(spark, str(tmp_path / "control"))
+    control.replace(spark.createDataFrame([(1, "p", "LATE", "late", "INCREMENTAL", True, dt.datetime(2024, 1, 1), None, None), (2, "p", "GONE", "gone", "FULL", True, None, None, None)], "control_id int, pipeline_name string, source_table string, destination_table string, load_type string, is_active boolean, source_cutoff_date timestamp, last_run_status string, last_rows_read long"))
+    audit_log, target = tables.Table(spark, str(tmp_path / "audit")), tables.Table(spark, str(tmp_path / "late"))
+    real = tables.Table.stage_append
+
+    def slow(self, df, partition_by=()):
+        out = real(self, df, partition_by)
+        if self.root == target.root and not target.exists():
+            put([(3, dt.datetime(2024, 1, 5))])
+        return out
+
+    run = lambda: ingest.run_controlled(control, audit_log, lambda r: readers.jdbc_full(spark, url, r["source_table"]), lambda n: tables.Table(spark, str(tmp_path / n)), "TS")
+    with mock.patch.object(tables.Table, "stage_append", slow):
+        first = {r.control_id: r for r in run().collect()}
+    assert (first[1].run_status, first[1].rows_read, first[2].run_status) == ("SUCCESS", 2, "FAILURE") and first[2].error_message
+    after = {r.control_id: r for r in control.read().collect()}
+    assert after[1].source_cutoff_date == dt.datetime(2024, 1, 4) and after[2].last_run_status.startswith("FAILURE") and after[2].source_cutoff_date is None
+    assert run().where("control_id = 1").first().rows_read == 1 and target.read().count() == 3
+    log = audit_log.read()
+    assert log.count() == 4 and log.where("duration_seconds >= 0 AND triggered_by = 'SYSTEM'").count() == 4 and log.select("audit_date").distinct().count() >= 1
+
+
+def test_catalog_and_system_tables(spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS lake_gold")
+    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.option("path", str(tmp_path / "tab")).mode("overwrite").saveAsTable("lake_gold.tab")
+    rows = catalog.lakehouse_catalog(spark, {"GOLD": "lake_gold"}).where("table_name = 'tab'").orderBy("column_name").collect()
+    assert [(r.column_name, r.data_type, r.table_row_count, r.layer) for r in rows] == [("k", "bigint", 2, "GOLD"), ("v", "string", 2, "GOLD")]
+    spark.sql("DROP TABLE lake_gold.tab")
+    info = catalog.information_schema({"t": spark.createDataFrame([], "d decimal(9,2), s string")}).collect()
+    assert [(r.column_name, r.ordinal_position, r.numeric_precision, r.numeric_scale) for r in info] == [("d", 1, 9, 2), ("s", 2, None, None)]
+    for n, cols in readers.SYSTEM_TABLES.items():
+        body = ",".join("BASIC_DATA" if c == "column_type" else f"{c}1" for c in cols.split())
+        other = ",".join("HIERARCHY" if c == "column_type" else f"{c}2" for c in cols.split())
+        (tmp_path / f"{n}.csv").write_text(cols.replace(" ", ",") + f"\n{body}\n{other}\n")
+    named = readers.load_system_tables(spark, str(tmp_path))
+    assert {n: df.count() for n, df in named.items()} == {"tables": 2, "columns": 2, "measures": 2, "partitions": 2, "storage": 1}
+    assert readers.load_system_tables(spark, str(tmp_path), "m")["tables"].first().model_name == "m"
+    table = lambda n: tables.Table(spark, str(tmp_path / "saved" / n))
+    for model in ("m1", "m2", "m1"):
+        catalog.save_system_tables(named, table, model)
+    assert sorted((r.model_name, r["count"]) for r in table("system_tables").read().groupBy("model_name").count().collect()) == [("m1", 2), ("m2", 2)]
+
+
+def test_records_names_and_orders(spark, tmp_path):
+    names = [x.split()[0] for x in readers.FACILITY.split(", ")]
+    (tmp_path / "f.csv").write_text(",".join(names) + '\n7,"Big\nHouse",FOOD' + "," * (len(names) - 3) + "\n")
+    r = readers.read_facilities(spark, str(tmp_path / "f.csv")).first()
+    assert (r.FacilityID, r.FacilityName, r.PrimaryCategory, r.LastVerifiedDate) == (7, "Big\nHouse", "FOOD", None)
+    (tmp_path / "n.json").write_text('{"nominee_name": "A", "submission_time": "2024-01-02T03:04:05"}\n')
+    assert readers.read_nominations(spark, str(tmp_path / "n.json")).first().submission_time.day == 2
+    assert X.snake_columns(spark.createDataFrame([], "`A b-C` int, ` x__y ` int")).columns == ["a_b_c", "x__y"]
+    one = spark.range(1)
+    assert [tables.staging_status(x) for x in (None, one.where("false"), one)] == ["MISSING", "SKIPPED", "READY"]
+    order = rules.report_order(spark.createDataFrame([(s, 1, f) for f, s in enumerate(("OTHER", "CLOSED", "NEEDS UPDATE", "VERIFIED", "VERIFIED"))], "status string, FacilityID int, field int"))
+    assert [r.field for r in order.collect()] == [3, 4, 2, 1, 0]
+
+
+def test_rolling_users_against_brute_force(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    rows = [("a", 0), ("a", 3), ("a", 3), ("b", 1), ("b", 9), ("c", 20), ("a", 21), (None, 5)]
+    df = spark.createDataFrame([(u, day(n)) for u, n in rows], "user_upn string, log_date date")
+    got = {r.log_date: r.active_users for r in reports.rolling_users(df, 4).collect()}
+    want = {day(t): len({u for u, n in rows if u and n <= t < n + 4}) for t in range(22)}
+    assert got == {d: n for d, n in want.items() if n}
 
 
 def test_ingest_isolates_failures_and_moves_watermarks(spark, tmp_path):
