@@ -194,7 +194,7 @@ register("p19_evidence_only", lambda s, d: N.evidence_only(raw(s, d).withColumnR
 register("n5_evidence_features", lambda s, d: N.evidence_features(_table(s, d, "benchmark"), "text").drop("text"), "SELECT item_id, trim(t) = '' AS is_blank, len(regexp_extract_all(t, '[.!?]+(\\s|$)')) AS sentences, len(regexp_extract_all(t, '[.!?]+(\\s|$)')) < 2 AS is_short, regexp_matches(t, '[0-9]') AS has_number, regexp_matches(lower(t), '\\b(day|week|month|year|hour)s?\\b') AS has_duration, regexp_matches(lower(t), '\\b(always|every|daily|weekly|often|consistently)\\b') AS has_frequency FROM (SELECT item_id, coalesce(text, '') AS t FROM benchmark)")
 
 # --- reports --------------------------------------------------------------------------------------------------------
-_CARD = f""", a5 AS ({A5}), a2 AS ({A2}), ra AS (SELECT ItemName, WorkspaceName, ModelMode, round(avg(success_rate_pct), 6) AS avg_refresh_success_rate, round(avg(avg_duration_ms), 4) AS avg_refresh_duration_ms, count(*) FILTER (WHERE sla_status = 'SLA_BREACH') AS sla_breach_days, count(*) AS total_refresh_days FROM a5 GROUP BY ALL),
+CARD = f""", a5 AS ({A5}), a2 AS ({A2}), ra AS (SELECT ItemName, WorkspaceName, ModelMode, round(avg(success_rate_pct), 6) AS avg_refresh_success_rate, round(avg(avg_duration_ms), 4) AS avg_refresh_duration_ms, count(*) FILTER (WHERE sla_status = 'SLA_BREACH') AS sla_breach_days, count(*) AS total_refresh_days FROM a5 GROUP BY ALL),
 da AS (SELECT model_name AS ItemName, WorkspaceName, round(avg(avg_duration_ms), 4) AS avg_dax_duration_ms, max(max_duration_ms) AS max_dax_duration_ms, sum(dax_execution_count)::BIGINT AS total_dax_executions, round(100.0::DOUBLE * count(*) FILTER (WHERE performance_tier IN ('Slow (2-10s)', 'Critical (>10s)')) / count(*), 2) AS pct_slow_queries FROM a2 GROUP BY ALL),
 card0 AS (SELECT ra.*, avg_dax_duration_ms, max_dax_duration_ms, total_dax_executions, pct_slow_queries, round(least(coalesce(avg_refresh_success_rate, 0), 100) * 0.5::DOUBLE + (100 - least(coalesce(pct_slow_queries, 0), 100)) * 0.3::DOUBLE + (1 - least(sla_breach_days, total_refresh_days)::DOUBLE / greatest(total_refresh_days, 1)) * 20, 1) AS health_score FROM ra LEFT JOIN da ON ra.ItemName = da.ItemName AND ra.WorkspaceName = da.WorkspaceName),
 card AS (SELECT *, CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 75 THEN 'B' WHEN health_score >= 60 THEN 'C' ELSE 'D' END AS health_grade FROM card0)"""
@@ -208,10 +208,10 @@ def same(df):
     return df
 
 
-register("a7_health_scorecard", _on(R.health_scorecard, L.refresh_summary, L.dax_performance), PARSED + _CARD + " SELECT * FROM card")
+register("a7_health_scorecard", _on(R.health_scorecard, L.refresh_summary, L.dax_performance), PARSED + CARD + " SELECT * FROM card")
 register("r1_refresh_success_rate", _on(R.refresh_success_rate, L.refresh_summary), f"{PARSED} SELECT round(sum(success_count)::DOUBLE / sum(total_refreshes) * 100, 4) AS refresh_success_rate FROM ({A5})")
 register("r2_dax_measures", _on(R.dax_measures, L.dax_performance, L.refresh_summary), f"{PARSED} SELECT round(avg(avg_duration_ms / 1000), 4) AS avg_dax_seconds, round(sum(CASE WHEN avg_duration_ms > 5000 THEN dax_execution_count ELSE 0 END)::DOUBLE / sum(dax_execution_count) * 100, 4) AS slow_query_pct, (SELECT count(*) FILTER (WHERE sla_status = 'SLA_BREACH') FROM ({A5})) AS sla_breach_days FROM ({A2})")
-register("r3_average_grade", lambda s, d: R.average_grade(_on(R.health_scorecard, L.refresh_summary, L.dax_performance)(s, d)), PARSED + _CARD + " SELECT avg_score, CASE WHEN avg_score >= 90 THEN 'A' WHEN avg_score >= 75 THEN 'B' WHEN avg_score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT round(avg(health_score), 4) AS avg_score FROM card)")
+register("r3_average_grade", lambda s, d: R.average_grade(_on(R.health_scorecard, L.refresh_summary, L.dax_performance)(s, d)), PARSED + CARD + " SELECT avg_score, CASE WHEN avg_score >= 90 THEN 'A' WHEN avg_score >= 75 THEN 'B' WHEN avg_score >= 60 THEN 'C' ELSE 'D' END AS grade FROM (SELECT round(avg(health_score), 4) AS avg_score FROM card)")
 register("r4_rolling_users", _on(lambda a: R.rolling_users(a, 7), L.user_activity), f"{PARSED}, a3 AS (SELECT DISTINCT log_date, user_upn FROM ({A3})), days AS (SELECT DISTINCT log_date FROM a3) SELECT days.log_date, count(DISTINCT user_upn) AS active_users FROM days JOIN a3 ON a3.log_date BETWEEN days.log_date - 6 AND days.log_date GROUP BY ALL")
 register("r5_page_totals", _on(R.page_totals, same), PARSED + " SELECT count(*) AS operations, count(DISTINCT upn) AS users, round(100.0::DOUBLE * count(*) FILTER (WHERE Status = 'SUCCESS') / count(*), 2) AS success_pct FROM parsed")
 register("r5_by_status", _on(R.by_status, same), PARSED + " SELECT Status, count(*) AS operations FROM parsed GROUP BY ALL")
