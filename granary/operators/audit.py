@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from granary.functions.exprs import cleanse, dedupe, distinct_with_null, pct, row_hash, to_bool
 
 #: Flat fields of an audit event and their defaults.
-TEXT_FIELDS = ("Id", "CreationTime", "Operation", "OrganizationId", "UserKey", "Workload", "UserId", "ClientIP", "UserAgent", "Activity", "ItemName", "WorkSpaceName", "DatasetName", "DatasetId", "ReportName", "ReportId", "ReportType", "WorkspaceId", "ObjectId", "IsSuccess", "RequestId", "ActivityId", "DistributionMethod", "ConsumptionMethod")
+TEXT_FIELDS = (
+    "Id", "CreationTime", "Operation", "OrganizationId", "UserKey", "Workload", "UserId", "ClientIP", "UserAgent", "Activity", "ItemName",
+    "WorkSpaceName", "DatasetName", "DatasetId", "ReportName", "ReportId", "ReportType", "WorkspaceId", "ObjectId", "IsSuccess",
+    "RequestId", "ActivityId", "DistributionMethod", "ConsumptionMethod"
+)
 INT_FIELDS = {"RecordType": 0, "UserType": -1}
 EXPORTS = ("ExportReport", "ShareReport", "DownloadReport")
 
@@ -26,10 +30,13 @@ def silver_audit(bronze: DataFrame, since=None) -> DataFrame:
     """Cleansed audit events of batches from `since` on, one row for each id. A late re-delivery of a batch is read again; the merge is idempotent."""
     rows = bronze if since is None else bronze.where(F.col("_batch_date") >= F.lit(since))
     rows = cleanse(rows, trim=["Operation", "WorkSpaceName", "ItemName"], lower=["UserId"])
-    rows = rows.withColumns({
-        "CreationTime": F.try_to_timestamp("CreationTime"), "RecordType": F.col("RecordType").try_cast("int"), "IsSuccess": to_bool(F.col("IsSuccess")),
-        "AppId": F.get_json_object("raw_json", "$.AppId"), "CapacityId": F.get_json_object("raw_json", "$.CapacityId"), "ArtifactKind": F.get_json_object("raw_json", "$.ArtifactKind"),
-    })
+    rows = rows.withColumns(
+        {
+            "CreationTime": F.try_to_timestamp("CreationTime"), "RecordType": F.col("RecordType").try_cast("int"),
+            "IsSuccess": to_bool(F.col("IsSuccess")), "AppId": F.get_json_object("raw_json", "$.AppId"),
+            "CapacityId": F.get_json_object("raw_json", "$.CapacityId"), "ArtifactKind": F.get_json_object("raw_json", "$.ArtifactKind"),
+        }
+    )
     rows = rows.withColumn("log_date", F.to_date("CreationTime"))
     rows = dedupe(rows, ["Id"], [F.col("CreationTime").desc_nulls_last(), F.col("UserId"), F.col("Operation")])
     return rows.withColumn("_row_hash", row_hash(["Id", "UserId", "Operation", "ItemName", "WorkSpaceName", "IsSuccess"], null="~"))
@@ -46,7 +53,10 @@ def user_tier(n: Column) -> Column:
 def audit_user_summary(silver: DataFrame) -> DataFrame:
     ok = F.count_if(F.col("IsSuccess"))
     return silver.groupBy("log_date", "UserId", "Operation", "WorkSpaceName").agg(
-        F.count("*").alias("total_events"), ok.alias("success_events"), F.count_if(~F.col("IsSuccess")).alias("failure_events"), distinct_with_null("ItemName").alias("unique_items"), pct(ok, F.count("*")).alias("success_rate_pct"), user_tier(F.count("*")).alias("user_tier"))
+        F.count("*").alias("total_events"), ok.alias("success_events"), F.count_if(~F.col("IsSuccess")).alias("failure_events"),
+        distinct_with_null("ItemName").alias("unique_items"), pct(ok, F.count("*")).alias("success_rate_pct"),
+        user_tier(F.count("*")).alias("user_tier")
+    )
 
 
 def export_events(audit: DataFrame) -> DataFrame:

@@ -24,11 +24,19 @@ def flag(c: str) -> Column:
 def metadata_master(columns: DataFrame, tables: DataFrame, measures: DataFrame, storage: DataFrame) -> DataFrame:
     """Columns with table and storage figures, and measures with their table, in one frame."""
     t = tables.select(F.col("id").alias("tableid"), F.col("name").alias("table_name"))
-    s = storage.where("column_type = 'BASIC_DATA'").groupBy(_norm("dimension_name").alias("st"), _norm("attribute_name").alias("sc")).agg(F.max(F.col("dictionary_size").try_cast("long")).alias("dictionary_size"))
+    s = storage.where("column_type = 'BASIC_DATA'").groupBy(_norm("dimension_name").alias("st"), _norm("attribute_name").alias("sc")).agg(
+        F.max(F.col("dictionary_size").try_cast("long")).alias("dictionary_size")
+    )
     c = columns.join(t, "tableid", "left")
     c = c.join(s, (_norm("table_name") == F.col("st")) & (_norm("explicitname") == F.col("sc")), "left")
-    cols = c.select("table_name", F.col("explicitname").alias("object_name"), F.lit("COLUMN").alias("object_type"), "sourcecolumn", "datatype", flag("ishidden").alias("is_hidden"), flag("iskey").alias("is_key"), "dictionary_size")
-    meas = measures.join(t, "tableid", "left").select("table_name", F.col("name").alias("object_name"), F.lit("MEASURE").alias("object_type"), "expression", flag("ishidden").alias("is_hidden"))
+    cols = c.select(
+        "table_name", F.col("explicitname").alias("object_name"), F.lit("COLUMN").alias("object_type"), "sourcecolumn", "datatype",
+        flag("ishidden").alias("is_hidden"), flag("iskey").alias("is_key"), "dictionary_size"
+    )
+    meas = measures.join(t, "tableid", "left").select(
+        "table_name", F.col("name").alias("object_name"), F.lit("MEASURE").alias("object_type"), "expression",
+        flag("ishidden").alias("is_hidden")
+    )
     return union_typed(cols, meas)
 
 
@@ -38,18 +46,27 @@ _TYPES = {"Int64": "bigint", "String": "string", "Double": "double", "DateTime":
 def metadata_full(master: DataFrame, lineage: DataFrame, catalog: DataFrame) -> DataFrame:
     """Model objects with their lakehouse column and how the two agree."""
     line = lineage.select(_norm("sem_table_name").alias("ln"), "lh_layer", "lh_table_name", "relationship")
-    lake = catalog.select("layer", _norm("table_name").alias("ct"), _norm("column_name").alias("cc"), F.col("data_type").alias("lh_data_type"), "table_row_count")
+    lake = catalog.select(
+        "layer", _norm("table_name").alias("ct"), _norm("column_name").alias("cc"), F.col("data_type").alias("lh_data_type"),
+        "table_row_count"
+    )
     j = master.join(line, _norm("table_name") == F.col("ln"), "left")
     j = j.join(lake, (_norm("lh_table_name") == F.col("ct")) & (_norm("sourcecolumn") == F.col("cc")) & (F.col("lh_layer") == F.col("layer")), "left")
     want = F.create_map(*(F.lit(x) for kv in _TYPES.items() for x in kv))[F.col("datatype")]
-    alignment = F.when(F.col("object_type") != "COLUMN", None).when(F.col("lh_data_type").isNull(), "NOT_IN_LAKEHOUSE").when(F.lower("lh_data_type") == want, "TYPE_MATCH").otherwise("TYPE_MISMATCH")
-    out = j.withColumns({"alignment": alignment, "has_lineage": F.col("ln").isNotNull(), "in_lakehouse": F.col("cc").isNotNull()}).drop("ln", "ct", "cc", "layer")
+    alignment = F.when(F.col("object_type") != "COLUMN", None).when(
+        F.col("lh_data_type").isNull(), "NOT_IN_LAKEHOUSE"
+    ).when(F.lower("lh_data_type") == want, "TYPE_MATCH").otherwise("TYPE_MISMATCH")
+    out = j.withColumns(
+        {"alignment": alignment, "has_lineage": F.col("ln").isNotNull(), "in_lakehouse": F.col("cc").isNotNull()}
+    ).drop("ln", "ct", "cc", "layer")
     return out.withColumn("_row_hash", row_hash(["table_name", "object_name", "object_type", "lh_table_name", "alignment"], null="~"))
 
 
 def profile_targets(full: DataFrame) -> DataFrame:
     """Mapped physical columns."""
-    return full.where("in_lakehouse AND object_type = 'COLUMN' AND lh_table_name IS NOT NULL AND sourcecolumn IS NOT NULL").select("lh_table_name", F.trim("sourcecolumn").alias("column_name")).distinct()
+    return full.where(
+        "in_lakehouse AND object_type = 'COLUMN' AND lh_table_name IS NOT NULL AND sourcecolumn IS NOT NULL"
+    ).select("lh_table_name", F.trim("sourcecolumn").alias("column_name")).distinct()
 
 
 def objects_by_type(master: DataFrame) -> DataFrame:
@@ -58,11 +75,15 @@ def objects_by_type(master: DataFrame) -> DataFrame:
 
 def measure_list(measures: DataFrame, tables: DataFrame) -> DataFrame:
     t = tables.select(F.col("id").alias("tableid"), F.col("name").alias("table_name"))
-    return measures.join(t, "tableid", "left").select("table_name", F.col("name").alias("measure_name"), "expression").orderBy("table_name", "measure_name")
+    return measures.join(t, "tableid", "left").select(
+        "table_name", F.col("name").alias("measure_name"), "expression"
+    ).orderBy("table_name", "measure_name")
 
 
 def largest_columns(master: DataFrame, n: int = 20) -> DataFrame:
-    return master.where("object_type = 'COLUMN'").orderBy(F.desc_nulls_last("dictionary_size"), "object_name").limit(n).select("table_name", "object_name", "dictionary_size")
+    return master.where("object_type = 'COLUMN'").orderBy(
+        F.desc_nulls_last("dictionary_size"), "object_name"
+    ).limit(n).select("table_name", "object_name", "dictionary_size")
 
 
 def hidden_objects(master: DataFrame) -> DataFrame:
@@ -105,7 +126,11 @@ def lakehouse_catalog(spark: SparkSession, layers: dict[str, str], counts: bool
             if counts:
                 one = spark.table(ref).agg(F.count("*").alias("table_row_count")).withColumn("full_table_ref", F.lit(ref))
                 sizes = one if sizes is None else sizes.unionByName(one)
-    out = spark.createDataFrame(rows, "layer string, lakehouse_name string, full_table_ref string, table_name string, table_type string, column_name string, data_type string, is_nullable boolean, column_description string, is_partition_col boolean, is_bucket_col boolean")
+    out = spark.createDataFrame(
+        rows,
+        "layer string, lakehouse_name string, full_table_ref string, table_name string, table_type string, column_name string, "
+        "data_type string, is_nullable boolean, column_description string, is_partition_col boolean, is_bucket_col boolean"
+    )
     return out.join(sizes, "full_table_ref", "left") if sizes is not None else out.withColumn("table_row_count", F.lit(None).cast("long"))
 
 
@@ -116,8 +141,17 @@ def information_schema(named: dict[str, DataFrame]) -> DataFrame:
     for t, df in sorted(named.items()):
         for i, f in enumerate(df.schema, 1):
             kind = f.dataType
-            rows.append((t, f.name, i, kind.simpleString(), "YES" if f.nullable else "NO", getattr(kind, "precision", None), getattr(kind, "scale", None)))
-    return spark.createDataFrame(rows, "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, numeric_precision int, numeric_scale int").orderBy("table_name", "ordinal_position")
+            rows.append(
+                (
+                    t, f.name, i, kind.simpleString(), "YES" if f.nullable else "NO", getattr(kind, "precision", None),
+                    getattr(kind, "scale", None)
+                )
+            )
+    return spark.createDataFrame(
+        rows,
+        "table_name string, column_name string, ordinal_position int, data_type string, is_nullable string, numeric_precision int, "
+        "numeric_scale int"
+    ).orderBy("table_name", "ordinal_position")
 
 
 def save_system_tables(named: dict[str, DataFrame], table_of: Callable[[str], Table], model: str) -> None:

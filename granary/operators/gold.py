@@ -15,10 +15,20 @@ from .tables import Table, conform, merge_upsert, staging_status
 
 # Of each gold table the merge keys and the columns whose change is an update.
 CONFIGS = {
-    "gold_model_health_scorecard": (("ItemName", "WorkspaceName"), ("health_score", "avg_refresh_success_rate", "avg_dax_duration_ms", "health_grade")),
-    "gold_semantic_model_refresh_summary": (("log_date", "ItemName", "WorkspaceName"), ("success_count", "failure_count", "avg_duration_ms", "success_rate_pct", "sla_status")),
-    "gold_semantic_model_dax_performance": (("log_date", "ItemName", "WorkspaceName", "executing_user", "app_name"), ("dax_execution_count", "avg_duration_ms", "p95_duration_ms", "performance_tier")),
-    "gold_audit_user_activity_summary": (("log_date", "UserId", "Operation", "WorkSpaceName"), ("total_events", "success_events", "failure_events", "success_rate_pct", "user_tier")),
+    "gold_model_health_scorecard": (
+        ("ItemName", "WorkspaceName"), ("health_score", "avg_refresh_success_rate", "avg_dax_duration_ms", "health_grade")
+    ),
+    "gold_semantic_model_refresh_summary": (
+        ("log_date", "ItemName", "WorkspaceName"), ("success_count", "failure_count", "avg_duration_ms", "success_rate_pct", "sla_status")
+    ),
+    "gold_semantic_model_dax_performance": (
+        ("log_date", "ItemName", "WorkspaceName", "executing_user", "app_name"),
+        ("dax_execution_count", "avg_duration_ms", "p95_duration_ms", "performance_tier")
+    ),
+    "gold_audit_user_activity_summary": (
+        ("log_date", "UserId", "Operation", "WorkSpaceName"),
+        ("total_events", "success_events", "failure_events", "success_rate_pct", "user_tier")
+    ),
 }
 CREATED = "_dw_created_at"
 
@@ -58,9 +68,14 @@ def gold_loads(spark: SparkSession, table_of: Callable[[str], Table], at: Column
         try:
             r = gold_load(spark, table_of, name, at)
         except Exception as e:  # one broken staging table must not stop the others
-            r = {"gold_table": name, "staging_rows": 0, "inserted": 0, "updated": 0, "unchanged": 0, "gold_rows": 0, "status": f"FAILURE: {type(e).__name__}"}
+            r = {
+                "gold_table": name, "staging_rows": 0, "inserted": 0, "updated": 0, "unchanged": 0, "gold_rows": 0,
+                "status": f"FAILURE: {type(e).__name__}"
+            }
         out.append(tuple(r[k] for k in ("gold_table", "status", "staging_rows", "inserted", "updated", "unchanged", "gold_rows")))
-    return spark.createDataFrame(out, "gold_table string, status string, staging_rows long, inserted long, updated long, unchanged long, gold_rows long")
+    return spark.createDataFrame(
+        out, "gold_table string, status string, staging_rows long, inserted long, updated long, unchanged long, gold_rows long"
+    )
 
 
 LOG_KEYS = ["OperationId", "Timestamp"]
@@ -75,7 +90,9 @@ def base_rows(raw: DataFrame) -> DataFrame:
 
 def parsed_rows(raw: DataFrame) -> DataFrame:
     """Parsed log rows, once for each (operation id, time), with their hash."""
-    return logs_parsed(raw).withColumn("Timestamp", F.col("Timestamp").cast("timestamp")).withColumn("_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "upn", "report_id", "visual_id"]))
+    return logs_parsed(raw).withColumn("Timestamp", F.col("Timestamp").cast("timestamp")).withColumn(
+        "_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "upn", "report_id", "visual_id"])
+    )
 
 
 def merged_logs(target: DataFrame, source: DataFrame) -> DataFrame:

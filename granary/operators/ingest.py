@@ -20,9 +20,14 @@ def active_control(control: DataFrame) -> DataFrame:
 
 def plan_loads(control: DataFrame) -> DataFrame:
     """How each active row is loaded: reader by server, full or incremental."""
-    reader = F.when(F.col("server_switch") == "GRAPH_API", "BLOB").when(F.col("server_switch").isin("SERVER1", "SERVER2"), "JDBC").otherwise("UNKNOWN_SERVER")
+    reader = F.when(F.col("server_switch") == "GRAPH_API", "BLOB").when(
+        F.col("server_switch").isin("SERVER1", "SERVER2"), "JDBC"
+    ).otherwise("UNKNOWN_SERVER")
     mode = F.when(F.col("load_type") == "FULL", "REPLACE").otherwise("APPEND")
-    return control.where("is_active").select("control_id", "pipeline_name", reader.alias("reader"), "load_type", mode.alias("write_mode"), F.when(F.col("load_type") == "INCREMENTAL", F.col("source_cutoff_date")).alias("newer_than"))
+    return control.where("is_active").select(
+        "control_id", "pipeline_name", reader.alias("reader"), "load_type", mode.alias("write_mode"),
+        F.when(F.col("load_type") == "INCREMENTAL", F.col("source_cutoff_date")).alias("newer_than")
+    )
 
 
 def connection_for(server_switch: str, database: str, servers: dict[str, str]) -> dict[str, str]:
@@ -34,7 +39,9 @@ def connection_for(server_switch: str, database: str, servers: dict[str, str]) -
 
 def match_loaders(control: DataFrame, registry: DataFrame) -> DataFrame:
     """Each active row with its loader; rows without one are skipped. registry: silver_table, loader."""
-    return control.where("is_active").join(registry, "silver_table", "left").select("control_id", "silver_table", "loader", F.when(F.col("loader").isNull(), "SKIP").otherwise("RUN").alias("action"))
+    return control.where("is_active").join(registry, "silver_table", "left").select(
+        "control_id", "silver_table", "loader", F.when(F.col("loader").isNull(), "SKIP").otherwise("RUN").alias("action")
+    )
 
 
 def incremental_rows(source: DataFrame, watermark: str, cutoff, **stamps) -> DataFrame:
@@ -54,17 +61,27 @@ def update_control(control: DataFrame, results: DataFrame) -> DataFrame:
     and only to the data's own maximum."""
     r = results.select("control_id", "status", "rows_read", "max_watermark")
     ok = F.col("status").startswith("SUCCESS")
-    return control.join(r, "control_id", "left").withColumns({
-        "source_cutoff_date": F.when(ok & (F.col("load_type") == "INCREMENTAL"), F.coalesce("max_watermark", "source_cutoff_date")).otherwise(F.col("source_cutoff_date")),
-        "last_run_status": F.coalesce("status", "last_run_status"), "last_rows_read": F.when(ok, F.col("rows_read")).otherwise(F.col("last_rows_read")),
-    }).drop("status", "rows_read", "max_watermark")
+    return control.join(r, "control_id", "left").withColumns(
+        {
+            "source_cutoff_date": F.when(
+                ok & (F.col("load_type") == "INCREMENTAL"), F.coalesce("max_watermark", "source_cutoff_date")
+            ).otherwise(F.col("source_cutoff_date")),
+            "last_run_status": F.coalesce("status", "last_run_status"),
+            "last_rows_read": F.when(ok, F.col("rows_read")).otherwise(F.col("last_rows_read")),
+        }
+    ).drop("status", "rows_read", "max_watermark")
 
 
 def audit_run(runs: DataFrame) -> DataFrame:
     """Run records with duration in seconds, partition date and default trigger. runs: at least run_start, run_end."""
     have = set(runs.columns)
     trigger = F.coalesce("triggered_by", F.lit("SYSTEM")) if "triggered_by" in have else F.lit("SYSTEM")
-    return runs.withColumns({"duration_seconds": (F.unix_timestamp("run_end") - F.unix_timestamp("run_start")).cast("int"), "audit_date": F.to_date("run_start"), "triggered_by": trigger})
+    return runs.withColumns(
+        {
+            "duration_seconds": (F.unix_timestamp("run_end") - F.unix_timestamp("run_start")).cast("int"),
+            "audit_date": F.to_date("run_start"), "triggered_by": trigger
+        }
+    )
 
 
 def short_audit(audit: DataFrame) -> DataFrame:
@@ -137,7 +154,9 @@ def run_controlled(control: Table, audit: Table, source_of: Callable, table_of:
 
 
 def run_history(audit: DataFrame, as_of: str, days: int = 14) -> DataFrame:
-    return audit.where(F.col("audit_date") >= F.date_sub(F.lit(as_of).cast("date"), days)).groupBy("audit_date", "pipeline").agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.sum("rows_read").alias("rows_read"))
+    return audit.where(F.col("audit_date") >= F.date_sub(F.lit(as_of).cast("date"), days)).groupBy("audit_date", "pipeline").agg(
+        F.count("*").alias("runs"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.sum("rows_read").alias("rows_read")
+    )
 
 
 def run_failures(audit: DataFrame, n: int = 25) -> DataFrame:
@@ -149,7 +168,9 @@ def slowest_runs(audit: DataFrame, n: int = 15) -> DataFrame:
 
 
 def daily_success(audit: DataFrame) -> DataFrame:
-    return audit.groupBy("audit_date").agg(F.count("*").alias("runs"), F.round(100.0 * F.count_if(F.col("status") == "SUCCESS") / F.count("*"), 2).alias("success_pct"))
+    return audit.groupBy("audit_date").agg(
+        F.count("*").alias("runs"), F.round(100.0 * F.count_if(F.col("status") == "SUCCESS") / F.count("*"), 2).alias("success_pct")
+    )
 
 
 def run_alerts(audit: DataFrame, as_of: str, days: int = 7, more_than: int = 1) -> DataFrame:

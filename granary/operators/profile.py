@@ -8,20 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NUMBERS = ("int", "bigint", "smallint", "tinyint", "double", "float")
-STATS = ("total_rows", "null_count", "blank_count", "distinct_count", "min_num", "max_num", "avg_num", "stddev_num", "p25", "p50", "p75", "min_len", "max_len", "avg_len")
+STATS = (
+    "total_rows", "null_count", "blank_count", "distinct_count", "min_num", "max_num", "avg_num", "stddev_num", "p25", "p50", "p75",
+    "min_len", "max_len", "avg_len"
+)
 
 
 def null_profile(df: DataFrame, table: str, layer: str) -> DataFrame:
     """Null-or-blank share of each column."""
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     wide = df.agg(*(F.struct(F.count("*").alias("total_rows"), F.count_if(blank(c)).alias("null_or_blank")).alias(c) for c in df.columns))
-    return _long(wide, df.columns, ("total_rows", "null_or_blank"), table, layer).withColumn("null_pct", F.round(F.try_divide(100.0 * F.col("null_or_blank"), F.col("total_rows")), 2))
+    return _long(wide, df.columns, ("total_rows", "null_or_blank"), table, layer).withColumn(
+        "null_pct", F.round(F.try_divide(100.0 * F.col("null_or_blank"), F.col("total_rows")), 2)
+    )
 
 
 def _long(wide: DataFrame, columns: list[str], fields: tuple[str, ...], table: str, layer: str) -> DataFrame:
     """One wide row of structs as one row a column."""
     cells = F.array(*(F.struct(F.lit(c).alias("column_name"), *(F.col(f"`{c}`.{f}").alias(f) for f in fields)) for c in columns))
-    return wide.select(F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), F.explode(cells).alias("x")).select("layer", "table_name", "x.*")
+    return wide.select(
+        F.lit(layer).alias("layer"), F.lit(table).alias("table_name"), F.explode(cells).alias("x")
+    ).select("layer", "table_name", "x.*")
 
 
 def profile(df: DataFrame, table: str, layer: str, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
@@ -72,7 +79,11 @@ def _figures(c: str, kind: str, approximate: bool, accuracy: int) -> Column:
 def health_flags(profiled: DataFrame) -> DataFrame:
     cv = F.try_divide("stddev_num", F.abs("avg_num"))
     critical = F.col("null_pct") > 80
-    notes = F.concat_ws("; ", F.when(critical, "mostly null"), F.when(~critical & (F.col("null_pct") > 30), "many nulls"), F.when(F.col("distinct_count") == 1, "one value"), F.when(cv > 3, "high variance"), F.when((F.col("distinct_count") == F.col("total_rows")) & (F.col("total_rows") > 1000), "all distinct"))
+    notes = F.concat_ws(
+        "; ", F.when(critical, "mostly null"), F.when(~critical & (F.col("null_pct") > 30), "many nulls"),
+        F.when(F.col("distinct_count") == 1, "one value"), F.when(cv > 3, "high variance"),
+        F.when((F.col("distinct_count") == F.col("total_rows")) & (F.col("total_rows") > 1000), "all distinct")
+    )
     warn = (F.col("null_pct") > 30) | (F.col("distinct_count") == 1) | F.coalesce(cv > 3, F.lit(False))
     return profiled.withColumns({"health_flag": F.when(critical, "CRITICAL").when(warn, "WARN").otherwise("OK"), "notes": notes})
 
@@ -80,7 +91,9 @@ def health_flags(profiled: DataFrame) -> DataFrame:
 def lineage_flags(profiled: DataFrame, master: DataFrame) -> DataFrame:
     """Flags that need the model: a key with nulls is CRITICAL, a type mismatch a WARN. master: table_name, column_name, is_key, alignment."""
     j = profiled.join(master.select("table_name", "column_name", "is_key", "alignment"), ["table_name", "column_name"], "left")
-    flag = F.when(F.col("is_key") & (F.col("null_count") > 0), "CRITICAL").when(F.col("alignment") == "TYPE_MISMATCH", F.when(F.col("health_flag") == "CRITICAL", "CRITICAL").otherwise("WARN")).otherwise(F.col("health_flag"))
+    flag = F.when(F.col("is_key") & (F.col("null_count") > 0), "CRITICAL").when(
+        F.col("alignment") == "TYPE_MISMATCH", F.when(F.col("health_flag") == "CRITICAL", "CRITICAL").otherwise("WARN")
+    ).otherwise(F.col("health_flag"))
     return j.withColumn("health_flag", flag)
 
 
@@ -100,7 +113,9 @@ def flagged(profiled: DataFrame, *flags: str) -> DataFrame:
 
 def impact(profiled: DataFrame, master: DataFrame) -> DataFrame:
     """Model objects fed by columns that are not OK. master: table_name, column_name, object_name."""
-    return profiled.where("health_flag <> 'OK'").join(master, ["table_name", "column_name"]).select("table_name", "column_name", "health_flag", "object_name")
+    return profiled.where("health_flag <> 'OK'").join(master, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "health_flag", "object_name"
+    )
 
 
 def release_gate(profiled: DataFrame, validation: DataFrame, audit: DataFrame) -> DataFrame:

@@ -10,11 +10,20 @@ from granary.functions.exprs import pct
 
 def health_scorecard(refresh: DataFrame, dax: DataFrame) -> DataFrame:
     """Half refresh success, three tenths DAX speed, two tenths refresh days within the SLA; a model without DAX rows has full speed."""
-    r = refresh.groupBy("ItemName", "WorkspaceName", "ModelMode").agg(F.round(F.avg("success_rate_pct"), 6).alias("avg_refresh_success_rate"), F.round(F.avg("avg_duration_ms"), 4).alias("avg_refresh_duration_ms"), F.count_if(F.col("sla_status") == "SLA_BREACH").alias("sla_breach_days"), F.count("*").alias("total_refresh_days"))
+    r = refresh.groupBy("ItemName", "WorkspaceName", "ModelMode").agg(
+        F.round(F.avg("success_rate_pct"), 6).alias("avg_refresh_success_rate"),
+        F.round(F.avg("avg_duration_ms"), 4).alias("avg_refresh_duration_ms"),
+        F.count_if(F.col("sla_status") == "SLA_BREACH").alias("sla_breach_days"), F.count("*").alias("total_refresh_days")
+    )
     slow = F.count_if(F.col("performance_tier").isin("Slow (2-10s)", "Critical (>10s)"))
-    d = dax.groupBy(F.col("model_name").alias("ItemName"), "WorkspaceName").agg(F.round(F.avg("avg_duration_ms"), 4).alias("avg_dax_duration_ms"), F.max("max_duration_ms").alias("max_dax_duration_ms"), F.sum("dax_execution_count").alias("total_dax_executions"), pct(slow, F.count("*")).alias("pct_slow_queries"))
+    d = dax.groupBy(F.col("model_name").alias("ItemName"), "WorkspaceName").agg(
+        F.round(F.avg("avg_duration_ms"), 4).alias("avg_dax_duration_ms"), F.max("max_duration_ms").alias("max_dax_duration_ms"),
+        F.sum("dax_execution_count").alias("total_dax_executions"), pct(slow, F.count("*")).alias("pct_slow_queries")
+    )
     cap = lambda c: F.least(F.coalesce(c, F.lit(0.0)), F.lit(100.0))
-    score = cap(F.col("avg_refresh_success_rate")) * 0.5 + (100 - cap(F.col("pct_slow_queries"))) * 0.3 + (1 - F.least("sla_breach_days", "total_refresh_days") / F.greatest("total_refresh_days", F.lit(1))) * 20
+    score = cap(F.col("avg_refresh_success_rate")) * 0.5 + (100 - cap(F.col("pct_slow_queries"))) * 0.3 + (
+        1 - F.least("sla_breach_days", "total_refresh_days") / F.greatest("total_refresh_days", F.lit(1))
+    ) * 20
     out = r.join(d, ["ItemName", "WorkspaceName"], "left").withColumn("health_score", F.round(score, 1))
     return out.withColumn("health_grade", grade(F.col("health_score")))
 
@@ -24,12 +33,19 @@ def grade(score: Column) -> Column:
 
 
 def refresh_success_rate(refresh: DataFrame) -> DataFrame:
-    return refresh.agg(F.round(F.coalesce(F.try_divide(F.sum("success_count"), F.sum("total_refreshes")), F.lit(0.0)) * 100, 4).alias("refresh_success_rate"))
+    return refresh.agg(
+        F.round(
+            F.coalesce(F.try_divide(F.sum("success_count"), F.sum("total_refreshes")), F.lit(0.0)) * 100, 4
+        ).alias("refresh_success_rate")
+    )
 
 
 def dax_measures(dax: DataFrame, refresh: DataFrame) -> DataFrame:
     slow = F.sum(F.when(F.col("avg_duration_ms") > 5000, F.col("dax_execution_count")).otherwise(0))
-    a = dax.agg(F.round(F.avg("avg_duration_ms") / 1000, 4).alias("avg_dax_seconds"), F.round(F.coalesce(F.try_divide(slow, F.sum("dax_execution_count")), F.lit(0.0)) * 100, 4).alias("slow_query_pct"))
+    a = dax.agg(
+        F.round(F.avg("avg_duration_ms") / 1000, 4).alias("avg_dax_seconds"),
+        F.round(F.coalesce(F.try_divide(slow, F.sum("dax_execution_count")), F.lit(0.0)) * 100, 4).alias("slow_query_pct")
+    )
     return a.join(refresh.agg(F.count_if(F.col("sla_status") == "SLA_BREACH").alias("sla_breach_days")))
 
 
@@ -47,7 +63,11 @@ def rolling_users(activity: DataFrame, days: int = 30) -> DataFrame:
     left = F.date_add(F.lag("log_date").over(w), days)
     starts = day.withColumn("__new", (left.isNull() | (left < F.col("log_date"))).cast("int")).withColumn("__span", F.sum("__new").over(w))
     spans = starts.groupBy("user_upn", "__span").agg(F.min("log_date").alias("a"), F.date_add(F.max("log_date"), days).alias("b"))
-    change = spans.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("n")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("n")))).alias("c"))
+    change = spans.select(
+        F.explode(
+            F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("n")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("n")))
+        ).alias("c")
+    )
     by_day = change.groupBy("c.at").agg(F.sum("c.n").alias("n"))
     # from here on there is a row a day
     last = activity.agg(F.max("log_date").alias("last"))
@@ -58,7 +78,10 @@ def rolling_users(activity: DataFrame, days: int = 30) -> DataFrame:
 
 
 def page_totals(parsed: DataFrame) -> DataFrame:
-    return parsed.agg(F.count("*").alias("operations"), F.count_distinct("upn").alias("users"), pct(F.count_if(F.col("Status") == "SUCCESS"), F.count("*")).alias("success_pct"))
+    return parsed.agg(
+        F.count("*").alias("operations"), F.count_distinct("upn").alias("users"),
+        pct(F.count_if(F.col("Status") == "SUCCESS"), F.count("*")).alias("success_pct")
+    )
 
 
 def by_status(parsed: DataFrame) -> DataFrame:
@@ -67,7 +90,9 @@ def by_status(parsed: DataFrame) -> DataFrame:
 
 def matrix(df: DataFrame, row: str, period: str) -> DataFrame:
     """Counts by row and period (DAY, WEEK) in long form."""
-    return df.where(F.col(row).isNotNull()).groupBy(row, F.to_date(F.date_trunc(period, "Timestamp")).alias("period")).agg(F.count("*").alias("operations"))
+    return df.where(F.col(row).isNotNull()).groupBy(
+        row, F.to_date(F.date_trunc(period, "Timestamp")).alias("period")
+    ).agg(F.count("*").alias("operations"))
 
 
 def cpu_mix(dax: DataFrame) -> DataFrame:
@@ -79,7 +104,10 @@ def hourly(parsed: DataFrame) -> DataFrame:
 
 
 def report_overview(usage: DataFrame) -> DataFrame:
-    return usage.groupBy("report_id").agg(F.sum("total_renders").alias("renders"), F.sum("failure_count").alias("failures"), pct(F.sum("failure_count"), F.sum("total_renders")).alias("failure_pct"))
+    return usage.groupBy("report_id").agg(
+        F.sum("total_renders").alias("renders"), F.sum("failure_count").alias("failures"),
+        pct(F.sum("failure_count"), F.sum("total_renders")).alias("failure_pct")
+    )
 
 
 def tier_mix(usage: DataFrame) -> DataFrame:

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 # Keywords of each category, in their order.
 KEYWORDS = {
-    "HOUSING": ["housing", "shelter", "rent", "eviction", "transitional housing", "rental assistance", "emergency housing", "motel voucher", "affordable housing"],
+    "HOUSING": [
+        "housing", "shelter", "rent", "eviction", "transitional housing", "rental assistance", "emergency housing", "motel voucher",
+        "affordable housing"
+    ],
     "FOOD": ["food", "hungry", "groceries", "food bank", "food pantry", "meals", "snap", "wic", "nutrition", "hot meals"],
     "DOMESTIC_VIOLENCE": ["domestic violence", "dv", "abuse", "safe house", "safety plan", "restraining order", "intimate partner"],
     "HOMELESSNESS": ["homeless", "unhoused", "sleeping outside", "day shelter", "drop in", "outreach", "encampment"],
-    "MENTAL_HEALTH": ["mental health", "counseling", "therapy", "psychiatry", "crisis", "depression", "anxiety", "suicide", "behavioral health"],
+    "MENTAL_HEALTH": [
+        "mental health", "counseling", "therapy", "psychiatry", "crisis", "depression", "anxiety", "suicide", "behavioral health"
+    ],
     "SUBSTANCE_USE": ["substance", "addiction", "detox", "rehab", "treatment", "recovery", "alcohol", "drugs", "sober"],
     "LEGAL": ["legal", "lawyer", "attorney", "court", "immigration", "tenant rights", "legal aid", "custody"],
     "EMPLOYMENT": ["job", "employment", "work", "resume", "job training", "unemployment", "career", "hire"],
@@ -24,15 +29,21 @@ KEYWORDS = {
 }
 # Tag patterns in their order.
 TAGS = {
-    "walk.?in|walk in": "Walk-In", "no appointment": "Walk-In", "24.?hour|24 hour|overnight": "24-Hour", "emergency": "Emergency", "children|kids|family": "Children",
-    "spanish|español|bilingual": "Bilingual-Spanish", "veteran|military": "Veterans", "disab": "Disability", "senior|elderly|older": "Seniors", "no id|without id": "No-ID-Required",
-    "lgbtq|transgender|queer": "LGBTQ-Affirming", "rental": "Rental-Assistance", "utility": "Utility-Assistance", "eviction": "Eviction-Prevention", "food bank|pantry": "Food-Bank",
-    "hot meal|meal program": "Hot-Meals", "snap|ebt": "SNAP-Enrollment", "crisis line|hotline": "Crisis-Line", "detox|withdrawal": "Detox", "sober living|recovery": "Recovery",
-    "free|no cost|no charge": "Free-Service", "sliding scale|income": "Sliding-Scale", "referral only": "Referral-Required", "women only|women.s": "Women-Only", "men only|men.s": "Men-Only",
-    "single": "Single-Adults", "couple": "Couples",
+    "walk.?in|walk in": "Walk-In", "no appointment": "Walk-In", "24.?hour|24 hour|overnight": "24-Hour", "emergency": "Emergency",
+    "children|kids|family": "Children", "spanish|español|bilingual": "Bilingual-Spanish", "veteran|military": "Veterans",
+    "disab": "Disability", "senior|elderly|older": "Seniors", "no id|without id": "No-ID-Required",
+    "lgbtq|transgender|queer": "LGBTQ-Affirming", "rental": "Rental-Assistance", "utility": "Utility-Assistance",
+    "eviction": "Eviction-Prevention", "food bank|pantry": "Food-Bank", "hot meal|meal program": "Hot-Meals", "snap|ebt": "SNAP-Enrollment",
+    "crisis line|hotline": "Crisis-Line", "detox|withdrawal": "Detox", "sober living|recovery": "Recovery",
+    "free|no cost|no charge": "Free-Service", "sliding scale|income": "Sliding-Scale", "referral only": "Referral-Required",
+    "women only|women.s": "Women-Only", "men only|men.s": "Men-Only", "single": "Single-Adults", "couple": "Couples",
 }
 # Which category wins of a pair.
-CONFLICTS = {("HOUSING", "DOMESTIC_VIOLENCE"): "DOMESTIC_VIOLENCE", ("HOUSING", "HOMELESSNESS"): "HOMELESSNESS", ("MENTAL_HEALTH", "SUBSTANCE_USE"): "MENTAL_HEALTH", ("HEALTHCARE", "MENTAL_HEALTH"): "MENTAL_HEALTH", ("FINANCIAL", "HOUSING"): "HOUSING"}
+CONFLICTS = {
+    ("HOUSING", "DOMESTIC_VIOLENCE"): "DOMESTIC_VIOLENCE", ("HOUSING", "HOMELESSNESS"): "HOMELESSNESS",
+    ("MENTAL_HEALTH", "SUBSTANCE_USE"): "MENTAL_HEALTH", ("HEALTHCARE", "MENTAL_HEALTH"): "MENTAL_HEALTH",
+    ("FINANCIAL", "HOUSING"): "HOUSING"
+}
 
 
 def lowered(df: DataFrame, text: str) -> DataFrame:
@@ -52,7 +63,10 @@ def keyword_hits(df: DataFrame, text: str, word_boundary: bool = False) -> DataF
         have = F.array_compact(F.array(*(F.when(found(w), F.lit(w)) for w in words)))
         cats.append(F.struct(F.lit(cat).alias("category"), F.lit(i).alias("ordinal"), have.alias("keywords")))
     hits = F.filter(F.array(*cats), lambda x: F.size(x["keywords"]) > 0)
-    one = lambda x: F.struct((-F.size(x["keywords"])).alias("minus_n"), x["ordinal"].alias("ordinal"), x["category"].alias("category"), x["keywords"].alias("keywords"))
+    one = lambda x: F.struct(
+        (-F.size(x["keywords"])).alias("minus_n"), x["ordinal"].alias("ordinal"), x["category"].alias("category"),
+        x["keywords"].alias("keywords")
+    )
     return lowered(df, text).withColumn("hits", F.transform(hits, one)).drop("__low")
 
 
@@ -85,9 +99,13 @@ def search(facilities: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
     """The first n facilities of each request's category and place that meet all needs: walk-in first, then by name."""
     f = facilities.withColumn("tags", F.split("SubCategories", r"\|"))
     r = requests.withColumn("wanted", F.filter(F.split("needs", r"\|"), lambda x: x != ""))
-    j = r.join(f, (F.col("category") == F.col("PrimaryCategory")) & (F.col("zip") == F.col("ZipCode"))).where(F.size(F.array_except("wanted", "tags")) == 0)
+    j = r.join(
+        f, (F.col("category") == F.col("PrimaryCategory")) & (F.col("zip") == F.col("ZipCode"))
+    ).where(F.size(F.array_except("wanted", "tags")) == 0)
     w = Window.partitionBy("request_id").orderBy(F.desc("WalkInAvailable"), "FacilityName", "FacilityID")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("request_id", "rank", "FacilityID", "FacilityName", "WalkInAvailable")
+    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
+        "request_id", "rank", "FacilityID", "FacilityName", "WalkInAvailable"
+    )
 
 
 def stale(facilities: DataFrame, as_of: str, days: int = 90) -> DataFrame:
@@ -99,7 +117,9 @@ def contact_lookup(facilities: DataFrame, name: str) -> DataFrame:
 
 
 def eligibility(facilities: DataFrame, name: str) -> DataFrame:
-    return facilities.where(F.lower("FacilityName").contains(name.lower())).select("FacilityID", "FacilityName", "EligibilityCriteria", "WalkInAvailable")
+    return facilities.where(F.lower("FacilityName").contains(name.lower())).select(
+        "FacilityID", "FacilityName", "EligibilityCriteria", "WalkInAvailable"
+    )
 
 
 #: Sources from the most to the least trusted (fixed values).
@@ -113,8 +133,12 @@ def discrepancies(facilities: DataFrame, observations: DataFrame, fields: tuple[
     w = Window.partitionBy("FacilityID", "field").orderBy("rank", F.desc("retrieved"), "source_url")
     best = observations.withColumn("rank", rank).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     closed = observations.where("reports_closed").groupBy("FacilityID").agg(F.count_distinct("source_url").alias("closed_sources"))
-    j = known.join(best.select("FacilityID", "field", "found_value", "source_url", "rank"), ["FacilityID", "field"], "left").join(closed, "FacilityID", "left")
-    status = F.when(F.coalesce("closed_sources", F.lit(0)) >= 2, "CLOSED").when(F.col("found_value").isNull(), "UNVERIFIABLE").when(F.trim("found_value") == F.trim("known_value"), "VERIFIED").otherwise("NEEDS UPDATE")
+    j = known.join(
+        best.select("FacilityID", "field", "found_value", "source_url", "rank"), ["FacilityID", "field"], "left"
+    ).join(closed, "FacilityID", "left")
+    status = F.when(F.coalesce("closed_sources", F.lit(0)) >= 2, "CLOSED").when(F.col("found_value").isNull(), "UNVERIFIABLE").when(
+        F.trim("found_value") == F.trim("known_value"), "VERIFIED"
+    ).otherwise("NEEDS UPDATE")
     confidence = F.when(F.col("rank") == 1, "HIGH").when(F.col("rank") == 2, "MEDIUM").otherwise("LOW")
     return j.select("FacilityID", "field", "known_value", "found_value", "source_url", status.alias("status"), confidence.alias("confidence"))
 
@@ -126,4 +150,6 @@ def report_order(df: DataFrame) -> DataFrame:
 
 def verification_summary(found: DataFrame) -> DataFrame:
     total = found.agg(F.count("*").alias("total"))
-    return found.groupBy("status").agg(F.count("*").alias("fields")).join(F.broadcast(total)).select("status", "fields", F.round(100.0 * F.col("fields") / F.col("total"), 1).alias("pct"))
+    return found.groupBy("status").agg(F.count("*").alias("fields")).join(F.broadcast(total)).select(
+        "status", "fields", F.round(100.0 * F.col("fields") / F.col("total"), 1).alias("pct")
+    )

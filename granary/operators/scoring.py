@@ -23,11 +23,26 @@ def rubric(c: Column) -> Column:
 
 def dimension_scores(scores: DataFrame, keys: tuple[str, ...] = ("nomination_id",)) -> DataFrame:
     """One row for each nomination and dimension: clamped, weighted, rated; a missing dimension scores 0."""
-    dims = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit(d).alias("dimension"), F.lit(p).alias("max_points")) for i, (d, p, _) in enumerate(DIMENSIONS)))
+    dims = F.array(
+        *(
+            F.struct(F.lit(i).alias("ordinal"), F.lit(d).alias("dimension"), F.lit(p).alias("max_points")) for i,
+            (d, p, _) in enumerate(DIMENSIONS)
+        )
+    )
     per = scores.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dimension", "raw_score"))).alias("raw"))
-    out = per.select(*keys, "raw", F.explode(dims).alias("d")).select(*keys, "d.*", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("raw", F.col("d.dimension")), F.lit(0.0)))).alias("raw_score"))
+    out = per.select(*keys, "raw", F.explode(dims).alias("d")).select(
+        *keys, "d.*",
+        F.least(
+            F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_element_at("raw", F.col("d.dimension")), F.lit(0.0)))
+        ).alias("raw_score")
+    )
     level = rubric(F.col("raw_score"))
-    return out.withColumns({"weighted_score": F.bround(F.col("raw_score") * F.col("max_points"), 1), "rubric_level": level, "flagged": level.isin("insufficient", "not_addressed")})
+    return out.withColumns(
+        {
+            "weighted_score": F.bround(F.col("raw_score") * F.col("max_points"), 1), "rubric_level": level,
+            "flagged": level.isin("insufficient", "not_addressed")
+        }
+    )
 
 
 def extremes(dims: DataFrame, keys: tuple[str, ...] = ("nomination_id",), n: int = 2) -> DataFrame:
@@ -38,11 +53,20 @@ def extremes(dims: DataFrame, keys: tuple[str, ...] = ("nomination_id",), n: int
 
 def score_cards(scores: DataFrame, keys: tuple[str, ...] = ("nomination_id",)) -> DataFrame:
     d = extremes(dimension_scores(scores, keys), keys)
-    named = lambda flag, order: F.transform(F.sort_array(F.collect_list(F.when(F.col(flag), F.struct(order, "dimension")))), lambda x: x["dimension"])
+    named = lambda flag, order: F.transform(
+        F.sort_array(F.collect_list(F.when(F.col(flag), F.struct(order, "dimension")))), lambda x: x["dimension"]
+    )
     ask = F.create_map(*(F.lit(x) for d_, _, q in DIMENSIONS for x in (d_, q)))
-    focus = F.transform(F.sort_array(F.collect_list(F.when(F.col("flagged") | F.col("gap"), F.struct("ordinal", "dimension")))), lambda x: ask[x["dimension"]])
+    focus = F.transform(
+        F.sort_array(F.collect_list(F.when(F.col("flagged") | F.col("gap"), F.struct("ordinal", "dimension")))),
+        lambda x: ask[x["dimension"]]
+    )
     total = F.round(F.sum(F.col("weighted_score").cast("decimal(10,1)")).cast("double"), 1)
-    cards = d.groupBy(*keys).agg(total.alias("total_score"), F.count_if("flagged").alias("flagged_dimensions"), F.concat_ws(",", named("strength", "rank")).alias("strengths"), F.concat_ws(",", named("gap", "rank")).alias("gaps"), F.concat_ws("|", focus).alias("council_focus"))
+    cards = d.groupBy(*keys).agg(
+        total.alias("total_score"), F.count_if("flagged").alias("flagged_dimensions"),
+        F.concat_ws(",", named("strength", "rank")).alias("strengths"), F.concat_ws(",", named("gap", "rank")).alias("gaps"),
+        F.concat_ws("|", focus).alias("council_focus")
+    )
     return cards.withColumn("overall_level", rubric(F.col("total_score") / 100))
 
 
@@ -66,4 +90,10 @@ def evidence_features(df: DataFrame, text: str) -> DataFrame:
     """Plain signals of a response: blank, sentences, numbers, durations or frequencies."""
     t = F.coalesce(F.col(text), F.lit(""))
     sentences = F.regexp_count(t, F.lit(r"[.!?]+(\s|$)"))
-    return df.withColumns({"is_blank": F.trim(t) == "", "sentences": sentences, "is_short": sentences < 2, "has_number": t.rlike("[0-9]"), "has_duration": F.lower(t).rlike(r"\b(day|week|month|year|hour)s?\b"), "has_frequency": F.lower(t).rlike(r"\b(always|every|daily|weekly|often|consistently)\b")})
+    return df.withColumns(
+        {
+            "is_blank": F.trim(t) == "", "sentences": sentences, "is_short": sentences < 2, "has_number": t.rlike("[0-9]"),
+            "has_duration": F.lower(t).rlike(r"\b(day|week|month|year|hour)s?\b"),
+            "has_frequency": F.lower(t).rlike(r"\b(always|every|daily|weekly|often|consistently)\b")
+        }
+    )

@@ -71,7 +71,12 @@ class Table:
         """Makes staged rows, and the kept folders with so many rows, the newest version."""
         head = self._head()
         n = staged.rows.count() if n is None else n
-        row = [((head["version"] if head else 0) + 1, operation, keep[1] + n, [*keep[0], *staged.folders], staged.schema.json(), list(staged.partition_by))]
+        row = [
+            (
+                (head["version"] if head else 0) + 1, operation, keep[1] + n, [*keep[0], *staged.folders], staged.schema.json(),
+                list(staged.partition_by)
+            )
+        ]
         rows = self.spark.createDataFrame(row, ", ".join(_MANIFEST.split(", ")[:-1])).withColumn("at", F.current_timestamp())
         rows.coalesce(1).write.mode("append").json(f"{self.root}/_manifest")
 

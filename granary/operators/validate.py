@@ -24,11 +24,18 @@ def validate_load(src: DataFrame, dst: DataFrame, day: str = "day", key: str = "
     s = daily_counts(src, day, key).select("day", F.col("n").alias("s_n"), F.col("keys").alias("s_k"))
     d = daily_counts(dst, day, key).select("day", F.col("n").alias("d_n"), F.col("keys").alias("d_k"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    both = s.join(d, "day", "full_outer").select("day", zero("s_n").alias("source_row_count"), zero("d_n").alias("destination_row_count"), zero("s_k").alias("source_distinct_keys"), zero("d_k").alias("dest_distinct_keys"))
-    return both.withColumns({
-        "row_diff": F.col("source_row_count") - F.col("destination_row_count"), "key_diff": F.col("source_distinct_keys") - F.col("dest_distinct_keys"),
-        "pct_loaded": F.round(F.try_divide(100.0 * F.col("destination_row_count"), F.col("source_row_count")), 2), "validation_status": load_status(F.col("source_row_count"), F.col("destination_row_count")),
-    })
+    both = s.join(d, "day", "full_outer").select(
+        "day", zero("s_n").alias("source_row_count"), zero("d_n").alias("destination_row_count"), zero("s_k").alias("source_distinct_keys"),
+        zero("d_k").alias("dest_distinct_keys")
+    )
+    return both.withColumns(
+        {
+            "row_diff": F.col("source_row_count") - F.col("destination_row_count"),
+            "key_diff": F.col("source_distinct_keys") - F.col("dest_distinct_keys"),
+            "pct_loaded": F.round(F.try_divide(100.0 * F.col("destination_row_count"), F.col("source_row_count")), 2),
+            "validation_status": load_status(F.col("source_row_count"), F.col("destination_row_count")),
+        }
+    )
 
 
 def validate_all(specs: list[tuple[str, DataFrame, DataFrame, str, str]]) -> DataFrame:
@@ -48,7 +55,9 @@ def latest(validation: DataFrame) -> DataFrame:
 
 def silent_failures(reported: DataFrame, validation: DataFrame) -> DataFrame:
     """Days whose operations report 95 % success or more while less than 95 % arrived. reported: day, pipeline, success_rate_pct."""
-    return reported.join(validation, ["day", "pipeline"]).where((F.col("success_rate_pct") >= 95) & (F.col("destination_row_count") < 0.95 * F.col("source_row_count"))).select("day", "pipeline", "success_rate_pct", "pct_loaded", "validation_status")
+    return reported.join(validation, ["day", "pipeline"]).where(
+        (F.col("success_rate_pct") >= 95) & (F.col("destination_row_count") < 0.95 * F.col("source_row_count"))
+    ).select("day", "pipeline", "success_rate_pct", "pct_loaded", "validation_status")
 
 
 def status_counts(validation: DataFrame) -> DataFrame:

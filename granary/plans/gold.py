@@ -72,12 +72,24 @@ def _both(f, rows, early: str):
     return f(rows.where(early)), f(rows)
 
 
-register("c8_gold_refresh", lambda s, d: _loaded(_REFRESH, *_both(_refresh, parsed(s, d), _EARLY["logs"])), _twin(
-    _REFRESH, PARSED, f"SELECT * RENAME (total_refreshes AS total_refresh_ops) FROM ({A5.replace('FROM parsed WHERE', 'FROM parsed WHERE ' + _EARLY['logs'] + ' AND')})",
-    f"SELECT * RENAME (total_refreshes AS total_refresh_ops) FROM ({A5})"))
-register("c8_gold_dax", lambda s, d: _loaded(_DAX, *_both(_dax, parsed(s, d), _EARLY["logs"])), _twin(
-    _DAX, PARSED, f"SELECT * RENAME (workspace_name AS WorkspaceName, model_name AS ItemName) FROM ({A12.replace('FROM parsed WHERE', 'FROM parsed WHERE ' + _EARLY['logs'] + ' AND')})",
-    f"SELECT * RENAME (workspace_name AS WorkspaceName, model_name AS ItemName) FROM ({A12})"))
+register(
+    "c8_gold_refresh", lambda s, d: _loaded(_REFRESH, *_both(_refresh, parsed(s, d), _EARLY["logs"])),
+    _twin(
+        _REFRESH, PARSED,
+        f"SELECT * RENAME (total_refreshes AS total_refresh_ops) FROM "
+        f"({A5.replace('FROM parsed WHERE', 'FROM parsed WHERE ' + _EARLY['logs'] + ' AND')})",
+        f"SELECT * RENAME (total_refreshes AS total_refresh_ops) FROM ({A5})"
+    )
+)
+register(
+    "c8_gold_dax", lambda s, d: _loaded(_DAX, *_both(_dax, parsed(s, d), _EARLY["logs"])),
+    _twin(
+        _DAX, PARSED,
+        f"SELECT * RENAME (workspace_name AS WorkspaceName, model_name AS ItemName) FROM "
+        f"({A12.replace('FROM parsed WHERE', 'FROM parsed WHERE ' + _EARLY['logs'] + ' AND')})",
+        f"SELECT * RENAME (workspace_name AS WorkspaceName, model_name AS ItemName) FROM ({A12})"
+    )
+)
 register("c8_gold_audit", lambda s, d: _loaded(_AUDIT, *_both(A.audit_user_summary, silver(s, d), _EARLY["audit"])), _twin(
     _AUDIT, SILVER, SUMMARY.replace("FROM silver", f"FROM silver WHERE {_EARLY['audit']}"), SUMMARY))
 #: The scorecard's steps over the early rows, under other names.
@@ -94,6 +106,24 @@ def _log_tables(s, d) -> DataFrame:
 
 _LOG = "OperationId, Timestamp, Status, DurationMs, upn, report_id"
 _BATCH = PARSED[PARSED.index(", parsed0 AS") :]
-_TWO = ctes("workspace_logs") + "".join(_BATCH.replace("AS rn FROM workspace_logs)", f"AS rn FROM workspace_logs WHERE DurationMs % 3 <> {k})").replace("parsed0", f"{n}0").replace("parsed AS", f"{n} AS") for n, k in (("p", 0), ("q", 1)))
-register("c7_log_tables", lambda s, d: _log_tables(s, d).select(*_LOG.split(", ")), f"{_TWO} SELECT {_LOG} FROM q UNION ALL SELECT {_LOG} FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.OperationId = p.OperationId AND q.Timestamp = p.Timestamp)")
-register("p15_snake_columns", lambda s, d: snake_columns(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias(" Order Key "), F.col("o_totalprice").alias("Total-Price (USD)"), F.col("o_orderdate").alias("OrderDate"))), "SELECT o_orderkey AS order_key, o_totalprice AS total_price_usd, o_orderdate AS orderdate FROM orders")
+_TWO = ctes("workspace_logs") + "".join(
+    _BATCH.replace(
+        "AS rn FROM workspace_logs)", f"AS rn FROM workspace_logs WHERE DurationMs % 3 <> {k})"
+    ).replace("parsed0", f"{n}0").replace("parsed AS", f"{n} AS") for n,
+    k in (("p", 0), ("q", 1))
+)
+register(
+    "c7_log_tables", lambda s, d: _log_tables(s, d).select(*_LOG.split(", ")),
+    f"{_TWO} SELECT {_LOG} FROM q UNION ALL SELECT {_LOG} FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.OperationId = "
+    f"p.OperationId AND q.Timestamp = p.Timestamp)"
+)
+register(
+    "p15_snake_columns", lambda s,
+    d: snake_columns(
+        s.read.parquet(f"{d}/orders.parquet").select(
+            F.col("o_orderkey").alias(" Order Key "), F.col("o_totalprice").alias("Total-Price (USD)"),
+            F.col("o_orderdate").alias("OrderDate")
+        )
+    ),
+    "SELECT o_orderkey AS order_key, o_totalprice AS total_price_usd, o_orderdate AS orderdate FROM orders"
+)

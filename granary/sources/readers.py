@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 #: All-string layouts of the system tables.
 SYSTEM_TABLES = {
     "tables": "id name description ishidden modifiedtime structuremodifiedtime datacategory lineagetag",
-    "columns": "id tableid explicitname inferredname explicitdatatype datatype datacategory description ishidden state isunique iskey isnullable sourcecolumn expression formatstring sortbycolumnid modifiedtime lineagetag",
+    "columns": "id tableid explicitname inferredname explicitdatatype datatype datacategory description ishidden state isunique iskey "
+    "isnullable sourcecolumn expression formatstring sortbycolumnid modifiedtime lineagetag",
     "measures": "id tableid name description datatype expression formatstring ishidden modifiedtime",
     "partitions": "id tableid name description querydefinition state type mode dataview modifiedtime refreshedtime",
-    "storage": "dimension_name table_id column_id attribute_name datatype dictionary_size column_type dictionary_isresident dictionary_temperature dictionary_last_accessed isrowstoreindexed",
+    "storage": "dimension_name table_id column_id attribute_name datatype dictionary_size column_type dictionary_isresident "
+    "dictionary_temperature dictionary_last_accessed isrowstoreindexed",
 }
-FACILITY = "FacilityID long, FacilityName string, PrimaryCategory string, SubCategories string, Address string, City string, State string, ZipCode string, County string, Phone string, Email string, Website string, Hours string, WalkInAvailable string, AppointmentRequired string, AcceptsChildren string, EligibilityCriteria string, Languages string, Cost string, Capacity string, IntakeProcess string, Notes string, LastVerifiedDate date, VerifiedBy string"
-NOMINATION = "nominee_name string, nominee_dept string, nomination_period string, nominator_name string, impact_q1 string, impact_q2 string, consistency string, collaboration string, initiative string, `values` string, client_impact string, submission_time timestamp"
+FACILITY = (
+    "FacilityID long, FacilityName string, PrimaryCategory string, SubCategories string, Address string, City string, State "
+    "string, ZipCode string, County string, Phone string, Email string, Website string, Hours string, WalkInAvailable string, "
+    "AppointmentRequired string, AcceptsChildren string, EligibilityCriteria string, Languages string, Cost string, Capacity "
+    "string, IntakeProcess string, Notes string, LastVerifiedDate date, VerifiedBy string"
+)
+NOMINATION = (
+    "nominee_name string, nominee_dept string, nomination_period string, nominator_name string, impact_q1 string, impact_q2 "
+    "string, consistency string, collaboration string, initiative string, `values` string, client_impact string, submission_time "
+    "timestamp"
+)
 JOB_RUN = "run_id long, job_id string, step_id int, run_status int, run_date int, run_time int, run_duration int, message string"
 
 
@@ -34,7 +45,9 @@ def load_system_tables(spark: SparkSession, folder: str, model: str | None = Non
     return {n: df.withColumn("model_name", F.lit(model)) for n, df in out.items()} if model is not None else out
 
 
-def jdbc_full(spark: SparkSession, options: dict[str, str], source: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1) -> DataFrame:
+def jdbc_full(
+    spark: SparkSession, options: dict[str, str], source: str, key: str | None = None, bounds: tuple[int, int] = (0, 0), parts: int = 1
+) -> DataFrame:
     """A table or a parenthesised query; with a numeric key it is read in parts."""
     reader = spark.read.format("jdbc").options(**options).option("dbtable", f"({source}) t" if " " in source else source)
     if key:

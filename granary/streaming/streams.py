@@ -19,12 +19,16 @@ def stream_logs(spark: SparkSession, path: str, schema: StructType, target: str,
     parsed = parse_logs(rows).withWatermark("Timestamp", "1 day").dropDuplicatesWithinWatermark(["OperationId", "Timestamp"])
     parsed = parsed.withColumn("_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "upn"]))
     table = Table(spark, target)
-    return parsed.writeStream.foreachBatch(lambda df, _: table.merge(df, ["OperationId", "Timestamp"], "_row_hash") and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return parsed.writeStream.foreachBatch(
+        lambda df, _: table.merge(df, ["OperationId", "Timestamp"], "_row_hash") and None
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def feed(rows: DataFrame, size: str = "15 minutes") -> DataFrame:
     """Operations of each tumbling window; the same on a batch and on a stream."""
-    return rows.groupBy(F.window("Timestamp", size).alias("w"), "OperationName").agg(F.count("*").alias("operations")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "OperationName", "operations")
+    return rows.groupBy(F.window("Timestamp", size).alias("w"), "OperationName").agg(F.count("*").alias("operations")).select(
+        F.col("w.start").alias("start"), F.col("w.end").alias("end"), "OperationName", "operations"
+    )
 
 
 def stream_feed(spark: SparkSession, path: str, schema: StructType, size: str = "15 minutes", late: str = "1 hour") -> DataFrame:
@@ -37,4 +41,6 @@ def stream_audit(spark: SparkSession, path: str, schema: StructType, target: str
     """New audit files into the silver table."""
     rows = spark.readStream.schema(schema).parquet(path)
     table = Table(spark, target)
-    return rows.writeStream.foreachBatch(lambda df, _: table.merge(silver_audit(df), ["Id"], "_row_hash") and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(
+        lambda df, _: table.merge(silver_audit(df), ["Id"], "_row_hash") and None
+    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

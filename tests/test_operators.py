@@ -35,25 +35,39 @@ def test_booleans_terms_and_hashes(spark):
     df = spark.createDataFrame([("Full Refresh",), ("Refreshed",), ("pre-refresh",)], "s string")
     assert [x[0] for x in df.select(X.has_term(F.col("s"), "refresh")).collect()] == [True, False, True]
     df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
-    assert df.select(X.row_hash(["x", "y", "z"])).distinct().count() == 2 and df.select(X.row_hash(["x", "y", "z"], null=None)).distinct().count() == 1
+    assert df.select(X.row_hash(["x", "y", "z"])).distinct().count() == 2 and df.select(
+        X.row_hash(["x", "y", "z"], null=None)
+    ).distinct().count() == 1
 
 
 def test_sample_nomination(spark):
-    dims = dict(zip(("impact", "consistency", "collaboration", "initiative", "values_alignment", "client_impact"), (0.88, 0.82, 0.95, 0.85, 0.80, 0.80)))
+    dims = dict(
+        zip(
+            ("impact", "consistency", "collaboration", "initiative", "values_alignment", "client_impact"),
+            (0.88, 0.82, 0.95, 0.85, 0.80, 0.80)
+        )
+    )
     df = spark.createDataFrame([(1, d, s) for d, s in dims.items()], "nomination_id long, dimension string, raw_score double")
     got = {r.dimension: r.weighted_score for r in scoring.dimension_scores(df).collect()}
     assert got == {"impact": 22.0, "consistency": 16.4, "collaboration": 19.0, "initiative": 12.8, "values_alignment": 8.0, "client_impact": 8.0}
     card = scoring.score_cards(df).first()
-    assert (card.total_score, card.overall_level, card.strengths, card.gaps) == (86.2, "strong", "collaboration,impact", "values_alignment,client_impact")
+    assert (card.total_score, card.overall_level, card.strengths, card.gaps) == (
+        86.2, "strong", "collaboration,impact", "values_alignment,client_impact"
+    )
     low = scoring.score_cards(spark.createDataFrame([(2, "impact", 7.0)], df.schema)).first()
     assert low.total_score == 25.0 and low.flagged_dimensions == 5
 
 
 def test_rule_samples(spark):
-    texts = ["food bank that's open on weekends no ID required", "transgender youth needing counseling", "nothing at all", "my client is a parent", None, "DV shelter, 2 kids, speaks Spanish"]
+    texts = [
+        "food bank that's open on weekends no ID required", "transgender youth needing counseling", "nothing at all",
+        "my client is a parent", None, "DV shelter, 2 kids, speaks Spanish"
+    ]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r.i: r for r in rules.modifier_tags(rules.categorize(rules.keyword_hits(df, "text")), "text").collect()}
-    assert (got[0].primary_category, got[0].confidence, got[0].sub_tags, got[0].matched_keywords) == ("FOOD", "HIGH", ["Food-Bank", "No-ID-Required"], ["food", "food bank"])
+    assert (
+        got[0].primary_category, got[0].confidence, got[0].sub_tags, got[0].matched_keywords
+    ) == ("FOOD", "HIGH", ["Food-Bank", "No-ID-Required"], ["food", "food bank"])
     assert (got[1].primary_category, got[1].confidence, got[1].sub_tags) == ("MENTAL_HEALTH", "MEDIUM", ["LGBTQ-Affirming"])
     assert got[2].primary_category == got[4].primary_category == "GENERAL" and got[3].primary_category == "HOUSING"
     assert got[5].primary_category == "DOMESTIC_VIOLENCE" and "Bilingual-Spanish" in got[5].sub_tags
@@ -63,7 +77,9 @@ def test_rule_samples(spark):
 
 def test_load_status_covers_all(spark):
     df = spark.createDataFrame([(0, 0), (0, 5), (10, 0), (100, 94), (100, 106), (100, 100), (100000, 1)], "s long, t long")
-    assert [x[0] for x in df.select(validate.load_status(F.col("s"), F.col("t"))).collect()] == ["NO_DATA", "DEST_ONLY", "CRITICAL_MISSING", "WARN_SHORT_LOAD", "WARN_OVER_LOADED", "PASS", "WARN_SHORT_LOAD"]
+    assert [x[0] for x in df.select(validate.load_status(F.col("s"), F.col("t"))).collect()] == [
+        "NO_DATA", "DEST_ONLY", "CRITICAL_MISSING", "WARN_SHORT_LOAD", "WARN_OVER_LOADED", "PASS", "WARN_SHORT_LOAD"
+    ]
 
 
 def test_snapshot_table(spark, tmp_path):
@@ -111,19 +127,30 @@ def test_declared_tables_and_literals(spark, tmp_path):
         t.ensure(schemas.schema(n), schemas.partitions(n))
         assert t.read().schema == schemas.schema(n) and t.history().count() == 1
     seed = schemas.control_seed(spark)
-    assert seed.schema.names == schemas.schema("control_table").names and [r.load_type for r in seed.orderBy("control_id").collect()].count("FULL") == 1
+    assert seed.schema.names == schemas.schema("control_table").names and [
+        r.load_type for r in seed.orderBy("control_id").collect()
+    ].count("FULL") == 1
     assert schemas.lineage_map(spark).count() == 6 and schemas.schedule(spark).count() == 3
 
 
 def test_gold_loads(spark, tmp_path):
     table = lambda n: tables.Table(spark, str(tmp_path / n))
     name = "gold_audit_user_activity_summary"
-    rows = lambda n: spark.createDataFrame([(dt.date(2024, 1, 1), "w", "u", "View", "Light", n, n, 0, 1, 100.0), (dt.date(2024, 1, 2), "w", None, "View", "Light", 5, 5, 0, 1, 100.0)], "log_date date, WorkSpaceName string, UserId string, Operation string, user_tier string, total_events long, success_events long, failure_events long, unique_items long, success_rate_pct double")
+    rows = lambda n: spark.createDataFrame(
+        [
+            (dt.date(2024, 1, 1), "w", "u", "View", "Light", n, n, 0, 1, 100.0),
+            (dt.date(2024, 1, 2), "w", None, "View", "Light", 5, 5, 0, 1, 100.0)
+        ],
+        "log_date date, WorkSpaceName string, UserId string, Operation string, user_tier string, total_events long, success_events "
+        "long, failure_events long, unique_items long, success_rate_pct double"
+    )
     at = lambda day: F.lit(f"2024-02-0{day} 00:00:00").cast("timestamp")
     assert {r.status for r in gold.gold_loads(spark, table).collect()} == {"SKIPPED"}
     table(name + schemas.STAGING).replace(rows(1))
     got = {r.gold_table: r for r in gold.gold_loads(spark, table, at(1)).collect()}
-    assert (got[name].status, got[name].inserted, got[name].gold_rows) == ("INITIAL_LOAD", 2, 2) and sum(r.status == "SKIPPED" for r in got.values()) == 3
+    assert (
+        got[name].status, got[name].inserted, got[name].gold_rows
+    ) == ("INITIAL_LOAD", 2, 2) and sum(r.status == "SKIPPED" for r in got.values()) == 3
     table(name + schemas.STAGING).replace(rows(7))
     r = gold.gold_load(spark, table, name, at(2))
     assert (r["status"], r["inserted"], r["updated"], r["unchanged"], r["staging_rows"], r["gold_rows"]) == ("SUCCESS", 0, 1, 1, 2, 2)
@@ -143,10 +170,21 @@ def test_log_tables_of_two_batches(spark, tmp_path):
 def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
     """A JDBC source gets a row between the reads of a load: what counts is what was written."""
     url = {"url": "jdbc:derby:memory:late;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    put = lambda rows: spark.createDataFrame(rows, "ID int, TS timestamp").write.format("jdbc").options(**url).option("dbtable", "LATE").mode("append").save()
+    put = lambda rows: spark.createDataFrame(
+        rows, "ID int, TS timestamp"
+    ).write.format("jdbc").options(**url).option("dbtable", "LATE").mode("append").save()
     put([(1, dt.datetime(2024, 1, 3)), (2, dt.datetime(2024, 1, 4))])
     control = tables.Table(spark, str(tmp_path / "control"))
-    control.replace(spark.createDataFrame([(1, "p", "LATE", "late", "INCREMENTAL", True, dt.datetime(2024, 1, 1), None, None), (2, "p", "GONE", "gone", "FULL", True, None, None, None)], "control_id int, pipeline_name string, source_table string, destination_table string, load_type string, is_active boolean, source_cutoff_date timestamp, last_run_status string, last_rows_read long"))
+    control.replace(
+        spark.createDataFrame(
+            [
+                (1, "p", "LATE", "late", "INCREMENTAL", True, dt.datetime(2024, 1, 1), None, None),
+                (2, "p", "GONE", "gone", "FULL", True, None, None, None)
+            ],
+            "control_id int, pipeline_name string, source_table string, destination_table string, load_type string, is_active "
+            "boolean, source_cutoff_date timestamp, last_run_status string, last_rows_read long"
+        )
+    )
     audit_log, target = tables.Table(spark, str(tmp_path / "audit")), tables.Table(spark, str(tmp_path / "late"))
     real = tables.Table.stage_append
 
@@ -156,7 +194,10 @@ def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
             put([(3, dt.datetime(2024, 1, 5))])
         return out
 
-    run = lambda: ingest.run_controlled(control, audit_log, lambda r: readers.jdbc_full(spark, url, r["source_table"]), lambda n: tables.Table(spark, str(tmp_path / n)), "TS")
+    run = lambda: ingest.run_controlled(
+        control, audit_log, lambda r: readers.jdbc_full(spark, url, r["source_table"]), lambda n: tables.Table(spark, str(tmp_path / n)),
+        "TS"
+    )
     with mock.patch.object(tables.Table, "stage_append", slow):
         first = {r.control_id: r for r in run().collect()}
     assert (first[1].run_status, first[1].rows_read, first[2].run_status) == ("SUCCESS", 2, "FAILURE") and first[2].error_message
@@ -164,12 +205,16 @@ def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
     assert after[1].source_cutoff_date == dt.datetime(2024, 1, 4) and after[2].last_run_status.startswith("FAILURE") and after[2].source_cutoff_date is None
     assert run().where("control_id = 1").first().rows_read == 1 and target.read().count() == 3
     log = audit_log.read()
-    assert log.count() == 4 and log.where("duration_seconds >= 0 AND triggered_by = 'SYSTEM'").count() == 4 and log.select("audit_date").distinct().count() >= 1
+    assert log.count() == 4 and log.where(
+        "duration_seconds >= 0 AND triggered_by = 'SYSTEM'"
+    ).count() == 4 and log.select("audit_date").distinct().count() >= 1
 
 
 def test_catalog_and_system_tables(spark, tmp_path):
     spark.sql("CREATE DATABASE IF NOT EXISTS lake_gold")
-    spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string").write.option("path", str(tmp_path / "tab")).mode("overwrite").saveAsTable("lake_gold.tab")
+    spark.createDataFrame(
+        [(1, "a"), (2, "b")], "k long, v string"
+    ).write.option("path", str(tmp_path / "tab")).mode("overwrite").saveAsTable("lake_gold.tab")
     rows = catalog.lakehouse_catalog(spark, {"GOLD": "lake_gold"}).where("table_name = 'tab'").orderBy("column_name").collect()
     assert [(r.column_name, r.data_type, r.table_row_count, r.layer) for r in rows] == [("k", "bigint", 2, "GOLD"), ("v", "string", 2, "GOLD")]
     spark.sql("DROP TABLE lake_gold.tab")
@@ -198,7 +243,12 @@ def test_records_names_and_orders(spark, tmp_path):
     assert X.snake_columns(spark.createDataFrame([], "`A b-C` int, ` x__y ` int")).columns == ["a_b_c", "x__y"]
     one = spark.range(1)
     assert [tables.staging_status(x) for x in (None, one.where("false"), one)] == ["MISSING", "SKIPPED", "READY"]
-    order = rules.report_order(spark.createDataFrame([(s, 1, f) for f, s in enumerate(("OTHER", "CLOSED", "NEEDS UPDATE", "VERIFIED", "VERIFIED"))], "status string, FacilityID int, field int"))
+    order = rules.report_order(
+        spark.createDataFrame(
+            [(s, 1, f) for f, s in enumerate(("OTHER", "CLOSED", "NEEDS UPDATE", "VERIFIED", "VERIFIED"))],
+            "status string, FacilityID int, field int"
+        )
+    )
     assert [r.field for r in order.collect()] == [3, 4, 2, 1, 0]
 
 
@@ -212,7 +262,16 @@ def test_rolling_users_against_brute_force(spark):
 
 
 def test_ingest_isolates_failures_and_moves_watermarks(spark, tmp_path):
-    control = spark.createDataFrame([(1, "full", "FULL", True), (2, "inc", "INCREMENTAL", True), (3, "bad", "FULL", True), (4, "none", "INCREMENTAL", True), (5, "off", "FULL", False)], "control_id int, destination_table string, load_type string, is_active boolean").withColumns({"source_cutoff_date": F.lit("2024-01-02 00:00:00").cast("timestamp"), "last_run_status": F.lit(None).cast("string"), "last_rows_read": F.lit(None).cast("long")})
+    control = spark.createDataFrame(
+        [
+            (1, "full", "FULL", True), (2, "inc", "INCREMENTAL", True), (3, "bad", "FULL", True), (4, "none", "INCREMENTAL", True),
+            (5, "off", "FULL", False)
+        ],
+        "control_id int, destination_table string, load_type string, is_active boolean"
+    ).withColumns({
+        "source_cutoff_date": F.lit("2024-01-02 00:00:00").cast("timestamp"), "last_run_status": F.lit(None).cast("string"),
+        "last_rows_read": F.lit(None).cast("long")
+    })
     data = spark.createDataFrame([(i, dt.datetime(2024, 1, i)) for i in range(1, 6)], "id int, ts timestamp")
 
     def source(row):
@@ -221,7 +280,9 @@ def test_ingest_isolates_failures_and_moves_watermarks(spark, tmp_path):
         return data.where("id < 2") if row["destination_table"] == "none" else data
 
     results = ingest.run_ingest(control, source, lambda n: tables.Table(spark, str(tmp_path / n)), "ts")
-    assert {(r.control_id, r.status, r.rows_read) for r in results.collect()} == {(1, "SUCCESS", 5), (2, "SUCCESS", 3), (3, "FAILURE: OSError", 0), (4, "SUCCESS_NO_NEW_DATA", 0)}
+    assert {(r.control_id, r.status, r.rows_read) for r in results.collect()} == {
+        (1, "SUCCESS", 5), (2, "SUCCESS", 3), (3, "FAILURE: OSError", 0), (4, "SUCCESS_NO_NEW_DATA", 0)
+    }
     after = {r.control_id: r for r in ingest.update_control(control, results).collect()}
     assert after[2].source_cutoff_date == dt.datetime(2024, 1, 5) and after[4].source_cutoff_date == after[3].source_cutoff_date == dt.datetime(2024, 1, 2)
     assert after[3].last_rows_read is None and after[5].last_run_status is None
@@ -230,7 +291,9 @@ def test_ingest_isolates_failures_and_moves_watermarks(spark, tmp_path):
 
 
 def test_run_record(spark):
-    r = ingest.audit_run(spark.createDataFrame([(dt.datetime(2024, 6, 1, 2), dt.datetime(2024, 6, 1, 2, 4, 37))], "run_start timestamp, run_end timestamp")).first()
+    r = ingest.audit_run(
+        spark.createDataFrame([(dt.datetime(2024, 6, 1, 2), dt.datetime(2024, 6, 1, 2, 4, 37))], "run_start timestamp, run_end timestamp")
+    ).first()
     assert (r.duration_seconds, r.audit_date, r.triggered_by) == (277, dt.date(2024, 6, 1), "SYSTEM")
 
 
@@ -253,7 +316,9 @@ def test_readers(spark, tmp_path):
     rows = readers.read_audit_blobs(spark, str(blobs))
     assert rows.count() == 6 and audit.flatten_audit(rows).where("UserType = -1 AND ItemName = ''").count() == 6
     url = {"url": "jdbc:derby:memory:t;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    spark.createDataFrame([(i, dt.date(2024, 1, i)) for i in range(1, 6)], "id int, at date").write.format("jdbc").options(**url).option("dbtable", "SRC").save()
+    spark.createDataFrame(
+        [(i, dt.date(2024, 1, i)) for i in range(1, 6)], "id int, at date"
+    ).write.format("jdbc").options(**url).option("dbtable", "SRC").save()
     assert readers.jdbc_full(spark, url, "SRC", "id", (1, 6), 2).count() == 5
     assert readers.jdbc_incremental(spark, url, "SRC", '"at"', "2024-01-03").count() == 2
     assert readers.dev_sample(spark.range(100).withColumn("p", F.lit("x")), 1.0, 1, ("p",)).where("p = 'x'").count() == 0
@@ -275,7 +340,9 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got.count() == want.count() and got.join(want, ["OperationId", "Timestamp"]).count() == want.count()
     streams.stream_logs(spark, str(tmp_path / "in"), raw.schema, str(tmp_path / "out"), str(tmp_path / "cp2")).awaitTermination()
     assert tables.Table(spark, str(tmp_path / "out")).read().count() == want.count()
-    q = streams.stream_feed(spark, str(tmp_path / "in"), raw.schema).writeStream.format("memory").queryName("feed").outputMode("complete").trigger(availableNow=True).start()
+    q = streams.stream_feed(
+        spark, str(tmp_path / "in"), raw.schema
+    ).writeStream.format("memory").queryName("feed").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(map(tuple, spark.table("feed").collect())) == sorted(map(tuple, streams.feed(raw).collect()))
     bronze = view(spark, D, "audit_events")
@@ -288,5 +355,7 @@ def test_malformed_json_and_old_payloads(spark):
     df = view(spark, D, "workspace_logs")
     p = logs.parse_logs(df)
     assert p.where("EventText = '{bad' AND (dax_text IS NOT NULL OR error_message IS NOT NULL)").count() == 0
-    assert p.where("ApplicationContext LIKE '{\"ReportId%' AND report_id IS NULL").count() == 0 and p.where("upn IS NULL OR upn <> lower(trim(upn))").count() == 0
+    assert p.where(
+        "ApplicationContext LIKE '{\"ReportId%' AND report_id IS NULL"
+    ).count() == 0 and p.where("upn IS NULL OR upn <> lower(trim(upn))").count() == 0
     assert jobs.running(view(spark, D, "activity")).where("stop_execution_date IS NOT NULL").count() == 0
