@@ -106,7 +106,11 @@ def canonical(text: Column) -> Column:
     ascii_ = F.octet_length(text) == F.char_length(text)
     folded = F.replace(F.lower(F.upper(normalised(text))), F.lit("ß"), F.lit("ss"))
     # only runs and white space other than a single space change
-    return F.trim(F.when(ascii_, F.regexp_replace(F.lower(text), r"[\t-\r]\s*| \s+", " ")).otherwise(F.regexp_replace(folded, r"(?U)[\s&&[^ ]]\s*| \s+", " ")))
+    return F.trim(
+        F.when(
+            ascii_, F.regexp_replace(F.lower(text), r"[\t-\r]\s*| \s+", " ")
+        ).otherwise(F.regexp_replace(folded, r"(?U)[\s&&[^ ]]\s*| \s+", " "))
+    )
 
 
 def digest(canon: Column) -> Column:
@@ -201,7 +205,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if ranks is None:
         return judged.drop("__form")
     ranked = F.when(F.col("__rank") > 1, F.concat("fingerprint", F.lit("-"), F.col("__rank"))).otherwise(F.col("fingerprint"))
-    return judged.join(ranks, ["fingerprint", "__form"], "left").withColumn("fingerprint", ranked).drop("__rank", "__form").select(*judged.drop("__form").columns)
+    return judged.join(
+        ranks, ["fingerprint", "__form"], "left"
+    ).withColumn("fingerprint", ranked).drop("__rank", "__form").select(*judged.drop("__form").columns)
 
 
 def collisions(forms: DataFrame) -> DataFrame | None:

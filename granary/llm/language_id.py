@@ -208,10 +208,12 @@ def train(samples: list[tuple[str, str]], seed: int = 0) -> Crf | None:
         per_word = np.stack([np.bincount(words.inverse, miss[:, j], len(words.hashes)) for j in range(k)], 1)
         spread = np.repeat(per_word, n, axis=0) * weight[:, None]
         change = {
-            "affix": np.stack([np.bincount(affix.ravel(), np.repeat(per_word[:, j], affix.shape[1]) / affix.shape[1], FEATURES) for j in range(k)], 1),
+            "affix": np.stack(
+                [np.bincount(affix.ravel(), np.repeat(per_word[:, j], affix.shape[1]) / affix.shape[1], FEATURES) for j in range(k)], 1
+            ),
             "gram": np.stack([np.bincount(grams, spread[:, j], FEATURES) for j in range(k)], 1),
-            "entry": np.stack([np.bincount(entry, per_word[:, j], len(crf.lexicon) + 1) for j in range(k)], 1),
-            "bias": per_word.sum(0), "moves": gold_moves - pairs,
+            "entry": np.stack([np.bincount(entry, per_word[:, j], len(crf.lexicon) + 1) for j in range(k)], 1), "bias": per_word.sum(0),
+            "moves": gold_moves - pairs,
         }
         for name, g in change.items():
             value = getattr(crf, name)
@@ -277,4 +279,6 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
     crf = train(sample(docs))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return label(rows, crf).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return label(rows, crf).select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )

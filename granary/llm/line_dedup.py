@@ -149,7 +149,9 @@ def _line_keys(least: int, filters=None):
                 for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
                     hit[part] = known[shard[part[0]]].holds(h[part, 0])
                 h, docs = h[hit], docs.filter(pa.array(hit))
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].view(np.int64).copy()), pa.array(h[:, 1].view(np.int64).copy()), docs], ["h1", "h2", "doc_id"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[:, 0].view(np.int64).copy()), pa.array(h[:, 1].view(np.int64).copy()), docs], ["h1", "h2", "doc_id"]
+            )
 
     return run
 
@@ -193,7 +195,10 @@ def known_rows(rows: DataFrame, filters: DataFrame, shards: int) -> DataFrame:
     """The rows (h1, h2, doc_id) that their shard's filter knows. Filters and rows meet in tasks by shard and salt: a filter
     stands before its rows, which stream past it."""
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    dealt = rows.select("h1", "h2", "doc_id", _shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"), none("filter", "binary"))
+    dealt = rows.select(
+        "h1", "h2", "doc_id", _shard(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        none("filter", "binary")
+    )
     copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     sent = filters.select(none("h1", "long"), none("h2", "long"), none("doc_id", "long"), "shard", copies, "filter")
 
@@ -256,7 +261,11 @@ def _without(least: int):
                 n_dropped.append(len(lines) - len(kept))
                 kept_texts.append(b"\n".join(kept))
             yield pa.RecordBatch.from_arrays(
-                [*(batch[c] for c in batch.schema.names if c not in ("text", "lost_keys")), pa.array([k.decode("utf-8", "replace") for k in kept_texts], pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept_texts], pa.string())],
+                [
+                    *(batch[c] for c in batch.schema.names if c not in ("text", "lost_keys")),
+                    pa.array([k.decode("utf-8", "replace") for k in kept_texts], pa.string()), pa.array(n_lines, pa.int64()),
+                    pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept_texts], pa.string())
+                ],
                 [*(c for c in batch.schema.names if c not in ("text", "lost_keys")), "text", "n_lines", "n_dropped", "kept_sha256"],
             )
 
@@ -270,7 +279,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lost = _dropped(docs, least).withColumnRenamed("doc_id", "__lost_id")
     joined = docs.join(lost, docs["doc_id"] == lost["__lost_id"], "left").drop("__lost_id")
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string", "n_lines long", "n_dropped long", "kept_sha256 string"])
+    schema = ", ".join(
+        [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "text string", "n_lines long", "n_dropped long", "kept_sha256 string"]
+    )
     return joined.mapInArrow(_without(least), schema)
 
 

@@ -93,18 +93,27 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_rows: in
     n = 1 << max(0, min(MOST_BUCKETS, -(-sum(sizes.values()) // BUCKET_ROWS)) - 1).bit_length()
     rows = docs.withColumns({"__s": key, "__b": _bucket(n, seed)})
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n")).select("__s", "__b", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    offsets = rows.groupBy("__s", "__b").agg(F.count("*").alias("__n")).select(
+        "__s", "__b", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before")
+    )
     first = F.floor(F.col("__before") / block_rows)
-    reached = offsets.select("__s", "__b", "__before", F.explode(F.sequence(first, F.floor((F.col("__before") + F.col("__n") - 1) / block_rows))).alias("__k"))
+    reached = offsets.select(
+        "__s", "__b", "__before", F.explode(F.sequence(first, F.floor((F.col("__before") + F.col("__n") - 1) / block_rows))).alias("__k")
+    )
     reached = reached.join(plan, (F.col("__s") == F.col("__ps")) & (F.col("__k") == F.col("__pk")))
     # a bucket and its blocks in order: rows are looked up in it and their texts are not shuffled again
-    offsets = reached.groupBy(F.col("__s").alias("__os"), F.col("__b").alias("__ob")).agg(F.min("__before").alias("__before"), F.array_sort(F.collect_list(F.struct("__k", "__slot", "__rel", "__due"))).alias("__blocks"))
+    offsets = reached.groupBy(F.col("__s").alias("__os"), F.col("__b").alias("__ob")).agg(
+        F.min("__before").alias("__before"), F.array_sort(F.collect_list(F.struct("__k", "__slot", "__rel", "__due"))).alias("__blocks")
+    )
     within = Window.partitionBy("__s", "__b").orderBy("doc_id", F.xxhash64("text"))
     numbered = rows.withColumn("__rn", F.row_number().over(within)).join(offsets, (F.col("__s") == F.col("__os")) & (F.col("__b") == F.col("__ob")))
     place = F.col("__before") + F.col("__rn") - 1
     numbered = numbered.withColumns({"mix_block": F.floor(place / block_rows).cast("long"), "mix_offset": (place % block_rows).cast("int")})
     placed = numbered.withColumn("__at", F.col("__blocks")[(F.col("mix_block") - first).cast("int")])
-    return placed.select(*docs.columns, F.col("__at.__slot").alias("mix_slot"), "mix_offset", "mix_block", F.col("__at.__rel").alias("mix_release"), F.col("__at.__due").alias("mix_deadline"))
+    return placed.select(
+        *docs.columns, F.col("__at.__slot").alias("mix_slot"), "mix_offset", "mix_block", F.col("__at.__rel").alias("mix_release"),
+        F.col("__at.__due").alias("mix_deadline")
+    )
 
 
 def _written(spark: SparkSession, blocks: Iterator[tuple[str, int, int, int, int]], piece: int) -> DataFrame:

@@ -233,7 +233,9 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     moving = settled(own.join(both.select(F.col("a").alias("fp")).distinct(), "fp", "left_semi"), "moving")
     while True:
         # the links between current labels; both ends of each
-        at = both.join(moving.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(moving.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
+        at = both.join(
+            moving.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a"
+        ).join(moving.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
         hooks = at.where("la <> lb").groupBy("la").agg(F.min("lb").alias("to")).where("to < la")
         hooks = found = settled(hooks, "hooks")
         if hooks.isEmpty():
@@ -291,7 +293,9 @@ def _linked(nodes: DataFrame, radius: int) -> DataFrame:
     if apart.isEmpty():
         return labels
     # each node outside its bucket's main component meets every chunk of the bucket
-    asking = apart.where("label <> main").select("key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / CHUNK) - 1).cast("int"))).alias("chunk"), "fp", F.lit(True).alias("asks"))
+    asking = apart.where("label <> main").select(
+        "key", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") / CHUNK) - 1).cast("int"))).alias("chunk"), "fp", F.lit(True).alias("asks")
+    )
     meeting = asking.unionByName(apart.select("key", "chunk", "fp", F.lit(False).alias("asks")))
 
     def meet(part: pd.DataFrame) -> pd.DataFrame:

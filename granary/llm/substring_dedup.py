@@ -270,7 +270,10 @@ class SubstringIndex:
         rel = few.mapInArrow(_compared(self.width), _SPANS)
         many = put.where(F.col("kinds") > MOST)
         if not many.isEmpty():
-            rows = settled(many.mapInArrow(_window_rows(self.width), "h1 long, h2 long, g long, u long, v long, doc_id long, start int, off int"), "substring-windows")
+            rows = settled(
+                many.mapInArrow(_window_rows(self.width), "h1 long, h2 long, g long, u long, v long, doc_id long, start int, off int"),
+                "substring-windows"
+            )
             at = F.struct("doc_id", (F.col("start") + F.col("off")).alias("at"))
             first = rows.groupBy("h1", "h2").agg(F.min(at).alias("e"), F.max(at).alias("last")).where("e <> last").select("h1", "h2", "e")
             late = rows.join(settled(first, "substring-first"), ["h1", "h2"]).where(at != F.col("e"))

@@ -191,7 +191,10 @@ def _stretch_rows(width: int):
             ends = s.first + s.length + width - 1
             u, v = digests(raw[a:b] for a, b in zip(s.first.tolist(), ends.tolist(), strict=True))
             start = (s.first - s.offs[s.row] + skipped).astype(np.int32)
-            columns = [signed(s.anchor), u, v, pa.array(ids[s.row], pa.int64(), from_pandas=True), pa.array(start), pa.array(s.length.astype(np.int32))]
+            columns = [
+                signed(s.anchor), u, v, pa.array(ids[s.row], pa.int64(), from_pandas=True), pa.array(start),
+                pa.array(s.length.astype(np.int32))
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["g", "u", "v", "doc_id", "start", "n"])
 
     return run
@@ -424,7 +427,13 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_removed.append(gone)
             n_spans.append(runs)
             kept.append(b"".join(parts))
-        yield pa.RecordBatch.from_arrays([batch["own_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["own_id"], pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
+                pa.array(kept, pa.binary())
+            ],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+        )
 
 
 _KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -437,7 +446,10 @@ def _group_spans(pieces_: DataFrame, width: int, level: int = 0) -> DataFrame:
     if large.isEmpty():
         return sort(pieces_)
     many = settled(pieces_.join(large, "g"), "suffix-many")
-    inst = settled(many.mapInArrow(_cell_rows(width, CELLS[level]), "cg long, cu long, cv long, cn int, g long, u long, v long, lo int"), "suffix-cells")
+    inst = settled(
+        many.mapInArrow(_cell_rows(width, CELLS[level]), "cg long, cu long, cv long, cn int, g long, u long, v long, lo int"),
+        "suffix-cells"
+    )
     cell, own = ["cg", "cu", "cv"], ["g", "u", "v"]
     parent = F.struct(*own, "lo")
     agg = inst.groupBy(*cell).agg(F.first("cn").alias("cn"), F.min(parent).alias("one"), F.max(parent).alias("other"))

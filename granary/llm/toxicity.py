@@ -48,7 +48,10 @@ class Net:
         rng = np.random.RandomState(seed)
         self.known, self.stems = known, stems
         g = lambda *s, k=1.0: (rng.randn(*s) * k / np.sqrt(s[0])).astype(np.float32)
-        self.p = {"word": (rng.randn(len(known) + 1, DIM) * 0.05).astype(np.float32), "stem": (rng.randn(len(stems) + 1, DIM) * 0.05).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.05).astype(np.float32)}
+        self.p = {
+            "word": (rng.randn(len(known) + 1, DIM) * 0.05).astype(np.float32),
+            "stem": (rng.randn(len(stems) + 1, DIM) * 0.05).astype(np.float32), "gram": (rng.randn(GRAMS, DIM) * 0.05).astype(np.float32)
+        }
         for d in "fb":
             self.p |= {f"W{d}": g(DIM, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32), f"U{d}": g(HIDDEN, 3 * HIDDEN)}
         self.p |= {"A": g(2 * HIDDEN, ATTEND), "a": np.zeros(ATTEND, np.float32), "v": g(ATTEND), "o": g(2 * HIDDEN), "k": np.zeros(1, np.float32)}
@@ -195,7 +198,9 @@ def train(samples: list[tuple[str, int]], share: float, seed: int = 0) -> Net |
         flat_at = np.repeat(offs[word] - inner, counts) + np.arange(counts.sum())
         g_ids, g_w = grams[flat_at], per_gram[flat_at]
         lost = (rng.rand(len(word), 1) < DROP).astype(np.float32)  # a word is now and then known by its parts alone
-        x = net.p["word"][slot[word]] * (1 - lost) + net.p["stem"][stem_of[word]] + np.add.reduceat(net.p["gram"][g_ids] * g_w[:, None], inner, axis=0)
+        x = net.p["word"][slot[word]] * (1 - lost) + net.p["stem"][stem_of[word]] + np.add.reduceat(
+            net.p["gram"][g_ids] * g_w[:, None], inner, axis=0
+        )
         w = class_weight[row[part]]
         _, g, dx = net.gradients(x, local.reshape(len(part), WINDOW), mask[part], y[row[part]], (w / w.sum()).astype(np.float32))
         g |= {k: np.zeros_like(net.p[k]) for k in TABLES}
@@ -277,7 +282,10 @@ def _scorer(model):
         for batch in pieces(batches, "text"):
             out = np.full(batch.num_rows, float(net)) if isinstance(net, float) else net.texts(batch.column(batch.schema.get_field_index("text")))
             keep = [c for c in batch.schema.names if c != "toxicity"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.clip(out.astype(np.float64), 0, 1))], [*keep, "toxicity"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(np.clip(out.astype(np.float64), 0, 1))],
+                [*keep, "toxicity"]
+            )
 
     return run
 
@@ -293,4 +301,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted."""
     net = train(*sample(docs, labels))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return score(rows, net).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(rows, net).select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted")
+    )

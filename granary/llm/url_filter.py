@@ -28,7 +28,10 @@ from .common import discard, settled
 
 FANOUT, VISITS, PRIOR, REJECT = 8, 3.0, 4.0, 0.5
 #: (verdict, host, path)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/")
+)
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -75,10 +78,17 @@ def templates(paths: DataFrame) -> DataFrame:
         tail = F.when(F.size("segs") >= depth, F.concat(F.lit("/"), rest(depth))).otherwise(F.lit(""))
         ended = settled(node.where(~deep).select(*paths.columns, F.concat("at", tail).alias("at")), "url-ended")
         done = ended if done is None else done.unionByName(ended)
-        grown = settled(node.where(deep).drop("__paths").withColumns({"seg": F.get("segs", F.lit(depth - 1)), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit(""))}), "url-grown")
+        grown = settled(
+            node.where(deep).drop("__paths").withColumns(
+                {"seg": F.get("segs", F.lit(depth - 1)), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit(""))}
+            ),
+            "url-grown"
+        )
         if grown.isEmpty():
             return done.withColumn("template", F.concat("host", "at")).drop("at")
-        cells = settled(grown.groupBy("host", "at", "seg", "next").agg(*sums("")), "url-cells").toDF("host", "at", "seg", "next", "n", "labels", "bad")
+        cells = settled(
+            grown.groupBy("host", "at", "seg", "next").agg(*sums("")), "url-cells"
+        ).toDF("host", "at", "seg", "next", "n", "labels", "bad")
         branch = settled(cells.groupBy("host", "at", "seg").agg(*sums("b")), "url-branches")
         pooled = settled(cells.groupBy("host", "at", "next").agg(F.sum("n").alias("cn")), "url-pooled")
         kinds = pooled.groupBy("host", "at").agg(F.count("*").alias("kinds"))
@@ -94,7 +104,10 @@ def templates(paths: DataFrame) -> DataFrame:
         usual = ~_differs(F.col("bb"), F.col("bl"), F.coalesce(F.try_divide("pb", "pl"), F.lit(0.0)))
         similar = (F.col("kids") > 1) & (F.col("chi") <= free + 2 * F.sqrt(2 * free)) & usual
         judged = settled(judged.select("host", "at", "seg", F.when(variable | similar, F.lit("*")).otherwise(F.col("seg")).alias("as")), "url-judged")
-        node = settled(grown.join(judged, ["host", "at", "seg"]).select(*paths.columns, F.concat("at", F.lit("/"), "as").alias("at")), f"url-depth-{depth}")
+        node = settled(
+            grown.join(judged, ["host", "at", "seg"]).select(*paths.columns, F.concat("at", F.lit("/"), "as").alias("at")),
+            f"url-depth-{depth}"
+        )
         discard(alone, grown, cells, branch, pooled, parent, judged)
 
 
@@ -104,7 +117,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     rows = rows.withColumn("segs", typed_segments(F.col("path")))
     own = labels.where("bad IN (0, 1)").groupBy(F.col("page_id").cast("long").alias("__id")).agg(F.max("bad").alias("bad"))
     labelled = rows.join(own, rows["page_id"] == own["__id"], "left")
-    paths = labelled.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    paths = labelled.groupBy("host", "segs").agg(
+        F.count("*").alias("n"), F.count("bad").alias("labels"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")
+    )
     paths = settled(paths, "url-paths")
     total = paths.agg(F.sum("bad"), F.sum("labels")).first()
     rate = total[0] / total[1] if total[1] else 0.0
@@ -115,8 +130,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     known = tree.select("host", "segs", "template").join(purity, "template")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     return (
-        rows.join(known, ["host", "segs"], "left").withColumn("__rule", rule)
-        .select("page_id", "host", "path", F.col("__rule.rule").alias("rule"), F.coalesce(F.col("__rule.verdict"), F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
+        rows.join(known, ["host", "segs"], "left").withColumn("__rule", rule).select(
+            "page_id", "host", "path", F.col("__rule.rule").alias("rule"),
+            F.coalesce(F.col("__rule.verdict"), F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template",
+            "purity"
+        )
     )
 
 

@@ -61,7 +61,9 @@ class Words:
         start, end = _bounds(buf, offs)
         self.rows = len(offs) - 1
         self.row = np.searchsorted(offs, start, "right") - 1
-        self.hashes, at, self.inverse = np.unique(Rolling(buf, 5).of(start, end) if len(start) else np.zeros(0, np.uint64), return_index=True, return_inverse=True)
+        self.hashes, at, self.inverse = np.unique(
+            Rolling(buf, 5).of(start, end) if len(start) else np.zeros(0, np.uint64), return_index=True, return_inverse=True
+        )
         self.buf, self.start, self.length = buf, start[at], (end - start)[at]
         letters = np.concatenate([[0], np.cumsum(_LETTER[buf])])
         self.letter = letters[end] > letters[start]

@@ -12,7 +12,11 @@ def canon(t):
 
 def test_canonical_form_follows_the_unicode_database(spark):
     texts = ["Café  x", "Café x", "ＡＢＣ ｶ　d", "ﬁne ½ ™", "ậ ộ", "ǖ ǖ", "Straße STRASSE", "́ lone", "x́y", "Ω Å", "plain\ttext\n", ""]
-    got = [r.c for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(M.canonical(F.col("t")).alias("c")).collect()]
+    got = [
+        r.c for r in spark.createDataFrame(
+            [(i, t) for i, t in enumerate(texts)], "i int, t string"
+        ).orderBy("i").select(M.canonical(F.col("t")).alias("c")).collect()
+    ]
     assert got == [canon(t) for t in texts]
 
 

@@ -42,12 +42,20 @@ def test_held_out_accuracy_and_code_switching(spark):
 
 
 def test_edges(spark):
-    rows = [(1, None, "en"), (2, "", None), (3, "12 34 !!", "en"), (4, "a " * 60000, "en"), (None, "the cat", "en"), (5, "the cat", "en"), (5, "the cat", "en")]
+    rows = [
+        (1, None, "en"), (2, "", None), (3, "12 34 !!", "en"), (4, "a " * 60000, "en"), (None, "the cat", "en"), (5, "the cat", "en"),
+        (5, "the cat", "en")
+    ]
     more = [(i, "the cat sat", "en") for i in range(10, 30)]
     rows += more
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, lang string, lang_pred string")
     got = sorted((str(r.doc_id), r.lang_pred) for r in M.identify(df).collect())
-    assert got == sorted([("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("None", "en"), ("5", "en"), ("5", "en"), *((str(i), "en") for i, _, _ in more)])
+    assert got == sorted(
+        [
+            ("1", "und"), ("2", "und"), ("3", "und"), ("4", "en"), ("None", "en"), ("5", "en"), ("5", "en"),
+            *((str(i), "en") for i, _, _ in more)
+        ]
+    )
     assert M.identify(df.where("false")).count() == 0
     assert all(0 <= r.score <= 1 for r in M.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect())
 

@@ -28,7 +28,10 @@ def corpus(seed=0):
     for i in range(50):
         lines = [pool[rng.randint(len(pool))] if rng.rand() < 0.6 else f"own {i} {rng.randint(1000)} text" for _ in range(rng.randint(1, 12))]
         rows.append((i * 3, "\n".join(x.upper() if rng.rand() < 0.2 and x.isascii() else x for x in lines)))
-    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "shared line number 1\n" * 4000), (9, rows[3][1]), (9, rows[3][1]), (204, "\r\x0b shared LINE number 2 \x0c")]
+    rows += [
+        (200, None), (201, ""), (202, "\n\n"), (203, "shared line number 1\n" * 4000), (9, rows[3][1]), (9, rows[3][1]),
+        (204, "\r\x0b shared LINE number 2 \x0c")
+    ]
     return rows
 
 

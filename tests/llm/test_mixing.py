@@ -46,7 +46,10 @@ def test_deviation_from_stated_weights_stays_below_one_block(spark):
             had[s] += 1
             assert slot >= 5900 or all(abs(had[x] - exact[x] * (slot + 1)) < 1 for x in exact)
     weights = {"big": 19, **{f"s{i:02}": 1 for i in range(19)}}
-    df = spark.range(4000).selectExpr("id AS doc_id", "'t' AS text", "CASE WHEN id < 2000 THEN 'big' ELSE concat('s', lpad(CAST(id % 19 AS STRING), 2, '0')) END AS source")
+    df = spark.range(4000).selectExpr(
+        "id AS doc_id", "'t' AS text",
+        "CASE WHEN id < 2000 THEN 'big' ELSE concat('s', lpad(CAST(id % 19 AS STRING), 2, '0')) END AS source"
+    )
     got = M.mix(df, weights, block_rows=1).collect()
     assert len(got) == 4000 == len({r.mix_slot for r in got})
     for t in (1000, 2000, 3000):

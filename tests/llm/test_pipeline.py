@@ -86,9 +86,12 @@ def test_odd_rows_in_every_stage(spark):
     long = " ".join(f"the word{i % 977} and" for i in range(120_000))
     rows = [
         (1, None, None, None, None), (2, "", "en", "s", 0), (3, f"{line}\n{line}", "en", None, 30), (3, f"{line}\n{line}", "en", None, 30),
-        (None, other, "en", "s", None), (None, other, "en", "s", None), (4, "something else entirely stands in this row of words", None, "s", 9), (5, long, "en", "t", 7), (6, line.upper(), "en", "s", 1),
+        (None, other, "en", "s", None), (None, other, "en", "s", None),
+        (4, "something else entirely stands in this row of words", None, "s", 9), (5, long, "en", "t", 7), (6, line.upper(), "en", "s", 1),
     ]
-    odd = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, lang_pred string, keys int")
+    odd = spark.createDataFrame(
+        [(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars int, lang_pred string, keys int"
+    )
     real = [f.name for f in docs.schema.fields]
     one = P.language_id(spark, odd.select(*real).unionByName(docs.where("doc_id > 20").withColumn("n_chars", F.col("n_chars").cast("int"))), D)
     assert kept(one.where("doc_id IS NULL OR doc_id < 20")) == sorted((str(r[0]), r[1]) for r in rows if r[1])

@@ -101,4 +101,6 @@ def test_rows_without_an_id_come_last(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(None, text), (None, "start " + text), (None, text), (8, text), (None, None)]
     got = M.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 5 and sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [(0, 0, 0), (0, 30, 30), (0, 30, 30), (0, 31, 30), (8, 30, 0)]
+    assert len(got) == 5 and sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [
+        (0, 0, 0), (0, 30, 30), (0, 30, 30), (0, 31, 30), (8, 30, 0)
+    ]

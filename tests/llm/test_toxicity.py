@@ -46,7 +46,9 @@ def test_held_out_labels_and_ablation(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").where("toxic IS NOT NULL")
     net = M.train(*M.sample(docs, labels))
-    held = docs.where(held_out("doc_id") & (F.length("text") < 4000)).join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").limit(600)
+    held = docs.where(
+        held_out("doc_id") & (F.length("text") < 4000)
+    ).join(labels, "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").limit(600)
     rows = M.score(held, net).collect()
     y, score = [r.toxic for r in rows], np.array([r.toxicity for r in rows])
     assert area(y, score) > 0.93, area(y, score)
@@ -114,7 +116,9 @@ def test_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = M.toxicity(df, none).collect()
     assert len(got) == len(rows) and all(r.score == 0 and r.predicted == 0 for r in got)
-    some = spark.createDataFrame([(i, 1, i % 2) for i in (2, 3, 4, 5, 6, 7, 8)] + [(5, None, 0), (9, None, None)], "doc_id long, quality int, toxic int")
+    some = spark.createDataFrame(
+        [(i, 1, i % 2) for i in (2, 3, 4, 5, 6, 7, 8)] + [(5, None, 0), (9, None, None)], "doc_id long, quality int, toxic int"
+    )
     got = M.toxicity(df, some).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id in (5, None)}) == 1

@@ -76,7 +76,10 @@ def test_pages_against_brute_force(spark):
 def test_trees_and_edges(spark):
     urls = [f"https://A.shop.io/item/{x}/view" for x in ("red", "blue", "green", "black", "white", "pink", "cyan", "gold", "grey")]
     urls += [f"http://a.shop.io/spam/{i}" for i in range(30)] + [f"http://a.shop.io/blog/{i}/x?y" for i in range(30)]
-    urls += ["http://b.io/a/b/c/d/e/f/g", "http://b.io/deadbeef12/x", "nothing", None, "", "x://", "HTTP://EXAMPLE.COM/en/7?x", "http://xexample.com/en/1", "http://sub.example.net/de/81#a", "a://b.org/es/", "://q?r/s", "http://b.io/" + "long/" * 300]
+    urls += [
+        "http://b.io/a/b/c/d/e/f/g", "http://b.io/deadbeef12/x", "nothing", None, "", "x://", "HTTP://EXAMPLE.COM/en/7?x",
+        "http://xexample.com/en/1", "http://sub.example.net/de/81#a", "a://b.org/es/", "://q?r/s", "http://b.io/" + "long/" * 300
+    ]
     urls += [f"http://deep.io/a/b/c/d/e/{x}/{i}" for i in range(12) for x in ("spam", "docs")]  # parted only at the sixth segment
     rows = list(enumerate(urls)) + [(3, urls[3]), (None, urls[4])]
     bad = {i: int("spam" in (u or "")) for i, u in rows if i is not None and i % 2}
@@ -85,4 +88,6 @@ def test_trees_and_edges(spark):
     out = got(M.judge(pages, labels))
     assert out == brute(rows, bad)
     assert any(r[5] == "a.shop.io/item/*/view" for r in out) and all(r[4] == "block" for r in out if "/spam/" in r[2])
-    assert M.judge(pages.where("false"), labels).count() == 0 and M.judge(pages, labels.where("false")).where("verdict = 'block' AND rule IS NULL").count() == 0
+    assert M.judge(pages.where("false"), labels).count() == 0 and M.judge(pages, labels.where("false")).where(
+        "verdict = 'block' AND rule IS NULL"
+    ).count() == 0
