@@ -1,6 +1,11 @@
+import math
 from collections import Counter
+from fractions import Fraction
+
+from pyspark.sql import functions as F
 
 from granary.llm import mixing as M
+from granary.llm.common import table
 
 
 def test_period_keeps_windows_and_deviation():
@@ -61,3 +66,46 @@ def test_sources_of_weight_zero_follow_and_a_short_source_ends():
     assert Counter(s for s, *_ in rows) == {"a": 5, "b": 2, "z": 3}
     assert all(release <= slot < due for _, _, slot, release, due in rows) and len({r[2] for r in rows}) == 10
     assert min(r[2] for r in rows if r[0] == "z") > max(r[2] for r in rows if r[0] != "z")
+
+
+def plain_schedule(weights, blocks):
+    """Slot by slot: of all released blocks the one whose deadline is first, by trying every source."""
+    total = sum(weights.values())
+    had, out, slot = dict.fromkeys(blocks, 0), {}, 0
+    while any(had[s] < blocks[s] for s in blocks):
+        free = []
+        for s in blocks:
+            k = had[s]
+            if k < blocks[s] and Fraction(k) * total / weights[s] < slot + 1:
+                free.append((math.ceil(Fraction(k + 1) * total / weights[s]), s))
+        if free:
+            due, s = min(free)
+            out[s, had[s]] = (slot, math.floor(Fraction(had[s]) * total / weights[s]), due)
+            had[s] += 1
+        slot += 1
+    return out
+
+
+def test_rows_against_a_plain_schedule(spark):
+    """Every column of the query's rows on the smallest documents, and on a corpus with a very long text and many sources."""
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source")
+    odd = spark.createDataFrame([(i, f"t{i}" * (i % 4), f"s{i % 40}") for i in range(900)] + [(5000, "long " * 200_000, "s1"), (None, None, None)], docs.schema)
+    for df in (docs, odd):
+        rows = df.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(0), "doc_id", "text").alias("b"), F.xxhash64("text").alias("h")).collect()
+        n = 1 << max(0, min(M.MOST_BUCKETS, -(-len(rows) // M.BUCKET_ROWS)) - 1).bit_length()
+        want, by = {}, {}
+        for r in sorted(rows, key=lambda r: (r.s, r.b % n, r.doc_id is not None, r.doc_id or 0, r.h)):
+            by.setdefault(r.s, []).append(r.doc_id)
+        weights = {s: Fraction(math.sqrt(len(x))) for s, x in by.items()}
+        plan = plain_schedule(weights, {s: -(-len(x) // M.BLOCK_ROWS) for s, x in by.items()})
+        for s, ids in by.items():
+            for i, d in enumerate(ids):
+                want[d] = (plan[s, i // M.BLOCK_ROWS][0], i % M.BLOCK_ROWS, i // M.BLOCK_ROWS, *plan[s, i // M.BLOCK_ROWS][1:])
+        got = {r.doc_id: tuple(r[c] for c in M.ADDED) for r in M.mix(df).select("doc_id", *M.ADDED).collect()}
+        assert got == want
+
+
+def test_more_than_20000_sources(spark):
+    df = spark.range(21_000).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id) AS source")
+    got = M.mix(df).select("mix_slot").distinct().count()
+    assert got == 21_000
