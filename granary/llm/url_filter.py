@@ -73,17 +73,13 @@ def templates(paths: DataFrame) -> DataFrame:
         depth += 1
         # nodes of one path are leaves: the rest of the path is its template
         alone = settled(node.groupBy("host", "at").agg(F.count("*").alias("__paths")), "url-nodes")
-        node = node.join(alone, ["host", "at"])
         deep = (F.col("__paths") > 1) & (F.size("segs") >= depth)
+        node = settled(node.join(alone, ["host", "at"]).withColumn("__deep", deep).drop("__paths"), "url-parted")
         tail = F.when(F.size("segs") >= depth, F.concat(F.lit("/"), rest(depth))).otherwise(F.lit(""))
-        ended = settled(node.where(~deep).select(*paths.columns, F.concat("at", tail).alias("at")), "url-ended")
+        ended = node.where("NOT __deep").select(*paths.columns, F.concat("at", tail).alias("at"))
         done = ended if done is None else done.unionByName(ended)
-        grown = settled(
-            node.where(deep).drop("__paths").withColumns(
-                {"seg": F.get("segs", F.lit(depth - 1)), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit(""))}
-            ),
-            "url-grown"
-        )
+        step = {"seg": F.get("segs", F.lit(depth - 1)), "next": F.coalesce(F.get("segs", F.lit(depth)), F.lit(""))}
+        grown = node.where("__deep").drop("__deep").withColumns(step)
         if grown.isEmpty():
             return done.withColumn("template", F.concat("host", "at")).drop("at")
         cells = settled(
@@ -98,7 +94,7 @@ def templates(paths: DataFrame) -> DataFrame:
         met = cells.join(pooled, ["host", "at", "next"]).join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
         expected = F.col("bn") * F.col("cn") / F.col("pn")
         chi = met.groupBy("host", "at", "seg").agg((F.sum(F.pow(F.col("n") - expected, 2) / expected - expected) + F.first("bn")).alias("chi"))
-        judged = settled(chi, "url-chi").join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
+        judged = chi.join(branch, ["host", "at", "seg"]).join(parent, ["host", "at"])
         free = F.col("kinds") - 1
         variable = (F.col("kids") >= FANOUT) & (F.col("pn") < VISITS * F.col("kids")) & (F.col("bn") < VISITS)
         usual = ~_differs(F.col("bb"), F.col("bl"), F.coalesce(F.try_divide("pb", "pl"), F.lit(0.0)))
@@ -108,7 +104,7 @@ def templates(paths: DataFrame) -> DataFrame:
             grown.join(judged, ["host", "at", "seg"]).select(*paths.columns, F.concat("at", F.lit("/"), "as").alias("at")),
             f"url-depth-{depth}"
         )
-        discard(alone, grown, cells, branch, pooled, parent, judged)
+        discard(alone, cells, branch, pooled, parent, judged)
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
