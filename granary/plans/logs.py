@@ -23,11 +23,16 @@ def _j(c: str, p: str) -> str:
 
 
 PARSED = ctes("workspace_logs") + f""", parsed0 AS (SELECT * EXCLUDE (Status),
- lower(trim(coalesce({_j('Identity', 'Upn')}, {_j('Identity', 'upn')}, ExecutingUser))) AS upn, {_j('Identity', 'ObjectId')} AS user_object_id, {_j('Identity', 'TenantId')} AS tenant_id,
- {_CTX.format(p='ReportId')} AS report_id, {_CTX.format(p='ReportName')} AS report_name, {_CTX.format(p='VisualId')} AS visual_id, {_CTX.format(p='VisualName')} AS visual_name, {_CTX.format(p='PageId')} AS page_id, {_CTX.format(p='PageName')} AS page_name,
- {_j('ApplicationContext', 'ClientType')} AS client_type, {_j('ApplicationContext', 'Application')} AS app_name, {_j('ApplicationContext', 'ActivityId')} AS activity_id,
- CASE WHEN upper(trim(OperationName)) IN ('EXECUTE DAX', 'EXECUTEDAX', 'QUERY') THEN coalesce({_j('EventText', 'Text')}, {_j('EventText', 'QueryText')}) END AS dax_text,
- {_j('EventText', 'OperationStatus')} AS operation_status, coalesce({_j('EventText', 'ErrorMessage')}, {_j('EventText', 'Error')}) AS error_message, EventText AS event_text_raw,
+ lower(trim(coalesce({_j('Identity', 'Upn')}, {_j('Identity', 'upn')}, ExecutingUser))) AS upn,
+ {_j('Identity', 'ObjectId')} AS user_object_id, {_j('Identity', 'TenantId')} AS tenant_id,
+ {_CTX.format(p='ReportId')} AS report_id, {_CTX.format(p='ReportName')} AS report_name, {_CTX.format(p='VisualId')} AS visual_id,
+ {_CTX.format(p='VisualName')} AS visual_name, {_CTX.format(p='PageId')} AS page_id, {_CTX.format(p='PageName')} AS page_name,
+ {_j('ApplicationContext', 'ClientType')} AS client_type, {_j('ApplicationContext', 'Application')} AS app_name,
+ {_j('ApplicationContext', 'ActivityId')} AS activity_id,
+ CASE WHEN upper(trim(OperationName)) IN ('EXECUTE DAX', 'EXECUTEDAX', 'QUERY') THEN coalesce({_j('EventText', 'Text')},
+ {_j('EventText', 'QueryText')}) END AS dax_text,
+ {_j('EventText', 'OperationStatus')} AS operation_status, coalesce({_j('EventText', 'ErrorMessage')},
+ {_j('EventText', 'Error')}) AS error_message, EventText AS event_text_raw,
  CASE WHEN upper(trim(Status)) = 'FAILED' THEN 'FAILURE' ELSE upper(trim(Status)) END AS Status, CAST(Timestamp AS DATE) AS log_date,
  row_number() OVER (PARTITION BY OperationId, Timestamp ORDER BY DurationMs DESC NULLS LAST, ExecutingUser, OperationName) AS rn FROM workspace_logs),
 parsed AS (SELECT * EXCLUDE (rn) FROM parsed0 WHERE rn = 1)"""

@@ -129,13 +129,23 @@ register(
 # --- catalog --------------------------------------------------------------------------------------------------------
 _SYS = ("sys_tables", "sys_columns", "sys_measures", "sys_storage", "lineage_map", "lake_catalog")
 _B = "CASE lower({c}) WHEN 'true' THEN true WHEN 'false' THEN false END"
-MASTER = ctes(*_SYS) + f""", st AS (SELECT upper(trim(dimension_name)) AS st, upper(trim(attribute_name)) AS sc, max(TRY_CAST(dictionary_size AS BIGINT)) AS dictionary_size FROM sys_storage WHERE column_type = 'BASIC_DATA' GROUP BY ALL),
-master AS (SELECT t.name AS table_name, explicitname AS object_name, 'COLUMN' AS object_type, sourcecolumn, datatype, {_B.format(c='c.ishidden')} AS is_hidden, {_B.format(c='iskey')} AS is_key, dictionary_size, CAST(NULL AS VARCHAR) AS expression FROM sys_columns c LEFT JOIN sys_tables t ON c.tableid = t.id LEFT JOIN st ON upper(trim(t.name)) = st.st AND upper(trim(explicitname)) = st.sc
- UNION ALL SELECT t.name, m.name, 'MEASURE', NULL, NULL, {_B.format(c='m.ishidden')}, NULL, NULL, expression FROM sys_measures m LEFT JOIN sys_tables t ON m.tableid = t.id)"""
-FULL = MASTER + """, full0 AS (SELECT m.*, lh_layer, lh_table_name, relationship, c.data_type AS lh_data_type, c.table_row_count, l.sem_table_name IS NOT NULL AS has_lineage, c.column_name IS NOT NULL AS in_lakehouse,
- CASE WHEN object_type <> 'COLUMN' THEN NULL WHEN c.data_type IS NULL THEN 'NOT_IN_LAKEHOUSE' WHEN lower(c.data_type) = CASE datatype WHEN 'Int64' THEN 'bigint' WHEN 'String' THEN 'string' END THEN 'TYPE_MATCH' ELSE 'TYPE_MISMATCH' END AS alignment
- FROM master m LEFT JOIN lineage_map l ON upper(trim(m.table_name)) = upper(trim(l.sem_table_name)) LEFT JOIN lake_catalog c ON upper(trim(l.lh_table_name)) = upper(trim(c.table_name)) AND upper(trim(m.sourcecolumn)) = upper(trim(c.column_name)) AND l.lh_layer = c.layer),
-full_ AS (SELECT *, sha256(concat_ws('|', coalesce(table_name, '~'), coalesce(object_name, '~'), object_type, coalesce(lh_table_name, '~'), coalesce(alignment, '~'))) AS _row_hash FROM full0)"""
+MASTER = ctes(*_SYS) + f""", st AS (SELECT upper(trim(dimension_name)) AS st, upper(trim(attribute_name)) AS sc,
+ max(TRY_CAST(dictionary_size AS BIGINT)) AS dictionary_size FROM sys_storage WHERE column_type = 'BASIC_DATA' GROUP BY ALL),
+master AS (SELECT t.name AS table_name, explicitname AS object_name, 'COLUMN' AS object_type, sourcecolumn, datatype,
+ {_B.format(c='c.ishidden')} AS is_hidden, {_B.format(c='iskey')} AS is_key, dictionary_size,
+ CAST(NULL AS VARCHAR) AS expression FROM sys_columns c LEFT JOIN sys_tables t ON c.tableid = t.id LEFT
+ JOIN st ON upper(trim(t.name)) = st.st AND upper(trim(explicitname)) = st.sc
+ UNION ALL SELECT t.name, m.name, 'MEASURE', NULL, NULL, {_B.format(c='m.ishidden')}, NULL, NULL,
+ expression FROM sys_measures m LEFT JOIN sys_tables t ON m.tableid = t.id)"""
+FULL = MASTER + """, full0 AS (SELECT m.*, lh_layer, lh_table_name, relationship, c.data_type AS lh_data_type, c.table_row_count,
+ l.sem_table_name IS NOT NULL AS has_lineage, c.column_name IS NOT NULL AS in_lakehouse,
+ CASE WHEN object_type <> 'COLUMN' THEN NULL WHEN c.data_type IS NULL THEN 'NOT_IN_LAKEHOUSE'
+ WHEN lower(c.data_type) = CASE datatype WHEN 'Int64' THEN 'bigint' WHEN 'String' THEN 'string' END THEN 'TYPE_MATCH'
+ ELSE 'TYPE_MISMATCH' END AS alignment
+ FROM master m LEFT JOIN lineage_map l ON upper(trim(m.table_name)) = upper(trim(l.sem_table_name)) LEFT
+ JOIN lake_catalog c ON upper(trim(l.lh_table_name)) = upper(trim(c.table_name)) AND upper(trim(m.sourcecolumn)) = upper(trim(c.column_name)) AND l.lh_layer = c.layer),
+full_ AS (SELECT *, sha256(concat_ws('|', coalesce(table_name, '~'), coalesce(object_name, '~'), object_type, coalesce(lh_table_name, '~'),
+ coalesce(alignment, '~'))) AS _row_hash FROM full0)"""
 
 
 def master(s, d):
@@ -229,9 +239,8 @@ register(
 )
 register(
     "m7_release_gate", lambda s, d: Q.release_gate(Q.health_flags(_prof("orders")(s, d)), valid(s, d), run_audit(s, d)),
-    VALID + AUDIT.replace("WITH ", ", ", 1) + f" SELECT *, critical = 0 AND not_passed = 0 AND failures = 0 AS open FROM (SELECT (SELECT count(*) FILTER (WHERE {_FLAG} = "
-    f"'CRITICAL') FROM ({_profile_sql('orders')})) AS critical, (SELECT count(*) FROM valid WHERE validation_status NOT IN ('PASS', "
-    f"'NO_DATA')) AS not_passed, (SELECT count(*) FROM audit WHERE status = 'FAILURE') AS failures)"
+    VALID + AUDIT.replace("WITH ", ", ", 1)
+    + f" SELECT *, critical = 0 AND not_passed = 0 AND failures = 0 AS open FROM (SELECT (SELECT count(*) FILTER (WHERE {_FLAG} = " f"'CRITICAL') FROM ({_profile_sql('orders')})) AS critical, (SELECT count(*) FROM valid WHERE validation_status NOT IN ('PASS', " f"'NO_DATA')) AS not_passed, (SELECT count(*) FROM audit WHERE status = 'FAILURE') AS failures)"
 )
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
@@ -240,9 +249,20 @@ _HMS = (
     "(lpad(CAST(({c} % 86400) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(({c} % 3600) // 60 AS VARCHAR), 2, '0') || ':' || "
     "lpad(CAST({c} % 60 AS VARCHAR), 2, '0'))"
 )
-RUNS = ctes("runs", "activity") + f""", hist AS (SELECT *, strptime(CAST(run_date AS VARCHAR), '%Y%m%d') + {_SEC.format(c='run_time')} * INTERVAL '1' SECOND AS run_start_datetime, {_SEC.format(c='run_duration')}::BIGINT AS run_duration_seconds FROM runs WHERE run_status IN (0, 1, 3) AND step_id <> 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, step_id ORDER BY run_date DESC, run_time DESC, run_id DESC) AS run_recency_rank FROM hist),
-jh AS (SELECT job_id, step_id, count(*) AS total_historical_runs, count(*) FILTER (WHERE run_status = 1) AS successful_runs, count(*) FILTER (WHERE run_status = 0) AS failed_runs, floor(avg(CASE WHEN run_status = 1 AND run_recency_rank <= 30 THEN run_duration_seconds END))::BIGINT AS avg_duration_seconds, max(CASE WHEN run_status = 1 THEN run_duration_seconds END) AS max_duration_seconds, min(CASE WHEN run_status = 1 THEN run_duration_seconds END) AS min_duration_seconds, stddev_samp(CASE WHEN run_status = 1 AND run_recency_rank <= 30 THEN run_duration_seconds END) AS stddev_duration_seconds, max(run_start_datetime) AS last_run_datetime, max(CASE WHEN run_recency_rank = 1 THEN run_duration_seconds END) AS last_run_duration_seconds, max(CASE WHEN run_recency_rank = 1 THEN run_status END) AS last_run_status FROM ranked GROUP BY ALL)"""
+RUNS = ctes("runs", "activity") + f""", hist AS (SELECT *, strptime(CAST(run_date AS VARCHAR),
+ '%Y%m%d') + {_SEC.format(c='run_time')} * INTERVAL '1' SECOND AS run_start_datetime,
+ {_SEC.format(c='run_duration')}::BIGINT AS run_duration_seconds FROM runs WHERE run_status IN (0, 1, 3) AND step_id <> 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY job_id, step_id ORDER BY run_date DESC, run_time DESC,
+ run_id DESC) AS run_recency_rank FROM hist),
+jh AS (SELECT job_id, step_id, count(*) AS total_historical_runs, count(*) FILTER (WHERE run_status = 1) AS successful_runs,
+ count(*) FILTER (WHERE run_status = 0) AS failed_runs,
+ floor(avg(CASE WHEN run_status = 1 AND run_recency_rank <= 30 THEN run_duration_seconds END))::BIGINT AS avg_duration_seconds,
+ max(CASE WHEN run_status = 1 THEN run_duration_seconds END) AS max_duration_seconds,
+ min(CASE WHEN run_status = 1 THEN run_duration_seconds END) AS min_duration_seconds,
+ stddev_samp(CASE WHEN run_status = 1 AND run_recency_rank <= 30 THEN run_duration_seconds END) AS stddev_duration_seconds,
+ max(run_start_datetime) AS last_run_datetime,
+ max(CASE WHEN run_recency_rank = 1 THEN run_duration_seconds END) AS last_run_duration_seconds,
+ max(CASE WHEN run_recency_rank = 1 THEN run_status END) AS last_run_status FROM ranked GROUP BY ALL)"""
 
 
 def ranked(s, d):
@@ -357,10 +377,7 @@ register(
 )
 register(
     "x5_search", lambda s, d: U.search(view(s, d, "facilities"), view(s, d, "requests")),
-    ctes("facilities", "requests") + " SELECT request_id, rank, FacilityID, FacilityName, WalkInAvailable FROM (SELECT *, row_number() OVER (PARTITION BY "
-    "request_id ORDER BY WalkInAvailable DESC, FacilityName, FacilityID)::INT AS rank FROM requests r JOIN facilities f ON "
-    "r.category = f.PrimaryCategory AND r.zip = f.ZipCode WHERE len(list_filter(string_split(needs, '|'), lambda x: x <> '' AND "
-    "NOT list_contains(string_split(SubCategories, '|'), x))) = 0) WHERE rank <= 3"
+    ctes("facilities", "requests") + " SELECT request_id, rank, FacilityID, FacilityName, WalkInAvailable FROM (SELECT *, row_number() OVER (PARTITION BY " "request_id ORDER BY WalkInAvailable DESC, FacilityName, FacilityID)::INT AS rank FROM requests r JOIN facilities f ON " "r.category = f.PrimaryCategory AND r.zip = f.ZipCode WHERE len(list_filter(string_split(needs, '|'), lambda x: x <> '' AND " "NOT list_contains(string_split(SubCategories, '|'), x))) = 0) WHERE rank <= 3"
 )
 register(
     "x6_stale", lambda s, d: U.stale(view(s, d, "facilities"), "2024-01-31").select("FacilityID", "is_stale"),
@@ -386,8 +403,7 @@ register(
     d: U.modifier_tags(
         view(s, d, "facilities").withColumn("text", F.regexp_replace("SubCategories", "-", " ")), "text"
     ).select("FacilityID", F.concat_ws(",", "sub_tags").alias("tags")),
-    ctes("facilities") + ", cat AS (SELECT FacilityID, replace(SubCategories, '-', ' ') AS text, false AS lgbtq, '' AS primary_category FROM facilities)" + f" SELECT FacilityID, array_to_string(list_sort(list_distinct(list_filter({_TAGSQL}, lambda x: x IS NOT NULL))), ',') AS tags "
-    f"FROM cat"
+    ctes("facilities") + ", cat AS (SELECT FacilityID, replace(SubCategories, '-', ' ') AS text, false AS lgbtq, '' AS primary_category FROM " "facilities)" + f" SELECT FacilityID, array_to_string(list_sort(list_distinct(list_filter({_TAGSQL}, lambda x: x IS NOT NULL))), ',') AS tags " f"FROM cat"
 )
 register(
     "p20_contact_lookup", lambda s, d: U.contact_lookup(view(s, d, "facilities"), "000000001"),
@@ -407,10 +423,17 @@ _RUB = (
 )
 _DIMS = " UNION ALL ".join(f"SELECT {i} AS ordinal, '{n}' AS dimension, {p} AS max_points, '{q}' AS ask" for i, (n, p, q) in enumerate(N.DIMENSIONS))
 SCORES = ctes("raw_scores") + f""", dims AS ({_DIMS}), noms AS (SELECT DISTINCT nomination_id, nomination_period FROM raw_scores),
-ds0 AS (SELECT n.nomination_id, n.nomination_period, d.*, least(1.0, greatest(0.0, coalesce(raw_score, 0.0))) AS raw_score FROM noms n CROSS JOIN dims d LEFT JOIN raw_scores r ON n.nomination_id = r.nomination_id AND n.nomination_period = r.nomination_period AND d.dimension = r.dimension),
-ds AS (SELECT *, round_even(raw_score * max_points, 1) AS weighted_score, {_RUB.format(c='raw_score')} AS rubric_level, raw_score < 0.4 AS flagged FROM ds0),
-ex AS (SELECT *, row_number() OVER (PARTITION BY nomination_id, nomination_period ORDER BY weighted_score / max_points DESC, ordinal) AS rank FROM ds),
-cards AS (SELECT *, {_RUB.format(c='total_score / 100')} AS overall_level FROM (SELECT nomination_id, nomination_period, round(sum(weighted_score::DECIMAL(10,1))::DOUBLE, 1) AS total_score, count(*) FILTER (WHERE flagged) AS flagged_dimensions, string_agg(dimension, ',' ORDER BY rank) FILTER (WHERE rank <= 2) AS strengths, string_agg(dimension, ',' ORDER BY rank) FILTER (WHERE rank > 4) AS gaps, string_agg(ask, '|' ORDER BY ordinal) FILTER (WHERE flagged OR rank > 4) AS council_focus FROM ex GROUP BY ALL))"""
+ds0 AS (SELECT n.nomination_id, n.nomination_period, d.*, least(1.0, greatest(0.0, coalesce(raw_score,
+ 0.0))) AS raw_score FROM noms n CROSS JOIN dims d LEFT JOIN raw_scores r ON n.nomination_id = r.nomination_id AND n.nomination_period = r.nomination_period AND d.dimension = r.dimension),
+ds AS (SELECT *, round_even(raw_score * max_points, 1) AS weighted_score, {_RUB.format(c='raw_score')} AS rubric_level,
+ raw_score < 0.4 AS flagged FROM ds0),
+ex AS (SELECT *, row_number() OVER (PARTITION BY nomination_id, nomination_period ORDER BY weighted_score / max_points DESC,
+ ordinal) AS rank FROM ds),
+cards AS (SELECT *, {_RUB.format(c='total_score / 100')} AS overall_level FROM (SELECT nomination_id, nomination_period,
+ round(sum(weighted_score::DECIMAL(10,1))::DOUBLE, 1) AS total_score, count(*) FILTER (WHERE flagged) AS flagged_dimensions,
+ string_agg(dimension, ',' ORDER BY rank) FILTER (WHERE rank <= 2) AS strengths, string_agg(dimension,
+ ',' ORDER BY rank) FILTER (WHERE rank > 4) AS gaps, string_agg(ask,
+ '|' ORDER BY ordinal) FILTER (WHERE flagged OR rank > 4) AS council_focus FROM ex GROUP BY ALL))"""
 
 
 def raw(s, d):
@@ -455,10 +478,19 @@ register(
 )
 
 # --- reports --------------------------------------------------------------------------------------------------------
-CARD = f""", a5 AS ({A5}), a2 AS ({A2}), ra AS (SELECT ItemName, WorkspaceName, ModelMode, round(avg(success_rate_pct), 6) AS avg_refresh_success_rate, round(avg(avg_duration_ms), 4) AS avg_refresh_duration_ms, count(*) FILTER (WHERE sla_status = 'SLA_BREACH') AS sla_breach_days, count(*) AS total_refresh_days FROM a5 GROUP BY ALL),
-da AS (SELECT model_name AS ItemName, WorkspaceName, round(avg(avg_duration_ms), 4) AS avg_dax_duration_ms, max(max_duration_ms) AS max_dax_duration_ms, sum(dax_execution_count)::BIGINT AS total_dax_executions, round(100.0::DOUBLE * count(*) FILTER (WHERE performance_tier IN ('Slow (2-10s)', 'Critical (>10s)')) / count(*), 2) AS pct_slow_queries FROM a2 GROUP BY ALL),
-card0 AS (SELECT ra.*, avg_dax_duration_ms, max_dax_duration_ms, total_dax_executions, pct_slow_queries, round(least(coalesce(avg_refresh_success_rate, 0), 100) * 0.5::DOUBLE + (100 - least(coalesce(pct_slow_queries, 0), 100)) * 0.3::DOUBLE + (1 - least(sla_breach_days, total_refresh_days)::DOUBLE / greatest(total_refresh_days, 1)) * 20, 1) AS health_score FROM ra LEFT JOIN da ON ra.ItemName = da.ItemName AND ra.WorkspaceName = da.WorkspaceName),
-card AS (SELECT *, CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 75 THEN 'B' WHEN health_score >= 60 THEN 'C' ELSE 'D' END AS health_grade FROM card0)"""
+CARD = f""", a5 AS ({A5}), a2 AS ({A2}), ra AS (SELECT ItemName, WorkspaceName, ModelMode, round(avg(success_rate_pct),
+ 6) AS avg_refresh_success_rate, round(avg(avg_duration_ms), 4) AS avg_refresh_duration_ms,
+ count(*) FILTER (WHERE sla_status = 'SLA_BREACH') AS sla_breach_days, count(*) AS total_refresh_days FROM a5 GROUP BY ALL),
+da AS (SELECT model_name AS ItemName, WorkspaceName, round(avg(avg_duration_ms), 4) AS avg_dax_duration_ms,
+ max(max_duration_ms) AS max_dax_duration_ms, sum(dax_execution_count)::BIGINT AS total_dax_executions,
+ round(100.0::DOUBLE * count(*) FILTER (WHERE performance_tier IN ('Slow (2-10s)', 'Critical (>10s)')) / count(*),
+ 2) AS pct_slow_queries FROM a2 GROUP BY ALL),
+card0 AS (SELECT ra.*, avg_dax_duration_ms, max_dax_duration_ms, total_dax_executions, pct_slow_queries,
+ round(least(coalesce(avg_refresh_success_rate, 0), 100) * 0.5::DOUBLE + (100 - least(coalesce(pct_slow_queries, 0),
+ 100)) * 0.3::DOUBLE + (1 - least(sla_breach_days, total_refresh_days)::DOUBLE / greatest(total_refresh_days, 1)) * 20,
+ 1) AS health_score FROM ra LEFT JOIN da ON ra.ItemName = da.ItemName AND ra.WorkspaceName = da.WorkspaceName),
+card AS (SELECT *, CASE WHEN health_score >= 90 THEN 'A' WHEN health_score >= 75 THEN 'B'
+ WHEN health_score >= 60 THEN 'C' ELSE 'D' END AS health_grade FROM card0)"""
 
 
 def _on(f, *parts):
@@ -524,8 +556,7 @@ register(
 # --- stream twins ---------------------------------------------------------------------------------------------------
 register(
     "t2_feed", lambda s, d: streams.feed(logs(s, d).withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))),
-    ctes("workspace_logs") + " SELECT time_bucket(INTERVAL '15 minutes', Timestamp) AS start, time_bucket(INTERVAL '15 minutes', Timestamp) + INTERVAL '15 "
-    "minutes' AS \"end\", OperationName, count(*) AS operations FROM workspace_logs GROUP BY ALL"
+    ctes("workspace_logs") + " SELECT time_bucket(INTERVAL '15 minutes', Timestamp) AS start, time_bucket(INTERVAL '15 minutes', Timestamp) + INTERVAL '15 " "minutes' AS \"end\", OperationName, count(*) AS operations FROM workspace_logs GROUP BY ALL"
 )
 register(
     "v5_latest_validation", lambda s,

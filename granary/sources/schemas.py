@@ -17,18 +17,59 @@ _GOLD = "gold_loaded_at timestamp, _dw_created_at timestamp, _dw_updated_at time
 
 # Columns and types of each table.
 _DDL = {
-    "control_table": "control_id int, pipeline_name string, connection_name string, source_schema string, source_table string, source_watermark_column string, " "destination_schema string, destination_table string, load_type string, source_cutoff_date timestamp, is_active boolean, "
-    "server_switch string, " "source_database string, last_run_start timestamp, last_run_end timestamp, last_run_status string, last_rows_read long, " "last_rows_written long, " "last_updated_by string, last_updated_at timestamp",
-    "pipeline_audit_log": "audit_id string, pipeline_name string, notebook_name string, control_id int, source_table string, destination_table string, " "destination_layer string, load_type string, run_start timestamp, run_end timestamp, duration_seconds int, rows_read long, rows_written long, " "rows_updated long, rows_deleted long, rows_skipped long, run_status string, error_message string, error_step string, "
-    "watermark_start timestamp, " "watermark_end timestamp, new_watermark_value timestamp, connection_name string, source_database string, triggered_by string, " "fabric_run_id string, " "logged_at timestamp, audit_date date",
-    "silver_audit_logs": "Id string, CreationTime timestamp, log_date date, RecordType int, Operation string, Activity string, Workload string, UserId string, " "UserKey string, UserType int, ClientIP string, UserAgent string, ItemName string, WorkSpaceName string, WorkspaceId string, "
-    "DatasetName string, " "DatasetId string, ReportName string, ReportId string, ReportType string, ObjectId string, IsSuccess boolean, OrganizationId string, " "DistributionMethod string, ConsumptionMethod string, app_id string, capacity_id string, artifact_kind string, RequestId " "string, ActivityId string, " "_batch_date string, _silver_loaded_at timestamp, _row_hash string",
-    "gold_semantic_model_logs": f"{_LOG}, EventText string, Identity string, ApplicationContext string, ItemId string, ItemKind string, ItemName string, " f"{_ITEM}",
-    "gold_semantic_model_logs_parsed": f"{_LOG}, upn string, user_object_id string, tenant_id string, report_id string, report_name string, visual_id string, " "visual_name string, page_id string, page_name string, client_type string, activity_id string, dax_query_text string, " "event_operation_status string, " f"event_error_message string, event_text_raw string, ItemId string, ItemName string, {_ITEM}",
-    "gold_model_health_scorecard": "model_name string, ItemName string, WorkspaceName string, ModelMode string, avg_refresh_success_rate decimal(5,2), " "avg_refresh_duration_ms decimal(18,3), sla_breach_days int, total_refresh_days int, avg_dax_duration_ms decimal(18,3), " "max_dax_duration_ms long, " f"total_dax_executions long, pct_slow_queries decimal(5,2), health_score decimal(5,1), health_grade string, {_GOLD}",
-    "gold_semantic_model_refresh_summary": "log_date date, WorkspaceName string, ItemName string, ModelMode string, total_refresh_ops long, success_count long, " "failure_count long, avg_duration_ms decimal(18,3), max_duration_ms long, min_duration_ms long, avg_cpu_ms decimal(18,3), " "success_rate_pct decimal(5,2), " f"sla_status string, {_GOLD}",
-    "gold_semantic_model_dax_performance": "log_date date, WorkspaceName string, ItemName string, executing_user string, app_name string, dax_execution_count long, " "avg_duration_ms decimal(18,3), max_duration_ms long, p95_duration_ms long, avg_cpu_ms decimal(18,3), failed_executions long, " "performance_tier string, " f"{_GOLD}",
-    "gold_audit_user_activity_summary": "log_date date, WorkSpaceName string, UserId string, Operation string, user_tier string, total_events long, " f"success_events long, failure_events long, unique_items long, success_rate_pct decimal(5,2), {_GOLD}",
+    "control_table": (
+        "control_id int, pipeline_name string, connection_name string, source_schema string, source_table string, "
+        "source_watermark_column string, destination_schema string, destination_table string, load_type string, "
+        "source_cutoff_date timestamp, is_active boolean, server_switch string, source_database string, "
+        "last_run_start timestamp, last_run_end timestamp, last_run_status string, last_rows_read long, "
+        "last_rows_written long, last_updated_by string, last_updated_at timestamp"
+    ),
+    "pipeline_audit_log": (
+        "audit_id string, pipeline_name string, notebook_name string, control_id int, source_table string, "
+        "destination_table string, destination_layer string, load_type string, run_start timestamp, run_end timestamp, "
+        "duration_seconds int, rows_read long, rows_written long, rows_updated long, rows_deleted long, rows_skipped long, "
+        "run_status string, error_message string, error_step string, watermark_start timestamp, watermark_end timestamp, "
+        "new_watermark_value timestamp, connection_name string, source_database string, triggered_by string, "
+        "fabric_run_id string, logged_at timestamp, audit_date date"
+    ),
+    "silver_audit_logs": (
+        "Id string, CreationTime timestamp, log_date date, RecordType int, Operation string, Activity string, Workload string, "
+        "UserId string, UserKey string, UserType int, ClientIP string, UserAgent string, ItemName string, "
+        "WorkSpaceName string, WorkspaceId string, DatasetName string, DatasetId string, ReportName string, ReportId string, "
+        "ReportType string, ObjectId string, IsSuccess boolean, OrganizationId string, DistributionMethod string, "
+        "ConsumptionMethod string, app_id string, capacity_id string, artifact_kind string, RequestId string, "
+        "ActivityId string, _batch_date string, _silver_loaded_at timestamp, _row_hash string"
+    ),
+    "gold_semantic_model_logs": (
+        f"{_LOG}, EventText string, Identity string, ApplicationContext string, ItemId string, ItemKind string, "
+        f"ItemName string, {_ITEM}"
+    ),
+    "gold_semantic_model_logs_parsed": (
+        f"{_LOG}, upn string, user_object_id string, tenant_id string, report_id string, report_name string, visual_id string, "
+        "visual_name string, page_id string, page_name string, client_type string, activity_id string, dax_query_text string, "
+        "event_operation_status string, event_error_message string, event_text_raw string, ItemId string, ItemName string, "
+        f"{_ITEM}"
+    ),
+    "gold_model_health_scorecard": (
+        "model_name string, ItemName string, WorkspaceName string, ModelMode string, avg_refresh_success_rate decimal(5,2), "
+        "avg_refresh_duration_ms decimal(18,3), sla_breach_days int, total_refresh_days int, "
+        "avg_dax_duration_ms decimal(18,3), max_dax_duration_ms long, total_dax_executions long, "
+        f"pct_slow_queries decimal(5,2), health_score decimal(5,1), health_grade string, {_GOLD}"
+    ),
+    "gold_semantic_model_refresh_summary": (
+        "log_date date, WorkspaceName string, ItemName string, ModelMode string, total_refresh_ops long, success_count long, "
+        "failure_count long, avg_duration_ms decimal(18,3), max_duration_ms long, min_duration_ms long, "
+        f"avg_cpu_ms decimal(18,3), success_rate_pct decimal(5,2), sla_status string, {_GOLD}"
+    ),
+    "gold_semantic_model_dax_performance": (
+        "log_date date, WorkspaceName string, ItemName string, executing_user string, app_name string, "
+        "dax_execution_count long, avg_duration_ms decimal(18,3), max_duration_ms long, p95_duration_ms long, "
+        f"avg_cpu_ms decimal(18,3), failed_executions long, performance_tier string, {_GOLD}"
+    ),
+    "gold_audit_user_activity_summary": (
+        "log_date date, WorkSpaceName string, UserId string, Operation string, user_tier string, total_events long, "
+        f"success_events long, failure_events long, unique_items long, success_rate_pct decimal(5,2), {_GOLD}"
+    ),
 }
 PARTITIONS = {
     n: ("log_date",) for n in _DDL if n.startswith("gold_") and _DDL[n].startswith("log_date")
