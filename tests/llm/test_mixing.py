@@ -89,9 +89,14 @@ def plain_schedule(weights, blocks):
 def test_rows_against_a_plain_schedule(spark):
     """Every column of the query's rows on the smallest documents, and on a corpus with a very long text and many sources."""
     docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", "source")
-    odd = spark.createDataFrame([(i, f"t{i}" * (i % 4), f"s{i % 40}") for i in range(900)] + [(5000, "long " * 200_000, "s1"), (None, None, None)], docs.schema)
+    odd = spark.createDataFrame(
+        [(i, f"t{i}" * (i % 4), f"s{i % 40}") for i in range(900)] + [(5000, "long " * 200_000, "s1"), (None, None, None)], docs.schema
+    )
     for df in (docs, odd):
-        rows = df.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(0), "doc_id", "text").alias("b"), F.xxhash64("text").alias("h")).collect()
+        rows = df.select(
+            "doc_id", "text", F.coalesce("source", F.lit("")).alias("s"), F.xxhash64(F.lit(0), "doc_id", "text").alias("b"),
+            F.xxhash64("text").alias("h")
+        ).collect()
         n = 1 << max(0, min(M.MOST_BUCKETS, -(-len(rows) // M.BUCKET_ROWS)) - 1).bit_length()
         want, by = {}, {}
         for r in sorted(rows, key=lambda r: (r.s, r.b % n, r.doc_id is not None, r.doc_id or 0, r.h)):
