@@ -212,6 +212,13 @@ class SubstringIndex:
             remove(self.spark, f"{self.path}/{name}")
         self.runs = [new]
 
+    def drop(self) -> None:
+        """Deletes the index."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self.path)
+        self.runs, self.segments = [], []
+
     def _hits(self, batch: DataFrame) -> DataFrame:
         """The batch's fingerprints that it shares with history or itself; its run joins the log."""
         name = self._written_run(batch.groupBy("g").agg(F.count("*").alias("m")))
@@ -335,6 +342,7 @@ def report(docs: DataFrame, width: int = WIDTH, batches: int = 2) -> DataFrame:
         new = index.add(part.select("doc_id", "text"), history)
         spans = new if spans is None else spans.unionByName(new)
     index.compact()
+    index.drop()  # all that is lost is written by now
     out = index._cleaned(rows, settled(spans, "substring-all-lost"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
