@@ -34,17 +34,31 @@ def key_filter(side: DataFrame, column: str):
     return side.sparkSession.sparkContext.broadcast([blobs.get(i, Cuckoo(1).blob()) for i in range(shards)])
 
 
+def _held(held: list[Cuckoo], keys: np.ndarray) -> np.ndarray:
+    hit, shard = np.zeros(len(keys), bool), keys & (len(held) - 1)
+    mix = mixed(keys.view(np.uint64))
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(keys) else ():
+        hit[part] = held[shard[part[0]]].holds(mix[part])
+    return hit
+
+
+class Known:
+    """A filter inside a task: which 64-bit keys it knows, false alarms included. Without a filter it knows all."""
+
+    def __init__(self, known):
+        self.held = [Cuckoo(blob=b) for b in known.value] if known else None
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        return np.ones(len(keys), bool) if self.held is None else _held(self.held, keys.view(np.int64))
+
+
 def passing(df: DataFrame, known, column: str, hits: bool = True) -> DataFrame:
     """The rows of df whose key the filter knows, or else those that it doesn't; null keys aren't known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Cuckoo(blob=b) for b in known.value]
         for batch in batches:
-            keys = batch[column].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            hit, shard = np.zeros(len(keys), bool), keys & (len(held) - 1)
-            mix = mixed(keys.view(np.uint64))
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(keys) else ():
-                hit[part] = held[shard[part[0]]].holds(mix[part])
+            hit = _held(held, batch[column].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             hit &= batch[column].is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(hit if hits else ~hit))
 

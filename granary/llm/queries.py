@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import collocations, decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -75,3 +75,8 @@ def op8(spark, sf_dir):
 @_register("op4_suffix_array_dedup", suffix_dedup.ORACLE)
 def op4(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@_register("op11_phrase_collocations", collocations.ORACLE)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
