@@ -3,7 +3,7 @@
 Partitioned mining in two steps. First each shard of the corpus (rows dealt by a hash) is mined completely at the support lowered
 in proportion, ceil(least / shards): a phrase found `least` times or more reaches that in some shard. A shard is mined level by
 level: words and pairs are counted, then a longer phrase only where both phrases one word shorter are frequent in the shard. These counts
-go by 61-bit hashes, so phrases of equal hashes share a count, which can only let more phrases through. Second, all phrases that any shard found
+go by 60-bit hashes, so phrases of equal hashes share a count, which can only let more phrases through. Second, all phrases that any shard found
 frequent are counted over the whole corpus by their own text, which is exact.
 
 The set of frequent phrases is broadcast as cuckoo filters while it fits `filters.FILTER_BYTES`; beyond it all phrases of a level are counted,
@@ -29,20 +29,19 @@ from pyspark.sql import functions as F
 
 from .common import discard, flat, mixed, pieces, settled, shipped
 from .filters import Known, key_filter
+from .tokens import as_text, coded_words
 
 LEAST, LONGEST, TOP, COVERED, UND = 10, 3, 2000, 50, "und"
 #: Logical shards of the first step, 8 at most (three bits of a key).
 SHARDS = 3
 #: Text bytes that one kernel call counts together, and the salts of the first ranking.
-BATCH, SALTS = 4 << 20, 64
+BATCH, SALTS = 1 << 20, 64
 SCALE = 1_000_000
 
-_WORD, _GAP, _BREAK = 0, 1, 2
-_KIND = np.zeros(256, np.uint8)
-_KIND[list(b" \t")] = _GAP
-_KIND[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes of words, and those that end a piece.
+_DARK, _ENDS = np.ones(256, bool), np.zeros(256, bool)
+_ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
+_DARK[list(b" \t.,;:!?\n\x0b\x0c\r")] = False
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -57,24 +56,10 @@ class Phrases:
 
     def __init__(self, texts: pa.Array, group: np.ndarray, seeds: np.ndarray):
         """group: the number of each text's group, whose phrases are counted apart; seeds: a hash of each group."""
-        buf, offs = flat(texts)
-        kind = _KIND[buf]
-        word = kind == _WORD
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        cut = offs[1:-1]
-        cut = cut[(cut > 0) & (cut < len(buf))]
-        first[cut] = word[cut]
-        start = np.flatnonzero(first)
-        row = np.searchsorted(offs, start, "right") - 1
-        self.piece = np.cumsum(kind == _BREAK)[start] + row
-        ends = np.append(np.cumsum(word)[start] - 1, word.sum()).astype(np.int64)
-        data = _LOWER[buf[word]]
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-        coded = words.dictionary_encode()
-        self.words, self.word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        self.words, self.word, row, start = coded_words(texts, _DARK)
+        self.piece = np.cumsum(_ENDS[flat(texts)[0]])[start] + row
         self.word_hash, self.group = hashes(self.words), group[row]
-        self.size, self.at = 1, np.arange(len(start))
+        self.size, self.at = 1, np.arange(len(self.word))
         self._number(self.group * max(1, len(self.words)) + self.word)
         self.hash = mixed(self.word_hash[self.word[self.first]] * _STEP + seeds[self.group[self.first]])
 
@@ -96,15 +81,20 @@ class Phrases:
         self._number(before[at] * max(1, len(self.words)) + self.word[at + size])
         self.hash = mixed(hashed[before[self.first]] * _STEP + self.word_hash[self.word[self.first + size]])
 
+    def keys(self, shard: np.ndarray | None = None) -> np.ndarray:
+        """60 bits of each phrase's hash and, lowest, whether it's one word; above them its group's shard."""
+        key = self.hash >> np.uint64(4) << np.uint64(1) | np.uint64(self.size == 1)
+        return key if shard is None else key | shard[self.group[self.first]] << np.uint64(61)
+
     def texts(self, numbers: np.ndarray) -> pa.Array:
         """The phrases of these numbers, words joined by one space."""
         at = self.first[numbers]
         parts = [self.words.take(pa.array(self.word[at + i])) for i in range(self.size)]
         joined = parts[0] if len(parts) == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
-        return joined.cast(pa.large_string()).cast(pa.string())
+        return as_text(joined)
 
 
-def _grouped(batch: pa.RecordBatch, *columns: str) -> tuple[pa.Table, np.ndarray]:
+def _grouped(batch: pa.RecordBatch, *columns: str) -> tuple[pd.DataFrame, np.ndarray]:
     """The distinct values of some columns and each row's number among them."""
     frame = batch.select(columns).to_pandas()
     number = frame.groupby(list(columns), sort=False, dropna=False).ngroup().to_numpy()
@@ -125,13 +115,12 @@ def _local(texts: DataFrame, shards: int, size: int, known) -> DataFrame:
             groups, number = _grouped(batch, "lang", "shard")
             seeds, shard = hashes(pa.array(groups["lang"])), groups["shard"].to_numpy(np.uint64)
             found = Phrases(batch["text"], number, seeds)
-            key = lambda p: (p.hash >> np.uint64(3)) | (shard[p.group[p.first]] << np.uint64(61))
             keys, counts = [], []
             for level in range(2, size + 1):
                 if size == 2:
-                    keys.append(key(found)), counts.append(found.n)
-                found.longer(holds(key(found)) if level == size else None)
-            keys.append(key(found)), counts.append(found.n)
+                    keys.append(found.keys(shard)), counts.append(found.n)
+                found.longer(holds(found.keys(shard)) if level == size else None)
+            keys.append(found.keys(shard)), counts.append(found.n)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts).astype(np.int64))], ["key", "n"])
 
     return shipped(texts).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -146,7 +135,7 @@ def frequent_somewhere(docs: DataFrame, least: int = LEAST, longest: int = LONGE
     texts = docs.select(F.coalesce(lang, F.lit(UND)).alias("lang"), F.coalesce(text, F.lit("")).alias("text"), F.pmod(salt, F.lit(shards)).cast("int").alias("shard"))
     levels = []
     for size in range(2, longest + 1):
-        known = key_filter(levels[-1], "key") if levels else None
+        known = key_filter(levels[-1].where("key & 1 = 0"), "key") if levels else None
         levels.append(settled(_local(texts, shards, size, known).where(F.col("n") >= local).select("key"), f"frequent-{size}"))
     every = levels[0]
     for level in levels[1:]:
@@ -171,7 +160,7 @@ def counts(docs: DataFrame, keys: DataFrame, longest: int = LONGEST, text: str =
             for size in range(1, longest + 1):
                 if size > 1:
                     found.longer(keep)
-                key = found.hash >> np.uint64(3)
+                key = found.keys()
                 keep = holds(key)
                 take = np.flatnonzero(keep)
                 yield _rows(key[take].view(np.int64), langs.take(pa.array(found.group[found.first[take]])), size, found.texts(take), found.n[take])

@@ -45,7 +45,7 @@ def frame(spark, rows):
     return spark.createDataFrame(data, "doc_id long, text string, lang string, n int")
 
 
-@pytest.mark.parametrize("longest,shards,batch", [(3, 3, 4 << 20), (2, 1, 200), (4, 8, 500), (5, 5, 3000)])
+@pytest.mark.parametrize("longest,shards,batch", [(3, 3, 1 << 20), (2, 1, 200), (4, 8, 500), (5, 5, 3000)])
 def test_rows_equal_brute_force(spark, monkeypatch, longest, shards, batch):
     monkeypatch.setattr(c, "BATCH", batch)
     rows = corpus(longest)
