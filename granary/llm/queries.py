@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import collocations, decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import collocations, conversations, decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -80,3 +80,8 @@ def op4(spark, sf_dir):
 @_register("op11_phrase_collocations", collocations.ORACLE)
 def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@_register("op12_conversation_repair")
+def op12(spark, sf_dir):
+    return conversations.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
