@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from .common import table
-from . import collocations, conversations, decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import class_lm, collocations, conversations, decontaminate, fingerprints, language_id, line_dedup, mixing, simhash, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -85,3 +85,8 @@ def op11(spark, sf_dir):
 @_register("op12_conversation_repair")
 def op12(spark, sf_dir):
     return conversations.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+@_register("op13_class_lm")
+def op13(spark, sf_dir):
+    return class_lm.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
