@@ -70,6 +70,11 @@ def row_hash(cols: Iterable[str], null: str | None = "\x00") -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
+def business(columns: Iterable[str], keys: Iterable[str]) -> list[str]:
+    """The columns that are neither keys nor an engine's own (`_...`, `gold_loaded_at`)."""
+    return [c for c in columns if c not in set(keys) and not c.startswith("_") and c != "gold_loaded_at"]
+
+
 def stamp(df: DataFrame, **values) -> DataFrame:
     """Literal ingest columns."""
     return df.withColumns({k: F.lit(v) for k, v in values.items()})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.functions.exprs import cleanse, dedupe, distinct_with_null, pct, row_hash, to_bool
+from granary.functions.exprs import business, cleanse, dedupe, distinct_with_null, pct, row_hash, to_bool
 
 #: Flat fields of an audit event and their defaults.
 TEXT_FIELDS = (
@@ -14,6 +14,8 @@ TEXT_FIELDS = (
     "RequestId", "ActivityId", "DistributionMethod", "ConsumptionMethod"
 )
 INT_FIELDS = {"RecordType": 0, "UserType": -1}
+#: An event's id and time never change, so that its day may be a key: a merge touches the days of its batch only.
+SILVER_KEYS = ["log_date", "Id"]
 EXPORTS = ("ExportReport", "ShareReport", "DownloadReport")
 
 
@@ -39,7 +41,7 @@ def silver_audit(bronze: DataFrame, since=None) -> DataFrame:
     )
     rows = rows.withColumn("log_date", F.to_date("CreationTime"))
     rows = dedupe(rows, ["Id"], [F.col("CreationTime").desc_nulls_last(), F.col("UserId"), F.col("Operation")])
-    return rows.withColumn("_row_hash", row_hash(["Id", "UserId", "Operation", "ItemName", "WorkSpaceName", "IsSuccess"], null="~"))
+    return rows.withColumn("_row_hash", row_hash(business(rows.columns, [*SILVER_KEYS, "raw_json"]), null="~"))
 
 
 def max_batch(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.exprs import row_hash, union_typed
 
-from .tables import Table
+from .tables import Layout, Table
 
 
 def _norm(c) -> Column:
@@ -155,11 +155,7 @@ def information_schema(named: dict[str, DataFrame]) -> DataFrame:
 
 
 def save_system_tables(named: dict[str, DataFrame], table_of: Callable[[str], Table], model: str) -> None:
-    """Each system table with its model's name beside the other models' rows; a model that is saved again replaces its own."""
+    """Each system table with its model's name beside the other models' rows; a model that is saved again replaces its own folder only."""
     for name, df in named.items():
         rows, target = df.withColumn("model_name", F.lit(model)), table_of(f"system_{name}")
-        if not target.exists():
-            target.replace(rows, partition_by=("model_name",))
-            continue
-        others = target.read().where(~F.col("model_name").eqNullSafe(F.lit(model)))
-        target.replace(others.unionByName(rows, allowMissingColumns=True))
+        Table(df.sparkSession, target.root, Layout(("model_name",))).overwrite(rows)

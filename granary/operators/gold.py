@@ -7,41 +7,43 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.functions.exprs import dedupe, row_hash
+from granary.functions.exprs import business, dedupe, row_hash
 from granary.sources.schemas import STAGING, partitions, schema
 
 from .logs import logs_parsed
-from .tables import Table, conform, merge_upsert, staging_status
-
-# Of each gold table the merge keys and the columns whose change is an update.
-CONFIGS = {
-    "gold_model_health_scorecard": (
-        ("ItemName", "WorkspaceName"), ("health_score", "avg_refresh_success_rate", "avg_dax_duration_ms", "health_grade")
-    ),
-    "gold_semantic_model_refresh_summary": (
-        ("log_date", "ItemName", "WorkspaceName"), ("success_count", "failure_count", "avg_duration_ms", "success_rate_pct", "sla_status")
-    ),
-    "gold_semantic_model_dax_performance": (
-        ("log_date", "ItemName", "WorkspaceName", "executing_user", "app_name"),
-        ("dax_execution_count", "avg_duration_ms", "p95_duration_ms", "performance_tier")
-    ),
-    "gold_audit_user_activity_summary": (
-        ("log_date", "UserId", "Operation", "WorkSpaceName"),
-        ("total_events", "success_events", "failure_events", "success_rate_pct", "user_tier")
-    ),
+from .tables import Layout, Table, conform, merge_upsert, staging_status
+
+# The merge keys of each gold table. ModelMode is one wherever the summaries group by it.
+KEYS = {
+    "gold_model_health_scorecard": ("ItemName", "WorkspaceName", "ModelMode"),
+    "gold_semantic_model_refresh_summary": ("log_date", "ItemName", "WorkspaceName", "ModelMode"),
+    "gold_semantic_model_dax_performance": ("log_date", "ItemName", "WorkspaceName", "executing_user", "app_name"),
+    "gold_audit_user_activity_summary": ("log_date", "UserId", "Operation", "WorkSpaceName"),
 }
+#: Gold tables without partitions keep their rows in so many buckets of their keys.
+BUCKETS = 16
 CREATED = "_dw_created_at"
 
 
+def hashed(gold_table: str) -> list[str]:
+    """The columns whose change is an update: all that are neither keys nor times of the load."""
+    return business(schema(gold_table).names, KEYS[gold_table])
+
+
+def layout(gold_table: str) -> Layout:
+    """Partitions where the table declares them, else buckets of its keys: a merge touches only some folders either way."""
+    return Layout(partitions(gold_table)) if partitions(gold_table) else Layout((), KEYS[gold_table], BUCKETS)
+
+
 def enrich(staging: DataFrame, gold_table: str, at: Column) -> DataFrame:
     """Staging rows in the declared types with _row_hash (null is a value of its own), _dw_updated_at and _dw_created_at."""
     typed = conform(staging, schema(gold_table))
-    return typed.withColumns({"_row_hash": row_hash(list(CONFIGS[gold_table][1])), "_dw_updated_at": at, CREATED: at})
+    return typed.withColumns({"_row_hash": row_hash(hashed(gold_table)), "_dw_updated_at": at, CREATED: at})
 
 
 def merged_gold(gold: DataFrame, staging: DataFrame, gold_table: str, at: Column) -> DataFrame:
     """The gold rows after a load at a time; gold has the declared columns."""
-    return merge_upsert(gold, enrich(staging, gold_table, at), list(CONFIGS[gold_table][0]), "_row_hash", (CREATED,))
+    return merge_upsert(gold, enrich(staging, gold_table, at), list(KEYS[gold_table]), "_row_hash", (CREATED,))
 
 
 def gold_load(spark: SparkSession, table_of: Callable[[str], Table], gold_table: str, at: Column | None = None) -> dict:
@@ -49,22 +51,24 @@ def gold_load(spark: SparkSession, table_of: Callable[[str], Table], gold_table:
     staging, gold = table_of(gold_table + STAGING), table_of(gold_table)
     rows = staging.read() if staging.exists() else None
     status = staging_status(rows)
-    before = gold._head()["n_rows"] if gold.exists() else 0
+    before = gold.n_rows()
     out = {"gold_table": gold_table, "staging_rows": 0, "inserted": 0, "updated": 0, "unchanged": 0, "gold_rows": before, "status": "SKIPPED"}
     if status != "READY":
         return out
-    gold.ensure(schema(gold_table), partitions(gold_table))
+    if not gold.exists():
+        gold = Table(spark, gold.root, layout(gold_table))
+        gold.ensure(schema(gold_table))
     source = enrich(rows, gold_table, F.current_timestamp() if at is None else at)
-    result = gold.merge(source, list(CONFIGS[gold_table][0]), "_row_hash", (CREATED,))
+    result = gold.merge(source, list(KEYS[gold_table]), "_row_hash", (CREATED,))
     if before == 0 and result["status"] == "SUCCESS":
         result["status"] = "INITIAL_LOAD"
-    return out | result | {"staging_rows": staging._head()["n_rows"], "gold_rows": gold._head()["n_rows"]}
+    return out | result | {"staging_rows": staging.n_rows(), "gold_rows": gold.n_rows()}
 
 
 def gold_loads(spark: SparkSession, table_of: Callable[[str], Table], at: Column | None = None) -> DataFrame:
     """All gold loads, one after the other; a failure is recorded and the next goes on."""
     out = []
-    for name in CONFIGS:
+    for name in KEYS:
         try:
             r = gold_load(spark, table_of, name, at)
         except Exception as e:  # one broken staging table must not stop the others
@@ -78,27 +82,32 @@ def gold_loads(spark: SparkSession, table_of: Callable[[str], Table], at: Column
     )
 
 
-LOG_KEYS = ["OperationId", "Timestamp"]
+#: The day is a key: a merge reads and rewrites the days of its batch only.
+LOG_KEYS = ["log_date", "OperationId", "Timestamp"]
+LOG_LAYOUT = Layout(("log_date",))
 
 
 def base_rows(raw: DataFrame) -> DataFrame:
-    """Raw log rows, once for each (operation id, time), with their hash."""
+    """Raw log rows, once for each (operation id, time), with their day and the hash of all else."""
     order = [F.col("DurationMs").desc_nulls_last(), F.col("ExecutingUser"), F.col("OperationName")]
-    rows = dedupe(raw.withColumn("Timestamp", F.col("Timestamp").cast("timestamp")), LOG_KEYS, order)
-    return rows.withColumn("_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "EventText", "Identity", "ApplicationContext"]))
+    rows = dedupe(raw.withColumn("Timestamp", F.col("Timestamp").cast("timestamp")), LOG_KEYS[1:], order).withColumn("log_date", F.to_date("Timestamp"))
+    return rows.withColumn("_row_hash", row_hash(business(rows.columns, LOG_KEYS)))
 
 
 def parsed_rows(raw: DataFrame) -> DataFrame:
-    """Parsed log rows, once for each (operation id, time), with their hash."""
-    return logs_parsed(raw).withColumn("Timestamp", F.col("Timestamp").cast("timestamp")).withColumn(
-        "_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "upn", "report_id", "visual_id"])
-    )
+    """Parsed log rows, once for each (operation id, time), with their day and the hash of all else."""
+    rows = logs_parsed(raw.withColumn("Timestamp", F.col("Timestamp").cast("timestamp")))
+    return rows.withColumn("_row_hash", row_hash(business(rows.columns, LOG_KEYS)))
 
 
 def merged_logs(target: DataFrame, source: DataFrame) -> DataFrame:
     return merge_upsert(target, source, LOG_KEYS, "_row_hash")
 
 
-def load_logs(raw: DataFrame, base: Table, parsed: Table) -> dict[str, dict]:
-    """A batch of raw logs into the base table and the parsed table."""
-    return {"base": base.merge(base_rows(raw), LOG_KEYS, "_row_hash"), "parsed": parsed.merge(parsed_rows(raw), LOG_KEYS, "_row_hash")}
+def load_logs(raw: DataFrame, base: Table, parsed: Table, batch: tuple[str, int] | None = None) -> dict[str, dict]:
+    """A batch of raw logs into the base table and the parsed table, which are made with LOG_LAYOUT where they don't exist. A replayed
+    batch (a stream's name and its number) changes neither."""
+    out = {}
+    for name, table, rows in (("base", base, base_rows), ("parsed", parsed, parsed_rows)):
+        out[name] = Table(raw.sparkSession, table.root, LOG_LAYOUT).merge(rows(raw), LOG_KEYS, "_row_hash", batch=batch)
+    return out

@@ -89,16 +89,16 @@ def short_audit(audit: DataFrame) -> DataFrame:
 
 
 def _load(row, source: DataFrame, target: Table, watermark: str) -> tuple[int, object]:
-    """Rows loaded and their greatest watermark. The source is read once; both figures are taken from what was written."""
+    """Rows loaded and their greatest watermark. The source is read once; both figures are observed while it's written."""
     full = row["load_type"] == "FULL"
     rows = full_rows(source, _load_type="FULL") if full else incremental_rows(source, watermark, row["source_cutoff_date"], _load_type="INCREMENTAL")
-    staged = target.stage(rows) if full else target.stage_append(rows)
-    n, top = staged.rows.agg(F.count("*"), F.max(watermark).cast("timestamp")).first()
+    top = F.max(F.col(watermark).cast("timestamp"))
+    staged = target.stage(rows, top=top) if full else target.stage_append(rows, top=top)
     if full:
-        target.commit(staged, "REPLACE", n=n)
-    elif n:
-        target.commit_append(staged, n)
-    return n, top
+        target.commit(staged, "REPLACE")
+    elif staged.n:
+        target.commit_append(staged)
+    return staged.n, staged.figures["top"]
 
 
 _RESULT = "control_id int, status string, rows_read long, max_watermark timestamp"

@@ -21,8 +21,8 @@ SILVER = ctes("audit_events") + r""", silver0 AS (SELECT Id, TRY_CAST(RecordType
  CASE upper(trim(IsSuccess)) WHEN 'TRUE' THEN true WHEN 'FALSE' THEN false END AS IsSuccess, raw_json, _batch_date, event_ts,
  json_extract_string(raw_json, '$.AppId') AS AppId, json_extract_string(raw_json, '$.CapacityId') AS CapacityId,
  json_extract_string(raw_json, '$.ArtifactKind') AS ArtifactKind, CAST(TRY_CAST(CreationTime AS TIMESTAMP) AS DATE) AS log_date FROM audit_events),
-silver AS (SELECT * EXCLUDE (rn), sha256(concat_ws('|', Id, UserId, Operation, coalesce(ItemName, '~'), WorkSpaceName,
- coalesce(CAST(IsSuccess AS VARCHAR), '~'))) AS _row_hash
+silver AS (SELECT * EXCLUDE (rn), sha256(concat_ws('|', CAST(RecordType AS VARCHAR), CAST(CreationTime AS VARCHAR), Operation, UserId, coalesce(ItemName, '~'),
+ WorkSpaceName, coalesce(CAST(IsSuccess AS VARCHAR), '~'), CAST(event_ts AS VARCHAR), AppId, CapacityId, ArtifactKind)) AS _row_hash
  FROM (SELECT *, row_number() OVER (PARTITION BY Id ORDER BY CreationTime DESC NULLS LAST, UserId, Operation) AS rn FROM silver0) WHERE rn = 1)"""
 
 

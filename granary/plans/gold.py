@@ -33,8 +33,29 @@ def _loaded(name: str, early: DataFrame, all_: DataFrame) -> DataFrame:
     return G.merged_gold(first, all_, name, at(_SECOND)).drop("_row_hash", "gold_loaded_at")
 
 
+# Of each gold table the keys and the columns whose change is an update, written out: the twin doesn't read the operator's own lists.
+_COLUMNS = {
+    "gold_model_health_scorecard": (
+        "ItemName WorkspaceName ModelMode",
+        "model_name avg_refresh_success_rate avg_refresh_duration_ms sla_breach_days total_refresh_days avg_dax_duration_ms max_dax_duration_ms "
+        "total_dax_executions pct_slow_queries health_score health_grade"
+    ),
+    "gold_semantic_model_refresh_summary": (
+        "log_date ItemName WorkspaceName ModelMode",
+        "total_refresh_ops success_count failure_count avg_duration_ms max_duration_ms min_duration_ms avg_cpu_ms success_rate_pct sla_status"
+    ),
+    "gold_semantic_model_dax_performance": (
+        "log_date ItemName WorkspaceName executing_user app_name",
+        "dax_execution_count avg_duration_ms max_duration_ms p95_duration_ms avg_cpu_ms failed_executions performance_tier"
+    ),
+    "gold_audit_user_activity_summary": (
+        "log_date UserId Operation WorkSpaceName", "user_tier total_events success_events failure_events unique_items success_rate_pct"
+    ),
+}
+
+
 def _twin(name: str, ctes: str, early: str, all_: str) -> str:
-    keys, hashed = G.CONFIGS[name]
+    keys, hashed = (x.split() for x in _COLUMNS[name])
     columns = [f.name for f in schema(name) if f.name not in ("_row_hash", "gold_loaded_at") and not f.name.startswith("_dw_")]
     types = {f.name: f.dataType.simpleString() for f in schema(name)}
     typed = ", ".join(f"CAST({c} AS {types[c]}) AS {c}" if types[c].startswith("decimal") or types[c] in ("int", "bigint") else c for c in columns)

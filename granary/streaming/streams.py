@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from granary.functions.exprs import row_hash
-from granary.operators.audit import silver_audit
-from granary.operators.logs import parse_logs
-from granary.operators.tables import Table
+from granary.operators.audit import SILVER_KEYS, silver_audit
+from granary.operators.gold import LOG_KEYS, LOG_LAYOUT, parsed_rows
+from granary.operators.tables import Layout, Table
+
+
+def _merge_batches(rows: DataFrame, table: Table, name: str, checkpoint: str, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> StreamingQuery:
+    """Merges each micro-batch once: its number is part of the table's version, so one that is replayed after a failure is skipped."""
+    def merge(batch: DataFrame, number: int) -> None:
+        table.merge(make(batch), keys, "_row_hash", batch=(name, number))
+
+    return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
 
 
-def stream_logs(spark: SparkSession, path: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
-    """New log files, parsed, once for each (id, time), merged into the target. Ids are kept for the watermark's day."""
+def stream_logs(spark: SparkSession, path: str, schema: StructType, target: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """New log files, parsed, once for each (id, time), merged into the target's days. Ids are kept for the watermark's day. The stream's
+    name (its checkpoint, if none is given) tells its batches from those of others."""
     rows = spark.readStream.schema(schema).parquet(path).withColumn("Timestamp", F.col("Timestamp").cast("timestamp"))
-    parsed = parse_logs(rows).withWatermark("Timestamp", "1 day").dropDuplicatesWithinWatermark(["OperationId", "Timestamp"])
-    parsed = parsed.withColumn("_row_hash", row_hash(["Status", "DurationMs", "CpuTimeMs", "upn"]))
-    table = Table(spark, target)
-    return parsed.writeStream.foreachBatch(
-        lambda df, _: table.merge(df, ["OperationId", "Timestamp"], "_row_hash") and None
-    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = rows.withWatermark("Timestamp", "1 day").dropDuplicatesWithinWatermark(["OperationId", "Timestamp"])
+    return _merge_batches(once, Table(spark, target, LOG_LAYOUT), name or checkpoint, checkpoint, parsed_rows, LOG_KEYS)
 
 
 def feed(rows: DataFrame, size: str = "15 minutes") -> DataFrame:
@@ -37,10 +43,7 @@ def stream_feed(spark: SparkSession, path: str, schema: StructType, size: str =
     return feed(rows.withWatermark("Timestamp", late), size)
 
 
-def stream_audit(spark: SparkSession, path: str, schema: StructType, target: str, checkpoint: str) -> StreamingQuery:
-    """New audit files into the silver table."""
+def stream_audit(spark: SparkSession, path: str, schema: StructType, target: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """New audit files into the days of the silver table."""
     rows = spark.readStream.schema(schema).parquet(path)
-    table = Table(spark, target)
-    return rows.writeStream.foreachBatch(
-        lambda df, _: table.merge(silver_audit(df), ["Id"], "_row_hash") and None
-    ).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return _merge_batches(rows, Table(spark, target, Layout(("log_date",))), name or checkpoint, checkpoint, silver_audit, SILVER_KEYS)

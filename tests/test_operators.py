@@ -188,8 +188,8 @@ def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
     audit_log, target = tables.Table(spark, str(tmp_path / "audit")), tables.Table(spark, str(tmp_path / "late"))
     real = tables.Table.stage_append
 
-    def slow(self, df, partition_by=()):
-        out = real(self, df, partition_by)
+    def slow(self, df, partition_by=(), **figures):
+        out = real(self, df, partition_by, **figures)
         if self.root == target.root and not target.exists():
             put([(3, dt.datetime(2024, 1, 5))])
         return out
