@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import tempfile
 import uuid
 import zipfile
@@ -64,6 +65,42 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+class Manifest:
+    """The state of an index below its folder: one small file a change. The newest whole one counts, so a change that breaks off is none."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.at = spark, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")
+        self.fs = self.at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self.at)) if self.fs.exists(self.at) else []
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.at, name)
+
+    def read(self) -> dict | None:
+        for name in reversed(self._names()):
+            stream = self.fs.open(self._path(name))
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            except ValueError:  # the writer died meanwhile
+                continue
+            finally:
+                stream.close()
+        return None
+
+    def write(self, value: dict) -> None:
+        names = self._names()
+        n = int(names[-1].removesuffix(".json")) + 1 if names else 1
+        stream = self.fs.create(self._path(f"{n:012d}.json"), False)
+        try:
+            stream.write(bytearray(json.dumps(value).encode()))
+        finally:
+            stream.close()
+        for name in names[:-1]:
+            self.fs.delete(self._path(name), False)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes settled tables that nothing will read again."""
     for df in tables:
@@ -85,7 +122,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: From here on doc_ids stand for rows without one.
+#: From here on numbers stand for rows without a doc_id. A doc_id as large is one all the same: only where ids are compared with rows that have none,
+#: `missing` tells them apart (near copies), or the two may share a place in the order (removed substrings).
 NO_ID = 1 << 62
 
 
@@ -96,8 +134,9 @@ def key_of(doc_id: Column | str = "doc_id", text: Column | str = "text") -> Colu
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """own_id, doc_id, text: doc_id by key_of, own_id as given; a null text is empty."""
-    return docs.select(F.col("doc_id").cast("long").alias("own_id"), key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """own_id, missing, doc_id, text: doc_id by key_of, own_id as given, missing where that is null; a null text is empty."""
+    own = F.col("doc_id").cast("long")
+    return docs.select(own.alias("own_id"), own.isNull().alias("missing"), key_of().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def ship(spark: SparkSession) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mixed
-from .line_dedup import SHARD_KEYS, Cuckoo, filled
+from .cuckoo import SHARD_KEYS, Cuckoo, filled
 
 #: The most bytes of one filter that are sent to all tasks; beyond it the shuffle join alone does the work.
 FILTER_BYTES = 32 << 20

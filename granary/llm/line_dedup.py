@@ -14,7 +14,9 @@ Extra columns are ignored by `dedup_report` and carried by `dedup_lines`.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,91 +26,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, discard, pieces, remove, scratch, settled, shipped
+from .common import SPACE, Manifest, discard, pieces, remove, scratch, settled, shipped
+from .cuckoo import SHARD_KEYS, Cuckoo, filled
+from .filters import key_filter, passing
 
 LEAST = 10
-#: Keys of one shard's filter, and the most bytes of all filters together that are broadcast.
-SHARD_KEYS, FILTER_BYTES = 1 << 16, 32 << 20
+#: The most bytes of all filters together that are broadcast.
+FILTER_BYTES = 32 << 20
 #: Tasks that share the keys of a shard, where filters are not broadcast: a very common line is spread over them.
 SALTS = 8
-_SLOTS = 4
-
-
-class Cuckoo:
-    """A cuckoo filter of 16-bit fingerprints, four slots a bucket; holds repeats, allows deletion."""
-
-    def __init__(self, capacity: int = 0, blob: bytes | None = None):
-        if blob is None:
-            buckets = 1 << max(2, int(np.ceil(np.log2(max(1, capacity) / (_SLOTS * 0.8)))))
-            self.table = np.zeros((buckets, _SLOTS), np.uint16)
-        else:
-            self.table = np.frombuffer(blob, np.uint16).reshape(-1, _SLOTS).copy()
-
-    def blob(self) -> bytes:
-        return self.table.tobytes()
-
-    def _places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys = keys.astype(np.uint64)
-        mask = np.uint64(len(self.table) - 1)
-        prints = (keys >> np.uint64(48)).astype(np.uint16)
-        prints[prints == 0] = 1
-        one = (keys & mask).astype(np.int64)
-        return prints, one, self._other(one, prints)
-
-    def _other(self, bucket, prints):
-        return bucket ^ ((np.asarray(prints, np.int64) * 0x5BD1E995) & (len(self.table) - 1))
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        prints, one, two = self._places(keys)
-        return ((self.table[one] == prints[:, None]) | (self.table[two] == prints[:, None])).any(1)
-
-    def insert(self, keys: np.ndarray) -> None:
-        """Doubles by reinsertion are left to the caller: raises OverflowError when it is full."""
-        prints, one, two = self._places(keys)
-        rest = np.arange(len(prints))
-        for bucket in (one, two):  # whole rounds first, then one by one
-            rest = rest[np.argsort(bucket[rest], kind="stable")]
-            b = bucket[rest]
-            rank = np.arange(len(b)) - np.searchsorted(b, b)
-            free = self.table[b] == 0
-            fits = rank < free.sum(1)
-            slot = np.argsort(~free, axis=1, kind="stable")[np.arange(len(b)), np.minimum(rank, _SLOTS - 1)]
-            self.table[b[fits], slot[fits]] = prints[rest[fits]]
-            rest = rest[~fits]
-        rng = np.random.RandomState(len(keys))
-        for i in rest:
-            p, b = prints[i], int(one[i])
-            for _ in range(500):
-                empty = np.flatnonzero(self.table[b] == 0)
-                if len(empty):
-                    self.table[b, empty[0]] = p
-                    break
-                s = rng.randint(_SLOTS)
-                p, self.table[b, s] = self.table[b, s], p
-                b = int(self._other(b, p))
-            else:
-                raise OverflowError("cuckoo filter is full")
-
-    def delete(self, keys: np.ndarray) -> None:
-        prints, one, two = self._places(keys)
-        for p, *both in zip(prints, one, two, strict=True):
-            for b in both:
-                at = np.flatnonzero(self.table[b] == p)
-                if len(at):
-                    self.table[b, at[0]] = 0
-                    break
-
-
-def filled(keys: np.ndarray, room: int = 0) -> Cuckoo:
-    """A filter with these keys, of the smallest size that takes them and room for so many more."""
-    capacity = max(4, len(keys) + room)
-    while True:
-        try:
-            out = Cuckoo(capacity)
-            out.insert(keys)
-            return out
-        except OverflowError:
-            capacity *= 2
+#: Buckets of an index's postings by key (a power of two), and how many runs of one size are merged.
+BUCKETS, FANOUT = 64, 4
 
 
 def keys_of(text: bytes, least: int) -> tuple[list[bytes], list[bytes | None]]:
@@ -291,64 +219,104 @@ def dedup_report(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 class LineIndex:
-    """A line index that documents can enter and leave: postings in generations, filters by shard.
+    """A line index that documents can enter and leave, and that any session can open again: postings in sorted-by-size runs, filters by shard, a manifest.
 
     A posting says that a document holds a key, or from its generation on no more. The newest generation of each
-    (key, document) counts, so a document that enters twice is in once and leaves at once. The exact table of reference counts
-    is the sum of the live postings: when a document leaves, the next smallest holder becomes the keeper again.
+    (key, document) counts, so a document that enters twice is in once and leaves at once. The exact reference counts
+    are sums of live postings: when a document leaves, the next smallest holder becomes the keeper again. A batch asks only for
+    the postings of its own keys: these are let through by a filter of the batch's keys, so the index is read in the key's buckets but not shuffled. `FANOUT` runs of
+    one size are merged into one of the next size, which drops what is outdated; what is dead goes when the oldest run takes part.
 
     The filters know every live key. They grow with the index: as soon as shards hold more than SHARD_KEYS keys on average
     there are twice as many, made anew from the exact table; else only the new or dead keys of a batch are put in or
-    taken out. `known` asks the filters first; only rows that they know reach the exact table."""
+    taken out. `known` asks the filters first; only rows that they know reach the exact counts.
 
-    def __init__(self, spark: SparkSession, path: str | None = None, least: int = LEAST):
-        self.spark, self.path, self.least = spark, path or scratch(spark, "line-index"), least
-        self.generation, self.keys, self.shards = 0, 0, 1
-        self._filters: str | None = None
+    Rows without a doc_id are no documents of the index: they don't enter it, and keep their lines. One writer at a time."""
 
-    def _put(self, rows: DataFrame, live: bool) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, least: int = LEAST):
+        self.spark, self.path = spark, path or scratch(spark, "line-index")
+        self._manifest = Manifest(spark, self.path)
+        state = self._manifest.read() or {"least": least, "generation": 0, "keys": 0, "shards": 1, "filters": None, "runs": []}
+        if state["least"] != least:
+            raise ValueError(f"the index was made for lines of at least {state['least']} code points")
+        self.least, self.generation, self.keys, self.shards = least, state["generation"], state["keys"], state["shards"]
+        self._filters: str | None = state["filters"]
+        self.runs: list[dict] = state["runs"]
+
+    def _save(self, *gone: str | None) -> None:
+        """The state as it is now, and then without the folders that it no longer names."""
+        self._manifest.write({"least": self.least, "generation": self.generation, "keys": self.keys, "shards": self.shards, "filters": self._filters, "runs": self.runs})
+        for path in gone:
+            if path:
+                remove(self.spark, f"{self.path}/{path}")
+
+    def _write_run(self, rows: DataFrame, level: int) -> dict:
+        """rows: h1, h2, doc_id, live, generation."""
+        name = f"postings/{uuid.uuid4().hex}"
+        bucket = F.col("h2").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
+        rows.withColumn("bucket", bucket).hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        return {"name": name, "level": level}
+
+    def _put(self, rows: DataFrame, live: bool) -> list[str]:
+        """A run of new postings; names of runs that merges have replaced."""
         self.generation += 1
-        rows.select("h1", "h2", "doc_id", F.lit(live).alias("live")).write.parquet(f"{self.path}/postings/generation={self.generation}")
-
-    def postings(self) -> DataFrame:
-        """Live (h1, h2, doc_id)."""
-        if not self.generation:
-            return self.spark.createDataFrame([], _KEY_ROWS)
-        rows = self.spark.read.schema("h1 long, h2 long, doc_id long, live boolean, generation int").parquet(f"{self.path}/postings")
-        return rows.groupBy("h1", "h2", "doc_id").agg(F.max_by("live", "generation").alias("live")).where("live").drop("live")
-
-    def counts(self) -> DataFrame:
-        return self.postings().groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("keeper"))
+        self.runs.append(self._write_run(rows.select("h1", "h2", "doc_id", F.lit(live).alias("live"), F.lit(self.generation).alias("generation")), 0))
+        gone = []
+        while len(some := [r for r in self.runs if r["level"] == self.runs[-1]["level"]]) >= FANOUT:
+            at = self.runs.index(some[0])  # runs of one size follow each other, the oldest and largest first
+            rows = _newest(self._read(some))
+            self.runs[at:] = [self._write_run(rows if at else rows.where("live"), some[0]["level"] + 1)]
+            gone += [r["name"] for r in some]
+        return gone
+
+    def _read(self, runs: list[dict]) -> DataFrame:
+        schema = "h1 long, h2 long, doc_id long, live boolean, generation int, bucket int"
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{r['name']}") for r in runs]
+        return functools.reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def postings(self, keys: DataFrame | None = None) -> DataFrame:
+        """Live (h1, h2, doc_id); of some keys (h1, h2: distinct, written) only."""
+        rows = self._read(self.runs)
+        if keys is not None:
+            at = [r["b"] for r in keys.select(F.col("h2").bitwiseAND(F.lit(BUCKETS - 1).cast("long")).alias("b")).distinct().collect()]
+            rows, held = rows.where(F.col("bucket").isin(at)), key_filter(keys, "h1")
+            rows = (rows if held is None else passing(rows, held, "h1")).join(keys.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        return _newest(rows).where("live").select("h1", "h2", "doc_id")
+
+    def counts(self, keys: DataFrame | None = None) -> DataFrame:
+        return self.postings(keys).groupBy("h1", "h2").agg(F.count("*").alias("refs"), F.min("doc_id").alias("keeper"))
 
     def insert(self, docs: DataFrame) -> None:
         """Takes documents in; those that are in already change nothing."""
         rows = settled(_narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS).where("doc_id IS NOT NULL").distinct(), "line-batch")
-        new = rows.select("h1", "h2").distinct().join(self.counts().select("h1", "h2"), ["h1", "h2"], "left_anti")
-        new = settled(new, "line-new-keys")
-        self._put(rows, True)
-        self._refilter(new, new.count())
-        discard(rows, new)
+        keys = settled(rows.select("h1", "h2").distinct(), "line-batch-keys")
+        new = settled(keys.join(self.counts(keys).select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-new-keys")
+        gone = self._put(rows, True)
+        self._save(*gone, self._refilter(new, new.count()))
+        discard(rows, keys, new)
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Takes documents out."""
-        gone = doc_ids.select(F.col("doc_id").cast("long")).distinct()
-        gone = settled(self.postings().join(gone, "doc_id", "left_semi").select("h1", "h2", "doc_id"), "line-gone")
-        self._put(gone, False)
-        dead = settled(gone.select("h1", "h2").distinct().join(self.counts().select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-dead-keys")
-        self._refilter(dead, -dead.count())
-        discard(gone, dead)
+        ids = settled(doc_ids.select(F.col("doc_id").cast("long")).where("doc_id IS NOT NULL").distinct(), "line-leaving")
+        held, rows = key_filter(ids, "doc_id"), self._read(self.runs)
+        rows = (rows if held is None else passing(rows, held, "doc_id")).join(ids, "doc_id", "left_semi")
+        leaving = settled(_newest(rows).where("live").select("h1", "h2", "doc_id"), "line-gone")
+        keys = settled(leaving.select("h1", "h2").distinct(), "line-gone-keys")
+        gone = self._put(leaving, False)
+        dead = settled(keys.join(self.counts(keys).select("h1", "h2"), ["h1", "h2"], "left_anti"), "line-dead-keys")
+        self._save(*gone, self._refilter(dead, -dead.count()))
+        discard(ids, leaving, keys, dead)
 
     def filters(self) -> DataFrame:
-        return self.spark.read.schema("shard int, filter binary").parquet(self._filters)
+        return self.spark.read.schema("shard int, filter binary").parquet(f"{self.path}/{self._filters}")
 
-    def _refilter(self, keys: DataFrame, change: int) -> None:
-        """keys: those that become live (change > 0) or dead."""
+    def _refilter(self, keys: DataFrame, change: int) -> str | None:
+        """keys: those that become live (change > 0) or dead. Returns the folder of the filters before."""
         self.keys += change
-        add, at = change > 0, f"{self.path}/filters/generation={self.generation}"
-        if self._filters is None or self.keys > self.shards * SHARD_KEYS:
+        old, add, at = self._filters, change > 0, f"filters/{uuid.uuid4().hex}"
+        if old is None or self.keys > self.shards * SHARD_KEYS:
             self.shards = 2 * shards_for(self.keys)
-            self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at)
-            return
+            return self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at, old)
 
         def update(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             shard = (left if len(left) else right)["shard"].iloc[0]
@@ -361,23 +329,25 @@ class LineIndex:
             return pd.DataFrame({"shard": [shard], "filter": [kept.blob()]})
 
         side = keys.select("h1", _shard(self.shards).alias("shard"))
-        self._written(side.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(update, "shard int, filter binary"), at)
+        self._written(side.groupBy("shard").cogroup(self.filters().groupBy("shard")).applyInPandas(update, "shard int, filter binary"), at, old)
         if not self.filters().where("filter IS NULL").isEmpty():
             self.shards *= 2
-            self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at + "-anew")
+            self._written(shard_filters(self.counts(), self.shards, SHARD_KEYS), at + "-anew", old)
+            remove(self.spark, f"{self.path}/{at}")
+        return old
 
-    def _written(self, filters: DataFrame, at: str) -> None:
-        filters.write.parquet(at)
-        if self._filters:
-            remove(self.spark, self._filters)
+    def _written(self, filters: DataFrame, at: str, old: str | None) -> str | None:
+        filters.write.parquet(f"{self.path}/{at}")
         self._filters = at
+        return old
 
     def known(self, docs: DataFrame) -> DataFrame:
-        """Key rows of docs that the filters know, checked against the exact table."""
+        """Key rows of docs that the filters know, checked against the exact counts of these keys."""
         rows = _narrow(docs).mapInArrow(_line_keys(self.least), _KEY_ROWS)
         if self._filters is None:
             return rows.where("false").join(self.counts(), ["h1", "h2"])
-        return known_rows(rows, self.filters(), self.shards).join(self.counts(), ["h1", "h2"])
+        rows = settled(known_rows(rows, self.filters(), self.shards), "line-known")
+        return rows.join(self.counts(settled(rows.select("h1", "h2").distinct(), "line-known-keys")), ["h1", "h2"])
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """docs' lines against the live index: keys kept by a smaller document go."""
@@ -386,6 +356,11 @@ class LineIndex:
         return joined.mapInArrow(_without(self.least), "doc_id long, text string, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """Of each (key, document) its newest posting."""
+    return rows.groupBy("h1", "h2", "doc_id").agg(F.max_by("live", "generation").alias("live"), F.max("generation").alias("generation"))
+
+
 ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, discard, keyed, pieces, settled, shipped
+from .common import discard, keyed, pieces, settled, shipped
 
 SHINGLE, RADIUS, CHUNK = 4, 4, 256
 _SEED = 42
@@ -88,13 +88,13 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """own_id, doc_id, fp: ids as `keyed` gives them, the fingerprint as a signed long."""
+    """own_id, fp: the doc_id as given, the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             fps = np.array([fingerprint((t or "").encode("utf-8", "replace"), shingle) for t in batch["text"].to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch["own_id"], batch["doc_id"], pa.array(fps.view(np.int64))], ["own_id", "doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["own_id"], pa.array(fps.view(np.int64))], ["own_id", "fp"])
 
-    return shipped(keyed(docs)).mapInArrow(run, "own_id long, doc_id long, fp long")
+    return shipped(keyed(docs)).select("own_id", "text").mapInArrow(run, "own_id long, fp long")
 
 
 #: The other order of a pair's 46 bits: bit i goes to place _ORDER[i].
@@ -318,8 +318,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     if not 0 <= radius <= 4:
         raise ValueError("segment pairs find links of up to four bits")
     prints = settled(fingerprints(docs, shingle), "simhash")
-    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("label")), "simhash-nodes")
+    # nodes without any doc_id come last, each under a label of its own
+    label = F.struct(F.col("own_id").isNull().alias("missing"), F.coalesce("own_id", "fp").alias("id"))
+    nodes = settled(prints.groupBy("fp").agg(F.min(label).alias("label")), "simhash-nodes")
     labels = _linked(nodes, radius)
-    component = F.when(F.col("label") < NO_ID, F.col("label"))
+    component = F.when(~F.col("label.missing"), F.col("label.id"))
     out = prints.join(labels, "fp")
     return out.select(F.col("own_id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))

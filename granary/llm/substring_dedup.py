@@ -24,14 +24,14 @@ lose. Rows without a doc_id come after all others, in the order of a hash of the
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, digests, discard, flat, keyed, pieces, remove, scratch, settled, shipped, signed, sliding_min, words_of
+from .common import NO_ID, Manifest, Rolling, digests, discard, flat, keyed, pieces, remove, scratch, settled, shipped, signed, sliding_min, words_of
 from .filters import key_filter, passing
 
 WIDTH, GRAM, MOST, FANOUT, SLICE = 20, 5, 64, 4, 1 << 17
@@ -185,49 +185,68 @@ def _window_rows(width: int):
 
 
 class SubstringIndex:
-    """Runs and segments below one folder. `add` takes a batch in and tells which words it loses."""
+    """Runs, segments and a manifest below one folder, which any session can open again. `add` takes a batch in and tells which words it loses.
+
+    Batches come in ascending doc_ids: one whose smallest doc_id stands before the greatest of earlier batches is refused. Rows without a doc_id are not
+    held to it; they come last in their own batch. One writer at a time; a batch that fails leaves the index as it was."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, width: int = WIDTH, buckets: int | None = None):
-        self.spark, self.path, self.width = spark, path or scratch(spark, "substring-index"), width
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.segments: list[str] = []
+        self.spark, self.path = spark, path or scratch(spark, "substring-index")
+        self._manifest = Manifest(spark, self.path)
+        state = self._manifest.read() or {"width": width, "buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "segments": [], "last": None}
+        if state["width"] != width:
+            raise ValueError(f"the index holds windows of {state['width']} words")
+        self.width, self.buckets, self.last = width, state["buckets"], state["last"]
+        self.runs: list[str] = state["runs"]
+        self.segments: list[str] = state["segments"]
+
+    def _save(self) -> None:
+        self._manifest.write({"width": self.width, "buckets": self.buckets, "runs": self.runs, "segments": self.segments, "last": self.last})
+
+    def _run(self, name: str) -> DataFrame:
+        """A run by its name; a session that doesn't know it yet learns of its buckets."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"CREATE TABLE {name} (g BIGINT, m BIGINT) USING parquet CLUSTERED BY (g) SORTED BY (g) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(name)
 
     def _written_run(self, rows: DataFrame) -> str:
         """A sorted, bucketed table of (g, m); rows: one for each fingerprint."""
         name = f"granary_run_{uuid.uuid4().hex}"
-        rows.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(name)
+        try:
+            rows.write.bucketBy(self.buckets, "g").sortBy("g").option("path", f"{self.path}/{name}").saveAsTable(name)
+        except Exception:
+            self._forget([name])
+            raise
         return name
 
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.path}/{name}")
+
     def compact(self) -> None:
         """All runs as one; drops nothing."""
         if len(self.runs) < 2:
             return
-        rows = self.spark.table(self.runs[0])
+        rows = self._run(self.runs[0])
         for name in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(name))
-        new = self._written_run(rows.groupBy("g").agg(F.sum("m").alias("m")))
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
-            remove(self.spark, f"{self.path}/{name}")
-        self.runs = [new]
+            rows = rows.unionByName(self._run(name))
+        old, self.runs = self.runs, [self._written_run(rows.groupBy("g").agg(F.sum("m").alias("m")))]
+        self._save()
+        self._forget(old)
 
     def drop(self) -> None:
         """Deletes the index."""
-        for name in self.runs:
-            self.spark.sql(f"DROP TABLE {name}")
+        self._forget(self.runs)
         remove(self.spark, self.path)
-        self.runs, self.segments = [], []
+        self.runs, self.segments, self.last = [], [], None
 
-    def _hits(self, batch: DataFrame) -> DataFrame:
-        """The batch's fingerprints that it shares with history or itself; its run joins the log."""
-        name = self._written_run(batch.groupBy("g").agg(F.count("*").alias("m")))
-        fresh = self.spark.table(name)
+    def _hits(self, fresh: DataFrame) -> DataFrame:
+        """The fingerprints that the batch's run shares with history or itself."""
         hits = fresh.where("m > 1").select("g")
         for run in self.runs:  # bucket by bucket: neither side is shuffled
-            hits = hits.unionByName(fresh.where("m = 1").join(self.spark.table(run).select("g"), "g", "left_semi").select("g"))
-        self.runs.append(name)
-        return settled(hits.distinct() if len(self.runs) > 2 else hits, "substring-hits")
+            hits = hits.unionByName(fresh.where("m = 1").join(self._run(run).select("g"), "g", "left_semi").select("g"))
+        return settled(hits.distinct() if len(self.runs) > 1 else hits, "substring-hits")
 
     def add(self, docs: DataFrame, history: DataFrame | None = None) -> DataFrame:
         """Adds docs (doc_id, text) to the index; (doc_id, spans): of its documents the words that they lose.
@@ -236,13 +255,32 @@ class SubstringIndex:
         before one of an earlier batch."""
         if self.segments and history is None:
             raise ValueError("the index holds earlier batches: their documents are needed to verify hits")
-        width, segment = self.width, f"{self.path}/segment-{uuid.uuid4().hex}"
-        shipped(docs).mapInArrow(_stretch_rows(width), _ROWS).write.parquet(segment)
-        read = lambda *paths: self.spark.read.schema(_ROWS).parquet(*paths)
-        batch = read(segment).withColumn("fresh", F.lit(True))
-        hits = self._hits(batch)
-        log = read(*self.segments).withColumn("fresh", F.lit(False)).unionByName(batch) if self.segments else batch
+        segment = f"segment-{uuid.uuid4().hex}"
+        read = lambda *names: self.spark.read.schema(_ROWS).parquet(*(f"{self.path}/{n}" for n in names))
+        shipped(docs).mapInArrow(_stretch_rows(self.width), _ROWS).write.parquet(f"{self.path}/{segment}")
+        run = None
+        try:
+            lo, hi = read(segment).where(F.col("doc_id") < NO_ID).agg(F.min("doc_id"), F.max("doc_id")).first()
+            if lo is not None and self.last is not None and lo < self.last:
+                raise ValueError(f"document {lo} stands before document {self.last} of an earlier batch")
+            run = self._written_run(read(segment).groupBy("g").agg(F.count("*").alias("m")))
+            spans = self._lost(docs, history, read(segment).withColumn("fresh", F.lit(True)), read, self._run(run))
+        except Exception:
+            self._forget([run] if run else [])
+            remove(self.spark, f"{self.path}/{segment}")
+            raise
+        self.runs.append(run)
         self.segments.append(segment)
+        self.last = hi if self.last is None or hi is not None and hi > self.last else self.last
+        self._save()
+        if len(self.runs) >= FANOUT:
+            self.compact()
+        return spans
+
+    def _lost(self, docs: DataFrame, history: DataFrame | None, batch: DataFrame, read: Callable, fresh: DataFrame) -> DataFrame:
+        """(doc_id, spans) of a batch, whose stretches and run are written, against itself and history."""
+        width, hits = self.width, self._hits(fresh)
+        log = read(*self.segments).withColumn("fresh", F.lit(False)).unionByName(batch) if self.segments else batch
         known = key_filter(hits, "g")
         met = settled((log if known is None else passing(log, known, "g")).join(hits, "g"), "substring-met")
         place = F.min(F.struct("doc_id", "start")).alias("first")
@@ -259,8 +297,6 @@ class SubstringIndex:
         spans = mine.select("doc_id", F.when(is_first, moved).otherwise(all_of_it).alias("s")).where("s IS NOT NULL")
         spans = settled(spans.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_set("s"))).alias("spans")), "substring-lost")
         discard(hits, met, whole, judged, rel)
-        if len(self.runs) >= FANOUT:
-            self.compact()
         return spans
 
     def _different(self, whole: DataFrame, texts: DataFrame) -> DataFrame:
@@ -335,14 +371,16 @@ def report(docs: DataFrame, width: int = WIDTH, batches: int = 2) -> DataFrame:
     cuts = rows.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)] or [1.0], 1000)).first()[0] or []
     cuts = sorted(set(cuts)) if batches > 1 else []
     index, spans = SubstringIndex(docs.sparkSession, width=width), None
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = rows if lo is None else rows.where(F.col("doc_id") > lo)
-        part = part if hi is None else part.where(F.col("doc_id") <= hi)
-        history = None if lo is None else rows.where(F.col("doc_id") <= lo).select("doc_id", "text")
-        new = index.add(part.select("doc_id", "text"), history)
-        spans = new if spans is None else spans.unionByName(new)
-    index.compact()
-    index.drop()  # all that is lost is written by now
+    try:
+        for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+            part = rows if lo is None else rows.where(F.col("doc_id") > lo)
+            part = part if hi is None else part.where(F.col("doc_id") <= hi)
+            history = None if lo is None else rows.where(F.col("doc_id") <= lo).select("doc_id", "text")
+            new = index.add(part.select("doc_id", "text"), history)
+            spans = new if spans is None else spans.unionByName(new)
+        index.compact()
+    finally:
+        index.drop()  # all that is lost is written by now
     out = index._cleaned(rows, settled(spans, "substring-all-lost"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

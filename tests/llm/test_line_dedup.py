@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 from collections import defaultdict
 
@@ -103,3 +104,33 @@ def test_rows_without_an_id_keep_their_lines(spark):
     line = "a line that two documents hold"
     got = M.dedup_report(spark.createDataFrame([(None, line), (4, line), (5, line)], "doc_id long, text string")).collect()
     assert sorted((str(r.doc_id), r.n_dropped) for r in got) == [("4", 0), ("5", 1), ("None", 0)]
+
+
+def test_another_session_opens_the_index(spark, monkeypatch):
+    """Each step by a new object over the same folder: runs are merged, filters and counts go on, documents leave and come back."""
+    monkeypatch.setattr(M, "FANOUT", 2)
+    rows = dict(corpus(3)[:40])
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    path, ids = M.LineIndex(spark).path, list(rows)
+    opened = lambda: M.LineIndex(spark, path)
+    for part in (ids[:10], ids[10:25], ids[25:]):
+        opened().insert(df.where(df.doc_id.isin(part)))
+    assert result(opened().dedup(df)) == brute(rows.items()) and len(opened().runs) < 3
+    gone = ids[::4]
+    opened().delete(spark.createDataFrame([(g,) for g in [*gone, None, 10**6]], "doc_id long"))
+    left = {d: t for d, t in rows.items() if d not in gone}
+    assert result(opened().dedup(df.where(~df.doc_id.isin(gone)))) == brute(left.items())
+    assert opened().keys == opened().counts().count()
+    opened().insert(df.where(df.doc_id.isin(gone)))
+    assert result(opened().dedup(df)) == brute(rows.items())
+    with pytest.raises(ValueError, match="at least 10"):
+        M.LineIndex(spark, path, least=3)
+
+
+def test_rows_without_an_id_do_not_enter_the_index(spark):
+    line = "a line that two documents hold"
+    df = spark.createDataFrame([(None, line), (5, line), (6, line)], "doc_id long, text string")
+    index = M.LineIndex(spark)
+    index.insert(df)
+    got = sorted((str(r.doc_id), r.n_dropped) for r in index.dedup(df).collect())
+    assert got == [("5", 0), ("6", 1), ("None", 0)] and index.postings().count() == 2

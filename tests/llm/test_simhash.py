@@ -63,6 +63,20 @@ def test_documents_against_brute_force(spark):
     assert M.near_duplicates(df.where("false")).count() == 0
 
 
+def test_ids_of_any_size_nulls_and_repeats(spark):
+    """No number is reserved: the greatest and negative ids are ids; rows without one join a component but never name it."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    top = (1 << 62) + 5
+    rows = [(top, a), (top + 1, a), ((1 << 63) - 1, a), (None, a), (-7, b), (None, b), (9, b), (9, b), (None, c), (None, c), (None, None), (3, "")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    count = {}
+    for r in got:
+        key = (r.doc_id, r.component_id)
+        count[key] = count.get(key, 0) + 1
+    assert count == {(top, top): 1, (top + 1, top): 1, ((1 << 63) - 1, top): 1, (None, top): 1, (-7, -7): 1, (None, -7): 1, (9, -7): 2, (None, None): 2,
+                     (None, 3): 1, (3, 3): 1}
+
+
 def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(M, "CHUNK", 8)
     rng = np.random.RandomState(2)

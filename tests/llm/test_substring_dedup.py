@@ -104,3 +104,41 @@ def test_rows_without_an_id_come_last(spark):
     assert len(got) == 5 and sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in got) == [
         (0, 0, 0), (0, 30, 30), (0, 30, 30), (0, 31, 30), (8, 30, 0)
     ]
+
+
+def test_another_session_opens_the_index(spark):
+    """Runs and segments are found again, without the catalog's entries, and hits in history are removed."""
+    docs = corpus(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = sorted(d for d, _ in docs)
+    parts = [df.where(df.doc_id.isin(p)) for p in (ids[: len(ids) // 3], ids[len(ids) // 3 : len(ids) // 2], ids[len(ids) // 2 :])]
+    path, out, past = M.SubstringIndex(spark).path, {}, None
+    for part in parts:
+        index = M.SubstringIndex(spark, path)
+        for name in index.runs:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")  # as in a new session: only the files are left
+        for r in index.dedup(part, past).collect():
+            out[r.doc_id] = (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest())
+        past = part if past is None else past.unionByName(part)
+    assert out == brute(docs, 20) and any(x[1] for x in out.values())
+    with pytest.raises(ValueError, match="earlier batches"):
+        M.SubstringIndex(spark, path).add(parts[2])
+    with pytest.raises(ValueError, match="windows of 20 words"):
+        M.SubstringIndex(spark, path, width=5)
+    M.SubstringIndex(spark, path).drop()
+
+
+def test_batches_come_in_order(spark):
+    """A batch that stands before an earlier one is refused and leaves nothing behind."""
+    text = " ".join(f"w{i}" for i in range(40))
+    frame = lambda d: spark.createDataFrame([(d, text)], "doc_id long, text string")
+    index = M.SubstringIndex(spark)
+    index.add(frame(1))
+    tables = len(spark.catalog.listTables())
+    with pytest.raises(ValueError, match="document 0 stands before document 1"):
+        index.add(frame(0), frame(1))
+    assert len(spark.catalog.listTables()) == tables
+    again = M.SubstringIndex(spark, index.path)
+    assert (len(again.runs), len(again.segments), again.last) == (1, 1, 1)
+    assert again.dedup(frame(2), frame(1)).first().n_removed == 40
+    again.drop()
