@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,12 +55,59 @@ def lowered(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
 
 
+def _trie(words: Iterable[str]) -> str:
+    """A regular expression of these words that takes the longest one, with common beginnings told apart once."""
+    tree: dict = {}
+    for word in words:
+        at = tree
+        for c in word:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def text(node: dict) -> str:
+        parts = [re.escape(c) + text(child) for c, child in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        one = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return one + "?" if "" in node else one
+
+    return text(tree)
+
+
+def terms(text: Column, words: list[str], word_boundary: bool = False) -> Column:
+    """The longest of the words that starts at each place of a text, as a distinct array: one pass over the text, however many words there are."""
+    edge = r"\b" if word_boundary else ""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"{edge}(?=({_trie(words)}){edge})"), F.lit(1)))
+
+
+def has_word(found: Column, word: str, words: list[str], word_boundary: bool = False) -> Column:
+    """Whether a word occurs, of the terms found among the words: itself or as the beginning of a longer one."""
+    longer = [w for w in words if w.startswith(word) and w != word and not (word_boundary and w[len(word)].isalnum())]
+    return F.arrays_overlap(found, F.array(*(F.lit(w) for w in (word, *longer)))) if longer else F.array_contains(found, word)
+
+
+#: All plain words of keywords and tags, and the alternatives of tags that are patterns.
+_TAG_PARTS = [part for pattern in TAGS for part in pattern.split("|")]
+_PLAIN = [part for part in _TAG_PARTS if part.replace(" ", "").isalnum()]
+WORDS = list(dict.fromkeys([w for words in KEYWORDS.values() for w in words] + _PLAIN))
+
+
+def with_terms(df: DataFrame, text: str, word_boundary: bool = False) -> DataFrame:
+    """Adds __low and __terms, from which keyword_hits and modifier_tags both read; a text is searched once for all of their words."""
+    return lowered(df, text).withColumn("__terms", terms(F.col("__low"), WORDS, word_boundary))
+
+
+def classify(df: DataFrame, text: str) -> DataFrame:
+    """hits, primary_category, confidence, matched_keywords and sub_tags of each text in one pass over it."""
+    return modifier_tags(categorize(keyword_hits(with_terms(df, text), text)), text).drop("__low", "__terms")
+
+
 def keyword_hits(df: DataFrame, text: str, word_boundary: bool = False) -> DataFrame:
     """Adds hits: array of (category, n, ordinal, keywords) of the categories that occur; one pass over the text, no join."""
-    low = F.col("__low")
+    rows = df if "__terms" in df.columns else with_terms(df, text, word_boundary)
 
     def found(word: str) -> Column:
-        return low.rlike(rf"\b{word}\b") if word_boundary else low.contains(word)
+        return has_word(F.col("__terms"), word, WORDS, word_boundary)
 
     cats = []
     for i, (cat, words) in enumerate(KEYWORDS.items()):
@@ -67,7 +118,17 @@ def keyword_hits(df: DataFrame, text: str, word_boundary: bool = False) -> DataF
         (-F.size(x["keywords"])).alias("minus_n"), x["ordinal"].alias("ordinal"), x["category"].alias("category"),
         x["keywords"].alias("keywords")
     )
-    return lowered(df, text).withColumn("hits", F.transform(hits, one)).drop("__low")
+    some = F.size("__terms") > 0  # most texts end here
+    none = F.array().cast("array<struct<minus_n:int,ordinal:int,category:string,keywords:array<string>>>")
+    out = rows.withColumn("hits", F.when(some, F.transform(hits, one)).otherwise(none))
+    return out if "__terms" in df.columns else out.drop("__low", "__terms")
+
+
+def hit_rows(hit: DataFrame) -> DataFrame:
+    """One row a category that occurs: df's columns, category, n. An inner explode would have its emptiness test pushed below the search, and that
+    searched each text once a word."""
+    rows = hit.withColumn("__hit", F.explode_outer("hits")).where("__hit IS NOT NULL")
+    return rows.withColumns({"category": F.col("__hit.category"), "n": -F.col("__hit.minus_n")}).drop("__hit", "hits")
 
 
 def categorize(hit: DataFrame) -> DataFrame:
@@ -84,10 +145,20 @@ def categorize(hit: DataFrame) -> DataFrame:
     return out.drop("__best")
 
 
+def _tagged(pattern: str) -> Column:
+    """Whether one of a pattern's alternatives occurs: plain ones are among the terms, the others are searched for."""
+    parts = pattern.split("|")
+    other = [p for p in parts if p not in _PLAIN]
+    tests = [has_word(F.col("__terms"), p, WORDS) for p in parts if p in _PLAIN] + ([F.col("__low").rlike("|".join(other))] if other else [])
+    return functools.reduce(Column.__or__, tests)
+
+
 def modifier_tags(df: DataFrame, text: str) -> DataFrame:
     """Sorted distinct tags; rows that hit LGBTQ keywords without it as primary category get its tag as well."""
-    tags = F.array_compact(F.array(*(F.when(F.col("__low").rlike(p), F.lit(t)) for p, t in TAGS.items())))
-    out = lowered(df, text).withColumn("sub_tags", tags).drop("__low")
+    tags = F.array_compact(F.array(*(F.when(_tagged(p), F.lit(t)) for p, t in TAGS.items())))
+    rows = df if "__terms" in df.columns else with_terms(df, text)
+    out = rows.withColumn("sub_tags", tags)
+    out = out if "__terms" in df.columns else out.drop("__low", "__terms")
     tags = F.col("sub_tags")
     if "hits" in df.columns and "primary_category" in df.columns:
         also = F.exists("hits", lambda x: x["category"] == "LGBTQ") & (F.col("primary_category") != "LGBTQ")

@@ -356,9 +356,7 @@ def _hits(s, d):
 
 register(
     "x1_keyword_hits", lambda s,
-    d: _hits(s, d).select("doc_id", F.explode("hits").alias("h")).select(
-        "doc_id", F.col("h.category").alias("category"), (-F.col("h.minus_n")).alias("n")
-    ),
+    d: U.hit_rows(_hits(s, d)).select("doc_id", "category", "n"),
     HITS + " SELECT doc_id, category, len(kws) AS n FROM hits"
 )
 register(
@@ -371,7 +369,7 @@ _TAGSQL = "[" + ", ".join(
 ) + ", CASE WHEN lgbtq AND primary_category <> 'LGBTQ' THEN 'LGBTQ-Affirming' END]"
 register(
     "x3_modifier_tags", lambda s,
-    d: U.modifier_tags(U.categorize(_hits(s, d)), "text").select("doc_id", F.concat_ws(",", "sub_tags").alias("tags")),
+    d: U.classify(_table(s, d, "documents").select("doc_id", "text"), "text").select("doc_id", F.concat_ws(",", "sub_tags").alias("tags")),
     HITS + f" SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter({_TAGSQL}, lambda x: x IS NOT NULL))), ',') AS tags FROM "
     f"cat"
 )
