@@ -91,6 +91,28 @@ def distinct_with_null(c: str) -> Column:
     return F.count_distinct(c) + F.max(F.when(F.col(c).isNull(), 1).otherwise(0))
 
 
+def distinct_counts(df: DataFrame, keys: list, columns: dict[str, str]) -> DataFrame:
+    """The keys and, for each column of `columns`, its number of distinct values under the given name. Every row gives one narrow (key, column, value) row a
+    column; these are made distinct and then counted, and both steps aggregate before they shuffle. Several count_distinct in one aggregate would send each row once
+    a column with all that the aggregate reads."""
+    named = [F.col(k) if isinstance(k, str) else k for k in keys]
+    cells = F.array(*(F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(columns)))
+    rows = df.select(*named, F.explode(cells).alias("__cell"))
+    names = rows.columns[:-1]
+    pairs = rows.groupBy(*names, F.col("__cell.i").alias("__i"), F.col("__cell.v").alias("__v")).agg(F.lit(1).alias("__one"))
+    return pairs.groupBy(*names).agg(*(F.count_if((F.col("__i") == i) & F.col("__v").isNotNull()).alias(n) for i, n in enumerate(columns.values())))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null; the keys stay once."""
+    right = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = None
+    for k in keys:
+        same = left[k].eqNullSafe(right[f"__{k}"])
+        on = same if on is None else on & same
+    return left.join(right, on).drop(*(f"__{k}" for k in keys))
+
+
 def union_typed(*dfs: DataFrame) -> DataFrame:
     """Union by name; missing columns are typed nulls."""
     out = dfs[0]

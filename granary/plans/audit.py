@@ -244,8 +244,8 @@ register(
 )
 _RUNS = (
     "runs_log AS (SELECT o_orderkey AS run_id, concat('pipeline_', CAST(o_custkey % 7 AS STRING)) AS pipeline, o_orderdate AS "
-    "run_start, o_orderdate + (o_orderkey % 977) * INTERVAL '1' SECOND AS run_end, CASE WHEN o_orderkey % 13 = 0 THEN 'FAILURE' "
-    "ELSE 'SUCCESS' END AS status, o_custkey AS rows_read FROM orders)"
+    "run_start, o_orderdate + (o_orderkey % 977) * INTERVAL '1' SECOND AS run_end, CASE WHEN o_orderkey % 13 = 0 OR (o_custkey % 7 < 3 AND "
+    "o_orderdate >= TIMESTAMP '2001-07-10' AND o_orderdate < TIMESTAMP '2001-07-17') THEN 'FAILURE' ELSE 'SUCCESS' END AS status, o_custkey AS rows_read FROM orders)"
 )
 AUDIT = (
     f"WITH {_RUNS}, audit AS (SELECT *, CAST(date_diff('second', run_start, run_end) AS INT) AS duration_seconds, CAST(run_start AS "
@@ -256,10 +256,11 @@ AUDIT = (
 def run_audit(s, d):
     o = s.read.parquet(f"{d}/orders.parquet")
     start = F.col("o_orderdate").cast("timestamp")
+    bad_week = F.expr("o_custkey % 7 < 3 AND o_orderdate >= '2001-07-10' AND o_orderdate < '2001-07-17'")
     runs = o.select(
         F.col("o_orderkey").alias("run_id"), F.concat(F.lit("pipeline_"), (F.col("o_custkey") % 7).cast("string")).alias("pipeline"),
         start.alias("run_start"), F.timestamp_seconds(F.unix_timestamp(start) + F.col("o_orderkey") % 977).alias("run_end"),
-        F.when(F.col("o_orderkey") % 13 == 0, "FAILURE").otherwise("SUCCESS").alias("status"), F.col("o_custkey").alias("rows_read")
+        F.when((F.col("o_orderkey") % 13 == 0) | bad_week, "FAILURE").otherwise("SUCCESS").alias("status"), F.col("o_custkey").alias("rows_read")
     )
     return I.audit_run(runs)
 
@@ -288,8 +289,8 @@ register(
     "success_pct FROM audit GROUP BY ALL"
 )
 register(
-    "r10_run_alerts", lambda s, d: I.run_alerts(run_audit(s, d), "2001-08-01"),
-    AUDIT + " SELECT pipeline, count(*) AS failures FROM audit WHERE status = 'FAILURE' AND audit_date > DATE '2001-07-25' GROUP BY ALL "
+    "r10_run_alerts", lambda s, d: I.run_alerts(run_audit(s, d), "2001-07-16"),
+    AUDIT + " SELECT pipeline, count(*) AS failures FROM audit WHERE status = 'FAILURE' AND audit_date > DATE '2001-07-09' GROUP BY ALL "
     "HAVING count(*) > 1"
 )
 

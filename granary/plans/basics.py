@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from granary.functions import exprs as X
 from granary.operators import jobs as J
-from granary.operators import profile as Q
 from granary.sources.fixtures import AS_OF, ctes, view
 
 from .logs import PARSED, RAW, logs, parsed
@@ -60,11 +59,6 @@ register(
     "f9_having", lambda s, d: X.having(logs(s, d), ["OperationId"], 1),
     RAW + " SELECT OperationId, count(*) AS n FROM workspace_logs GROUP BY ALL HAVING count(*) > 1"
 )
-register(
-    "f11_flagged", lambda s,
-    d: Q.flagged(Q.health_flags(Q.profile(_t(s, d, "nation"), "nation", "L")), "WARN", "OK").select("column_name", "health_flag"),
-    "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name, 'OK' AS health_flag"
-)
 register(
     "f13_running", lambda s, d: J.running(view(s, d, "activity")).select("run_id", "job_id"),
     ctes("activity") + " SELECT run_id, job_id FROM activity WHERE session_id = (SELECT max(session_id) FROM activity) AND start_execution_date IS "
@@ -97,19 +91,6 @@ register(
     d: _t(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")),
     "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL"
 )
-register(
-    "e21_flag_list", lambda s,
-    d: Q.flag_list(
-        Q.health_flags(
-            Q.profile(logs(s, d).select("CpuTimeMs", "ModelMode", "EventText"), "logs", "L")
-        ).withColumn("health_flag", F.when(F.col("null_pct") > 15, "WARN").otherwise("OK")),
-        "WARN"
-    ).select("column_name", "null_pct"),
-    RAW + " SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, round(100.0::DOUBLE * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_pct FROM "
-        f"workspace_logs" for c in ("CpuTimeMs", "ModelMode", "EventText")
-    ) + ") WHERE null_pct > 15"
-)
 register(
     "w2_rolling_average", lambda s,
     d: J.job_history(

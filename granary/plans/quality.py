@@ -29,7 +29,8 @@ _KIND = {
         "l_tax": 1, "l_returnflag": 2, "l_linestatus": 2, "l_shipdate": 0
     },
     "documents": {"doc_id": 1, "text": 2, "lang": 2, "source": 2, "n_chars": 1},
-    "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 2, "o_totalprice": 1, "o_orderdate": 0, "o_orderpriority": 2}
+    "orders": {"o_orderkey": 1, "o_custkey": 1, "o_orderstatus": 2, "o_totalprice": 1, "o_orderdate": 0, "o_orderpriority": 2},
+    "flag_rows": {"k": 1, "part_null": 1, "mostly_null": 2, "one_value": 2, "spread": 1, "price": 1}
 }
 
 
@@ -76,9 +77,25 @@ _NOTES = (
 )
 for _t in ("events", "part", "orders", "lineitem", "documents"):
     register(f"q2_profile_{_t}", _prof(_t), _profile_sql(_t))
+
+
+def _flags(s, d):
+    """Columns of every flag: nulls of 40 and 90 %, one value, a wide spread, none of these."""
+    return Q.health_flags(Q.profile(view(s, d, "flag_rows"), "flag_rows", "BRONZE", accuracy=_EXACT))
+
+
+_FLAGS = ctes("flag_rows") + f", flags AS (SELECT *, {_FLAG} AS health_flag, {_NOTES} AS notes FROM ({_profile_sql('flag_rows')}))"
+register(
+    "q3_health_flags", lambda s, d: _flags(s, d).select("table_name", "column_name", "health_flag", "notes"),
+    _FLAGS + " SELECT table_name, column_name, health_flag, notes FROM flags"
+)
+register(
+    "f11_flagged", lambda s, d: Q.flagged(_flags(s, d), "WARN", "CRITICAL").select("column_name", "health_flag"),
+    _FLAGS + " SELECT column_name, health_flag FROM flags WHERE health_flag IN ('WARN', 'CRITICAL')"
+)
 register(
-    "q3_health_flags", lambda s, d: Q.health_flags(_prof("orders")(s, d)).select("table_name", "column_name", "health_flag", "notes"),
-    f"SELECT table_name, column_name, {_FLAG} AS health_flag, {_NOTES} AS notes FROM ({_profile_sql('orders')})"
+    "e21_flag_list", lambda s, d: Q.flag_list(_flags(s, d), "WARN").select("column_name", "null_pct"),
+    _FLAGS + " SELECT column_name, null_pct FROM flags WHERE health_flag = 'WARN'"
 )
 _WIDE = "workspace_logs"
 _COLS = ("CpuTimeMs", "EventText", "Identity", "ApplicationContext", "ModelMode", "ItemName")
@@ -122,8 +139,8 @@ register(
     f"SELECT column_name, distinct_count FROM ({_profile_sql('orders')}) ORDER BY distinct_count DESC, column_name LIMIT 10"
 )
 register(
-    "e24_flag_mix", lambda s, d: Q.health_flags(_prof("part")(s, d)).groupBy("health_flag").agg(F.count("*").alias("columns")),
-    f"SELECT health_flag, count(*) AS columns FROM (SELECT {_FLAG} AS health_flag FROM ({_profile_sql('part')})) GROUP BY ALL"
+    "e24_flag_mix", lambda s, d: _flags(s, d).groupBy("health_flag").agg(F.count("*").alias("columns")),
+    _FLAGS + " SELECT health_flag, count(*) AS columns FROM flags GROUP BY ALL"
 )
 
 # --- catalog --------------------------------------------------------------------------------------------------------

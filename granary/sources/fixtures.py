@@ -17,7 +17,8 @@ SELECT concat('op-', CAST(event_id - CASE WHEN event_id % 50 = 1 THEN 1 ELSE 0 E
  concat('detail', CAST(event_id % 3 AS STRING)) AS OperationDetailName,
  CASE WHEN event_type = 'error' OR event_id % 17 = 0 THEN 'Failure' ELSE ' Success' END AS Status,
  CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS StatusCode,
- CAST(floor(value * 100) AS BIGINT) AS DurationMs,
+ CASE WHEN event_type = 'purchase' AND day(ts) = 5 AND user_id % 6 = 3 THEN CAST(floor(value * 100) AS BIGINT) + 1900000
+      WHEN event_type = 'purchase' AND day(ts) = 6 AND user_id % 6 = 4 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS DurationMs,
  CASE WHEN event_id % 7 = 0 THEN NULL ELSE CAST(floor(value * (event_id % 11) * 10) AS BIGINT) END AS CpuTimeMs,
  concat('User', CAST(user_id AS STRING), '@Example.com') AS ExecutingUser,
  CASE WHEN event_id % 5 = 0 THEN concat('{"Text":"EVALUATE t', CAST(event_id % 9 AS STRING), '"}')
@@ -33,7 +34,10 @@ SELECT concat('op-', CAST(event_id - CASE WHEN event_id % 50 = 1 THEN 1 ELSE 0 E
  concat('Model', CAST(user_id % 6 AS STRING)) AS ItemName, concat('w', CAST(user_id % 2 AS STRING)) AS WorkspaceId, concat('WS',
  CAST(user_id % 2 AS STRING)) AS WorkspaceName,
  CASE WHEN user_id % 3 = 0 THEN 'DirectLake' WHEN user_id % 3 = 1 THEN 'Import' ELSE NULL END AS ModelMode
-FROM events""",
+FROM (SELECT event_id, event_type, value,
+ CASE WHEN event_id % 16 = 5 THEN 3 WHEN event_id % 64 = 6 THEN 4 WHEN event_id % 400 = 10 THEN 5 ELSE user_id END AS user_id,
+ CASE WHEN event_id % 16 = 5 THEN ts + (8 - day(ts)) * INTERVAL '1' DAY WHEN event_id % 64 = 6 THEN ts + (9 - day(ts)) * INTERVAL '1' DAY
+      WHEN event_id % 400 = 10 THEN ts + (10 - day(ts)) * INTERVAL '1' DAY ELSE ts END AS ts FROM events ) busy""",
     "audit_events": """
 SELECT concat('id-', CAST(event_id - CASE WHEN event_id % 40 = 1 THEN 1 ELSE 0 END AS STRING)) AS Id,
  CAST(CASE WHEN event_id % 9 = 0 THEN 20 ELSE 21 END AS INT) AS RecordType,
@@ -48,17 +52,25 @@ SELECT concat('id-', CAST(event_id - CASE WHEN event_id % 40 = 1 THEN 1 ELSE 0 E
 FROM events""",
     "runs": """
 SELECT o_orderkey AS run_id, o_orderpriority AS job_id, CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS INT) AS step_id,
- CAST(CASE WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 23 = 0 THEN 3 WHEN o_orderkey % 29 = 0 THEN 2 ELSE 1 END AS INT) AS run_status,
+ CAST(CASE WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'P' AND o_orderdate >= TIMESTAMP '2001-01-01' THEN 0
+  WHEN o_orderkey % 10 = 0 THEN 0 WHEN o_orderkey % 23 = 0 THEN 3 WHEN o_orderkey % 29 = 0 THEN 2 ELSE 1 END AS INT) AS run_status,
  CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INT) AS run_date,
  CAST((o_orderkey % 24) * 10000 + (o_custkey % 60) * 100 + o_orderkey % 60 AS INT) AS run_time,
  CAST(CAST(floor(o_totalprice / 100000) AS BIGINT) * 10000 + (CAST(floor(o_totalprice / 100) AS BIGINT) % 60) * 100 + CAST(floor(o_totalprice) AS BIGINT) % 60 AS INT) AS run_duration,
  concat('message ', CAST(o_orderkey AS STRING)) AS message
 FROM orders""",
     "activity": """
-SELECT o_orderpriority AS job_id, CAST(o_custkey % 3 AS INT) AS session_id, o_orderdate AS start_execution_date,
+SELECT o_orderpriority AS job_id, CAST(o_custkey % 3 AS INT) AS session_id,
+ TIMESTAMP '2001-08-01 05:59:00' - (o_orderkey * 7919 % 30000 + CASE WHEN o_orderkey % 3 = 0 THEN 2592000 ELSE 0 END) * INTERVAL '1' SECOND AS start_execution_date,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END AS stop_execution_date,
- CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS INT) AS last_executed_step_id, o_orderdate AS last_executed_step_date,
+ CAST(CASE o_orderstatus WHEN 'O' THEN 0 WHEN 'F' THEN 1 ELSE 2 END AS INT) AS last_executed_step_id,
+ TIMESTAMP '2001-08-01 06:00:00' - (o_orderkey * 7919 % 30000 + CASE WHEN o_orderkey % 3 = 0 THEN 2592000 ELSE 0 END) * INTERVAL '1' SECOND AS last_executed_step_date,
  o_orderkey AS run_id
+FROM orders""",
+    "flag_rows": """
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 10 < 4 THEN NULL ELSE o_custkey END AS part_null,
+ CASE WHEN o_orderkey % 10 <> 3 THEN NULL ELSE 'x' END AS mostly_null, 'same' AS one_value,
+ CASE WHEN o_orderkey % 100 = 7 THEN 1000000 ELSE 1 END AS spread, o_totalprice AS price
 FROM orders""",
     "control": """
 SELECT CAST(n_nationkey AS INT) AS control_id, concat('pipeline_', CAST(n_nationkey AS STRING)) AS pipeline_name, concat('src_',

@@ -69,6 +69,31 @@ def read_audit_blobs(spark: SparkSession, folder: str, record_type: int = 21, sc
     return (reader.schema(schema) if schema else reader).json(folder).where(F.col("RecordType") == record_type)
 
 
+#: Audit events in files: texts, but for two codes.
+AUDIT_EVENT = ", ".join(
+    f"{c} string" for c in (
+        "Id CreationTime Operation OrganizationId UserKey Workload UserId ClientIP UserAgent Activity ItemName WorkSpaceName DatasetName DatasetId ReportName "
+        "ReportId ReportType WorkspaceId ObjectId IsSuccess RequestId ActivityId DistributionMethod ConsumptionMethod AppId CapacityId ArtifactKind"
+    ).split()
+) + ", RecordType int, UserType int"
+BROKEN = "_corrupt_record"
+
+
+def split_events(rows: DataFrame, record_type: int = 21) -> tuple[DataFrame, DataFrame]:
+    """Events of a record type, and (file_name, reason, content, with_id) of files that are no JSON events; with_id: broken records that still have an id. rows: AUDIT_EVENT, _corrupt_record, file_name."""
+    good = rows.where(F.col(BROKEN).isNull() & (F.col("RecordType") == record_type)).drop(BROKEN, "file_name")
+    bad = rows.where(F.col(BROKEN).isNotNull()).groupBy("file_name").agg(
+        F.min(F.substring(BROKEN, 1, 1000)).alias("content"), F.count("Id").alias("with_id")  # Spark wants a column beside the corrupt record's
+    )
+    return good, bad.select("file_name", F.lit("not a JSON array of events").alias("reason"), "content", "with_id")
+
+
+def split_audit_blobs(spark: SparkSession, folder: str, record_type: int = 21) -> tuple[DataFrame, DataFrame]:
+    """The events of a folder's files, and its broken files with their reason: a broken file keeps no other from being read."""
+    reader = spark.read.schema(f"{AUDIT_EVENT}, {BROKEN} string").option("multiLine", True).option("mode", "PERMISSIVE")
+    return split_events(reader.json(folder).withColumn("file_name", F.col("_metadata.file_path")), record_type)
+
+
 def read_job_runs(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(JOB_RUN).parquet(folder)
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from granary.operators.audit import SILVER_KEYS, silver_audit
 from granary.operators.gold import LOG_KEYS, LOG_LAYOUT, parsed_rows
+from granary.operators.ingest import land_split
 from granary.operators.tables import Layout, Table
+from granary.sources.readers import AUDIT_EVENT, BROKEN, split_events
 
 
 def _merge_batches(rows: DataFrame, table: Table, name: str, checkpoint: str, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> StreamingQuery:
@@ -43,6 +47,45 @@ def stream_feed(spark: SparkSession, path: str, schema: StructType, size: str =
     return feed(rows.withWatermark("Timestamp", late), size)
 
 
+def stream_audit_blobs(spark: SparkSession, path: str, target: str, quarantine: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
+    """New files of audit events (JSON arrays) into the days of the silver table; broken ones into the quarantine table, and the stream goes on."""
+    rows = spark.readStream.schema(f"{AUDIT_EVENT}, {BROKEN} string").option("multiLine", True).json(path).withColumn("file_name", F.col("_metadata.file_path"))
+    silver, broken, stream = Table(spark, target, Layout(("log_date",))), Table(spark, quarantine), name or checkpoint
+
+    def land(batch: DataFrame, number: int) -> None:
+        land_split(*split_events(batch), silver, broken, (stream, number))
+
+    return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).queryName(stream).trigger(availableNow=True).start()
+
+
+class LateRows(StreamingQueryListener):
+    """Counts the rows that streams drop because they come after the watermark: query, batch, rows, at. `flush` writes them to a table; a listener
+    itself must not run jobs, as it holds up the events of all streams."""
+
+    def __init__(self, table: Table):
+        self.table, self._seen, self._guard = table, [], threading.Lock()
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryTerminated(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        if dropped := sum(x.numRowsDroppedByWatermark for x in p.stateOperators):
+            with self._guard:
+                self._seen.append((p.name or str(p.id), p.batchId, dropped, dt.datetime.fromisoformat(p.timestamp.replace("Z", "+00:00"))))
+
+    def flush(self) -> int:
+        """Appends what has been seen; the number of late rows in it."""
+        with self._guard:
+            rows, self._seen = self._seen, []
+        if rows:
+            self.table.append(self.table.spark.createDataFrame(rows, "query string, batch long, rows long, at timestamp"))
+        return sum(r[2] for r in rows)
+
+
 def stream_audit(spark: SparkSession, path: str, schema: StructType, target: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
     """New audit files into the days of the silver table."""
     rows = spark.readStream.schema(schema).parquet(path)

@@ -208,6 +208,10 @@ def test_rows_that_arrive_during_a_load_are_loaded_next_time(spark, tmp_path):
     assert log.count() == 4 and log.where(
         "duration_seconds >= 0 AND triggered_by = 'SYSTEM'"
     ).count() == 4 and log.select("audit_date").distinct().count() >= 1
+    assert log.schema == schemas.schema("pipeline_audit_log") and len(log.columns) == 28
+    row = log.where("control_id = 1").orderBy("run_start").first()
+    assert (row.rows_written, row.watermark_start, row.watermark_end, row.error_step) == (2, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 4), None)
+    assert {r.error_step for r in log.where("control_id = 2").collect()} == {"read"}
 
 
 def test_catalog_and_system_tables(spark, tmp_path):
