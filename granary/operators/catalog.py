@@ -62,6 +62,56 @@ def metadata_full(master: DataFrame, lineage: DataFrame, catalog: DataFrame) ->
     return out.withColumn("_row_hash", row_hash(["table_name", "object_name", "object_type", "lh_table_name", "alignment"], null="~"))
 
 
+def lineage_master(
+    columns: DataFrame, tables: DataFrame, measures: DataFrame, storage: DataFrame, lineage: DataFrame, catalog: DataFrame, model: str, at: Column
+) -> DataFrame:
+    """The master table of 31 columns: model objects (columns and measures) with their storage, lineage and lakehouse column, and how types agree.
+
+    Storage is found by table and column; a type agrees by its lakehouse name; measures have no lakehouse column and no alignment of types."""
+    t = tables.select(F.col("id").alias("tableid"), F.col("name").alias("sem_table_name"), F.col("description").alias("table_description"))
+    s = storage.where("column_type = 'BASIC_DATA'").groupBy(_norm("dimension_name").alias("st"), _norm("attribute_name").alias("sc")).agg(
+        F.max(F.col("dictionary_size").try_cast("long")).alias("sem_storage_bytes"), F.max(F.col("rows_count").try_cast("long")).alias("sem_storage_rows")
+    )
+    c = columns.join(t, "tableid", "left")
+    c = c.join(s, (_norm("sem_table_name") == F.col("st")) & (_norm("explicitname") == F.col("sc")), "left")
+    shared = lambda kind: (F.lit(model).alias("model_name"), F.lit("SemanticModel").alias("source_system"), F.lit(kind).alias("object_type"))
+    cols = c.select(
+        *shared("COLUMN"), "sem_table_name", F.col("explicitname").alias("sem_column_name"), F.col("datatype").alias("sem_data_type"),
+        F.col("columntype").alias("sem_column_type"), F.col("encodingtype").alias("sem_encoding_type"), flag("ishidden").alias("sem_is_hidden"),
+        flag("iskey").alias("sem_is_key"), flag("isavailableinmdx").alias("sem_is_mdx"), "table_description", "sem_storage_bytes", "sem_storage_rows",
+        F.col("sourcecolumn").alias("__source")
+    )
+    meas = measures.join(t.drop("table_description"), "tableid", "left").select(
+        *shared("MEASURE"), "sem_table_name", F.col("name").alias("sem_column_name"), F.lit("MEASURE_EXPRESSION").alias("sem_data_type"),
+        F.lit("Calculated").alias("sem_column_type"), flag("ishidden").alias("sem_is_hidden")
+    )
+    line = lineage.select(_norm("sem_table_name").alias("__line"), "lh_layer", "lh_table_name", "relationship")
+    lake = catalog.select(
+        F.col("layer").alias("__layer"), _norm("table_name").alias("__table"), _norm("column_name").alias("__column"), "lakehouse_name",
+        F.col("column_name").alias("lh_column_name"), F.col("data_type").alias("lh_data_type"), F.col("is_nullable").alias("lh_is_nullable"), "is_partition_col",
+        F.col("table_row_count").alias("lh_table_row_count"), "last_modified", "last_operation", "last_modified_by"
+    )
+    j = union_typed(cols, meas).join(line, _norm("sem_table_name") == F.col("__line"), "left")
+    j = j.join(
+        lake, (_norm("lh_table_name") == F.col("__table")) & (_norm("__source") == F.col("__column")) & (F.col("lh_layer") == F.col("__layer")), "left"
+    )
+    want = F.create_map(*(F.lit(x) for kv in _TYPES.items() for x in kv))[F.col("sem_data_type")]
+    alignment = F.when(F.col("object_type") != "COLUMN", None).when(F.col("lh_column_name").isNull(), "NOT_IN_LAKEHOUSE").when(
+        F.lower("lh_data_type") == want, "TYPE_MATCH"
+    ).otherwise("TYPE_MISMATCH")
+    out = j.withColumns({
+        "data_type_alignment": alignment, "has_lakehouse_mapping": F.col("lh_column_name").isNotNull(),
+        "has_lineage_mapping": F.col("lh_table_name").isNotNull(), "_master_built_at": at,
+        "_row_hash": row_hash(["model_name", "sem_table_name", "sem_column_name", "lh_table_name"], null="~"),
+    })
+    return out.drop("__source", "__line", "__layer", "__table", "__column")
+
+
+def table_list(catalog: DataFrame) -> DataFrame:
+    """Each table of the catalog once, with its columns counted."""
+    return catalog.groupBy("layer", "table_name").agg(F.count("*").alias("columns"), F.max("table_row_count").alias("rows")).orderBy("layer", "table_name")
+
+
 def profile_targets(full: DataFrame) -> DataFrame:
     """Mapped physical columns."""
     return full.where(

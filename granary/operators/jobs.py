@@ -115,13 +115,33 @@ def job_health(history: DataFrame) -> DataFrame:
     )
 
 
-def pipeline_health(audit: DataFrame, n: int = LAST_RUNS) -> DataFrame:
-    """The same on run records. audit: pipeline, run_id, run_start, duration_seconds, status."""
+def _pipeline_runs(audit: DataFrame) -> DataFrame:
+    """Finished run records as job runs of one step. audit: pipeline, run_id, run_start, duration_seconds, status."""
     w = Window.partitionBy("pipeline").orderBy(F.desc("run_start"), F.desc("run_id"))
-    rows = audit.select(
-        F.col("pipeline").alias("job_id"), F.lit(1).alias("step_id"),
+    return audit.where("duration_seconds IS NOT NULL").select(
+        F.col("pipeline").alias("job_id"), F.lit(1).alias("step_id"), "run_id",
         F.when(F.col("status").startswith("SUCCESS"), 1).otherwise(0).alias("run_status"),
         F.col("duration_seconds").cast("long").alias("run_duration_seconds"), F.col("run_start").alias("run_start_datetime"),
         F.row_number().over(w).alias("run_recency_rank")
     )
-    return job_health(job_history(rows, n))
+
+
+def pipeline_health(audit: DataFrame, n: int = LAST_RUNS) -> DataFrame:
+    """job_health on run records."""
+    return job_health(job_history(_pipeline_runs(audit), n))
+
+
+def pipeline_anomalies(audit: DataFrame, n: int = 10) -> DataFrame:
+    """run_anomalies on run records: of each pipeline's last n runs those that took 20 % more than usual."""
+    rows = _pipeline_runs(audit)
+    return run_anomalies(rows, job_history(rows), n)
+
+
+def running_pipelines(audit: DataFrame, as_of: str) -> DataFrame:
+    """running_jobs on run records: those that have started and not ended, against their pipeline's history."""
+    open_ = audit.where("run_start IS NOT NULL AND run_end IS NULL").select(
+        F.col("pipeline").alias("job_id"), F.lit(0).alias("session_id"), F.col("run_start").alias("start_execution_date"),
+        F.lit(None).cast("timestamp").alias("stop_execution_date"), F.lit(1).alias("last_executed_step_id"),
+        F.col("run_start").alias("last_executed_step_date"), "run_id"
+    )
+    return running_jobs(open_, job_history(_pipeline_runs(audit)), as_of)

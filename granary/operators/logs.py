@@ -357,3 +357,15 @@ def operation_stats(parsed: DataFrame, n: int = 20) -> DataFrame:
     return parsed.groupBy("OperationName").agg(
         F.count("*").alias("count"), F.round(F.avg("DurationMs"), 2).alias("avg_ms")
     ).orderBy(F.desc("count"), "OperationName").limit(n)
+
+
+def item_stats(parsed: DataFrame, n: int = 20) -> DataFrame:
+    """The items with most operations."""
+    return parsed.groupBy("ItemName").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "ItemName").limit(n)
+
+
+def slowest_operations(parsed: DataFrame, n: int = 20) -> DataFrame:
+    """Operations by average duration, the slowest first."""
+    return parsed.groupBy("OperationName").agg(
+        F.round(F.avg("DurationMs"), 2).alias("avg_ms")
+    ).orderBy(F.desc_nulls_last("avg_ms"), "OperationName").limit(n)

@@ -112,3 +112,13 @@ def report_overview(usage: DataFrame) -> DataFrame:
 
 def tier_mix(usage: DataFrame) -> DataFrame:
     return usage.groupBy("render_performance_tier").agg(F.count("*").alias("groups"), F.sum("total_renders").alias("renders"))
+
+
+def daily_trend(parsed: DataFrame) -> DataFrame:
+    return parsed.groupBy("log_date").agg(
+        F.count("*").alias("operations"), pct(F.count_if(F.col("Status") == "SUCCESS"), F.count("*")).alias("success_pct")
+    )
+
+
+def top_models(parsed: DataFrame, n: int = 5) -> DataFrame:
+    return parsed.groupBy("ItemName").agg(F.count("*").alias("operations")).orderBy(F.desc("operations"), "ItemName").limit(n)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from granary.operators import logs as L
+from granary.operators import sketches as K
 from granary.sources.fixtures import AS_OF, ctes, view
 
 from .registry import register
@@ -278,3 +281,28 @@ register(
     PARSED + " SELECT OperationName, count(*) AS count, round(avg(DurationMs), 2) AS avg_ms FROM parsed GROUP BY ALL ORDER BY count DESC, "
     "OperationName LIMIT 20"
 )
+register(
+    "e15_item_stats", lambda s, d: L.item_stats(parsed(s, d)),
+    PARSED + " SELECT ItemName, count(*) AS count FROM parsed GROUP BY ALL ORDER BY count DESC, ItemName LIMIT 20"
+)
+register(
+    "e15_slowest_operations", lambda s, d: L.slowest_operations(parsed(s, d)),
+    PARSED + " SELECT OperationName, round(avg(DurationMs), 2) AS avg_ms FROM parsed GROUP BY ALL ORDER BY avg_ms DESC NULLS LAST, OperationName LIMIT 20"
+)
+
+
+def _by_sketch(s, d):
+    """Each report's renders, and whether its users and its 95th percentile by merged daily sketches are within their stated errors of the exact ones."""
+    rows = parsed(s, d).where("report_id IS NOT NULL")
+    got = K.over_days(K.daily_sketches(rows, ["report_id"]), ["report_id"])
+    exact = rows.groupBy("report_id").agg(
+        F.count_distinct("upn").alias("exact_users"), F.percentile_approx("DurationMs", [0.92, 0.98], 100_000).alias("between"))
+    j = got.join(exact, "report_id")
+    users = F.abs(F.col("users") - F.col("exact_users")) <= 0.07 * F.col("exact_users") + 1
+    return j.select("report_id", F.col("operations").alias("renders"), users.alias("users_within"), F.col("p_ms").between(F.col("between")[0], F.col("between")[1]).alias("p95_within"))
+
+
+register(
+    "e11_reports_from_days", _by_sketch,
+    PARSED + " SELECT report_id, count(*) AS renders, true AS users_within, true AS p95_within FROM parsed WHERE report_id IS NOT NULL GROUP BY ALL"
+)

@@ -175,6 +175,35 @@ def full(s, d):
 
 register("m1_metadata_master", master, MASTER + " SELECT * FROM master")
 register("m3_metadata_full", full, FULL + " SELECT * FROM full_")
+_BUILT = "2024-01-31 00:00:00"
+LINEAGE = ctes(*_SYS) + f""", st AS (SELECT upper(trim(dimension_name)) AS st, upper(trim(attribute_name)) AS sc, max(TRY_CAST(dictionary_size AS BIGINT)) AS bytes,
+ max(TRY_CAST(rows_count AS BIGINT)) AS n FROM sys_storage WHERE column_type = 'BASIC_DATA' GROUP BY ALL),
+sem AS (SELECT 'COLUMN' AS object_type, t.name AS sem_table_name, explicitname AS sem_column_name, datatype AS sem_data_type, columntype AS sem_column_type,
+ encodingtype AS sem_encoding_type, {_B.format(c='c.ishidden')} AS sem_is_hidden, {_B.format(c='iskey')} AS sem_is_key, {_B.format(c='isavailableinmdx')} AS sem_is_mdx,
+ description AS table_description, bytes AS sem_storage_bytes, n AS sem_storage_rows, sourcecolumn FROM sys_columns c LEFT JOIN sys_tables t ON c.tableid = t.id
+ LEFT JOIN st ON upper(trim(t.name)) = st.st AND upper(trim(explicitname)) = st.sc
+ UNION ALL SELECT 'MEASURE', t.name, m.name, 'MEASURE_EXPRESSION', 'Calculated', NULL, {_B.format(c='m.ishidden')}, NULL, NULL, NULL, NULL, NULL, NULL
+ FROM sys_measures m LEFT JOIN sys_tables t ON m.tableid = t.id)
+SELECT 'model' AS model_name, 'SemanticModel' AS source_system, sem.* EXCLUDE (sourcecolumn), lh_layer, lh_table_name, relationship, lakehouse_name,
+ k.column_name AS lh_column_name, k.data_type AS lh_data_type, is_nullable AS lh_is_nullable, is_partition_col, table_row_count AS lh_table_row_count, last_modified,
+ last_operation, last_modified_by, CASE WHEN object_type = 'MEASURE' THEN NULL WHEN k.column_name IS NULL THEN 'NOT_IN_LAKEHOUSE'
+ WHEN lower(k.data_type) = CASE sem_data_type WHEN 'Int64' THEN 'bigint' WHEN 'String' THEN 'string' END THEN 'TYPE_MATCH' ELSE 'TYPE_MISMATCH' END AS data_type_alignment,
+ k.column_name IS NOT NULL AS has_lakehouse_mapping, lh_table_name IS NOT NULL AS has_lineage_mapping, TIMESTAMP '{_BUILT}' AS _master_built_at,
+ sha256(concat_ws('|', 'model', coalesce(sem.sem_table_name, '~'), sem_column_name, coalesce(lh_table_name, '~'))) AS _row_hash
+FROM sem LEFT JOIN lineage_map l ON upper(trim(sem.sem_table_name)) = upper(trim(l.sem_table_name))
+LEFT JOIN lake_catalog k ON upper(trim(lh_table_name)) = upper(trim(k.table_name)) AND upper(trim(sourcecolumn)) = upper(trim(k.column_name)) AND lh_layer = k.layer"""
+
+
+def lineage_master(s, d):
+    return C.lineage_master(*(view(s, d, v) for v in ("sys_columns", "sys_tables", "sys_measures", "sys_storage", "lineage_map", "lake_catalog")), "model",
+                            F.lit(_BUILT).cast("timestamp"))
+
+
+register("m3_lineage_master", lineage_master, LINEAGE)
+register(
+    "e16_table_list", lambda s, d: C.table_list(view(s, d, "lake_catalog")),
+    ctes("lake_catalog") + " SELECT layer, table_name, count(*) AS columns, max(table_row_count) AS rows FROM lake_catalog GROUP BY ALL"
+)
 register(
     "f10_profile_targets", lambda s, d: C.profile_targets(full(s, d)),
     FULL + " SELECT DISTINCT lh_table_name, trim(sourcecolumn) AS column_name FROM full_ WHERE in_lakehouse AND object_type = 'COLUMN' "
@@ -341,6 +370,37 @@ _HEALTH = (
     "WHEN 0 THEN 'Failed' WHEN 1 THEN 'Success' WHEN 3 THEN 'Cancelled' ELSE 'Unknown' END AS last_run_status FROM jh"
 )
 register("bj3_job_health", lambda s, d: J.job_health(history(s, d)), f"{RUNS} {_HEALTH}")
+
+
+def _open_audit(s, d):
+    """Run records of which the newest few have not ended."""
+    open_ = F.col("run_start") >= F.lit("2001-07-25").cast("timestamp")
+    gone = lambda c: F.when(~open_, F.col(c)).alias(c)
+    return run_audit(s, d).select("run_id", "pipeline", "run_start", "status", gone("run_end"), gone("duration_seconds"))
+
+
+_OPEN = AUDIT + """, o AS (SELECT run_id, pipeline, run_start, status, CASE WHEN run_start < TIMESTAMP '2001-07-25' THEN run_end END AS run_end,
+ CASE WHEN run_start < TIMESTAMP '2001-07-25' THEN duration_seconds END AS duration_seconds FROM audit),
+pr AS (SELECT *, status LIKE 'SUCCESS%' AS ok, row_number() OVER (PARTITION BY pipeline ORDER BY run_start DESC, run_id DESC) AS rk FROM o WHERE duration_seconds IS NOT NULL),
+ph AS (SELECT pipeline, count(*) FILTER (WHERE ok) AS n_ok, floor(avg(CASE WHEN ok AND rk <= 30 THEN duration_seconds END))::BIGINT AS m FROM pr GROUP BY pipeline)"""
+_AT = "2001-07-25 00:10:00"
+register(
+    "bj4_running_pipelines", lambda s, d: J.running_pipelines(_open_audit(s, d), _AT).select(
+        "job_id", "run_id", "elapsed_sec", "overrun_seconds", "overrun_pct", "overrun_status", "past_estimated_completion"),
+    _OPEN + f""", e AS (SELECT o.*, n_ok, m, date_diff('second', run_start, TIMESTAMP '{_AT}') AS e FROM o LEFT JOIN ph ON o.pipeline = ph.pipeline WHERE run_end IS NULL)
+SELECT pipeline AS job_id, run_id, e AS elapsed_sec, CASE WHEN n_ok >= 3 THEN e - m END AS overrun_seconds,
+ CASE WHEN n_ok >= 3 AND m > 0 THEN round(100.0::DOUBLE * (e - m) / m, 1) END AS overrun_pct,
+ CASE WHEN NOT coalesce(n_ok >= 3, false) THEN 'INSUFFICIENT_HISTORY' WHEN m IS NULL THEN 'NO_SUCCESS_HISTORY' WHEN e > m * 1.5 THEN 'CRITICAL' WHEN e > m * 1.2 THEN 'WARNING'
+ WHEN e < m THEN 'RUNNING_FAST' ELSE 'NORMAL' END AS overrun_status,
+ CASE WHEN n_ok >= 3 AND m > 0 AND TIMESTAMP '{_AT}' > run_start + m * INTERVAL '1' SECOND THEN 'YES' ELSE 'NO' END AS past_estimated_completion FROM e"""
+)
+register(
+    "bj4_pipeline_anomalies", lambda s, d: J.pipeline_anomalies(run_audit(s, d)).select("job_id", "run_id", "actual_duration_sec", "overrun_seconds", "run_outcome"),
+    AUDIT + """, pr AS (SELECT *, status LIKE 'SUCCESS%' AS ok, row_number() OVER (PARTITION BY pipeline ORDER BY run_start DESC, run_id DESC) AS rk FROM audit),
+ph AS (SELECT pipeline, count(*) FILTER (WHERE ok) AS n_ok, floor(avg(CASE WHEN ok AND rk <= 30 THEN duration_seconds END))::BIGINT AS m FROM pr GROUP BY pipeline)
+SELECT pr.pipeline AS job_id, run_id, duration_seconds::BIGINT AS actual_duration_sec, duration_seconds - m AS overrun_seconds, CASE WHEN ok THEN 'Success' ELSE 'Failed' END AS run_outcome
+FROM pr JOIN ph ON pr.pipeline = ph.pipeline WHERE rk <= 10 AND n_ok >= 3 AND m > 0 AND duration_seconds > m * 1.2"""
+)
 register(
     "bj4_pipeline_health", lambda s, d: J.pipeline_health(run_audit(s, d)),
     AUDIT + f", r AS (SELECT pipeline AS job_id, 1 AS step_id, CASE WHEN status LIKE 'SUCCESS%' THEN 1 ELSE 0 END AS run_status, "
@@ -543,6 +603,15 @@ register(
     PARSED + " SELECT count(*) AS operations, count(DISTINCT upn) AS users, round(100.0::DOUBLE * count(*) FILTER (WHERE Status = "
     "'SUCCESS') / count(*), 2) AS success_pct FROM parsed"
 )
+register(
+    "r5_daily_trend", _on(R.daily_trend, same),
+    PARSED + " SELECT log_date, count(*) AS operations, round(100.0::DOUBLE * count(*) FILTER (WHERE Status = 'SUCCESS') / count(*), 2) AS success_pct "
+    "FROM parsed GROUP BY ALL"
+)
+register(
+    "r5_top_models", _on(R.top_models, same),
+    PARSED + " SELECT ItemName, count(*) AS operations FROM parsed GROUP BY ALL ORDER BY operations DESC, ItemName LIMIT 5"
+)
 register("r5_by_status", _on(R.by_status, same), PARSED + " SELECT Status, count(*) AS operations FROM parsed GROUP BY ALL")
 register(
     "r6_model_day", _on(lambda p: R.matrix(p, "ItemName", "DAY"), same),

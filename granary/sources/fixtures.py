@@ -97,18 +97,20 @@ FROM customer WHERE c_nationkey % 3 <> 2 GROUP BY c_nationkey""",
  8) AND (day(o_orderdate) <> 9 OR o_orderkey % 5 <> 0) UNION ALL SELECT o_orderkey AS k,
  CAST(o_orderdate AS DATE) AS day FROM orders WHERE day(o_orderdate) IN (11, 12)""",
     "sys_tables": """SELECT CAST(n_nationkey AS STRING) AS id, concat('Table ', CAST(n_nationkey AS STRING)) AS name,
- CASE WHEN n_nationkey % 6 = 0 THEN 'True' ELSE 'False' END AS ishidden FROM nation""",
+ CASE WHEN n_nationkey % 6 = 0 THEN 'True' ELSE 'False' END AS ishidden,
+ CASE WHEN n_nationkey % 4 <> 0 THEN concat('about ', lower(n_name)) END AS description FROM nation""",
     "sys_columns": """SELECT CAST(p_partkey AS STRING) AS id, CAST(p_partkey % 27 AS STRING) AS tableid, concat('Col ',
  CAST(p_partkey AS STRING)) AS explicitname, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE concat(' col_',
  CAST(p_partkey AS STRING)) END AS sourcecolumn, CASE WHEN p_size < 20 THEN 'Int64' ELSE 'String' END AS datatype,
  CASE WHEN p_partkey % 9 = 0 THEN 'True' ELSE 'False' END AS ishidden, CASE WHEN p_partkey % 31 = 0 THEN 'True'
- ELSE 'False' END AS iskey FROM part""",
+ ELSE 'False' END AS iskey, CASE WHEN p_partkey % 7 = 0 THEN 'Calculated' ELSE 'Data' END AS columntype, CASE WHEN p_size < 20 THEN 'Value'
+ WHEN p_size < 40 THEN 'Hash' END AS encodingtype, CASE WHEN p_partkey % 5 = 0 THEN 'false' ELSE 'true' END AS isavailableinmdx FROM part""",
     "sys_measures": """SELECT CAST(s_suppkey AS STRING) AS id, CAST(s_suppkey % 25 AS STRING) AS tableid, concat('Measure ',
  CAST(s_suppkey AS STRING)) AS name, concat('SUM(x', CAST(s_suppkey AS STRING), ')') AS expression,
  CASE WHEN s_suppkey % 5 = 0 THEN 'True' ELSE 'False' END AS ishidden FROM supplier""",
     "sys_storage": """SELECT upper(concat('table ', CAST(p_partkey % 27 AS STRING))) AS dimension_name, concat(upper(concat('col ',
  CAST(p_partkey AS STRING))), ' ') AS attribute_name, CASE WHEN p_partkey % 8 = 0 THEN 'HIERARCHY' ELSE 'BASIC_DATA' END AS column_type,
- CASE WHEN p_partkey % 12 = 1 THEN 'n/a' ELSE CAST(p_partkey * 1000 % 7919 AS STRING) END AS dictionary_size FROM part""",
+ CASE WHEN p_partkey % 12 = 1 THEN 'n/a' ELSE CAST(p_partkey * 1000 % 7919 AS STRING) END AS dictionary_size, CAST(p_size * 100 AS STRING) AS rows_count FROM part""",
     "sys_partitions": """SELECT CAST(c_custkey AS STRING) AS id, CAST(c_custkey % 25 AS STRING) AS tableid, concat('part-',
  CAST(c_custkey AS STRING)) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'Import' ELSE 'DirectLake' END AS mode FROM customer""",
     "lineage_map": """SELECT concat('table ', CAST(n_nationkey AS STRING), ' ') AS sem_table_name,
@@ -116,7 +118,10 @@ FROM customer WHERE c_nationkey % 3 <> 2 GROUP BY c_nationkey""",
  'DIRECT' AS relationship FROM nation WHERE n_nationkey % 5 <> 0""",
     "lake_catalog": """SELECT CASE WHEN (p_partkey % 27) % 2 = 0 THEN 'SILVER' ELSE 'GOLD' END AS layer, concat('LH_',
  CAST(p_partkey % 27 AS STRING)) AS table_name, concat('COL_', CAST(p_partkey AS STRING)) AS column_name,
- CASE WHEN p_size < 25 THEN 'bigint' ELSE 'string' END AS data_type, p_size * 10 AS table_row_count FROM part WHERE p_partkey % 3 <> 0""",
+ CASE WHEN p_size < 25 THEN 'bigint' ELSE 'string' END AS data_type, p_size * 10 AS table_row_count, CASE WHEN (p_partkey % 27) % 2 = 0 THEN 'lh_silver' ELSE 'lh_gold' END AS lakehouse_name,
+ p_partkey % 2 = 0 AS is_nullable, p_partkey % 13 = 0 AS is_partition_col, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE '2024-01-15 06:00:00' END AS last_modified,
+ CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE 'MERGE' END AS last_operation, CASE WHEN p_partkey % 4 = 1 THEN NULL ELSE 'svc' END AS last_modified_by
+ FROM part WHERE p_partkey % 3 <> 0""",
     "facilities": """SELECT s_suppkey AS FacilityID, s_name AS FacilityName, CASE s_nationkey % 5 WHEN 0 THEN 'HOUSING'
  WHEN 1 THEN 'FOOD' WHEN 2 THEN 'LEGAL' WHEN 3 THEN 'HEALTHCARE' ELSE 'MENTAL_HEALTH' END AS PrimaryCategory,
  concat(CASE WHEN s_suppkey % 2 = 0 THEN 'Walk-In|' ELSE '' END, CASE WHEN s_suppkey % 3 = 0 THEN 'Emergency|' ELSE '' END,
