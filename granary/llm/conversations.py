@@ -345,3 +345,57 @@ def report(conversations: DataFrame) -> DataFrame:
     return every.join(turns, "conv", "left").join(whole, "conv", "left").join(digests, "conv", "left").select(
         "conv_id", zero("gaps"), *[zero(c) for c in figures], F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
+#: The same rows in SQL: CRC-32 bit by bit, then the cheapest edits row by row from the end, each state with its cost and least audit.
+ORACLE = r"""
+WITH RECURSIVE bits AS (
+  SELECT conv_id, turn, role, text, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ascii(x)::BIGINT) AS b
+  FROM conversations
+), hashed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(b, lambda c, x: list_reduce([xor(c, x), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda v, z: xor(v >> 1, (v & 1) * 3988292384)), 4294967295::BIGINT), 4294967295) % 20 AS kind FROM bits
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hashed, range(2) AS t(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged
+), marked AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS x, CASE WHEN bare = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END AS fault
+  FROM (SELECT *, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM placed)
+), walk AS (
+  SELECT conv_id, max(i) + 1 AS i, {'c': 0, 'a': ''} AS q0, {'c': 4, 'a': 'II'} AS qs, {'c': 2, 'a': 'I'} AS qu, {'c': 0, 'a': ''} AS qa FROM marked GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, i, list_sort([b0, {'c': cu.c + 2, 'a': 'I' || cu.a}])[1], list_sort([bs, {'c': cu.c + 2, 'a': 'I' || cu.a}])[1], cu, ca FROM (
+    SELECT conv_id, i, b0, bs, list_sort([bu, {'c': ba.c + 2, 'a': 'I' || ba.a}])[1] AS cu, list_sort([ba, {'c': bu.c + 2, 'a': 'I' || bu.a}])[1] AS ca FROM (
+      SELECT w.conv_id, m.i,
+        list_sort([{'c': q0.c + 3, 'a': 'D' || q0.a}, {'c': CASE WHEN free AND x = 's' THEN qs.c + t WHEN free AND x = 'u' THEN qu.c + t ELSE 1000000 END,
+          'a': 'K' || CASE x WHEN 's' THEN qs.a ELSE qu.a END}, {'c': CASE WHEN free THEN qu.c + 2 + t ELSE 1000000 END, 'a': 'R' || qu.a}])[1] AS b0,
+        list_sort([{'c': qs.c + 3, 'a': 'D' || qs.a}, {'c': CASE WHEN free AND x = 'u' THEN qu.c + t ELSE 1000000 END, 'a': 'K' || qu.a},
+          {'c': CASE WHEN free THEN qu.c + 2 + t ELSE 1000000 END, 'a': 'R' || qu.a}])[1] AS bs,
+        list_sort([{'c': qu.c + 3, 'a': 'D' || qu.a}, {'c': CASE WHEN free AND x = 'a' THEN qa.c + t ELSE 1000000 END, 'a': 'K' || qa.a},
+          {'c': CASE WHEN free THEN qa.c + 2 + t ELSE 1000000 END, 'a': 'R' || qa.a}])[1] AS bu,
+        list_sort([{'c': qa.c + 3, 'a': 'D' || qa.a}, {'c': CASE WHEN free AND x = 'u' THEN qu.c + t ELSE 1000000 END, 'a': 'K' || qu.a},
+          {'c': CASE WHEN free THEN qu.c + 2 + t ELSE 1000000 END, 'a': 'R' || qu.a}])[1] AS ba
+      FROM walk w JOIN (SELECT *, fault NOT IN ('blank', 'duplicate') AS free, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS t FROM marked) m
+        ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i - 1) x) y
+), best AS (SELECT conv_id, q0.c AS cost, q0.a AS audit FROM walk WHERE i = 1
+), letters AS (
+  SELECT conv_id, j, letter, count(*) FILTER (WHERE letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY j) AS k,
+    sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS whole
+  FROM (SELECT conv_id, unnest(string_split(audit, '')) AS letter, unnest(range(len(audit))) AS j FROM best WHERE audit <> '')
+), repaired AS (
+  SELECT l.conv_id, string_agg(CASE WHEN letter = 'K' THEN m.role WHEN (k + whole) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE m.text END, chr(10) ORDER BY j) AS s
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.i = l.i WHERE letter <> 'D' GROUP BY l.conv_id
+), pairs AS (SELECT conv_id, x || lead(x) OVER (PARTITION BY conv_id ORDER BY i) AS p FROM marked
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated FROM marked GROUP BY conv_id
+), wrong AS (SELECT conv_id, count(*) AS illegal FROM pairs WHERE p IS NOT NULL AND p NOT IN ('su', 'ua', 'au') GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(s, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN wrong w ON w.conv_id IS NOT DISTINCT FROM e.conv_id
+LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -82,7 +82,7 @@ def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
-@_register("op12_conversation_repair")
+@_register("op12_conversation_repair", conversations.ORACLE)
 def op12(spark, sf_dir):
     return conversations.report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
