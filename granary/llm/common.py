@@ -6,6 +6,7 @@ their cost is a few numpy passes a batch and not a Python loop a character.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import json
@@ -173,7 +174,8 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
+    """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own. At the end the worker, which Spark
+    keeps, gives back what it no longer uses."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -184,6 +186,14 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 19) ->
             end = min(max(end, start + 1), batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    released()
+
+
+def released() -> None:
+    """Gives unused memory of this Python worker back to its machine."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def powers(n: int, base: int, _kept: dict = {}) -> np.ndarray:  # noqa: B006  kept for the life of a worker

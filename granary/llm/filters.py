@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed
+from .common import mixed, released
 from .cuckoo import SHARD_KEYS, Cuckoo, filled
 
 #: The most bytes of one filter that are sent to all tasks; beyond it the shuffle join alone does the work.
 FILTER_BYTES = 32 << 20
+#: Rows that are copied at once.
+ROWS = 1024
 
 
 def key_filter(side: DataFrame, column: str):
@@ -57,9 +59,10 @@ def passing(df: DataFrame, known, column: str, hits: bool = True) -> DataFrame:
     """The rows of df whose key the filter knows, or else those that it doesn't; null keys aren't known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [Cuckoo(blob=b) for b in known.value]
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             hit = _held(held, batch[column].fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
             hit &= batch[column].is_valid().to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(hit if hits else ~hit))
+        released()
 
     return df.mapInArrow(run, df.schema)
