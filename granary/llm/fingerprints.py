@@ -6,8 +6,8 @@ that form (128 bits, 32 hex digits). Buckets of equal fingerprints are compared
 bucket that holds different canonical forms all but the least form get the suffix `-2`, `-3`, ...
 
 Normalisation tables are made from the Unicode database by rule. Texts that hold only code
-points which normalisation leaves alone skip them. Limits: conjoining Hangul jamo stay as
-written, and marks are reordered between the classes 202, 216, 220 and above.
+points which normalisation leaves alone skip them. Of the others those with marks or conjoining jamo are decomposed, each
+run of marks is sorted by combining class, and then starters take up what follows them, as the Unicode standard has it; jamo by arithmetic.
 
 Null texts are empty texts. Repeated rows of one doc_id are ordered by text and each gets its
 row; null doc_ids sort last, and the last row is followed by the first even where no row has an id. One row
@@ -39,13 +39,14 @@ def _regex_class(points: list[int]) -> str:
             runs[-1][1] = p
         else:
             runs.append([p, p])
-    return "[" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs) + "]"
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs) + "]"
 
 
 @functools.cache
 def _unicode_tables() -> dict:
-    """single/to: one code point to one; many: one to several; marks: composition by mark; stable: a regex class."""
-    single, many, pairs, unstable = {}, {}, {}, set()
+    """single/to: one code point to one; many: one to several; parts: canonical decompositions; pairs: compositions; classes: of marks;
+    marks, joining: regex classes of what has a combining class, and of what a starter may take up; stable: a regex class."""
+    single, many, parts, pairs, classes, joining, unstable = {}, {}, {}, {}, {}, set(range(0x1161, 0x1176)) | set(range(0x11A8, 0x11C3)), set()
     for cp in range(0xA0, sys.maxunicode + 1):
         c = chr(cp)
         if 0xD800 <= cp <= 0xDFFF or 0xAC00 <= cp <= 0xD7A3 or unicodedata.category(c) == "Cn":
@@ -54,49 +55,111 @@ def _unicode_tables() -> dict:
         if n != c:
             (single if len(n) == 1 and cp < 0x10000 and ord(n) < 0x10000 else many)[c] = n
             unstable.add(cp)
+        if (d := unicodedata.normalize("NFD", c)) != c:
+            parts[c] = d
         d = unicodedata.decomposition(c)
-        if d and not d.startswith("<") and " " in d and n == c:
+        if d and not d.startswith("<") and " " in d and unicodedata.normalize("NFC", c) == c:
             base, mark = (chr(int(x, 16)) for x in d.split())
-            pairs.setdefault(mark, []).append((base, c))
-            unstable.add(ord(mark))
-        if unicodedata.combining(c):
-            unstable.add(cp)
-    by_class_of = lambda x: (unicodedata.combining(x[0]), x[0])
-    marks = [{"m": m, "p": [{"x": b + m, "c": c} for b, c in p]} for m, p in sorted(pairs.items(), key=by_class_of)]
+            pairs[base + mark] = c
+            joining.add(ord(mark))
+        if k := unicodedata.combining(c):
+            classes[c] = k
+            joining.add(cp)
+    unstable |= joining
     spans, start = [], 0
     for cp in [*sorted(x for x in unstable if x < 0x10000), 0x10000]:
         if cp - start >= 48 or start == 0:
             spans.append((start, cp - 1))
         start = cp + 1
     stable = "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans if b >= a and not (a <= 0xD800 <= b)) + "À-ÖØ-öø-ıĴ-ľŁ-ňŊ-ž«»¡¿§©®°±¶·“”‘’–—"
-    by_class: dict[int, list[int]] = {}
-    for cp in range(0x300, 0x10000):
-        if k := unicodedata.combining(chr(cp)):
-            by_class.setdefault(k, []).append(cp)
-    swaps = []
-    for low in (202, 216, 220):
-        above = _regex_class(sorted(x for k, v in by_class.items() if k > low for x in v))
-        swaps.append((f"({above}+)({_regex_class(by_class[low])}+)", "$2$1"))
-    return {"single": single, "many": many, "marks": marks, "stable": f"[^{stable}]", "swaps": swaps}
+    return {
+        "single": single, "many": many, "parts": parts, "pairs": pairs, "classes": classes, "stable": f"[^{stable}]",
+        "marks": _regex_class(sorted(map(ord, classes))), "joining": _regex_class(sorted(joining)),
+    }
+
+
+def _map(name: str) -> Column:
+    return F.from_json(F.lit(json.dumps(_unicode_tables()[name])), "map<string,string>")
+
+
+def _found(table: Column, keys: list[str], c: Column) -> Column:
+    """What a table has for a code point, or null. Maps are searched from end to end, so translate, which hashes, tells first whether there is anything."""
+    return F.when(F.translate(c, "".join(keys), "") == "", F.try_element_at(table, c))
+
+
+def _replaced(text: Column, name: str) -> Column:
+    """text with each code point that a table has replaced by what it has for it."""
+    table, keys = _map(name), list(_unicode_tables()[name])
+    return F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(_found(table, keys, c), c)), "")
+
+
+def _clusters(text: Column, following: str) -> Column:
+    """text cut before each code point that isn't one of the following class."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?:[^{following[1:]}|^){following}*"), F.lit(0))
+
+
+def _code(c: Column) -> Column:
+    """The number of one code point below 65,536."""
+    return F.conv(F.hex(F.encode(c, "UTF-16BE")), 16, 10).cast("int")
+
+
+def _char(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+
+
+def _hangul(base: Column, c: Column) -> Column:
+    """The syllable of a leading jamo and a vowel, or of such a syllable and a final; else null."""
+    b, x = _code(base), _code(c)
+    both = (F.octet_length(base) == 3) & c.rlike(r"[\u1161-\u1175\u11a8-\u11c2]")
+    vowel = both & b.between(0x1100, 0x1112) & x.between(0x1161, 0x1175)
+    final = both & b.between(0xAC00, 0xD7A3) & ((b - 0xAC00) % 28 == 0) & x.between(0x11A8, 0x11C2)
+    return F.when(vowel, _char(0xAC00 + ((b - 0x1100) * 21 + x - 0x1161) * 28)).when(final, _char(b + x - 0x11A7))
+
+
+def _composed(text: Column) -> Column:
+    """NFC of a text whose code points each are in NFKC: only what follows a starter can change it."""
+    t, pairs = _unicode_tables(), _map("pairs")
+    marks, ranks = "".join(t["classes"]), "".join(chr(0xE000 + k) for k in t["classes"].values())
+    seconds = sorted({p[1:] for p in t["pairs"]})
+
+    def rank(c: Column) -> Column:
+        """A code point's combining class as a text that sorts like it; that of a starter is empty."""
+        to = F.translate(c, marks, ranks)
+        return F.when(to == c, F.lit("")).otherwise(to)
+
+    def in_order(cluster: Column) -> Column:
+        rows = F.transform(F.split(cluster, ""), lambda c, i: F.struct(rank(c).alias("k"), i.alias("i"), c.alias("c")))
+        return F.array_join(F.transform(F.array_sort(rows), lambda r: r["c"]), "")
+
+    # done, then the starter that may still take something up, what follows it, and the class of the last of these
+    none = F.lit("")
+    state = lambda done, base, rest, last: F.struct(done.alias("done"), base.alias("base"), rest.alias("rest"), last.alias("last"))
+
+    def take(acc: Column, c: Column) -> Column:
+        k, base = rank(c), acc["base"]
+        pair = F.when(F.translate(c, "".join(seconds), "") == "", F.try_element_at(pairs, F.concat(base, c)))
+        joined = F.coalesce(pair, _hangul(base, c))
+        free = (base != "") & ((acc["rest"] == "") | (acc["last"] < k))
+        return F.when(free & joined.isNotNull(), state(acc["done"], joined, acc["rest"], acc["last"])).when(
+            k == "", state(F.concat(acc["done"], base, acc["rest"]), c, none, none)
+        ).otherwise(state(acc["done"], base, F.concat(acc["rest"], c), k))
+
+    def whole(cluster: Column) -> Column:
+        parts = F.transform(_clusters(_replaced(cluster, "parts"), t["marks"]), lambda x: F.when(F.char_length(x) > 1, in_order(x)).otherwise(x))
+        chars = F.split(F.array_join(parts, ""), "")
+        return F.aggregate(chars, state(none, none, none, none), take, lambda a: F.concat(a["done"], a["base"], a["rest"]))
+
+    return F.array_join(F.transform(_clusters(text, t["joining"]), lambda x: F.when(F.char_length(x) > 1, whole(x)).otherwise(x)), "")
 
 
 def normalised(text: Column) -> Column:
     """text in NFKC."""
     t = _unicode_tables()
     x = F.translate(text, "".join(t["single"]), "".join(t["single"].values()))
-    several = F.from_json(F.lit(json.dumps(t["many"])), "map<string,string>")
     # taking out the code points that several replace tells whether there are any
     has = F.octet_length(F.translate(x, "".join(t["many"]), "")) < F.octet_length(x)
-    each = lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.coalesce(F.try_element_at(several, c), c))
-    x = F.when(has, F.array_join(F.transform(F.split(x, ""), each), "")).otherwise(x)
-    ordered = x
-    for pattern, to in t["swaps"] * 2:
-        ordered = F.regexp_replace(ordered, pattern, to)
-    x = F.when(x.rlike(r"\p{M}\p{M}"), ordered).otherwise(x)
-    # marks that a text holds meet their bases, three marks deep
-    table = F.from_json(F.lit(json.dumps(t["marks"] * 3)), "array<struct<m:string,p:array<struct<x:string,c:string>>>>")
-    joined = lambda acc, r: F.aggregate(r["p"], acc, lambda a, q: F.replace(a, q["x"], q["c"]))
-    x = F.aggregate(table, x, lambda acc, r: F.when(F.contains(acc, r["m"]), joined(acc, r)).otherwise(acc))
+    x = F.when(has, _replaced(x, "many")).otherwise(x)
+    x = F.when(x.rlike(t["joining"]), _composed(x)).otherwise(x)
     # most texts are decided by the short class, whose code points are all composed and stable
     return F.when(text.rlike(_LATIN), F.when(text.rlike(t["stable"]), x).otherwise(text)).otherwise(text)
 

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
@@ -20,6 +21,24 @@ def test_canonical_form_follows_the_unicode_database(spark):
     assert got == [canon(t) for t in texts]
 
 
+def test_canonical_equivalents_are_one(spark):
+    """Every pair of marks of different classes in both orders, jamo against syllables, and random runs of what may be taken up."""
+    rng = random.Random(4)
+    classes = {}
+    for cp in range(0x300, 0x1E950):
+        if k := unicodedata.combining(chr(cp)):
+            classes.setdefault(k, []).append(chr(cp))
+    few = [c for k in sorted(classes) for c in rng.sample(classes[k], min(2, len(classes[k])))]
+    texts = ["a" + x + y for x in few for y in few]
+    texts += ["가각갛", "\u1100\u1161\u1100\u1161\u11a8", "가\u11a8\u11a8 \u1112\u1175\u11c2", "\u1161\u11a8", "\u0301\u0316a", "\u09c7\u09be \u09c7\u0301\u09be"]
+    joining = [c for c in map(chr, range(0x300, 0x3200)) if unicodedata.combining(c)] + ["\u09be", "\u0b57", "\u1161", "\u11a8", "\u3099"]
+    starts = ["a", "é", "ậ", "ש", "\u0627", "か", "가", "\u1100", " ", "𝒳", "\u09c7", "ﬁ", "Å"]
+    texts += ["".join(rng.choice(starts if rng.random() < 0.35 else joining) for _ in range(rng.randrange(1, 14))) for _ in range(600)]
+    got = [r.n for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(4).select("i", M.normalised(F.col("t")).alias("n")).orderBy("i").collect()]
+    wrong = [t for t, n in zip(texts, got) if n != unicodedata.normalize("NFKC", t)]
+    assert not wrong, [x.encode("unicode_escape") for x in wrong[:5]]
+
+
 def brute(rows):
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0], r[1] or ""))
     out = []
