@@ -161,7 +161,11 @@ def gold_dax_performance(parsed: DataFrame) -> DataFrame:
     return rows.groupBy(
         "log_date", F.col("WorkspaceName").alias("workspace_name"), F.col("ItemName").alias("model_name"),
         F.col("upn").alias("executing_user"), "app_name"
-    ).agg(F.count("*").alias("dax_execution_count"), ms.cast("decimal(18,3)").alias("avg_duration_ms"), F.max("DurationMs").alias("max_duration_ms"), _p95("DurationMs").alias("p95_duration_ms"), F.avg("CpuTimeMs").cast("decimal(18,3)").alias("avg_cpu_ms"), _bad().alias("failed_executions"), latency_tier(ms).alias("performance_tier"))
+    ).agg(
+        F.count("*").alias("dax_execution_count"), ms.cast("decimal(18,3)").alias("avg_duration_ms"), F.max("DurationMs").alias("max_duration_ms"),
+        _p95("DurationMs").alias("p95_duration_ms"), F.avg("CpuTimeMs").cast("decimal(18,3)").alias("avg_cpu_ms"), _bad().alias("failed_executions"),
+        latency_tier(ms).alias("performance_tier")
+    )
 
 
 # --- ad-hoc queries over raw logs; as_of stands for the clock ---------------------------------------------------

@@ -286,7 +286,9 @@ register(
 register(
     "m7_release_gate", lambda s, d: Q.release_gate(Q.health_flags(_prof("orders")(s, d)), valid(s, d), run_audit(s, d)),
     VALID + AUDIT.replace("WITH ", ", ", 1)
-    + f" SELECT *, critical = 0 AND not_passed = 0 AND failures = 0 AS open FROM (SELECT (SELECT count(*) FILTER (WHERE {_FLAG} = " f"'CRITICAL') FROM ({_profile_sql('orders')})) AS critical, (SELECT count(*) FROM valid WHERE validation_status NOT IN ('PASS', " f"'NO_DATA')) AS not_passed, (SELECT count(*) FROM audit WHERE status = 'FAILURE') AS failures)"
+    + f" SELECT *, critical = 0 AND not_passed = 0 AND failures = 0 AS open FROM (SELECT (SELECT count(*) FILTER (WHERE {_FLAG} = "
+    f"'CRITICAL') FROM ({_profile_sql('orders')})) AS critical, (SELECT count(*) FROM valid WHERE validation_status NOT IN ('PASS', "
+    f"'NO_DATA')) AS not_passed, (SELECT count(*) FROM audit WHERE status = 'FAILURE') AS failures)"
 )
 
 # --- jobs -----------------------------------------------------------------------------------------------------------
@@ -422,9 +424,20 @@ def _hit_sql(cat: str) -> str:
 
 
 _ORD = {c: i for i, c in enumerate(U.KEYWORDS)}
-HITS = "WITH kw AS (SELECT doc_id, text, " + ", ".join(
+HITS = ("WITH kw AS (SELECT doc_id, text, " + ", ".join(
     f"{_hit_sql(c)} AS {c}" for c in U.KEYWORDS
-) + " FROM documents), hits AS (" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS category, {i} AS ordinal, {c} AS kws FROM kw WHERE len({c}) > 0" for c, i in _ORD.items()) + "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(kws) DESC, ordinal) AS rn FROM hits), top AS (SELECT doc_id, max(CASE WHEN rn = 1 THEN category END) AS one, max(CASE WHEN rn = 2 THEN category END) AS two, count(*) AS n, list_sort(flatten(list(kws))) AS all_kws, bool_or(category = 'LGBTQ') AS lgbtq FROM r GROUP BY doc_id), cat AS (SELECT d.doc_id, d.text, coalesce(lgbtq, false) AS lgbtq, CASE WHEN n IS NULL THEN 'GENERAL' WHEN n = 1 THEN one ELSE CASE least(one, two) || '|' || greatest(one, two) " + " ".join(f"WHEN '{'|'.join(sorted(k))}' THEN '{v}'" for k, v in U.CONFLICTS.items()) + " ELSE one END END AS primary_category, CASE WHEN n IS NULL THEN 'LOW' WHEN n = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, array_to_string(coalesce(all_kws, []), ',') AS keywords FROM documents d LEFT JOIN top t ON d.doc_id = t.doc_id)"
+) + " FROM documents), hits AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{c}' AS category, {i} AS ordinal, {c} AS kws FROM kw WHERE len({c}) > 0" for c, i in _ORD.items()
+) + ""
+    "), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len(kws) DESC, ordinal) AS rn "
+    "FROM hits), top AS (SELECT doc_id, max(CASE WHEN rn = 1 THEN category END) AS one, "
+    "max(CASE WHEN rn = 2 THEN category END) AS two, count(*) AS n, "
+    "list_sort(flatten(list(kws))) AS all_kws, bool_or(category = 'LGBTQ') AS lgbtq "
+    "FROM r GROUP BY doc_id), cat AS (SELECT d.doc_id, d.text, "
+    "coalesce(lgbtq, false) AS lgbtq, "
+    "CASE WHEN n IS NULL THEN 'GENERAL' WHEN n = 1 THEN one ELSE CASE least(one, two) || '|' || greatest(one, two) " + " ".join(f"WHEN '{'|'.join(sorted(k))}' THEN '{v}'" for k, v in U.CONFLICTS.items()) + " ELSE one END END "
+    "AS primary_category, CASE WHEN n IS NULL THEN 'LOW' WHEN n = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence, "
+    "array_to_string(coalesce(all_kws, []), ',') AS keywords FROM documents d LEFT JOIN top t ON d.doc_id = t.doc_id)")
 
 
 def _hits(s, d):
@@ -452,15 +465,27 @@ register(
 )
 register(
     "x5_search", lambda s, d: U.search(view(s, d, "facilities"), view(s, d, "requests")),
-    ctes("facilities", "requests") + " SELECT request_id, rank, FacilityID, FacilityName, WalkInAvailable FROM (SELECT *, row_number() OVER (PARTITION BY " "request_id ORDER BY WalkInAvailable DESC, FacilityName, FacilityID)::INT AS rank FROM requests r JOIN facilities f ON " "r.category = f.PrimaryCategory AND r.zip = f.ZipCode WHERE len(list_filter(string_split(needs, '|'), lambda x: x <> '' AND " "NOT list_contains(string_split(SubCategories, '|'), x))) = 0) WHERE rank <= 3"
+    ctes("facilities", "requests") + " SELECT request_id, rank, FacilityID, FacilityName, WalkInAvailable FROM (SELECT *, row_number() OVER (PARTITION BY "
+    "request_id ORDER BY WalkInAvailable DESC, FacilityName, FacilityID)::INT AS rank FROM requests r JOIN facilities f ON "
+    "r.category = f.PrimaryCategory AND r.zip = f.ZipCode WHERE len(list_filter(string_split(needs, '|'), lambda x: x <> '' AND "
+    "NOT list_contains(string_split(SubCategories, '|'), x))) = 0) WHERE rank <= 3"
 )
 register(
     "x6_stale", lambda s, d: U.stale(view(s, d, "facilities"), "2024-01-31").select("FacilityID", "is_stale"),
     ctes("facilities") + " SELECT FacilityID, date_diff('day', LastVerifiedDate, DATE '2024-01-31') > 90 AS is_stale FROM facilities"
 )
-DISC = ctes(
+DISC = (ctes(
     "facilities", "observations"
-) + ", known AS (SELECT FacilityID, 'Phone' AS field, Phone AS known_value FROM facilities UNION ALL SELECT FacilityID, 'Hours', Hours FROM facilities), o AS (SELECT *, CASE source_kind WHEN 'official' THEN 1 WHEN 'directory' THEN 2 ELSE 3 END AS rank FROM observations), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY FacilityID, field ORDER BY rank, retrieved DESC, source_url) AS rn FROM o) WHERE rn = 1), cl AS (SELECT FacilityID, count(DISTINCT source_url) AS c FROM observations WHERE reports_closed GROUP BY ALL), disc AS (SELECT k.FacilityID, k.field, known_value, found_value, source_url, CASE WHEN coalesce(c, 0) >= 2 THEN 'CLOSED' WHEN found_value IS NULL THEN 'UNVERIFIABLE' WHEN trim(found_value) = trim(known_value) THEN 'VERIFIED' ELSE 'NEEDS UPDATE' END AS status, CASE rank WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM known k LEFT JOIN b ON k.FacilityID = b.FacilityID AND k.field = b.field LEFT JOIN cl ON k.FacilityID = cl.FacilityID)"
+) + ", known AS (SELECT FacilityID, 'Phone' AS field, Phone AS known_value FROM facilities "
+    "UNION ALL SELECT FacilityID, 'Hours', Hours FROM facilities), "
+    "o AS (SELECT *, CASE source_kind WHEN 'official' THEN 1 WHEN 'directory' THEN 2 ELSE 3 END AS rank FROM observations), "
+    "b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY FacilityID, field ORDER BY rank, retrieved DESC, source_url) AS rn FROM o) WHERE rn = 1), "
+    "cl AS (SELECT FacilityID, count(DISTINCT source_url) AS c FROM observations WHERE reports_closed GROUP BY ALL), "
+    "disc AS (SELECT k.FacilityID, k.field, known_value, found_value, source_url, "
+    "CASE WHEN coalesce(c, 0) >= 2 THEN 'CLOSED' WHEN found_value IS NULL THEN 'UNVERIFIABLE' "
+    "WHEN trim(found_value) = trim(known_value) THEN 'VERIFIED' ELSE 'NEEDS UPDATE' END AS status, "
+    "CASE rank WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS confidence "
+    "FROM known k LEFT JOIN b ON k.FacilityID = b.FacilityID AND k.field = b.field LEFT JOIN cl ON k.FacilityID = cl.FacilityID)")
 
 
 def disc(s, d):
