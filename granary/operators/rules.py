@@ -167,16 +167,25 @@ def modifier_tags(df: DataFrame, text: str) -> DataFrame:
 
 
 def search(facilities: DataFrame, requests: DataFrame, n: int = 3) -> DataFrame:
-    """The first n facilities of each request's category and place that meet all needs: walk-in first, then by name."""
-    f = facilities.withColumn("tags", F.split("SubCategories", r"\|"))
-    r = requests.withColumn("wanted", F.filter(F.split("needs", r"\|"), lambda x: x != ""))
-    j = r.join(
-        f, (F.col("category") == F.col("PrimaryCategory")) & (F.col("zip") == F.col("ZipCode"))
-    ).where(F.size(F.array_except("wanted", "tags")) == 0)
-    w = Window.partitionBy("request_id").orderBy(F.desc("WalkInAvailable"), "FacilityName", "FacilityID")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select(
-        "request_id", "rank", "FacilityID", "FacilityName", "WalkInAvailable"
+    """The first n facilities of each request's category and place that meet all needs: walk-in first, then by name.
+
+    Facilities of one category, place and set of tags meet the same needs, so the first n of each such group are enough. They meet each distinct
+    set of needs once, and the first n of these go to the requests: the pairs grow with the distinct sets, not with requests times facilities."""
+    order = [F.desc("WalkInAvailable"), "FacilityName", "FacilityID"]
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= n)
+
+    place = ["category", "zip"]
+    f = facilities.select(
+        F.col("PrimaryCategory").alias("category"), F.col("ZipCode").alias("zip"), "FacilityID", "FacilityName", "WalkInAvailable",
+        F.array_sort(F.array_distinct(F.split("SubCategories", r"\|"))).alias("tags")
     )
+    wanted = F.array_sort(F.array_distinct(F.filter(F.split("needs", r"\|"), lambda x: x != "")))
+    r = requests.select("request_id", *place, wanted.alias("wanted"))
+    met = first(f, *place, "tags").drop("rank").join(r.select(*place, "wanted").distinct(), place)
+    best = first(met.where(F.size(F.array_except("wanted", "tags")) == 0), *place, "wanted").drop("rank", "tags")
+    return first(r.join(best, [*place, "wanted"]), "request_id").select("request_id", "rank", "FacilityID", "FacilityName", "WalkInAvailable")
 
 
 def stale(facilities: DataFrame, as_of: str, days: int = 90) -> DataFrame:
