@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _NUMBERS = ("int", "bigint", "smallint", "tinyint", "double", "float")
@@ -32,48 +33,86 @@ def _long(wide: DataFrame, columns: list[str], fields: tuple[str, ...], table: s
 
 
 def profile(df: DataFrame, table: str, layer: str, approximate: bool = False, accuracy: int = 10_000) -> DataFrame:
-    """22 figures a column: one aggregate over the table, and for exact distinct counts one over (column, value) pairs.
+    """22 figures a column. Distinct counts and quartiles are exact at any size (approximate: by sketches).
 
-    Each row becomes one short pair a column; pairs are made distinct and counted, and both steps aggregate before they
-    shuffle. approximate: distinct counts by sketches. accuracy: that of the quartiles; a state holds no more values than that."""
+    One aggregate over the table gives all but these, and two bounds around each quartile. A second counts the values below the lower bound
+    and those between the bounds, few or few distinct ones, among which the quartile has its rank. Distinct values are counted column by
+    column in their own types. accuracy: that of approximate quartiles; a state holds no more values than that."""
     types = dict(df.dtypes)
     wide = df.agg(*(_figures(c, types[c], approximate, accuracy).alias(c) for c in df.columns))
-    out = _long(wide, df.columns, STATS if approximate else tuple(x for x in STATS if x != "distinct_count"), table, layer)
+    fields = STATS if approximate else tuple(x for x in STATS if x not in ("distinct_count", "p25", "p50", "p75"))
+    out = _long(wide, df.columns, fields, table, layer)
     if not approximate:
-        out = out.join(F.broadcast(_distinct(df, types)), "column_name", "left").withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0)))
-        out = out.select("layer", "table_name", "column_name", *STATS)
+        for part in (_distinct(df, types), _quartiles(df, [c for c in df.columns if _is_number(types[c])])):
+            out = out.join(F.broadcast(part), "column_name", "left")
+        out = out.withColumn("distinct_count", F.coalesce("distinct_count", F.lit(0))).select("layer", "table_name", "column_name", *STATS)
     rate = lambda c: F.round(F.try_divide(100.0 * F.col(c), F.col("total_rows")), 2)
     return out.withColumns({"null_pct": rate("null_count"), "blank_pct": rate("blank_count"), "cardinality_pct": rate("distinct_count")})
 
 
-def _distinct(df: DataFrame, types: dict[str, str]) -> DataFrame:
-    """(column_name, distinct_count) of columns that hold a value. Equal values of a column have equal texts."""
+def _is_number(kind: str) -> bool:
+    return kind in _NUMBERS or kind.startswith("decimal")
+
 
-    def text(c: str) -> Column:
+def _distinct(df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(column_name, distinct_count) of columns that hold a value."""
+    out = None
+    for c in df.columns:
         col = F.col(f"`{c}`")
-        if types[c] in ("double", "float"):
-            return (col + 0.0).cast("string")  # the two zeros are one value
-        return F.hex(col) if types[c] == "binary" else col.cast("string")
+        value = col + 0.0 if types[c] in ("double", "float") else col  # the two zeros are one value
+        one = df.select(value.alias("v")).where("v IS NOT NULL").distinct().agg(F.count("*").alias("distinct_count"))
+        one = one.where("distinct_count > 0").select(F.lit(c).alias("column_name"), "distinct_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
 
-    cells = F.array(*(F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(df.columns)))
-    pairs = df.select(F.explode(cells).alias("cell")).where("cell.v IS NOT NULL").groupBy("cell.i", "cell.v").agg(F.lit(1).alias("one"))
-    names = F.array(*(F.lit(c) for c in df.columns))
-    return pairs.groupBy("i").agg(F.count("*").alias("distinct_count")).select(names[F.col("i")].alias("column_name"), "distinct_count")
+_QUARTERS, _PARTS = (0.25, 0.5, 0.75), ("p25", "p50", "p75")
+#: Accuracy of the sketches behind a quartile's bounds, and how far these stand on both sides of it, as a share of the values: twenty times a sketch's own error.
+_BOUND, _SIDE = 10_000, 0.002
+
+
+def _quartiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, p25, p50, p75): the values at rank ceil(q n) of each number column that holds one. Bounds that are equal are the quartile."""
+    spark = df.sparkSession
+    number = [F.col(f"`{c}`").cast("double") + 0.0 for c in columns]
+    at = [x for q in _QUARTERS for x in (q - _SIDE, q + _SIDE)]
+    sketches = [F.struct(F.percentile_approx(x, at, _BOUND).alias("at"), F.count(x).alias("n")).alias(f"c{i}") for i, x in enumerate(number)]
+    found = df.agg(*sketches).first() if columns else ()
+    known = [(i, j, *found[i]["at"][2 * j : 2 * j + 2], found[i]["n"]) for i in range(len(found)) if found[i]["n"] for j in range(3)]
+    out = spark.createDataFrame([(i, j, lo) for i, j, lo, hi, _ in known if lo == hi], "i int, j int, v double")
+    open_ = [x for x in known if x[2] != x[3]]
+    if open_:
+        between = [(number[i] >= lo) & (number[i] <= hi) for i, _, lo, hi, _ in open_]
+        below = df.agg(*(F.count_if(number[i] < lo).alias(f"b{k}") for k, (i, _, lo, _, _) in enumerate(open_))).select(
+            F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"b{k}").alias("below")) for k in range(len(open_))))).alias("x")
+        ).select("x.*")
+        cells = F.array(*(F.when(b, F.struct(F.lit(k).alias("k"), number[open_[k][0]].alias("v"))) for k, b in enumerate(between)))
+        rows = df.where(functools.reduce(Column.__or__, between)).select(F.explode(cells).alias("x")).where("x IS NOT NULL")
+        values = rows.groupBy("x.k", "x.v").agg(F.count("*").alias("m"))
+        ranks = spark.createDataFrame([(k, i, j, -(-n * (j + 1) // 4)) for k, (i, j, _, _, n) in enumerate(open_)], "k int, i int, j int, rank long")
+        upto = F.col("below") + F.sum("m").over(Window.partitionBy("k").orderBy("v"))
+        ranked = values.join(F.broadcast(below.join(F.broadcast(ranks), "k")), "k").withColumn("upto", upto)
+        out = out.unionByName(ranked.where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank"))).select("i", "j", "v"))
+    names = F.array(*(F.lit(c) for c in columns)) if columns else F.array(F.lit(""))
+    figures = [F.max(F.when(F.col("j") == j, F.col("v"))).alias(p) for j, p in enumerate(_PARTS)]
+    return out.groupBy("i").agg(*figures).select(names[F.col("i")].alias("column_name"), *_PARTS)
 
 
 def _figures(c: str, kind: str, approximate: bool, accuracy: int) -> Column:
     col = F.col(f"`{c}`")
     text = col.cast("string")
-    number = col.cast("double") if kind in _NUMBERS or kind.startswith("decimal") else F.lit(None).cast("double")
+    number = col.cast("double") if _is_number(kind) else F.lit(None).cast("double")
     length = F.length(text) if kind == "string" else F.lit(None).cast("int")
-    quarts = F.percentile_approx(number, [0.25, 0.5, 0.75], accuracy)
     out = [
         F.count("*").alias("total_rows"), F.count_if(col.isNull()).alias("null_count"), F.count_if(F.trim(text) == "").alias("blank_count"),
         F.min(number).alias("min_num"), F.max(number).alias("max_num"), F.round(F.avg(number), 4).alias("avg_num"),
-        F.round(F.stddev(number), 4).alias("stddev_num"), quarts[0].alias("p25"), quarts[1].alias("p50"), quarts[2].alias("p75"),
+        F.round(F.stddev(number), 4).alias("stddev_num"),
         F.min(length).alias("min_len"), F.max(length).alias("max_len"), F.round(F.avg(length), 2).alias("avg_len"),
     ]
-    return F.struct(*out, *([F.approx_count_distinct(col).alias("distinct_count")] if approximate else []))
+    if approximate:
+        quarts = F.percentile_approx(number, list(_QUARTERS), accuracy)
+        out += [quarts[i].alias(p) for i, p in enumerate(_PARTS)] + [F.approx_count_distinct(col).alias("distinct_count")]
+    return F.struct(*out)
 
 
 def health_flags(profiled: DataFrame) -> DataFrame:

@@ -58,12 +58,8 @@ def _table(s, d, t):
     return s.read.parquet(f"{d}/{t}.parquet")
 
 
-#: Quartiles of tables of up to so many rows are exact, as those of the SQL twins are.
-_EXACT = 1_000_000
-
-
 def _prof(t):
-    return lambda s, d: Q.profile(_table(s, d, t), t, "BRONZE", accuracy=_EXACT)
+    return lambda s, d: Q.profile(_table(s, d, t), t, "BRONZE")
 
 
 _FLAG = (
@@ -81,7 +77,7 @@ for _t in ("events", "part", "orders", "lineitem", "documents"):
 
 def _flags(s, d):
     """Columns of every flag: nulls of 40 and 90 %, one value, a wide spread, none of these."""
-    return Q.health_flags(Q.profile(view(s, d, "flag_rows"), "flag_rows", "BRONZE", accuracy=_EXACT))
+    return Q.health_flags(Q.profile(view(s, d, "flag_rows"), "flag_rows", "BRONZE"))
 
 
 _FLAGS = ctes("flag_rows") + f", flags AS (SELECT *, {_FLAG} AS health_flag, {_NOTES} AS notes FROM ({_profile_sql('flag_rows')}))"
@@ -124,7 +120,7 @@ register(
             F.when(F.col("n_nationkey") == 0, "events").otherwise("part").alias("table_name"),
             F.when(F.col("n_nationkey") == 0, "value").when(F.col("n_nationkey") == 1, "p_size").otherwise("p_brand").alias("column_name")
         ),
-        lambda t: _table(s, d, t), _EXACT
+        lambda t: _table(s, d, t)
     ),
     _profile_sql("events", ("value",), "MAPPED") + " UNION ALL " + _profile_sql("part", ("p_size", "p_brand"), "MAPPED")
 )

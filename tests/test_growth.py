@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from granary.operators import logs, rules
+from granary.operators import logs, profile, rules
 
 
 def rows_of_joins(df):
@@ -70,3 +70,17 @@ def test_percentiles_of_great_groups_are_exact(spark):
         (logs.visual_usage(rows), "model_name", "p95_render_ms"), (logs.ks2_refresh_daily(rows, "2024-01-31 00:00:00"), "ItemName", "P95DurationMs")
     ):
         assert {r[name]: r[p95] for r in df.collect()} == want and dict(df.dtypes)[p95] == "bigint"
+
+
+def test_profile_is_exact_above_any_sketch(spark):
+    """Quartiles of two million unlike values, of few values and of nulls; distinct counts by value (the two zeros are one)."""
+    n = 2_000_000
+    df = spark.range(n, numPartitions=8).select(
+        ((F.col("id") * 7919) % n).alias("spread"), (F.col("id") % 3).cast("int").alias("few"), F.lit(None).cast("double").alias("none"),
+        F.when(F.col("id") < 10, -0.0).otherwise(F.when(F.col("id") < 20, 0.0)).alias("zeros"), F.when(F.col("id") % 4 == 0, F.col("id") * 0.5).alias("half"))
+    got = {r.column_name: r for r in profile.profile(df, "t", "L").collect()}
+    quartiles = {c: (r.p25, r.p50, r.p75, r.distinct_count) for c, r in got.items()}
+    assert quartiles == {
+        "spread": (n / 4 - 1, n / 2 - 1, n * 3 / 4 - 1, n), "few": (0, 1, 2, 3), "none": (None, None, None, 0), "zeros": (0, 0, 0, 1),
+        "half": tuple(2.0 * (n // 4 * k // 4 - 1) for k in (1, 2, 3)) + (n // 4,)
+    }
