@@ -2,7 +2,8 @@
 
 1. language_id    drops texts without a letter and texts whose words are of a known language with less than MIN_SURE on average
 2. line_dedup     repeated lines stay only in the smallest doc_id that holds them
-3. near_dedup     of each group of near copies (five-word shingles of similarity 0.8 or more) the smallest doc_id stays;
+3. near_dedup     of each group of near copies (SimHash as in op9 and MinHash keys name the candidates; linked are those with
+                  five-word shingles of similarity 0.8 or more) the smallest doc_id stays;
                   rows without a doc_id are told apart by their text and stay only where no row with one is in the group
 4. decontaminate  drops documents that hold a benchmark item within the edit budget
 5. mixing         gives every document its place in a mixture of sources to target weights

@@ -1,9 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash candidates, each verified on the shingles.
+"""Near copies by the Jaccard similarity of word shingles: SimHash and MinHash candidates, each verified on the shingles.
 
 A document is the set of the XXH64 values (seed 42) of its shingles of `shingle` words, cut as in
 simhash.py. Sets with a similarity (shared over all) of at least LEAST are linked; a component is
-what links reach. Candidates share one of BANDS keys, each made of ROWS least values under random
-orders: two sets of similarity s share none with probability (1 - s^ROWS)^BANDS, 5 in 10^8 at 0.8
+what links reach. Candidates share a key. One key is the component of the set's SimHash, as simhash.py
+finds it by Golay codewords within RADIUS bits (each shingle votes once, so that a set has one SimHash).
+Most sets of a similarity of 0.8 to 0.9 lie further apart, so there are BANDS more keys, each made of ROWS least values
+under random orders: two sets of similarity s share none with probability (1 - s^ROWS)^BANDS, 5 in 10^8 at 0.8
 and less above. Every link is verified by counting the shingles themselves.
 
 Equal sets are one node. The nodes of a key stand in one order and meet their next LAGS ones, so a key
@@ -23,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import key_of, keyed, mixed, pieces, settled, shipped
 from .filters import key_filter, passing
-from .simhash import _LINKS, _SEED, _forest, components
+from .simhash import _LINKS, _SEED, _forest, components, majority, shingle_hashes
 
 SHINGLE, BANDS, ROWS, LAGS, BLOCK = 5, 32, 4, 3, 256
 #: The least similarity of a link, as a fraction: sizes are compared in whole numbers.
@@ -35,17 +38,7 @@ _ORDERS = np.random.RandomState(7).randint(0, 1 << 62, (2, BANDS * ROWS)).astype
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of a text's shingles, ascending; a shorter text is one shingle."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    whole = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    n = max(1, len(words) - shingle + 1)
-    starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(
-        np.array([digest(whole[a:b], _SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
-    )
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def band_keys(hashes: np.ndarray) -> np.ndarray:
@@ -70,15 +63,16 @@ def _sets(batch: pa.RecordBatch, shingle: int) -> tuple[list[np.ndarray], pa.Arr
 
 
 def prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, missing (as `keyed` gives them), fp (hash of the set), keys."""
+    """doc_id, missing (as `keyed` gives them), fp (hash of the set), sim (SimHash of the set), keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             sets, fps = _sets(batch, shingle)
             keys = pa.array([band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["missing"], fps, keys], ["doc_id", "missing", "fp", "keys"])
+            sims = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["missing"], fps, sims, keys], ["doc_id", "missing", "fp", "sim", "keys"])
 
-    return shipped(keyed(docs)).select("doc_id", "missing", "text").mapInArrow(run, "doc_id long, missing boolean, fp long, keys array<long>")
+    return shipped(keyed(docs)).select("doc_id", "missing", "text").mapInArrow(run, "doc_id long, missing boolean, fp long, sim long, keys array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -151,9 +145,17 @@ def _meet(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """key, fp: sets whose SimHashes reach one another in steps of up to RADIUS bits (simhash.py) share a key."""
+    own = settled(rows.select("fp", "sim").dropDuplicates(["fp"]), "shingle-simhash")
+    sims = settled(own.select(F.col("sim").alias("fp"), F.col("sim").alias("label")).distinct(), "simhash-nodes")
+    reached = simhash._linked(sims).select(F.col("fp").alias("sim"), F.col("label").alias("key"))
+    return own.join(reached, "sim").select("key", "fp")
+
+
 def _linked(docs: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     """(fp, label) over all links of the nodes (fp, label: whether it has no doc_id, and the smallest; rows: their keys)."""
-    one = nodes.join(rows.select("fp", "keys").dropDuplicates(["fp"]), "fp").select(F.explode("keys").alias("key"), "fp")
+    one = rows.select("fp", "keys").dropDuplicates(["fp"]).select(F.explode("keys").alias("key"), "fp").unionByName(_groups(rows))
     order = Window.partitionBy("key").orderBy("fp")
     ahead = [F.lead("fp", lag).over(order).alias(f"next{lag}") for lag in range(1, LAGS + 1)]
     size = F.count("*").over(Window.partitionBy("key")).alias("n")

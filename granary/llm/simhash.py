@@ -71,22 +71,31 @@ def decode(words: np.ndarray) -> np.ndarray:
     return (words ^ _ERRORS[_syndromes(words)]) >> 11
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; a shorter text is one shingle, one without words has none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(whole[a:b], _SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
+    return np.array([digest(whole[a:b], _SEED) for a, b in zip(starts, ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; zero for none."""
+    n, ones = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """own_id, fp: the doc_id as given, the fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +258,8 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(moving.select("fp", F.col("label").alias("moved")), "fp", "left").select("fp", F.coalesce("moved", "label").alias("label"))
 
 
-def _linked(nodes: DataFrame, radius: int) -> DataFrame:
-    """(fp, label) over all links within radius of the nodes (fp, label: the smallest doc_id)."""
+def _linked(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, label) over all links within radius of the nodes (fp, label: the smallest that links reach)."""
 
     def keyed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

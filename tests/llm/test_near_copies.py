@@ -84,3 +84,25 @@ def test_great_ids_and_rows_without_one(spark):
     top = (1 << 63) - 1
     docs = spark.createDataFrame([(top, a), (None, a), (None, b), (None, b)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text[:2]) for r in M.without_copies(docs).collect()) == [(0, "b0"), (top, "a0")]
+
+
+def test_simhash_names_candidates_and_shingles_decide(spark, monkeypatch):
+    """Without any MinHash key, copies within four bits are still linked where their shingles are similar, and only there."""
+    rng = np.random.RandomState(8)
+    sim = lambda t: M.majority(M.shingles(t.encode()))
+    texts = []
+    for words, edits, alike in ((600, 1, True), (600, 2, True), (40, 2, False)):
+        for _ in range(4):
+            while True:
+                base = [f"v{x}" for x in rng.randint(0, 5000, words)]
+                copy = edited(rng, base, edits)
+                a, b = " ".join(base), " ".join(copy)
+                if M.similar(M.shingles(a.encode()), M.shingles(b.encode())) == alike and (sim(a) ^ sim(b)).bit_count() <= 4:
+                    break
+            texts += [a, b]
+    ids = list(range(len(texts)))
+    want = brute_components(ids, sets_of(texts))
+    assert len(set(want.values())) == 8 + 8
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    monkeypatch.setattr(M, "band_keys", lambda hashes: np.zeros(0, np.int64))
+    assert {r.doc_id: r.component_id for r in M.near_copies(docs).collect()} == want
