@@ -43,6 +43,8 @@ _DARK, _ENDS = np.ones(256, bool), np.zeros(256, bool)
 _ENDS[list(b".,;:!?\n\x0b\x0c\r")] = True
 _DARK[list(b" \t.,;:!?\n\x0b\x0c\r")] = False
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Longest word, in bytes, that is hashed together with the others; masks of the first 0 to 8 bytes.
+SHORT, _FIRST = 64, np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def hashes(values: pa.Array) -> np.ndarray:
@@ -50,6 +52,24 @@ def hashes(values: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(v, 42) for v in values.to_pylist()), np.uint64, len(values))
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of each word by its bytes alone: of words up to SHORT bytes eight bytes at a time, all words at once; XXH64 of longer ones."""
+    buf, offs = flat(words)
+    size, start = np.diff(offs), offs[:-1]
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+    out, live = size.astype(np.uint64), np.flatnonzero(size <= SHORT)
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        part = eight[start[live] + at] & _FIRST[np.minimum(size[live] - at, 8)]
+        out[live] = mixed(out[live] * _STEP + part)
+    long = np.flatnonzero(size > SHORT)
+    out[long] = hashes(words.take(pa.array(long)))
+    return out
+
+
 class Phrases:
     """The phrases of a batch of texts, level by level. Level n has for each start its phrase's number, and for each number the
     hash, how often, and the first start; numbers are exact (they stand for word numbers, not hashes)."""
@@ -57,8 +77,8 @@ class Phrases:
     def __init__(self, texts: pa.Array, group: np.ndarray, seeds: np.ndarray):
         """group: the number of each text's group, whose phrases are counted apart; seeds: a hash of each group."""
         self.words, self.word, row, start = coded_words(texts, _DARK)
-        self.piece = np.cumsum(_ENDS[flat(texts)[0]])[start] + row
-        self.word_hash, self.group = hashes(self.words), group[row]
+        self.piece = np.cumsum(_ENDS[flat(texts)[0]], dtype=np.int32)[start] + row
+        self.word_hash, self.group = word_hashes(self.words), group[row]
         self.size, self.at = 1, np.arange(len(self.word))
         self._number(self.group * max(1, len(self.words)) + self.word)
         self.hash = mixed(self.word_hash[self.word[self.first]] * _STEP + seeds[self.group[self.first]])

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from granary.llm import collocations as c
@@ -88,3 +90,25 @@ def test_empty_table(spark):
 def test_more_than_eight_shards_are_refused(spark):
     with pytest.raises(ValueError):
         c.frequent_somewhere(frame(spark, []), shards=9)
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Short words take no call each; a hash depends on the word's bytes alone, at any place of any batch."""
+    rng = random.Random(4)
+    words = sorted({bytes(rng.choice(b"ab\x00\xff") for _ in range(rng.randrange(1, 80))) for _ in range(20_000)} | {b"a" * n for n in range(1, 200)})
+    calls, digest = [], c.xxhash.xxh64_intdigest
+    monkeypatch.setattr(c.xxhash, "xxh64_intdigest", lambda *a: calls.append(a) or digest(*a))
+    texts = pa.array(["one two three one"] * 3)
+    c.Phrases(texts, np.zeros(3, np.int64), np.zeros(1, np.uint64))
+    assert not calls
+    every = c.word_hashes(pa.array(words, pa.large_binary()))
+    assert len(set(every.tolist())) == len(words) and len(calls) == sum(len(w) > c.SHORT for w in words)
+    back = c.word_hashes(pa.array([b"x", *words[::-1]], pa.large_binary()).slice(1))
+    assert (back[::-1] == every).all() and len(c.word_hashes(pa.array([], pa.large_binary()))) == 0
+
+
+def test_long_words_in_phrases(spark):
+    long = "w" * 70
+    rows = [(f"{long}a {long}b c. " * 6, "en"), (f"{long}a {long}b d, abcdefgh abcdefghi " * 12, "en")]
+    got = sorted(map(tuple, c.collocations(frame(spark, rows)).collect()))
+    assert got == brute(rows) and len(got) > 1
