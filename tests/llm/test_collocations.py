@@ -112,3 +112,27 @@ def test_long_words_in_phrases(spark):
     rows = [(f"{long}a {long}b c. " * 6, "en"), (f"{long}a {long}b d, abcdefgh abcdefghi " * 12, "en")]
     got = sorted(map(tuple, c.collocations(frame(spark, rows)).collect()))
     assert got == brute(rows) and len(got) > 1
+
+
+def _shuffled(spark, action):
+    """Bytes that the action's stages write to shuffles."""
+    store, n = spark.sparkContext._jsc.sc().statusStore(), [0, 0]
+    for i, run in enumerate((lambda: None, action)):
+        run()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        n[i] = sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+    return n[1] - n[0]
+
+
+def test_shuffles_stay_in_proportion_beyond_the_filters(spark, monkeypatch):
+    """A corpus with more frequent phrases than a broadcast filter takes: nothing that is shuffled holds the text of phrases."""
+    monkeypatch.setattr(filters, "FILTER_BYTES", 0)
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(5000)]
+    rows = [(" ".join(rng.choice(words) for _ in range(500)), "en") for _ in range(400)] + [("new york city " * 20, "en")]
+    size = sum(len(t) for t, _ in rows)
+    docs = frame(spark, rows)
+    got = []
+    assert _shuffled(spark, lambda: got.extend(map(tuple, c.collocations(docs).collect()))) < 1.5 * size
+    assert sorted(got) == brute(rows)
