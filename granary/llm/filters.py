@@ -45,16 +45,6 @@ def _held(held: list[Cuckoo], keys: np.ndarray) -> np.ndarray:
     return hit
 
 
-class Known:
-    """A filter inside a task: which 64-bit keys it knows, false alarms included. Without a filter it knows all."""
-
-    def __init__(self, known):
-        self.held = [Cuckoo(blob=b) for b in known.value] if known else None
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        return np.ones(len(keys), bool) if self.held is None else _held(self.held, keys.view(np.int64))
-
-
 def passing(df: DataFrame, known, column: str, hits: bool = True) -> DataFrame:
     """The rows of df whose key the filter knows, or else those that it doesn't; null keys aren't known."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
