@@ -286,13 +286,14 @@ def _swept(*tables: DataFrame) -> None:
 
 class Candidates:
     """The phrases of the first step. totals: lang, n; words: number, lang, word; levels: number, before, last of the phrases of two words, three and so
-    on; states: the bins, with the numbers of phrases but the longest at their places, which answers have."""
+    on; states: the bins, with the numbers of phrases but the longest at their places, which answers have; counted: what counts() has written."""
 
     def __init__(self, parts: int):
-        self.parts, self.levels = parts, []
+        self.parts, self.levels, self.counted = parts, [], []
 
     def discard(self) -> None:
-        _swept(self.totals, self.words, *self.levels, self.states, self.answers)
+        """Also makes the rows of counts() unreadable."""
+        _swept(self.totals, self.words, *self.levels, self.states, self.answers, *self.counted)
 
 
 def frequent_somewhere(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, text: str = "text", lang: str = "lang") -> Candidates:
@@ -349,6 +350,7 @@ def _counted(found: Candidates) -> DataFrame:
 def counts(docs: DataFrame, keys: Candidates, longest: int = LONGEST, text: str = "text", lang: str = "lang", least: int = 1) -> DataFrame:
     """lang, size, phrase, n: the candidates found `least` times or more in the whole corpus (SON's second step); size 0 counts all words."""
     counted = settled(_counted(keys).where(F.col("n") >= least), "counts")
+    keys.counted.append(counted)
     of = lambda size: counted.where(F.col("size") == size).select("number", "n")
     named = keys.words.join(of(1), "number").select("number", "lang", F.col("word").alias("phrase"), "n")
     last = keys.words.select(F.col("number").alias("last"), "word")
@@ -357,6 +359,7 @@ def counts(docs: DataFrame, keys: Candidates, longest: int = LONGEST, text: str
         before = named.select(F.col("number").alias("before"), "lang", "phrase")
         longer = keys.levels[size - 2].join(of(size), "number").join(before, "before").join(last, "last")
         named = settled(longer.select("number", "lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), "n"), f"phrases-{size}")
+        keys.counted.append(named)
         out = out.union(named.select("lang", F.lit(size), "phrase", "n"))
     return out
 
